@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, langid, quality, rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": bpe.op1}
+    return {
+        "op1_byte_bpe": bpe.op1,
+        "op3_quality_rff": quality.op3,
+        "op5_rule_ledger": rules.op5,
+        "op8_language_crf": langid.op8,
+        "op10_toxicity_grammar": toxicity.op10,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_rule_ledger": rules.OP5_SQL}
