@@ -6,8 +6,9 @@ threat and emits, for every such word, a reading: plain, targeted, negated or
 reported. Learned weights of the readings and of the lexicon entries score the matched
 clauses; words outside a reading have no weight.
 
-The lexicon is a short seed list plus entries learned from labelled rows: words that
-are frequent in texts with label 1 and very rare in texts with label 0. The reading
+The lexicon is a short seed list plus entries learned from labelled rows: words, and
+stems that inflected words begin with (`stem*`), that are frequent in texts with label
+1 and very rare in texts with label 0. The reading
 weights are a logistic fit. Fit bound: FIT_ROWS labelled rows (smallest hash of the
 id, a documented parameter); scoring covers every whole text.
 
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bound of labelled rows; least texts of label 1 and least ratio for a learned entry.
-FIT_ROWS, LEAST_TEXTS, LEAST_LIFT = 20_000, 8, 15.0
+FIT_ROWS, LEAST_TEXTS, LEAST_SHARE, LEAST_LIFT = 20_000, 5, 0.005, 40.0
+#: Letters of a stem.
+STEMS = range(4, 9)
 THRESHOLD = 0.7
 
 # Fixed word classes of the grammar.
@@ -78,25 +81,32 @@ GRAMMAR = _recent(NEGATION, 3, 1, (TARGET,)).product(_recent(REPORT, 12, 2)).pro
 
 class Matcher:
     def __init__(self, entries: dict[str, float]) -> None:
-        """entries: insult words with lexicon weights."""
+        """entries: insult words and stems (`stem*`) with lexicon weights."""
         self.entries = entries
         self.classes = {w: c for c, group in ((MODAL, MODALS), (REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in group}
         self.classes |= dict.fromkeys(entries, INSULT)
         self.find = ahocorasick.Automaton()
         for w in [*entries, *THREATS]:
-            self.find.add_word(w, w)
+            self.find.add_word(w.rstrip("*"), (len(w.rstrip("*")), w[-1] == "*"))
         self.find.make_automaton()
 
+    def entry(self, word: str) -> str | None:
+        """The lexicon entry that reads a word, the whole word first."""
+        if word in self.entries:
+            return word
+        return next((e for k in STEMS if len(word) > k and (e := word[:k] + "*") in self.entries), None)
+
     def clause(self, text: str) -> list[tuple[int, float]]:
         """(reading, lexicon weight) of each insult or threat of one clause."""
         state, found, words = 0, [], _WORD.findall(text)
-        symbols = [self.classes.get(w, OTHER) for w in words]
+        entries = [self.entry(w) for w in words]
+        symbols = [INSULT if e else self.classes.get(w, OTHER) for w, e in zip(words, entries)]
         quoted = text.count('"') >= 2
-        for i, (w, s) in enumerate(zip(words, symbols)):
+        for i, (e, s) in enumerate(zip(entries, symbols)):
             state, mark = GRAMMAR.step[state][s]
             if s == INSULT:
                 target = mark & 4 or TARGET in symbols[i + 1 : i + 3]
-                found.append((2 if mark & 1 else 3 if mark & 2 or quoted else 1 if target else 0, self.entries[w]))
+                found.append((2 if mark & 1 else 3 if mark & 2 or quoted else 1 if target else 0, self.entries[e]))
             elif s == THREAT and (mark & 8 or TARGET in symbols[i + 1 : i + 3]):
                 found.append((5 if mark & 1 else 4, 1.0))
         return found
@@ -108,9 +118,9 @@ class Matcher:
             return out
         low = text.lower()
         places = []
-        for end, w in self.find.iter(low):
-            start = end + 1 - len(w)
-            if (start == 0 or not low[start - 1].isalpha()) and (end + 1 == len(low) or not low[end + 1].isalpha()):
+        for end, (size, stem) in self.find.iter(low):
+            start = end + 1 - size
+            if (start == 0 or not low[start - 1].isalpha()) and (stem or end + 1 == len(low) or not low[end + 1].isalpha()):
                 places.append((start, end + 1))
         upto = -1
         for start, end in places:
@@ -171,15 +181,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train=None, fi
         for batch in batches:
             seen: dict[str, list[int]] = {}
             for text, y in {(t or "", y) for t, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist())}:
-                for w in set(_WORD.findall(text.lower())):
+                found = set(_WORD.findall(text.lower()))
+                for w in found | {w[:k] + "*" for w in found for k in STEMS if len(w) > k}:
                     seen.setdefault(w, [0, 0])[int(y > 0.5)] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([c[0] for c in seen.values()], pa.int64()), pa.array([c[1] for c in seen.values()], pa.int64())], names=["w", "clean", "toxic"])
 
     by_word = texts.mapInArrow(words, "w string, clean long, toxic long").groupBy("w").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     lift = (F.col("toxic") / positive) / ((F.col("clean") + 0.5) / (n - positive))
-    # each text of label 1 has at least one: words in 1 % of these texts are bounded by 100 x the words of a text
-    learned = by_word.where((F.col("toxic") >= max(LEAST_TEXTS, 0.01 * positive)) & (lift >= LEAST_LIFT)).select("w", lift.alias("lift")).collect()
-    entries = dict.fromkeys(INSULTS, 1.0) | {r["w"]: 1.0 for r in learned if r["w"] not in THREATS}
+    # words and stems in a fixed share of the texts with label 1 are bounded by the words of a few hundred texts
+    learned = by_word.where((F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * positive)) & (lift >= LEAST_LIFT)).select("w", lift.alias("lift")).collect()
+    names = {r["w"] for r in learned} - set(THREATS)
+    names = {w for w in names if not any(len(w.rstrip("*")) > k and w[:k] + "*" in names for k in STEMS)}  # the shortest stem says it all
+    entries = dict.fromkeys([*INSULTS, *sorted(names)], 1.0)
     reads = collect_readings(texts.select("y", "text"), Matcher(entries), "y")
     pdf = reads.toPandas()  # at most fit_rows short rows
     x = np.stack(pdf["readings"].to_numpy()) if len(pdf) else np.zeros((0, len(READINGS)))
