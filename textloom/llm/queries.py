@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, langid, quality, rules, toxicity
+from . import bpe, ctw, jaccard, langid, quality, rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_bpe": bpe.op1,
         "op3_quality_rff": quality.op3,
         "op5_rule_ledger": rules.op5,
+        "op6_parity_sketch": jaccard.op6,
         "op7_context_tree": ctw.op7,
         "op8_language_crf": langid.op8,
         "op10_toxicity_grammar": toxicity.op10,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_rule_ledger": rules.OP5_SQL}
+    return {"op5_rule_ledger": rules.OP5_SQL, "op6_parity_sketch": jaccard.OP6_SQL}
