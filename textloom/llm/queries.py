@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, jaccard, langid, quality, rules, toxicity
+from . import bpe, ctw, jaccard, langid, quality, rules, suffix, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": bpe.op1,
         "op3_quality_rff": quality.op3,
+        "op4_run_index": suffix.op4,
         "op5_rule_ledger": rules.op5,
         "op6_parity_sketch": jaccard.op6,
         "op7_context_tree": ctw.op7,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_rule_ledger": rules.OP5_SQL, "op6_parity_sketch": jaccard.OP6_SQL}
+    return {"op4_run_index": suffix.OP4_SQL, "op5_rule_ledger": rules.OP5_SQL, "op6_parity_sketch": jaccard.OP6_SQL}
