@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, jaccard, langid, quality, rules, suffix, toxicity
+from . import bpe, ctw, decontam, jaccard, langid, quality, rules, suffix, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": bpe.op1,
+        "op2_template_join": decontam.op2,
         "op3_quality_rff": quality.op3,
         "op4_run_index": suffix.op4,
         "op5_rule_ledger": rules.op5,
