@@ -1,14 +1,15 @@
 """N-gram Jaccard join by parity sketches.
 
 A document's set holds its distinct word shingles as 64-bit hashes; equal sets form one
-class. Per size cell (sizes 2^c to 2^(c+1)) every set gets a parity sketch: each shingle
-flips one bit of one of G blocks. A shingle that only one of two sets holds changes one
-block at most, so the number of unequal blocks, and the Hamming distance, are lower
-bounds of the symmetric difference. A pair at the threshold differs in at most T
-shingles and G > T, so by the pigeonhole it agrees on a whole block: sets are joined on
-block contents. Blocks with fewer than two bits say little and are left out as keys
-where G leaves enough others (G - T - 1 of them may go), else they are used too; so no
-pair at the threshold is lost.
+class. Per size band every set gets a parity sketch: each shingle flips one bit of one
+of G blocks. A shingle that only one of two sets holds changes one block at most, so the
+number of unequal blocks, and the Hamming distance, are lower bounds of the symmetric
+difference. A pair at the threshold differs in at most T shingles and G > T, so by the
+pigeonhole it agrees on G - T blocks: sets are joined on block contents. Blocks of one
+bit or none say little. A set with more than T blocks of two bits leaves the others
+out; if not, it also uses blocks of one bit, and if blocks with a bit are still too few,
+the empty ones. A pair meets by the keys of the better off of its two sets, which the
+other has too; so no pair at the threshold is lost.
 
 Sets that share a key form families; inside a family, pairs are compared by sketch
 first and verified exactly by set, and only a spanning forest of the verified links
@@ -24,7 +25,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pandas as pd
@@ -76,30 +77,48 @@ def members(docs: DataFrame, n: int = 4) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls long")
 
 
-def _blocks(cell: np.ndarray) -> np.ndarray:
-    """Blocks G of a size cell: a fifth of the largest size, and a few."""
-    return (2 ** (cell + 1) + 4) // 5 + 3
+#: Smallest sizes of the size cells: powers of the square root of two.
+EDGES = np.unique(np.ceil(2 ** (np.arange(0, 80) / 2) - 1e-9).astype(np.int64))
+
+
+def most(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Largest symmetric difference of linked sets of sizes a and b."""
+    return (den - num) * (a + b) // (den + num)
+
+
+@cache
+def blocks(cell: int, num: int, den: int) -> int:
+    """Blocks G of a size cell: the fewest with which nearly every set of the cell keeps
+    more blocks of two bits than a linked set can change; else those that come closest."""
+    ends = np.array([EDGES[cell], EDGES[cell + 1] - 1])
+    limit = most(ends, ends * den // num, num, den)
+    g = np.unique(np.round(np.geomspace(limit[1] + 2, 4 * limit[1] + 8, 200)).astype(np.int64))
+    load = ends[None, :] / g[:, None]
+    telling = 1 - np.exp(-load) * (1 + load)
+    margin = g[:, None] * telling - 3 * np.sqrt(g[:, None] * telling * (1 - telling)) - limit[None, :] - 1
+    margin = margin.min(1)
+    return int(g[np.argmax(margin >= 0)] if (margin >= 0).any() else g[np.argmax(margin)])
 
 
 def sketch_keys(sets: list[np.ndarray], num: int = 85, den: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Join keys of each set: (index of the set, key)."""
     size = np.array([len(s) for s in sets], np.int64)
-    spread = den - num  # symmetric difference <= spread / (den + num) of both sizes together
-
-    def most(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return spread * (a + b) // (den + num)
-
-    top = np.where(size > 0, np.frexp(np.maximum(size, 1))[1] - 1, 0)
-    largest = size * den // num
-    own = np.flatnonzero((size > 0) & (most(size, largest) > 0))
-    border = (1 << top) - 1  # largest size of the cell below
-    lower = np.flatnonzero((size > 0) & (num * size <= den * border) & (most(size, border) > 0))
-    entry = np.concatenate([own, lower])
+    top = np.searchsorted(EDGES, size, side="right") - 1
+    entry, cell, limit = [], [], []
+    for below in range(len(EDGES)):  # the own cell, and lower ones that a linked set may be in
+        largest = size * den // num if not below else EDGES[np.maximum(top - below + 1, 0)] - 1
+        limits = most(size, largest, num, den)
+        at = np.flatnonzero((size > 0) & (top >= below) & (num * size <= den * largest) & (limits > 0))
+        if below and not len(at):
+            break
+        entry.append(at)
+        cell.append(top[at] - below)
+        limit.append(limits[at])
+    entry, cell, limit = (np.concatenate(x) for x in (entry, cell, limit))
     if not len(entry):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    cell = np.concatenate([top[own], top[lower] - 1])
-    limit = np.concatenate([most(size[own], largest[own]), most(size[lower], border[lower])])
-    g = _blocks(cell)
+    known, of_cell = np.unique(cell, return_inverse=True)
+    g = np.array([blocks(c, num, den) for c in known.tolist()])[of_cell]
     flat = np.concatenate([sets[i] for i in entry])
     of = np.repeat(np.arange(len(entry)), size[entry])
     h = common.mix64(flat ^ common.mix64(cell[of].astype(np.uint64) + np.uint64(77)))
@@ -109,22 +128,18 @@ def sketch_keys(sets: list[np.ndarray], num: int = 85, den: int = 100) -> tuple[
     first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
     odd = np.diff(np.append(first, len(code))) % 2 == 1
     code = code[first[odd]]  # the bits that are set
-    if len(code):
-        where = code >> np.uint64(12)
-        first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-        bits = np.diff(np.append(first, len(where)))
-        value = np.bitwise_xor.reduceat(common.mix64((code & np.uint64(BLOCK_BITS - 1)) + np.uint64(1)), first)
-        where = where[first]
-    else:
-        where, bits, value = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    where = code >> np.uint64(12)
+    first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])[: len(where)])
+    bits = np.diff(np.append(first, len(where)))
+    value = np.bitwise_xor.reduceat(common.mix64((code & np.uint64(BLOCK_BITS - 1)) + np.uint64(1)), first) if len(first) else code
+    where = where[first]
     at, block = (where >> np.uint64(28)).astype(np.int64), where & np.uint64((1 << 28) - 1)
     place = common.mix64((cell[at].astype(np.uint64) << np.uint64(40)) + block)
-    full = bits >= 2
-    heavy = np.bincount(at[full], minlength=len(entry))
-    short = g - heavy > g - limit - 1  # too few telling blocks: all blocks are keys
-    take = full | short[at]
+    two = np.bincount(at[bits >= 2], minlength=len(entry)) <= limit  # too few blocks of two bits
+    one = np.bincount(at, minlength=len(entry)) <= limit  # too few blocks with a bit
+    take = (bits >= 2) | two[at]
     owners, keys = [at[take]], [common.mix64(value[take] ^ place[take])]
-    for e in np.flatnonzero(short).tolist():
+    for e in np.flatnonzero(one).tolist():
         empty = np.setdiff1d(np.arange(g[e], dtype=np.uint64), block[at == e])
         owners.append(np.full(len(empty), e))
         keys.append(common.mix64(common.mix64((np.uint64(cell[e]) << np.uint64(40)) + empty)))

@@ -1,16 +1,58 @@
-"""Stages of the corpus pipeline."""
+"""Stages of the corpus pipeline: each takes (spark, docs, sf_dir), works on all rows
+of `docs` and returns a DataFrame; all but the last return the columns of documents.
+
+Null texts are kept until a stage's own rule removes them; rows that share an id share
+the fate of that id; an empty table passes through every stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import bpe, common, decontam, jaccard, quality, suffix
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    rejected = quality.classify(docs, common.labels(spark, sf_dir)).where("predicted = 0 and doc_id is not null").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, similarity 0.8)."""
+    return jaccard.keep_one(docs, 5, 80, 100).select(*docs.columns)
+
+
+def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes that 100-byte strings repeat from earlier places."""
+    return suffix.remove_repeats(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of the remaining texts."""
+    import public_tokenizers
+
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
-from . import common
 
-STAGES: list = []
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("repeats", repeat_stage),
+    ("benchmark", benchmark_stage),
+    ("tokens", token_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table of documents; each result is written and read again."""
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
+        docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
