@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, decontam, jaccard, langid, quality, rules, suffix, toxicity
+from . import bpe, ctw, decontam, jaccard, langid, quality, quotes, rules, suffix, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,9 +19,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_parity_sketch": jaccard.op6,
         "op7_context_tree": ctw.op7,
         "op8_language_crf": langid.op8,
+        "op9_quotation_links": quotes.op9,
         "op10_toxicity_grammar": toxicity.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_run_index": suffix.OP4_SQL, "op5_rule_ledger": rules.OP5_SQL, "op6_parity_sketch": jaccard.OP6_SQL}
+    return {"op4_run_index": suffix.OP4_SQL, "op5_rule_ledger": rules.OP5_SQL, "op6_parity_sketch": jaccard.OP6_SQL, "op9_quotation_links": quotes.OP9_SQL}
