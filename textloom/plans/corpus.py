@@ -1,20 +1,171 @@
-"""Corpus queries: scan, crop, budget, split, shards and token statistics."""
+"""Corpus queries: scan, crop, budget, split, shards, packing and conversations."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
+from textloom.operators import packing, select, tokens
+from textloom.operators.evaluation import byte_table
+from textloom.sources import readers, sinks
 
-def tok_compression_by_lang(spark: SparkSession, sf_dir: str, cap: int = 1000, budget: int = 300_000) -> DataFrame:
-    from textloom.operators import select
 
-    docs = select.char_budget(select.crop(spark.read.parquet(f"{sf_dir}/documents.parquet"), cap), budget)
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tok_compression_by_lang(spark, sf_dir, cap: int = 1000, budget: int = 300_000):
+    docs = select.char_budget(select.crop(_table(spark, sf_dir, "documents"), cap), budget)
     per = docs.select("lang", F.octet_length("text").cast("long").alias("b"), F.length("text").cast("long").alias("c"))
     grouped = per.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("c").alias("chars"), F.sum("b").alias("bytes"), F.sum(F.col("b") + 1).alias("tokens"))
     return grouped.select("lang", "docs", "chars", "bytes", "tokens", F.round(F.col("bytes") / F.col("tokens"), 6).alias("ratio"))
 
 
+def _files(spark, sf_dir):
+    """Documents as shards of 100 rows each."""
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", "text", F.format_string("shard_%05d.parquet", F.floor(F.col("doc_id") / 100)).alias("file"), (F.col("doc_id") % 100).alias("row"))
+
+
+def shard_listing(spark, sf_dir):
+    return _files(spark, sf_dir).groupBy("file").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
+
+
+def split_counts(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    parts = [readers.split_shards(files, s).select(F.lit(s).alias("split"), F.pmod(F.floor(F.col("row") / 10), F.lit(4)).alias("rank"), "text") for s in ("train", "val")]
+    return parts[0].unionByName(parts[1]).groupBy("split", "rank").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+
+
+def stripe_scan(spark, sf_dir):
+    """Rank 1 of 3 over row groups of 16, two passes, resumed after a position."""
+    rows = readers.epochs(readers.stripe_groups(_files(spark, sf_dir), 1, 3, 16), 2)
+    left = readers.resume(rows, "shard_00003.parquet", 1, 1)
+    return left.groupBy("epoch", "file", "group").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
+
+
+def shard_assignment(spark, sf_dir):
+    plan = sinks.shard_plan(_table(spark, sf_dir, "documents"), 200_000, 32)
+    return plan.groupBy("shard", "full").agg(F.count("*").alias("groups"), F.sum("chars").alias("chars"), F.sum("n").alias("docs"))
+
+
+def shuffle_order(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    key = select.shuffle_key(42, "doc_id")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.substring(key, 1, 1).alias("bucket"), key.alias("h"))
+    return rows.withColumn("k", F.row_number().over(W.partitionBy("bucket").orderBy("h", "doc_id"))).select("doc_id", "bucket", "k")
+
+
+def task_slice(spark, sf_dir):
+    items = _table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "idx")
+    rows = select.slice_view(items, 3, 35, 4)
+    return rows.select(((F.col("idx") - 3) / 4).cast("long").alias("i"), "idx", F.pmod("idx", F.lit(3)).alias("rank"), F.floor(F.col("idx") / 8).cast("long").alias("batch"), F.length("text").alias("chars"))
+
+
+def limit_per_source(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return select.first_k(docs.where("lang = 'de'"), 20, "doc_id").select("doc_id", "n_chars")
+
+
+def byte_stats(spark, sf_dir):
+    rows = byte_table()(spark).where("n_bytes > 0")
+    return rows.agg(F.min("n_bytes").alias("lo"), F.max("n_bytes").alias("hi"), F.avg("n_bytes").alias("mean"), F.round(F.stddev_samp("n_bytes"), 9).alias("sd"), F.count("*").alias("n"))
+
+
+def special_lookup(spark, sf_dir):
+    ids = tokens.special_ids(spark)
+    vocab = spark.range(265).select(F.col("id").cast("int").alias("token_id"))
+    semi = vocab.join(F.broadcast(ids), "token_id", "left_semi").agg(F.count("*").alias("specials"))
+    anti = vocab.join(F.broadcast(ids), "token_id", "left_anti").agg(F.count("*").alias("ordinary"))
+    bos = ids.where("token = '<|bos|>'").agg(F.max("token_id").alias("bos"))
+    return semi.crossJoin(anti).crossJoin(bos)
+
+
+def byte_encode(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").where("doc_id % 10 = 0")
+    ids = T.byte_ids(F.substring("text", 1, 500), 256)
+    return docs.select("doc_id", F.size(ids).alias("n"), F.md5(F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")).alias("digest"))
+
+
+def conv_violations(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations")
+    broken = turns.withColumn("role", F.when((F.col("conv_id") % 7 == 0) & (F.col("turn") == 2), "user").otherwise(F.col("role"))).withColumn("text", F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") == 1), " \n").otherwise(F.col("text")))
+    return tokens.violations(broken.where("not (conv_id % 11 = 0 and turn > 0)"))
+
+
+def conv_render(spark, sf_dir):
+    rows = tokens.render(_table(spark, sf_dir, "conversations"), 1024)
+    learned = F.aggregate("mask", F.lit(0), lambda a, x: a + x)
+    return rows.select("conv_id", F.size("ids").alias("n"), learned.alias("learned"), F.get("ids", F.lit(0)).alias("head"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")).alias("digest"))
+
+
+def conv_completion(spark, sf_dir):
+    rows = tokens.render_for_completion(_table(spark, sf_dir, "conversations"), 4096)
+    return rows.select("conv_id", F.size("ids").alias("n"), F.element_at("ids", -1).alias("last"))
+
+
+def conv_web(spark, sf_dir):
+    rows = tokens.render_web(_table(spark, sf_dir, "conversations"))
+    return rows.select("conv_id", F.size("ids").alias("n"))
+
+
+def conv_targets(spark, sf_dir):
+    rows = tokens.with_targets(tokens.render(_table(spark, sf_dir, "conversations"), 513), 512)
+    return rows.select("conv_id", F.size("inputs").alias("n_inputs"), F.size("targets").alias("n_targets"), F.size(F.filter("targets", lambda t: t >= 0)).alias("n_learned"))
+
+
+def pack_bestfit(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.octet_length("text") + 1).alias("length"))
+    return packing.pack(docs, 2049, 4)
+
+
+def pack_pad(spark, sf_dir):
+    turns = tokens.render(_table(spark, sf_dir, "conversations"), 4097)
+    return packing.pack(turns.select(F.col("conv_id").alias("id"), F.size("ids").alias("length")), 4097, 2, "bestfit_pad", 100)
+
+
+def pack_statistics(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.octet_length("text") + 1).alias("length"))
+    rows = None
+    for s in packing.STRATEGIES:
+        one = packing.statistics(packing.pack(docs, 2049, 4, s), 2049).withColumn("strategy", F.lit(s))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def bos_positions(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").where("doc_id < 50").select("doc_id", F.concat(T.byte_ids(F.substring("text", 1, 5), 256), T.byte_ids(F.substring("text", 6, 4), 256)).alias("tokens"))
+    return packing.boundaries(rows, 256).select("doc_id", F.array_join(F.transform("starts", lambda x: x.cast("string")), ",").alias("starts"))
+
+
+def bpe_vocab(spark, sf_dir):
+    merges = tokens.train(_table(spark, sf_dir, "documents"), 200)
+    return spark.createDataFrame([(i, t.hex(), len(t)) for i, t in enumerate(tokens.vocabulary(merges))], "token_id int, bytes string, n int")
+
+
+def bpe_round_trip(spark, sf_dir):
+    """Documents whose decoded tokens differ from the text: none."""
+    docs = _table(spark, sf_dir, "documents")
+    merges = tokens.train(docs, 200)
+    back = tokens.decode(tokens.encode(docs, merges), merges).withColumnRenamed("text", "back")
+    return docs.join(back, "doc_id").where(~F.col("text").eqNullSafe(F.col("back"))).select("doc_id")
+
+
+def bpe_compression(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    merges = tokens.train(docs, 200)
+    rows = docs.select("doc_id", "lang", F.octet_length("text").alias("b")).join(tokens.encode(docs, merges), "doc_id")
+    return rows.groupBy("lang").agg(F.sum("b").alias("bytes"), F.sum(F.size("ids")).alias("tokens")).withColumn("ratio", F.round(F.col("bytes") / F.col("tokens"), 6))
+
+
+_W = "ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+_MERGED = """n AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS pr, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS pt, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM {src}),
+r AS (SELECT conv_id, turn, role, CASE WHEN k = 2 AND pr = 'system' THEN pt || chr(10) || chr(10) || text ELSE text END AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM n WHERE NOT (k = 1 AND role = 'system'))"""
+_BYTES = "list_transform(range(0, strlen({0})), lambda j: ('0x' || substr(hex(encode({0})), 2 * j + 1, 2))::INT)"
+_IDS = f"""ids AS (SELECT conv_id, i, CASE WHEN role = 'user' THEN list_concat([257], {_BYTES.format('text')}, [258]) ELSE list_concat([259], {_BYTES.format('text')}, [260]) END AS ids, role = 'user' AS u FROM r)"""
+
 QUERIES = {
     "tok_compression_by_lang": (
         tok_compression_by_lang,
@@ -24,5 +175,72 @@ b AS (SELECT *, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UN
 SELECT lang, count(*)::BIGINT AS docs, sum(length(text))::BIGINT AS chars, sum(strlen(text))::BIGINT AS bytes,
        (sum(strlen(text)) + count(*))::BIGINT AS tokens, round(sum(strlen(text)) / (sum(strlen(text)) + count(*)), 6)::DOUBLE AS ratio
 FROM b WHERE before <= 300000 GROUP BY lang""",
-    )
+    ),
+    "shard_listing": (shard_listing, "SELECT printf('shard_%05d.parquet', doc_id // 100) AS file, count(*)::BIGINT AS docs, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1"),
+    "split_counts": (
+        split_counts,
+        """SELECT CASE WHEN doc_id // 100 = (SELECT max(doc_id) // 100 FROM documents) THEN 'val' ELSE 'train' END AS split, ((doc_id % 100 // 10) % 4)::BIGINT AS rank,
+count(*)::BIGINT AS docs, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY 1, 2""",
+    ),
+    "stripe_scan": (
+        stripe_scan,
+        """SELECT epoch::INT AS epoch, file, "group"::BIGINT AS "group", count(*)::BIGINT AS docs, sum(length(text))::BIGINT AS chars
+FROM (SELECT *, printf('shard_%05d.parquet', doc_id // 100) AS file, (doc_id % 100) // 16 AS "group" FROM documents), (SELECT unnest([1, 2]) AS epoch)
+WHERE "group" % 3 = 1 AND (epoch > 1 OR file > 'shard_00003.parquet' OR file = 'shard_00003.parquet' AND "group" > 1) GROUP BY 1, 2, 3""",
+    ),
+    "shard_assignment": (
+        shard_assignment,
+        """
+WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, length(text) AS c FROM documents),
+g AS (SELECT pos // 32 AS g, sum(c)::BIGINT AS chars, count(*)::BIGINT AS n FROM o GROUP BY 1),
+s AS (SELECT g, chars, n, 0::BIGINT AS shard, chars AS acc FROM g WHERE g = 0
+ UNION ALL SELECT g.g, g.chars, g.n, CASE WHEN s.n = 32 AND s.acc >= 200000 THEN s.shard + 1 ELSE s.shard END, CASE WHEN s.n = 32 AND s.acc >= 200000 THEN g.chars ELSE s.acc + g.chars END FROM s JOIN g ON g.g = s.g + 1),
+c AS (SELECT count(*) AS closed FROM s WHERE n = 32 AND acc >= 200000)
+SELECT shard, shard < (SELECT closed FROM c) AS "full", count(*)::BIGINT AS groups, sum(chars)::BIGINT AS chars, sum(n)::BIGINT AS docs FROM s GROUP BY 1, 2""",
+    ),
+    "shuffle_order": (shuffle_order, "SELECT doc_id, substr(h, 1, 1) AS bucket, row_number() OVER (PARTITION BY substr(h, 1, 1) ORDER BY h, doc_id)::INT AS k FROM (SELECT doc_id, md5('42:' || doc_id) AS h FROM documents)"),
+    "task_slice": (task_slice, "SELECT ((item_id - 3) // 4)::BIGINT AS i, item_id AS idx, item_id % 3 AS rank, (item_id // 8)::BIGINT AS batch, length(text)::INT AS chars FROM benchmark WHERE item_id >= 3 AND item_id < 35 AND (item_id - 3) % 4 = 0"),
+    "limit_per_source": (limit_per_source, "SELECT doc_id, n_chars FROM documents WHERE lang = 'de' ORDER BY doc_id LIMIT 20"),
+    "byte_stats": (byte_stats, "SELECT min(n)::INT AS lo, max(n)::INT AS hi, avg(n)::DOUBLE AS mean, round(stddev_samp(n), 9)::DOUBLE AS sd, count(*)::BIGINT AS n FROM (SELECT CASE WHEN i < 128 THEN 1 ELSE 3 END AS n FROM range(256) t(i))"),
+    "special_lookup": (special_lookup, "SELECT 9::BIGINT AS specials, 256::BIGINT AS ordinary, 256::INT AS bos"),
+    "byte_encode": (byte_encode, f"SELECT doc_id, (strlen(t) + 1)::INT AS n, md5(array_to_string(list_concat([256], {_BYTES.format('t')}), ',')) AS digest FROM (SELECT doc_id, substring(text, 1, 500) AS t FROM documents WHERE doc_id % 10 = 0)"),
+    "conv_violations": (
+        conv_violations,
+        f"""
+WITH x AS (SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 AND turn = 2 THEN 'user' ELSE role END AS role, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN ' ' || chr(10) ELSE text END AS text FROM conversations WHERE NOT (conv_id % 11 = 0 AND turn > 0)),
+{_MERGED.format(src='x')}
+SELECT DISTINCT conv_id, 'role' AS code FROM r WHERE role <> CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END
+UNION ALL SELECT DISTINCT conv_id, 'blank' FROM r WHERE trim(text, ' ' || chr(9) || chr(13) || chr(10)) = ''
+UNION ALL SELECT conv_id, 'short' FROM r GROUP BY conv_id HAVING count(*) < 2
+UNION ALL SELECT conv_id, 'system' FROM (SELECT conv_id, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nx, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM x) WHERE k = 1 AND role = 'system' AND (nx IS NULL OR nx <> 'user')""",
+    ),
+    "conv_render": (
+        conv_render,
+        f"""
+WITH {_MERGED.format(src='conversations')}, {_IDS},
+f AS (SELECT conv_id, list_concat([256], flatten(list(ids ORDER BY i))) AS ids, list_concat([0], flatten(list(CASE WHEN u THEN list_transform(ids, lambda x: 0) ELSE list_concat([0], list_transform(ids[2:], lambda x: 1)) END ORDER BY i))) AS mask FROM ids GROUP BY conv_id)
+SELECT conv_id, len(ids[:1024])::INT AS n, list_sum(mask[:1024])::INT AS learned, ids[1]::INT AS head, md5(array_to_string(ids[:1024], ',')) AS digest FROM f""",
+    ),
+    "conv_completion": (
+        conv_completion,
+        f"""
+WITH e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS q, first_value(role) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS lr FROM conversations),
+x AS (SELECT conv_id, turn, role, text FROM e WHERE lr = 'assistant' AND q > 1), {_MERGED.format(src='x')}
+SELECT conv_id, (least(1 + sum(strlen(text) + 2), 4096) + 1)::INT AS n, 259::INT AS last FROM r GROUP BY conv_id""",
+    ),
+    "conv_web": (conv_web, "SELECT conv_id, (2 + sum(strlen(text) + 2))::INT AS n FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id"),
+    "conv_targets": (
+        conv_targets,
+        f"""
+WITH {_MERGED.format(src='conversations')}, {_IDS},
+f AS (SELECT conv_id, (1 + sum(len(ids))) AS n, list_concat([0], flatten(list(CASE WHEN u THEN list_transform(ids, lambda x: 0) ELSE list_concat([0], list_transform(ids[2:], lambda x: 1)) END ORDER BY i))) AS mask FROM ids GROUP BY conv_id)
+SELECT conv_id, least(least(n, 513), 512)::INT AS n_inputs, (least(n, 513) - 1)::INT AS n_targets, list_sum(mask[2:513])::INT AS n_learned FROM f""",
+    ),
+    "pack_bestfit": (pack_bestfit, None),
+    "pack_pad": (pack_pad, None),
+    "pack_statistics": (pack_statistics, None),
+    "bos_positions": (bos_positions, "SELECT doc_id, '0,' || (1 + strlen(substring(text, 1, 5))) AS starts FROM documents WHERE doc_id < 50"),
+    "bpe_vocab": (bpe_vocab, None),
+    "bpe_round_trip": (bpe_round_trip, "SELECT doc_id FROM documents WHERE false"),
+    "bpe_compression": (bpe_compression, None),
 }
