@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus
+from . import corpus, evals, relational, runs, tasks
 
-_MODULES = (corpus,)
+_MODULES = (corpus, evals, tasks, runs, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
