@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,8 +20,8 @@ def read_shards(spark: SparkSession, path: str, schema: str | StructType, files_
 
 class Packer(StatefulProcessor):
     """Best-fit packing of a stripe's stream. The state holds the items that wait; rows
-    leave when the buffer is full enough, so results equal those of the batch packer fed
-    in the same order, up to the tail that stays in state."""
+    leave once the buffer is full, so the placements are the first ones of the batch
+    packer fed in the same order; the rest stays in state."""
 
     def __init__(self, capacity: int, buffer_size: int) -> None:
         self.capacity, self.buffer_size = capacity, buffer_size
@@ -32,25 +33,23 @@ class Packer(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         arrived, row, slot, pos = self.counters.get() if self.counters.exists() else (0, 0, 0, 0)
         buffer = [(int(x[1]), int(x[2]), int(x[0])) for x in self.waiting.get()]
-        for pdf in rows:
-            for i, n in sorted(zip(pdf["id"].tolist(), pdf["length"].tolist())):
-                if n > 0:
-                    buffer.append((int(n), arrived, int(i)))
-                    arrived += 1
-        out = []
+        fresh = sorted((int(i), int(n)) for pdf in rows for i, n in zip(pdf["id"], pdf["length"]) if n > 0)
         buffer.sort()
-        while len(buffer) >= self.buffer_size:
+        out = []
+        for i, n in fresh:  # one placement for each arrival once the buffer is full
+            insort(buffer, (n, arrived, i))
+            arrived += 1
+            if len(buffer) < self.buffer_size:
+                continue
             left = self.capacity - pos
-            fits = [b for b in buffer if b[0] <= left]
-            if fits:
-                length = fits[-1][0]
-                best = next(b for b in fits if b[0] == length)
-                buffer.remove(best)
-                out.append((key[0], row, slot, pos, best[2], length, 0))
+            k = bisect_left(buffer, (left + 1, -1, -1)) - 1
+            if k >= 0:
+                length, _, best = buffer.pop(bisect_left(buffer, (buffer[k][0], -1, -1)))
+                out.append((key[0], row, slot, pos, best, length, 0))
                 pos, slot = pos + length, slot + 1
             else:
-                length, _, i = buffer.pop(0)
-                out.append((key[0], row, slot, pos, i, left, length - left))
+                length, _, shortest = buffer.pop(0)
+                out.append((key[0], row, slot, pos, shortest, left, length - left))
                 pos = self.capacity
             if pos == self.capacity:
                 row, slot, pos = row + 1, 0, 0
@@ -68,16 +67,22 @@ def pack_stream(items: DataFrame, capacity: int, stripes: int, buffer_size: int
     return keyed.groupBy("stripe").transformWithStateInPandas(statefulProcessor=Packer(capacity, buffer_size), outputStructType="stripe long, row long, slot int, start int, id long, taken int, dropped int", outputMode="Append", timeMode="None")
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """Event time with a zone, watermarked on streams."""
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.withWatermark("ts", late) if events.isStreaming else rows
+
+
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and value sums of tumbling event-time windows by type; works on streams
     and on batches alike."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _timed(events, late)
     grouped = rows.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return grouped.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _timed(events, late)
     grouped = rows.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return grouped.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "n")
 
