@@ -36,7 +36,7 @@ from . import common
 #: Depth of the tree in bytes; share of the training bytes that a node needs.
 DEPTH, KEEP_BITS = 5, 17
 #: A word is looked up without a join if it holds at least one in so many tokens.
-HOT_SHARE = 50_000
+HOT_SHARE = 1_000_000
 #: Marks the start and the end of a text; no byte of UTF-8.
 END = b"\xff"
 #: Strings or words a worker counts before it hands them on.
@@ -144,7 +144,7 @@ _PATH = np.array([[(1 << level) - 1 + (s >> (8 - level)) for level in range(8)]
 _BIT = np.array([[s >> (7 - level) & 1 for level in range(8)] for s in range(256)])
 
 
-def _parts(n: int, rows: int = 2048) -> list[slice]:
+def _parts(n: int, rows: int = 1024) -> list[slice]:
     return [slice(a, min(a + rows, n)) for a in range(0, n, rows)]
 
 
@@ -165,26 +165,37 @@ class Tree:
             parent = np.searchsorted(above, contexts & ((1 << 8 * (d - 1)) - 1))
             self.child[(parent + offsets[d - 1]) * 256 + (contexts >> 8 * (d - 1))] = np.arange(len(contexts)) + offsets[d]
             parents.append(parent)
+        # children of a node lie together in `order`
+        order = [np.argsort(x, kind="stable") for x in parents]
+        sorted_ = [x[o] for x, o in zip(parents, order)]
+
+        def rest(d: int, part: slice, below: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+            """Counts of a part's nodes without their children; sums of `below` over the children."""
+            left = levels[d][1][part].astype(np.int64)
+            lo, hi = np.searchsorted(sorted_[d + 1], [part.start, part.stop])
+            of, rows = sorted_[d + 1][lo:hi] - part.start, order[d + 1][lo:hi]
+            np.subtract.at(left, of, levels[d + 1][1][rows])
+            split = None
+            if below is not None:
+                split = np.zeros((len(left), 255))
+                np.add.at(split, of, below[rows])
+            return left, split
+
         # bottom-up: weight of each node's own estimate
         weights, below = [None] * len(levels), None
-        rests: list[np.ndarray | None] = [None] * len(levels)
         for d in range(self.depth, -1, -1):
-            counts, split = levels[d][1], None
-            if d < self.depth:
-                rests[d] = counts.copy()
-                split = np.zeros((len(counts), 255))
-                if len(levels[d + 1][0]):
-                    np.subtract.at(rests[d], parents[d + 1], levels[d + 1][1])
-                    np.add.at(split, parents[d + 1], below)
+            counts = levels[d][1]
             log_w, weights[d] = np.empty((len(counts), 255)), np.ones((len(counts), 255), np.float32)
             for part in _parts(len(counts)):
                 own = _log_kt(*_decisions(counts[part]))
-                if split is None:
+                if d == self.depth:
                     log_w[part] = own
                 else:
-                    log_w[part] = np.logaddexp(own, split[part] + _log_kt(*_decisions(rests[d][part]))) - math.log(2)
+                    left, split = rest(d, part, below)
+                    log_w[part] = np.logaddexp(own, split + _log_kt(*_decisions(left))) - math.log(2)
                     weights[d][part] = np.exp(own - math.log(2) - log_w[part])
             below = log_w
+        del below, log_w
         # top-down: mixture along each path; acc, rem: mass settled above and left over,
         # stop: probability of a one if this node were the last
         above = [np.zeros((1, 255), np.float32), np.ones((1, 255), np.float32), np.full((1, 255), 0.5, np.float32)]
@@ -202,7 +213,7 @@ class Tree:
                     x[part] = y
                 one = stop
                 if d < self.depth:
-                    a, b = _decisions(rests[d][part])
+                    a, b = _decisions(rest(d, part)[0])
                     one = np.where(a + b > 0, acc + rem * (b + 0.5) / (a + b + 1), stop)
                 one = np.clip(one, 1e-12, 1 - 1e-12)
                 log_one, log_zero = np.log(one), np.log1p(-one)
@@ -249,8 +260,9 @@ def fit_tree(strings: DataFrame, depth: int = DEPTH, keep_bits: int = KEEP_BITS)
         contexts, row = np.unique(g >> 8, return_inverse=True)
         if d == 0 and not len(contexts):
             contexts = np.zeros(1, np.int64)
-        counts = np.zeros((len(contexts), 256), np.int64)
-        counts[row, g & 255] = found[d]["n"].to_numpy(np.int64)
+        n = found.pop(d)["n"].to_numpy(np.int64)
+        counts = np.zeros((len(contexts), 256), np.int32 if n.max(initial=0) < 2**31 else np.int64)
+        counts[row, g & 255] = n
         levels.append((contexts, counts))
     return Tree(levels)
 
