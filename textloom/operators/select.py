@@ -12,19 +12,22 @@ def crop(docs: DataFrame, cap: int, text: str = "text") -> DataFrame:
     return docs.withColumn(text, F.substring(text, 1, cap))
 
 
-def running_before(df: DataFrame, value: Column, order: str, name: str, blocks: int = 64) -> DataFrame:
-    """Add `name`: the sum of `value` over all rows before this one in `order`.
+def running_before(df: DataFrame, value: Column, order: str, name: str, blocks: int = 64, block: Column | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Add `name`: the sum of `value` over all rows before this one in `order` (then `ties`).
 
     No global single-partition sort: rows are dealt into order ranges, each block is
-    summed locally, and the block offsets (one row a block) are broadcast.
+    summed locally, and the block offsets are broadcast, one row a block. `block` must
+    not decrease with the order and take few values; by default it cuts a numeric
+    order at `blocks` approximate quantiles.
     """
-    quantiles = df.select(F.percentile_approx(order, [i / blocks for i in range(1, blocks)], 10_000).alias("q")).first()["q"] or []
-    bounds = sorted(set(quantiles))
-    block = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(order))) if bounds else F.lit(0)
+    if block is None:
+        quantiles = df.select(F.percentile_approx(order, [i / blocks for i in range(1, blocks)], 10_000).alias("q")).first()["q"] or []
+        bounds = sorted(set(quantiles))
+        block = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(order))) if bounds else F.lit(0)
     parts = df.withColumn("__v", F.coalesce(value.cast("long"), F.lit(0))).withColumn("__block", block)
     sums = parts.groupBy("__block").agg(F.sum("__v").alias("__s"))
     offsets = sums.select("__block", (F.sum("__s").over(W.orderBy("__block").rowsBetween(W.unboundedPreceding, 0)) - F.col("__s")).alias("__offset"))
-    inside = F.sum("__v").over(W.partitionBy("__block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)) - F.col("__v")
+    inside = F.sum("__v").over(W.partitionBy("__block").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, 0)) - F.col("__v")
     return parts.withColumn("__in", inside).join(F.broadcast(offsets), "__block").withColumn(name, F.col("__offset") + F.col("__in")).drop("__v", "__block", "__in", "__offset")
 
 

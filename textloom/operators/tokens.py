@@ -114,6 +114,22 @@ def with_targets(rows: DataFrame, capacity: int) -> DataFrame:
     return t.withColumn("targets", F.zip_with("targets", m, lambda x, y: F.when(y == 0, -1).otherwise(x)))
 
 
+def visualize(tokens: Column, mask: Column, with_ids: Column | None = None) -> Column:
+    """Tokens joined by bars, green where learned and red elsewhere."""
+    green, red, gray, reset = (F.lit(f"\x1b[{c}m") for c in (92, 91, 90, 0))
+    shown = F.zip_with(tokens, mask, lambda t, m: F.concat(F.when(m == 1, green).otherwise(red), t, reset))
+    if with_ids is not None:
+        shown = F.zip_with(shown, with_ids, lambda t, i: F.concat(t, F.lit("|"), gray, F.lit("("), i.cast("string"), F.lit(")"), reset))
+    return F.array_join(shown, "|")
+
+
+def lookup(rows: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, tokens: ids replaced by their vocabulary entries (an equi-join on the id; the
+    vocabulary is one row an id, so it is broadcast)."""
+    flat = rows.select(key, F.posexplode("ids").alias("pos", "token_id")).join(F.broadcast(vocab), "token_id")
+    return flat.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))  # one text
+
+
 # -- byte pairs -----------------------------------------------------------------
 
 

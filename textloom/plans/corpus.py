@@ -140,6 +140,19 @@ def bos_positions(spark, sf_dir):
     return packing.boundaries(rows, 256).select("doc_id", F.array_join(F.transform("starts", lambda x: x.cast("string")), ",").alias("starts"))
 
 
+def token_lookup(spark, sf_dir):
+    """Byte ids looked up in a vocabulary of hexadecimal names, and shown with a mask."""
+    docs = _table(spark, sf_dir, "documents").where("doc_id < 30").select("doc_id", T.byte_ids(F.substring("text", 1, 20)).alias("ids"))
+    vocab = spark.range(256).select(F.col("id").cast("int").alias("token_id"), F.lower(F.lpad(F.hex("id"), 2, "0")).alias("token"))
+    rows = tokens.lookup(docs, vocab)
+    mask = F.transform("tokens", lambda t, i: (i % 2).cast("int"))
+    return rows.select("doc_id", F.array_join("tokens", "").alias("hex"), F.length(tokens.visualize(F.col("tokens"), mask)).alias("shown"))
+
+
+def environment(spark, sf_dir):
+    return readers.environment(spark)
+
+
 def bpe_vocab(spark, sf_dir):
     merges = tokens.train(_table(spark, sf_dir, "documents"), 200)
     return spark.createDataFrame([(i, t.hex(), len(t)) for i, t in enumerate(tokens.vocabulary(merges))], "token_id int, bytes string, n int")
@@ -240,6 +253,8 @@ SELECT conv_id, least(least(n, 513), 512)::INT AS n_inputs, (least(n, 513) - 1):
     "pack_pad": (pack_pad, None),
     "pack_statistics": (pack_statistics, None),
     "bos_positions": (bos_positions, "SELECT doc_id, '0,' || (1 + strlen(substring(text, 1, 5))) AS starts FROM documents WHERE doc_id < 50"),
+    "token_lookup": (token_lookup, "SELECT doc_id, lower(hex(encode(substring(text, 1, 20)))) AS hex, (12 * strlen(substring(text, 1, 20)) - 1)::INT AS shown FROM documents WHERE doc_id < 30"),
+    "environment": (environment, None),
     "bpe_vocab": (bpe_vocab, None),
     "bpe_round_trip": (bpe_round_trip, "SELECT doc_id FROM documents WHERE false"),
     "bpe_compression": (bpe_compression, None),

@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.operators.select import running_before
+
 MESSAGES = "array<struct<role:string,content:string>>"
 
 
@@ -74,7 +75,7 @@ def word_list(spark: SparkSession, path: str) -> DataFrame:
 def distinct_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """r, word: distinct letter words in sorted order with a dense rank from 0."""
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
-    return words.select((F.row_number().over(W.orderBy("word")) - 1).cast("long").alias("r"), "word")
+    return running_before(words, F.lit(1), "word", "r", block=F.substring("word", 1, 2)).select("r", "word")
 
 
 def yaml_tasks(spark: SparkSession, text: str) -> DataFrame:
@@ -129,3 +130,12 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def union_all(*tables: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
+
+
+def environment(spark: SparkSession) -> DataFrame:
+    """key, value: what a report header says about the run's surroundings."""
+    import platform
+
+    conf = spark.sparkContext.getConf()
+    facts = {"spark": spark.version, "master": conf.get("spark.master", ""), "parallelism": str(spark.sparkContext.defaultParallelism), "shuffle partitions": spark.conf.get("spark.sql.shuffle.partitions"), "adaptive": spark.conf.get("spark.sql.adaptive.enabled"), "python": platform.python_version(), "machine": platform.machine()}
+    return spark.createDataFrame(list(facts.items()), "key string, value string")
