@@ -41,6 +41,8 @@ from . import common
 BLOCK_BITS, FOLD = 4096, 1024
 #: Shingles in a block of a family that one task compares with another block.
 FAMILY_BLOCK = 1 << 18
+#: Classes that a task remembers as sent.
+SENT = 200_000
 
 
 def shingles(text: bytes, n: int = 4) -> np.ndarray:
@@ -147,17 +149,24 @@ def sketch_keys(sets: list[np.ndarray], num: int = 85, den: int = 100) -> tuple[
 
 
 def _keys(n, num, den, batches):
+    """key, cls of every set; a task sends each class once as long as it remembers it."""
+    sent: set[int] = set()
     for batch in batches:
         for part in common.slices(batch, rows=512, size=1 << 20):
-            sets = [shingles(t, n) for t in common.texts_of(part)]
-            owner, key = sketch_keys(sets, num, den)
-            cls = np.array([set_class(s) for s in sets], np.int64)[owner] if len(sets) else np.zeros(0, np.int64)
+            sets = {set_class(s): s for s in (shingles(t, n) for t in common.texts_of(part))}
+            if len(sent) > SENT:
+                sent.clear()
+            fresh = [c for c in sets if c not in sent]
+            sent.update(fresh)
+            owner, key = sketch_keys([sets[c] for c in fresh], num, den)
+            cls = np.array(fresh, np.int64)[owner] if len(owner) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls)], names=["key", "cls"])
 
 
 def stars(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """a, b: classes that share a key, each with the smallest class of that key."""
-    rows = docs.select("text").mapInArrow(partial(_keys, n, num, den), "key long, cls long").distinct()
+    """a, b: classes that share a key, each with the smallest class of that key. The keys
+    are shuffled once; distinct rows and minima follow inside that partitioning."""
+    rows = docs.select("text").mapInArrow(partial(_keys, n, num, den), "key long, cls long").repartition("key").distinct()
     least = F.min("cls").over(W.partitionBy("key"))
     return rows.select("cls", least.alias("a")).where("a < cls").select("a", F.col("cls").alias("b")).distinct()
 
