@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bytes of a gram, text bytes of an index bucket, slots of the document filter.
-GRAM, BUCKET, SLOTS = 24, 2 << 20, 1 << 20
+GRAM, BUCKET, SLOTS = 32, 1 << 18, 1 << 20
 LAST = 2**63 - 1
 
 
@@ -175,24 +175,35 @@ class RunIndex:
         text[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
         self.left = np.repeat(ends - 1, size) - np.arange(n)  # bytes to the end of the string
         longest = int(self.left.max()) if n else 0
-        key = np.zeros(n, np.int64)
-        for j in range(7):
-            shifted = np.zeros(n, np.int64)
-            shifted[: n - j] = text[j:] if j else text
-            key = (key << 9) | np.where(self.left >= j, shifted, 0)
-        rank, step = self._rank(key), 7
+        # as many symbols as 62 bits hold, renumbered in order; nothing beyond a string's end
+        known = np.flatnonzero(np.bincount(text, minlength=257)) if n else np.zeros(1, int)
+        small = np.searchsorted(known, text)
+        bits = max(1, int(len(known)).bit_length())
+        step = 62 // bits
+        key, width, parts = small, 1, []
+        for bit in range(step.bit_length()):
+            if step >> bit & 1:
+                parts.append((key, width))
+            key, width = (key << width * bits) | self._ahead(key, width), 2 * width
+        key, done = np.zeros(n, np.int64), 0
+        for part, width in reversed(parts):
+            key = (key << width * bits) | (self._ahead(part, done) if done else part)
+            done += width
+        self.symbols = (key, bits, step)
+        rank = self._refine(np.zeros(n, np.int64), key, np.arange(n))
         self.levels = [(step, rank)]
         while step <= longest:
-            ahead = np.zeros(n, np.int64)
-            ahead[: n - step] = rank[step:] + 1
-            ahead[self.left < step] = 0
-            more = self._rank(rank << 32 | ahead)
-            step *= 2
-            if int(more.max(initial=0)) == int(rank.max(initial=0)):
+            tied = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
+            if not len(tied):
                 break
-            rank = more
+            rank = self._refine(rank, self._ahead(rank + 1, step), tied)
+            step *= 2
             self.levels.append((step, rank))
-        self.suffixes = np.argsort(rank, kind="stable")  # equal suffixes: by place
+        if n and (np.bincount(rank, minlength=n) == 1).all():
+            self.suffixes = np.empty(n, np.int64)
+            self.suffixes[rank] = np.arange(n)
+        else:
+            self.suffixes = np.argsort(rank, kind="stable")  # equal suffixes: by place
         self.text, self.n = text, n
         before = np.zeros(n, np.int64)
         before[self.suffixes > 0] = text[self.suffixes[self.suffixes > 0] - 1]
@@ -204,31 +215,55 @@ class RunIndex:
         self.first = self.suffixes[self.run_start]
         self.last = self.suffixes[self.run_start + self.lengths - 1]
 
+    def _ahead(self, values: np.ndarray, step: int) -> np.ndarray:
+        """The value `step` positions later in the same string, else 0."""
+        out = np.zeros(len(values), np.int64)
+        out[: max(len(values) - step, 0)] = values[step:]
+        out[self.left < step] = 0
+        return out
+
     @staticmethod
-    def _rank(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key, kind="stable")
-        new = np.zeros(len(key), np.int64)
-        new[1:] = key[order][1:] != key[order][:-1]
-        out = np.empty(len(key), np.int64)
-        out[order] = np.cumsum(new)
+    def _refine(rank: np.ndarray, key: np.ndarray, tied: np.ndarray) -> np.ndarray:
+        """Split ties by a further key. A rank is the number of smaller suffixes, so only
+        the tied suffixes move, inside the places of their group."""
+        if len(tied) < len(rank) or rank.any():
+            order = np.argsort(rank[tied] << 32 | key[tied])
+        else:
+            order = np.argsort(key)
+        moved = tied[order]
+        old, key = rank[moved], key[moved]
+        at = np.arange(len(moved))
+        group = np.ones(len(moved), bool)
+        group[1:] = old[1:] != old[:-1]
+        new = group.copy()
+        new[1:] |= key[1:] != key[:-1]
+        start = np.maximum.accumulate(np.where(group, at, 0))
+        out = rank.copy()
+        out[moved] = old + np.maximum.accumulate(np.where(new, at, 0)) - start
         return out
 
     def common_prefix(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes, within their strings."""
         limit = np.minimum(self.left[a], self.left[b])
         length = np.zeros(len(a), np.int64)
-        for step, rank in reversed(self.levels):
-            while True:
-                x, y = a + length, b + length
-                ok = (length + step <= limit) & (x < self.n) & (y < self.n)
-                ok[ok] = rank[x[ok]] == rank[y[ok]]
-                if not ok.any():
+
+        def equal(rank: np.ndarray, step: int, rows: np.ndarray) -> np.ndarray:
+            rows = rows[length[rows] + step <= limit[rows]]
+            return rows[rank[a[rows] + length[rows]] == rank[b[rows] + length[rows]]]
+
+        for k, (step, rank) in enumerate(reversed(self.levels)):
+            rows = np.arange(len(a))
+            while len(rows):  # below the top level one step is all there can be
+                rows = equal(rank, step, rows)
+                length[rows] += step
+                if k:
                     break
-                length[ok] += step
-        for _ in range(7):
-            ok = length < limit
-            ok[ok] = self.text[(a + length)[ok]] == self.text[(b + length)[ok]]
-            length[ok] += 1
+        rows = np.flatnonzero(length < limit)
+        key, bits, step = self.symbols
+        apart = key[a[rows] + length[rows]] ^ key[b[rows] + length[rows]]
+        high = apart >> 31
+        top = np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 31, np.frexp((apart & (2**31 - 1)).astype(np.float64))[1])
+        length[rows] += np.minimum(step - -(-top // bits), limit[rows] - length[rows])
         return length
 
     def matching_statistics(self) -> np.ndarray:
