@@ -262,6 +262,27 @@ def test_ctw_query(spark):
         assert row.held_out == (zlib.crc32(str(i).encode()) % 10 == 0) and row.score < 0
 
 
+def test_rare_contexts_are_nodes(spark, monkeypatch):
+    """Every context seen, however rare, against the tree in one place."""
+    monkeypatch.setattr(ctw, "BUCKET", 1 << 16, raising=False)
+    monkeypatch.setattr(ctw, "CHUNK", 1 << 18, raising=False)
+    texts = [("the same few words again " * 400)[:9000] + f" {i % 7}" for i in range(60)] + ["quixotic zephyr", "a quixotic zephyr", None, "", "Ünïcode"] + ["short"] * 1100  # more than one slice
+    unseen = ["quixotic zebra \x00", "\t日本"]
+    code, n = ctw._summed(ctw._codes([(t or "").encode() for t in texts], ctw.DEPTH))
+    levels = []
+    for d in range(ctw.DEPTH + 1):
+        g, m = ctw._summed(code & np.uint64((1 << 8 * (d + 1)) - 1), n)
+        contexts, row = np.unique(g.astype(np.int64) >> 8, return_inverse=True)
+        counts = np.zeros((len(contexts), 256), np.int64)
+        counts[row, g.astype(np.int64) & 255] = m
+        levels.append((contexts, counts))
+    assert n.sum() > 2 << 17
+    want = ctw.Tree(levels).log_probabilities([(t or "").encode() for t in texts + unseen]) / math.log(10)
+    docs = spark.createDataFrame(list(enumerate(texts + unseen)), "doc_id long, text string").coalesce(1)
+    got = ctw.score(docs, docs.where(F.col("doc_id") < len(texts))).toPandas().sort_values("doc_id").score.to_numpy()
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-3)
+
+
 # -- classifiers ----------------------------------------------------------------
 
 

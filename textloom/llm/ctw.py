@@ -3,10 +3,12 @@
 Counts of all byte strings of DEPTH + 1 bytes are gathered from the whole training
 part. Bytes are decomposed into eight binary decisions; for each decision a context
 tree over the preceding bytes mixes Krichevsky-Trofimov estimates of all depths, with
-the weights that the training counts give. A context is a node of its own when it holds
-at least 2^-KEEP_BITS of all training bytes (so at most 2^KEEP_BITS a depth, at every
-input size); the rarer contexts below a node share one leaf. Scoring then looks up one
-frozen table a byte.
+the weights that the training counts give. Every context of the training part is a
+node, so the tree grows with the input. It is never in one place: contexts of more than
+UPPER bytes are dealt into buckets by their nearest bytes, each with whole subtrees;
+only the contexts of up to UPPER bytes (at most 65,793 at any size) are on the driver.
+Texts are cut into chunks whose distinct strings go to the buckets and come back with
+their probabilities.
 
 The word model that goes with it (a unigram with additive smoothing) needs the exact
 count of every word: words above a fixed share of all tokens (a proven bound) are
@@ -22,19 +24,19 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Depth of the tree in bytes; share of the training bytes that a node needs.
-DEPTH, KEEP_BITS = 5, 17
+#: Depth of the tree in bytes; depth of the part on the driver.
+DEPTH, UPPER = 5, 2
+#: Bytes of training text a bucket of the tree, and of text a chunk of documents.
+BUCKET, CHUNK = 16 << 20, 16 << 20
 #: A word is looked up without a join if it holds at least one in so many tokens.
 HOT_SHARE = 1_000_000
 #: Marks the start and the end of a text; no byte of UTF-8.
@@ -71,8 +73,23 @@ def _summed(code: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray,
     return code[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def count_strings(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """g (bytes as an integer), n: counts of all strings of depth + 1 symbols."""
+def _dealt(code: np.ndarray, buckets: int, upper: int):
+    """(bucket, places) of codes by their upper + 1 nearest context bytes."""
+    nearest = (code >> np.uint64(8)) & np.uint64((1 << 8 * (upper + 1)) - 1)
+    bucket = (common.mix64(nearest) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+    for k in np.unique(bucket).tolist():
+        yield k, order[ends[k - 1] if k else 0 : ends[k]]
+
+
+def count_strings(docs: DataFrame, buckets: int, depth: int = DEPTH) -> DataFrame:
+    """bucket, codes, counts: partial counts of all strings of depth + 1 symbols, packed."""
+    upper = min(UPPER, depth - 1)
+
+    def out(code, n):
+        for k, at in _dealt(code, buckets, upper):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([code[at].tobytes()], pa.binary()), pa.array([n[at].tobytes()], pa.binary())], names=["bucket", "codes", "counts"])
 
     def run(batches):
         code, n = np.array([], np.uint64), np.array([], np.int64)
@@ -81,11 +98,11 @@ def count_strings(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 more, m = _summed(_codes(common.texts_of(part), depth))
                 code, n = _summed(np.concatenate([code, more]), np.concatenate([n, m]))
                 if len(code) > FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n)], names=["g", "n"])
+                    yield from out(code, n)
                     code, n = code[:0], n[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["g", "n"])
+        yield from out(code, n)
 
-    return docs.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "bucket int, codes binary, counts binary")
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -149,7 +166,7 @@ def _parts(n: int, rows: int = 1024) -> list[slice]:
 
 
 class Tree:
-    """Frozen context tree: child table and log-probabilities of symbols by node."""
+    """Frozen context tree in one place, for small tables: child table and log-probabilities of symbols by node."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """levels[d]: contexts of depth d (nearest byte lowest), ascending, and their
@@ -242,43 +259,218 @@ class Tree:
         return edges[first + size - d] - edges[first]
 
 
-def fit_tree(strings: DataFrame, depth: int = DEPTH, keep_bits: int = KEEP_BITS) -> Tree:
-    """The tree from the counts of strings."""
-    total = strings.agg(F.sum("n").alias("n")).first()["n"] or 0
-    least = max(1.0, total / 2**keep_bits)
-    level, found = strings, {}
-    for d in range(depth, 0, -1):
-        context = F.shiftright("g", 8)
-        kept = level.withColumn("t", F.sum("n").over(W.partitionBy(context))).where(F.col("t") >= least)
-        # at most 2^keep_bits contexts
-        found[d] = kept.select("g", "n").toPandas()
-        level = level.groupBy(F.col("g").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("g")).agg(F.sum("n").alias("n"))
-    found[0] = level.select("g", "n").toPandas()
-    levels = []
-    for d in range(depth + 1):
-        g = found[d]["g"].to_numpy(np.int64)
-        contexts, row = np.unique(g >> 8, return_inverse=True)
-        if d == 0 and not len(contexts):
-            contexts = np.zeros(1, np.int64)
-        n = found.pop(d)["n"].to_numpy(np.int64)
-        counts = np.zeros((len(contexts), 256), np.int32 if n.max(initial=0) < 2**31 else np.int64)
-        counts[row, g & 255] = n
-        levels.append((contexts, counts))
-    return Tree(levels)
+class Levels:
+    """The nodes of some depths by decision. A decision of a context is the string of
+    the context and the leading bits of the symbol: at [depth, bits] these are integers,
+    ascending."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, depths: range) -> None:
+        """code: strings with depths[-1] context bytes, ascending, and their counts."""
+        self.depths, self.code = depths, code
+        self.key, self.zeros, self.ones, self.run = {}, {}, {}, {}
+        for d in reversed(depths):
+            if d < depths[-1]:
+                code, n = _summed(code & np.uint64((1 << 8 * (d + 1)) - 1), n)
+            for bits in range(8):
+                key = code >> np.uint64(8 - bits)
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.array([], int)
+                one = n * ((code >> np.uint64(7 - bits)) & np.uint64(1)).astype(np.int64)
+                b = np.add.reduceat(one, first) if len(first) else one
+                total = np.add.reduceat(n, first) if len(first) else n
+                self.key[d, bits], self.zeros[d, bits], self.ones[d, bits] = key[first], (total - b).astype(np.float64), b.astype(np.float64)
+                if d == depths[-1]:
+                    self.run[bits] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        self.strings = code, n
+
+    def parents(self, d: int, bits: int) -> np.ndarray:
+        """The nodes one byte up, of the nodes at d."""
+        return self.key[d, bits] & np.uint64((1 << 8 * (d - 1) + bits) - 1)
+
+    def weigh(self, below: dict[int, np.ndarray] | None = None) -> dict[int, np.ndarray]:
+        """Bottom-up: the weight of each node's own estimate. `below`: by bits, sums over
+        the children of the deepest nodes, else these are leaves. Gives the logarithms of
+        the weighted probabilities at the top."""
+        self.weight, top = {}, {}
+        for bits in range(8):
+            log_w = None
+            for d in reversed(self.depths):
+                own = _log_kt(self.zeros[d, bits], self.ones[d, bits])
+                if log_w is None:
+                    split = None if below is None else below[bits]
+                else:
+                    at = np.searchsorted(self.key[d, bits], self.parents(d + 1, bits))
+                    split = np.bincount(at, log_w, len(own))
+                log_w = own if split is None else np.logaddexp(own, split) - math.log(2)
+                self.weight[d, bits] = np.ones(len(own)) if split is None else np.exp(own - math.log(2) - log_w)
+            top[bits] = log_w
+        return top
+
+    def mix(self, above: Levels | None = None) -> None:
+        """Top-down: probability of a one if a node is the last on the path, mass settled
+        at the nodes passed, mass left over."""
+        self.stop, self.acc, self.rem = {}, {}, {}
+        for bits in range(8):
+            for d in self.depths:
+                source = self if d > self.depths[0] else above
+                if source is None:
+                    acc, rem = 0.0, 1.0
+                else:
+                    at = np.searchsorted(source.key[d - 1, bits], self.parents(d, bits))
+                    acc, rem = source.acc[d - 1, bits][at], source.rem[d - 1, bits][at]
+                a, b, w = self.zeros[d, bits], self.ones[d, bits], self.weight[d, bits]
+                kt = (b + 0.5) / (a + b + 1)
+                self.stop[d, bits], self.acc[d, bits], self.rem[d, bits] = acc + rem * kt, acc + rem * w * kt, rem * (1 - w)
+
+    def look_up(self, code: np.ndarray, bits: int, one: np.ndarray) -> None:
+        """Put the probability of a one at the deepest known node into `one`."""
+        for d in self.depths:
+            known = self.key[d, bits]
+            if len(known):
+                key = (code & np.uint64((1 << 8 * (d + 1)) - 1)) >> np.uint64(8 - bits)
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                hit = known[at] == key
+                one[hit] = self.stop[d, bits][at[hit]]
+
+
+def _log_probabilities(code: np.ndarray, upper: Levels, own: Levels) -> np.ndarray:
+    """Natural log-probability of the last symbol of each string (ascending)."""
+    total = np.zeros(len(code))
+    at = np.minimum(np.searchsorted(own.code, code), max(len(own.code) - 1, 0))
+    seen = own.code[at] == code if len(own.code) else np.zeros(len(code), bool)
+    new = code[~seen]
+    for bits in range(8):
+        one = np.full(len(code), 0.5)
+        one[seen] = own.stop[own.depths[-1], bits][own.run[bits][at[seen]]]
+        guess = np.full(len(new), 0.5)
+        upper.look_up(new, bits, guess)
+        own.look_up(new, bits, guess)
+        one[~seen] = guess
+        one = np.clip(one, 1e-12, 1 - 1e-12)
+        total += np.where((code >> np.uint64(7 - bits)) & np.uint64(1) == 1, np.log(one), np.log1p(-one))
+    return total
+
+
+def _packed(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+
+def fit_buckets(strings: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """bucket, codes, counts: one row of each bucket's counts; keys, values: what the upper
+    part needs, counts of its strings and sums of weighted log-probabilities by decision."""
+    upper = min(UPPER, depth - 1)
+
+    def run(table: pa.Table) -> pa.Table:
+        code, n = _summed(_packed(table, "codes", np.uint64), _packed(table, "counts", np.int64))
+        own = Levels(code, n, range(upper + 1, depth + 1))
+        top = own.weigh()
+        short, m = _summed(own.strings[0] & np.uint64((1 << 8 * (upper + 1)) - 1), own.strings[1])
+        keys, values = [short | np.uint64(8 << 56)], [m.astype(np.float64)]
+        for bits in range(8):
+            key, at = np.unique(own.parents(upper + 1, bits), return_inverse=True)
+            keys.append(key | np.uint64(bits << 56))
+            values.append(np.bincount(at, top[bits], len(key)))
+        cells = [code.tobytes(), n.tobytes(), np.concatenate(keys).tobytes(), np.concatenate(values).tobytes()]
+        return pa.table([pa.array([table.column("bucket")[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in cells)], names=["bucket", "codes", "counts", "keys", "values"])
+
+    return strings.groupBy("bucket").applyInArrow(run, "bucket int, codes binary, counts binary, keys binary, values binary")
+
+
+def fit_upper(buckets: DataFrame, depth: int = DEPTH) -> Levels:
+    """The part of up to UPPER bytes."""
+
+    def run(batches):
+        for batch in batches:
+            for keys, values in zip(batch.column("keys").to_pylist(), batch.column("values").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(values, np.float64))], names=["k", "x"])
+
+    # at most 256 ** (UPPER + 1) * 2 keys
+    found = buckets.select("keys", "values").mapInArrow(run, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).toPandas().sort_values("k")
+    k, x = found["k"].to_numpy(np.uint64), found["x"].to_numpy(np.float64)
+    kind, key = k >> np.uint64(56), k & np.uint64((1 << 56) - 1)
+    upper = min(UPPER, depth - 1)
+    tree = Levels(key[kind == 8], np.rint(x[kind == 8]).astype(np.int64), range(upper + 1))
+    tree.weigh({bits: x[kind == bits] for bits in range(8)})
+    tree.mix()
+    return tree
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """row, chunk, doc_id, text: rows numbered, and dealt into chunks of about CHUNK bytes."""
+
+    def run(batches):
+        serial = chunk = TaskContext.get().partitionId() << 33
+        held = 0
+        for batch in batches:
+            for part in common.slices(batch):
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(range(serial, serial + n), pa.int64()), pa.array([chunk] * n, pa.int64()), part.column("doc_id").cast(pa.int64()), part.column("text")], names=["row", "chunk", "doc_id", "text"])
+                serial += n
+                held += sum(map(len, common.texts_of(part)))
+                if held >= CHUNK:
+                    chunk, held = chunk + 1, 0
+
+    return docs.select("doc_id", "text").mapInArrow(run, "row long, chunk long, doc_id long, text string")
+
+
+def look_up(rows: DataFrame, trees: DataFrame, upper: Levels, buckets: int, depth: int = DEPTH) -> DataFrame:
+    """chunk, codes, logs: log-probabilities of all distinct strings of each chunk, packed."""
+    low = min(UPPER, depth - 1)
+    shared = rows.sparkSession.sparkContext.broadcast(upper)
+
+    def ask(batches):
+        now, code = None, np.array([], np.uint64)
+
+        def out():
+            for k, at in _dealt(code, buckets, low):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([now], pa.int64()), pa.array([code[at].tobytes()], pa.binary())], names=["bucket", "chunk", "codes"])
+
+        for batch in batches:
+            chunk = batch.column("chunk").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if chunk[a] != now or len(code) > FLUSH:
+                    yield from out()
+                    now, code = int(chunk[a]), code[:0]
+                for part in common.slices(batch.slice(a, b - a), size=2 << 20):
+                    code = np.unique(np.concatenate([code, np.unique(_codes(common.texts_of(part), depth))]))
+        yield from out()
+
+    def answer(asked: pa.Table, tree: pa.Table) -> pa.Table:
+        own = Levels(_packed(tree, "codes", np.uint64), _packed(tree, "counts", np.int64), range(low + 1, depth + 1))
+        own.weigh()
+        own.mix(shared.value)
+        code, at = np.unique(_packed(asked, "codes", np.uint64), return_inverse=True)
+        logs = _log_probabilities(code, shared.value, own).astype(np.float32)[at]
+        ends = np.cumsum([len(x) // 8 for x in asked.column("codes").to_pylist()])[:-1] if asked.num_rows else []
+        cells = [x.tobytes() for x in np.split(logs, ends)] if asked.num_rows else []
+        return pa.table([asked.column("chunk"), asked.column("codes"), pa.array(cells, pa.binary())], names=["chunk", "codes", "logs"])
+
+    asked = rows.select("chunk", "text").mapInArrow(ask, "bucket int, chunk long, codes binary")
+    return asked.groupBy("bucket").cogroup(trees.select("bucket", "codes", "counts").groupBy("bucket")).applyInArrow(answer, "chunk long, codes binary, logs binary")
 
 
 # -- scoring ------------------------------------------------------------------
 
 
-def _score_rows(shared, batches):
-    """A row of each text with what is known at once, and a row of each rarer word."""
-    tree, hot, unknown_end, end_known = shared.value
-    serial = TaskContext.get().partitionId() << 33
-    names = ["row", "w", "m", "doc_id", "n_tokens", "n_known", "base", "score"]
-    for batch in batches:
+NAMES = ["row", "w", "m", "doc_id", "n_tokens", "n_known", "base", "score"]
+
+
+def _score_rows(shared, depth, docs: pa.Table, answers: pa.Table) -> pa.Table:
+    """A row of each text of a chunk with what is known at once, and a row of each rarer word."""
+    hot, unknown_end, end_known = shared.value
+    code, first = np.unique(_packed(answers, "codes", np.uint64), return_index=True)
+    value = _packed(answers, "logs", np.float32)[first]
+    out = []
+    for batch in docs.to_batches():
         for part in common.slices(batch, size=1 << 20):
             texts = common.texts_of(part)
-            scores = tree.log_probabilities(texts) / math.log(10)
+            at = np.searchsorted(code, _codes(texts, depth))
+            edges = np.concatenate([[0.0], np.cumsum(value[at].astype(np.float64))])
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            scores = np.diff(edges[np.concatenate([[0], ends])]) / math.log(10)
+            own = part.column("row").to_pylist()
             rows, words, times = [], [], []
             tokens, known, base = [], [], []
             for k, text in enumerate(texts):
@@ -288,7 +480,7 @@ def _score_rows(shared, batches):
                     total += m
                     log = hot.get(w)
                     if log is None:
-                        rows.append(serial + k)
+                        rows.append(own[k])
                         words.append(w)
                         times.append(m)
                     else:
@@ -298,9 +490,7 @@ def _score_rows(shared, batches):
                 known.append(seen)
                 base.append(logs)
             n, r = len(texts), len(rows)
-            own = range(serial, serial + n)
-            serial += n
-            yield pa.RecordBatch.from_arrays([
+            out.append(pa.RecordBatch.from_arrays([
                 pa.array([*own, *rows], pa.int64()),
                 pa.array([*(b" %d" % i for i in own), *words], pa.binary()).cast(pa.string()),  # no word holds a space
                 pa.array([0] * n + times, pa.int64()),
@@ -309,16 +499,22 @@ def _score_rows(shared, batches):
                 pa.array(known + [0] * r, pa.int64()),
                 pa.array(base + [0.0] * r, pa.float64()),
                 pa.concat_arrays([pa.array(scores), pa.array(np.zeros(r))]),
-            ], names=names)
+            ], names=NAMES))
+    return pa.Table.from_batches(out)
 
 
-def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, keep_bits: int = KEEP_BITS) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of
     `docs`, learning from the texts of `train`."""
     spark = docs.sparkSession
-    tree = fit_tree(common.materialize(count_strings(train, depth), "ctw-strings"), depth, keep_bits)
+    held = train.agg(F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("n")).first()
+    buckets = max(1, -(-(held["size"] or 0) // BUCKET))
+    trees = common.materialize(fit_buckets(count_strings(train, buckets, depth), depth), "ctw-trees")
+    upper = fit_upper(trees, depth)
+    numbered = common.materialize(chunked(docs), "ctw-rows")
+    answers = look_up(numbered, trees, upper, buckets, depth)
     words = common.materialize(count_words(train), "ctw-words")
-    texts = train.count()
+    texts = held["n"]
     stats = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = (stats["n"] or 0) + texts, stats["v"] + (texts > 0)
     scale = n + 0.1 * (v + 1)
@@ -328,9 +524,13 @@ def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH, keep_bits: int
 
     # at most HOT_SHARE words
     hot = {r["w"].encode(): log(r["c"]) for r in words.where(F.col("c") * HOT_SHARE >= max(n, 1)).collect()}
-    shared = spark.sparkContext.broadcast((tree, hot, log(texts), int(texts > 0)))
+    shared = spark.sparkContext.broadcast((hot, log(texts), int(texts > 0)))
     kind = "row long, w string, m long, doc_id long, n_tokens long, n_known long, base double, score double"
-    rows = docs.select("doc_id", "text").mapInArrow(partial(_score_rows, shared), kind)
+
+    def scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        return _score_rows(shared, depth, docs, answers)
+
+    rows = numbered.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, kind)
     rare = words.where(F.col("c") * HOT_SHARE < max(n, 1))
     # a rare word holds less than one in HOT_SHARE tokens: no key of the join is hot
     joined = rows.join(rare, "w", "left")
