@@ -204,6 +204,17 @@ def test_near_copies_of_one_text(spark, monkeypatch, block):
     assert got == brute_components(texts)
 
 
+def test_rows_without_an_id(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(1, a), (2, a + " end"), (None, a), (None, b), (None, b), (None, b + " end"), (3, c), (None, d), (None, None), (None, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    got = jaccard.keep_one(docs, 5, 80, 100)
+    assert got.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert sum((t or "").startswith("b0") for _, t in got) == 1
+    assert sorted(map(str, [r for r in got if not (r[1] or "").startswith("b0")])) == sorted(map(str, [(1, a), (3, c), (None, d), (None, None), (None, ""), (4, None)]))
+
+
 # -- language model -------------------------------------------------------------
 
 

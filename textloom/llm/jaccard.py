@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -68,15 +68,15 @@ def set_class(s: np.ndarray) -> int:
 
 
 def members(docs: DataFrame, n: int = 4) -> DataFrame:
-    """doc_id, n_shingles, cls (fingerprint of the set) of every row."""
+    """doc_id, own (for a null id), n_shingles, cls (fingerprint of the set) of every row."""
 
     def run(batches):
         for batch in batches:
             for part in common.slices(batch):
                 sets = [shingles(t, n) for t in common.texts_of(part)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "cls"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("own"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) for s in sets], pa.int64())], names=["doc_id", "own", "n_shingles", "cls"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    return docs.select("doc_id", "text", _own().alias("own")).mapInArrow(run, "doc_id long, own long, n_shingles long, cls long")
 
 
 #: Smallest sizes of the size cells: powers of the square root of two.
@@ -234,16 +234,20 @@ def _family(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     return pd.DataFrame({"a": pd.Series([f[0] for f in found], dtype="int64"), "b": pd.Series([f[1] for f in found], dtype="int64")})
 
 
-def link(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: documents link when their sets of
-    n-word shingles have a Jaccard similarity of num / den or more."""
+def _own() -> Column:
+    """What a row without an id is known by."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+
+
+def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """doc_id, own, n_shingles, comp, least (id of the component) of every row."""
     every = common.materialize(members(docs, n), "jaccard-members")
     star = common.materialize(stars(docs, n, num, den), "jaccard-stars")
     families = components(star, "jaccard-families")
     families = families.unionByName(families.select(F.col("root").alias("node"), "root")).distinct()
     # one document stands for each class
-    picked = every.where(F.col("n_shingles") > 0).groupBy("cls").agg(F.min_by(F.struct("doc_id"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("d"), F.max("n_shingles").alias("n"))
-    picked = picked.join(families.withColumnRenamed("node", "cls"), "cls").select("cls", "root", "n", F.col("d.doc_id").alias("doc_id"))
+    picked = every.where(F.col("n_shingles") > 0).groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", "own").alias("id"))).alias("d"), F.max("n_shingles").alias("n"))
+    picked = picked.join(families.withColumnRenamed("node", "cls"), "cls").select("cls", "root", "n", "d.none", "d.id")
     total = picked.groupBy("root").agg(F.expr(f"cast(ceil(sum(n) / {FAMILY_BLOCK}) as int)").alias("parts"))
     picked = picked.join(total, "root").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
 
@@ -255,7 +259,7 @@ def link(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFram
                 kept = part.filter(pa.array(match)).drop_columns(["text"])
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([s.tobytes() for s, ok in zip(own, match) if ok], pa.binary())], names=["cls", "root", "parts", "part", "shingles"])
 
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").select("cls", "root", "parts", "part", "text")
+    rows = docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", _own()).alias("id"), "text").join(picked, ["none", "id"]).select("cls", "root", "parts", "part", "text")
     rows = rows.mapInArrow(sets, "cls long, root long, parts int, part int, shingles binary")
     # each block of a family meets itself and every other block once
     pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cls", "shingles", (F.col("part") > F.col("other")).cast("int").alias("side"))
@@ -267,13 +271,26 @@ def link(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFram
     linked = components(edges, "jaccard-links")
     joined = every.join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls"))
     least = joined.where(F.col("n_shingles") > 0).groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return joined.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return joined.join(least, "comp", "left").select("doc_id", "own", "n_shingles", "comp", "least")
+
+
+def link(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: documents link when their sets of
+    n-word shingles have a Jaccard similarity of num / den or more."""
+    return _components(docs, n, num, den).select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """The documents with the smallest id of their component, all columns kept."""
-    kept = link(docs, n, num, den).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The documents with the smallest id of their component, all columns kept. Of a
+    component without ids one row stays; rows without an id and without words all stay."""
+    rows = _components(docs, n, num, den)
+    kept = rows.where((F.col("n_shingles") == 0) | (F.col("doc_id") == F.col("least"))).where("doc_id is not null").select("doc_id").distinct()
+    none = rows.where("doc_id is null and n_shingles > 0 and least is null").groupBy("comp").agg(F.min("own").alias("__own")).select("__own")
+    wordless = rows.where("doc_id is null and n_shingles = 0").select(F.col("own").alias("__own")).distinct()
+    unnamed = docs.where("doc_id is null").withColumn("__own", _own())
+    one = unnamed.join(none, "__own", "left_semi").dropDuplicates(["__own"])
+    every = one.unionByName(unnamed.join(wordless, "__own", "left_semi")).select(*docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(every)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
