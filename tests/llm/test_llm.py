@@ -375,6 +375,15 @@ def test_reparameterised_questions(spark):
     assert {3, 4} <= kept and not {0, 1} & kept
 
 
+@pytest.mark.parametrize("case", [str.upper, str.lower, str.title, str])
+def test_copies_in_other_case(spark, case):
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").select("item_id", "text").collect()]
+    items = decontam.Items([i for i, _ in bench], [t.encode() for _, t in bench])
+    found = items.match(decontam.Canonical(), [f"some words before {case(t)} and after".encode() for _, t in bench], (decontam.COVERAGE, decontam.RUN, decontam.CONSISTENT))
+    assert {k for k in range(len(bench)) if items.windows[k]} <= {t for t, i, *_ in found if t == i}
+    assert all(f[2] <= items.windows[f[1]] for f in found)
+
+
 def test_planted_passages_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").toPandas()

@@ -2,12 +2,15 @@
 
 Words become template tokens: numbers, units after a number, and names (capitalised
 words inside a sentence) turn into typed placeholders, all else into lower-case words
-without outer punctuation. Windows of WINDOW template tokens of all benchmark items are
+without outer punctuation (case is folded fully). Windows of WINDOW template tokens of all benchmark items are
 hash-joined with the windows of every whole document. Matching windows of one item on
 one diagonal are a chain; a chain counts if the slot values of the item map to the
 document's consistently (one value to one value, by type), which a re-parameterised
 question does and an accidental template match does not.
 
+Names depend on letter case, so windows with names are looked up a second time with their
+names as folded words: a copy in capitals, lower or title case meets the item that way.
+
 The benchmark is the stated query set: its window table is looked up in blocks of at
 most BLOCK_WINDOWS windows, one pass over the documents a block, so what is sent to the
 executors is bounded for any benchmark.
@@ -51,9 +54,9 @@ _units, _number_words = {u.encode() for u in UNITS}, {w.encode() for w in NUMBER
 
 
 def _describe(word: bytes) -> tuple[int, int]:
-    """(hash of the lower-case core, flags: 1 number, 2 unit word, 4 capitalised, 8 ends a sentence)."""
+    """(hash of the case-folded core, flags: 1 number, 2 unit word, 4 capitalised, 8 ends a sentence)."""
     core = word.strip(_OUTER)
-    low = core.decode("utf-8", "replace").lower().encode()
+    low = core.decode("utf-8", "replace").casefold().encode()
     flags = 8 if word.rstrip(b"\"')]}")[-1:] in (b".", b"!", b"?", b":") else 0
     quantity = _QUANTITY.match(low)
     if _NUMBER.match(low) or low in _number_words or quantity and quantity[1] in _units:
@@ -123,6 +126,20 @@ def window_hashes(token: np.ndarray, kind: np.ndarray, size: np.ndarray, width:
     return common.mix64(h), (np.arange(n - width + 1) + width <= ends[: n - width + 1]) & (2 * (literal[width:] - literal[:-width]) >= width)
 
 
+def plain_hashes(kind: np.ndarray, value: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the usable windows that hold names, with names as words."""
+    names = np.concatenate([[0], np.cumsum(kind == NAME)])
+    slots = np.concatenate([[0], np.cumsum((kind != LITERAL) & (kind != NAME))])
+    ends = np.repeat(np.cumsum(size), size)
+    n = max(len(kind) - width + 1, 0)
+    at = np.flatnonzero((names[width : n + width] > names[:n]) & (np.arange(n) + width <= ends[:n]) & (2 * (slots[width : n + width] - slots[:n]) <= width))
+    mixed = common.mix64(np.where((kind == LITERAL) | (kind == NAME), value, _MARK[kind]))
+    h = np.full(len(at), np.uint64(width))
+    for j in range(width):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + mixed[at + j]
+    return at, common.mix64(h)
+
+
 class Items:
     """Window table of a block of benchmark items."""
 
@@ -140,11 +157,15 @@ class Items:
             ok &= np.minimum(size, window)[item] == width
             place = np.flatnonzero(ok)
             np.add.at(self.windows, item[place], 1)
-            order = place[np.argsort(h[place], kind="stable")]
+            plain, other = plain_hashes(self.kind, self.value, size, width)
+            known = np.concatenate([h[place], other[ok[plain]]])
+            place = np.concatenate([place, plain[ok[plain]]])
+            order = np.argsort(known, kind="stable")
+            known, place = known[order], place[order]
             if len(order):
                 seen = np.zeros(1 << 20, bool)
-                seen[(h[order] & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-                self.tables[width] = (seen, h[order], item[order], order - self.start[item[order]])
+                seen[(known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+                self.tables[width] = (seen, known, item[place], place - self.start[item[place]])
 
     def match(self, canon: Canonical, texts: list[bytes], limits: tuple) -> list[tuple]:
         """(text index, item index, windows, run, slots, changed slots, first word, last word)."""
@@ -156,7 +177,10 @@ class Items:
         for width, (seen, known, item, place) in self.tables.items():
             h, ok = window_hashes(token, kind, size, width)
             at = np.flatnonzero(ok & seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            low, high = np.searchsorted(known, h[at]), np.searchsorted(known, h[at], side="right")
+            plain, other = plain_hashes(kind, value, size, width)
+            likely = seen[(other & np.uint64((1 << 20) - 1)).astype(np.int64)]
+            at, h = np.concatenate([at, plain[likely]]), np.concatenate([h[at], other[likely]])
+            low, high = np.searchsorted(known, h), np.searchsorted(known, h, side="right")
             at, low, count = at[high > low], low[high > low], (high - low)[high > low]
             if not len(at):
                 continue
@@ -166,6 +190,9 @@ class Items:
             diagonal = word - start[text] - where
             order = np.lexsort((where, diagonal, what, text))
             text, what, where, diagonal = text[order], what[order], where[order], diagonal[order]
+            once = np.ones(len(text), bool)  # a window may match both ways
+            once[1:] = (text[1:] != text[:-1]) | (what[1:] != what[:-1]) | (diagonal[1:] != diagonal[:-1]) | (where[1:] != where[:-1])
+            text, what, where, diagonal = text[once], what[once], where[once], diagonal[once]
             new = np.ones(len(text), bool)
             new[1:] = (text[1:] != text[:-1]) | (what[1:] != what[:-1]) | (diagonal[1:] != diagonal[:-1])
             first = np.flatnonzero(new)
