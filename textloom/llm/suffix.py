@@ -5,22 +5,28 @@ id, or same document and earlier start). Equal strings must meet, so every windo
 LENGTH bytes is assigned to the least hash of its grams (its minimizer); neighbouring
 windows with the same minimizer form a segment. Then
 
-1. equal segments of one minimizer are settled by their hash: all but the earliest are
-   repeats as a whole. Each batch settles its own copies before the shuffle, so a
-   common passage sends one row a batch;
+1. segments of one minimizer with the same bytes (a 128-bit cryptographic digest of
+   them) are merged: all but the earliest are repeats as a whole. Each batch merges its
+   own copies before the shuffle, so a common passage sends one row a batch;
 2. where a minimizer has different segments, or occurs twice in a segment (periodic
-   text), the texts of the segments are indexed together: a
-   suffix order gives the Burrows-Wheeler transform, kept as runs with suffix samples
-   at the run ends. Matching statistics are computed at the run starts only and
-   streamed along the text, where inside a run each is one less than the one before.
-   Windows whose statistic reaches LENGTH form groups; all but the earliest of a group
-   are marked. Buckets have a bounded size; a larger minimizer is cut into blocks that
-   are indexed pairwise.
+   text), the texts of the segments are indexed together: a suffix order gives the
+   Burrows-Wheeler transform, of which the runs and the suffixes at the ends of the runs
+   are kept, nothing else. Between two such samples a text position and the suffix
+   before it in suffix order move on together, so both that neighbour and the match with
+   it (the matching statistic) are measured at the samples and streamed along the text.
+   Neighbours that share LENGTH bytes chain up; all but the earliest place of a chain are
+   marked;
+3. a minimizer of more than BUCKET bytes, or one that a sample of documents shows to be
+   common, is dealt by the digests of its single windows, the longest grams there are:
+   strings of one such bucket are equal, so nothing is left to index, and the work is
+   linear however many documents share a passage. The sample only chooses this route;
+   the marks are the same on both.
 
 Defined cases: null text is empty; texts shorter than LENGTH bytes keep everything;
 null ids come after all others; rows that share an id count as one document and get
 each other's spans, clipped to their length; extra columns are kept by
-`remove_repeats` and ignored elsewhere; an empty table gives an empty result.
+`remove_repeats`, whatever their names, and ignored elsewhere; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +44,9 @@ from . import common
 
 #: Bytes of a gram, text bytes of an index bucket, slots of the document filter.
 GRAM, BUCKET, SLOTS = 32, 1 << 18, 1 << 20
+#: Documents of the sample that looks for common minimizers, and the share of it that
+#: makes one common. Both decide the route only, not the result.
+SAMPLE, COMMON = 4096, 0.005
 LAST = 2**63 - 1
 
 
@@ -73,13 +82,13 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(texts: list[bytes], length: int, gram: int = GRAM):
-    """(text index, first window, windows, minimizer, content hash, whether the minimizer
-    occurs more than once in it) of all segments."""
+    """(text index, first window, windows, minimizer, whether the minimizer occurs more
+    than once in it) of all segments."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
+        return none, none, none, none.astype(np.uint64), none.astype(bool)
     start = np.cumsum(size) - size
     grams = gram_hashes(data, gram)
     least = sliding_min(grams, length - gram + 1)
@@ -95,12 +104,6 @@ def segments(texts: list[bytes], length: int, gram: int = GRAM):
     count = np.diff(np.append(first, len(least)))
     keep = valid[first]
     first, count = first[keep], count[keep]
-    # order-aware sum of the gram hashes of the segment's text
-    ones = np.concatenate([[np.uint64(0)], np.cumsum(grams)])
-    places = np.concatenate([[np.uint64(0)], np.cumsum(grams * (np.arange(len(grams), dtype=np.uint64) * np.uint64(2) + np.uint64(1)))])
-    end = first + count + length - gram
-    total = (places[end] - places[first]) - np.uint64(2) * first.astype(np.uint64) * (ones[end] - ones[first])
-    content = common.mix64(total + common.mix64(count.astype(np.uint64)))
     of = np.searchsorted(start, first, side="right") - 1
     while len(of) and (bad := size[of] == 0).any():  # empty texts share a start with the next
         of[bad] -= 1
@@ -119,36 +122,84 @@ def segments(texts: list[bytes], length: int, gram: int = GRAM):
         closest = np.minimum.reduceat(distance, at)
         at = np.minimum(np.searchsorted(known, least[first]), len(known) - 1)
         twice = (known[at] == least[first]) & (closest[at] < count + width - 1)
-    return of, first - start[of], count, least[first], content, twice
+    return of, first - start[of], count, least[first], twice
 
 
-def _segment_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """copy, m, g, id, s, n, twice: a row of each segment; `copy` for all but the earliest
-    of equal segments of a batch."""
+def _digests(texts: list[bytes], of: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """128-bit digests of the bytes first .. first + size of text `of`, (n, 2)."""
+    views = [memoryview(t) for t in texts]
+    spans = zip(of.tolist(), first.tolist(), (first + size).tolist())
+    found = b"".join([hashlib.blake2b(views[t][a:b], digest_size=16).digest() for t, a, b in spans])
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
+
+
+def _windows(of, first, count):
+    """The single windows of segments: (index of the segment, first byte)."""
+    which = np.repeat(np.arange(len(of)), count)
+    return which, np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
+SEGMENT = "copy boolean, m long, g long, h long, id long, s int, n int, twice boolean"
+
+
+def _packed(ids, s, n, m, g, t) -> pa.RecordBatch:
+    """Rows of SEGMENT; all but the earliest of equal segments are copies, which are
+    spread over all partitions; the same place of a repeated row counts once."""
+    order = np.lexsort((s, ids, g[:, 1], g[:, 0], m))
+    ids, s, n, m, g, t = (x[order] for x in (ids, s, n, m, g, t))
+    again = np.zeros(len(m), bool)
+    again[1:] = (m[1:] == m[:-1]) & (g[1:] == g[:-1]).all(1)
+    same = np.zeros(len(m), bool)
+    same[1:] = again[1:] & (ids[1:] == ids[:-1]) & (s[1:] == s[:-1])
+    m = np.where(again, common.mix64(ids.astype(np.uint64) + common.mix64(s.astype(np.uint64))), m)
+    k = ~same
+    columns = [pa.array(again[k]), pa.array(m[k].view(np.int64)), pa.array(g[k, 0]), pa.array(g[k, 1]), pa.array(ids[k]), pa.array(s[k].astype(np.int32)), pa.array(n[k].astype(np.int32)), pa.array(t[k])]
+    return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SEGMENT.split(", ")])
+
+
+def _segment_rows(docs: DataFrame, length: int, gram: int, hot: np.ndarray) -> DataFrame:
+    """A row of each segment, or of each window of a segment with a `hot` minimizer;
+    `copy` for all but the earliest of equal ones of a batch."""
+
+    def run(batches):
+        for batch in batches:
+            held = []
+            for part in common.slices(batch, size=2 << 20):
+                own, texts = part.column("id").to_numpy(zero_copy_only=False).astype(np.int64), common.texts_of(part)
+                of, first, count, m, t = segments(texts, length, gram)
+                g = np.zeros((len(of), 2), np.int64)
+                apart = np.isin(m, hot)
+                if apart.any():
+                    which, s = _windows(of[apart], first[apart], count[apart])
+                    w = _digests(texts, of[apart][which], s, np.full(len(s), length))
+                    held.append((own[of[apart][which]], s, np.ones(len(s), np.int64), w[:, 0].view(np.uint64), w, np.zeros(len(s), bool)))
+                    of, first, count, m, t, g = (x[~apart] for x in (of, first, count, m, t, g))
+                if len(of):
+                    g = _digests(texts, of, first, count + length - 1)
+                    held.append((own[of], first, count, m, g, t))
+            if held:
+                yield _packed(*(np.concatenate(x) for x in zip(*held)))
+
+    return docs.select(_id().alias("id"), "text").mapInArrow(run, SEGMENT)
+
+
+def common_minimizers(docs: DataFrame, length: int, gram: int) -> np.ndarray:
+    """Minimizers that at least COMMON of about SAMPLE documents hold (chosen by the hash
+    of their id): at most the minimizers of SAMPLE documents. They are a choice of route."""
+    n = docs.count()
+    step = max(1, n // SAMPLE)
+    chosen = docs.select(_id().alias("id"), "text").where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0)
 
     def run(batches):
         for batch in batches:
-            ids, s, n, m, g, t = [], [], [], [], [], []
             for part in common.slices(batch, size=2 << 20):
-                own = part.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-                of, first, count, least, content, twice = segments(common.texts_of(part), length, gram)
-                for x, y in zip((ids, s, n, m, g, t), (own[of] if len(of) else of, first, count, least, content, twice)):
-                    x.append(y)
-            if not ids:
-                continue
-            ids, s, n, m, g, t = (np.concatenate(x) for x in (ids, s, n, m, g, t))
-            order = np.lexsort((s, ids, g, m))
-            ids, s, n, m, g, t = (x[order] for x in (ids, s, n, m, g, t))
-            again = np.zeros(len(m), bool)
-            again[1:] = (m[1:] == m[:-1]) & (g[1:] == g[:-1])
-            same = np.zeros(len(m), bool)  # the same place of a repeated row
-            same[1:] = again[1:] & (ids[1:] == ids[:-1]) & (s[1:] == s[:-1])
-            spread = common.mix64(ids.astype(np.uint64) + common.mix64(s.astype(np.uint64)))
-            m = np.where(again, spread, m)
-            keep = ~same
-            yield pa.RecordBatch.from_arrays([pa.array(again[keep]), pa.array(m[keep].view(np.int64)), pa.array(g[keep].view(np.int64)), pa.array(ids[keep]), pa.array(s[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), pa.array(t[keep])], names=["copy", "m", "g", "id", "s", "n", "twice"])
-
-    return docs.select(_id().alias("id"), "text").mapInArrow(run, "copy boolean, m long, g long, id long, s int, n int, twice boolean")
+                of, _, _, m, _ = segments(common.texts_of(part), length, gram)
+                pair = np.unique(np.stack([of.astype(np.uint64), m], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 1].view(np.int64))], names=["m"])
+
+    held = chosen.mapInArrow(run, "m long").groupBy("m").agg(F.count("*").alias("n"))
+    least = max(16, int(COMMON * n / step))
+    return np.array([r["m"] for r in held.where(F.col("n") >= least).collect()], np.int64).view(np.uint64)
 
 
 def _id():
@@ -161,8 +212,9 @@ def _id():
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of several strings.
 
-    heads and lengths are the runs; first and last are the suffix samples at the run
-    starts and run ends. A string end is a symbol of its own below all bytes.
+    heads and lengths are the runs; first and last are the suffixes at the run starts and
+    run ends. A string end is a symbol of its own below all bytes. The suffix order is
+    there while the runs are cut, and is not kept.
     """
 
     def __init__(self, strings: list[bytes]) -> None:
@@ -173,14 +225,31 @@ class RunIndex:
         inside = np.ones(n, bool)
         inside[ends - 1] = False
         text[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
+        self.n = n
         self.left = np.repeat(ends - 1, size) - np.arange(n)  # bytes to the end of the string
+        self.word = np.where(inside, text - 1, 0).astype(np.uint64)  # eight bytes from each place on
+        for width in (1, 2, 4):
+            self.word = (self.word << np.uint64(8 * width)) | np.append(self.word[width:], np.zeros(min(width, n), np.uint64))
+        suffixes = self._sorted(text)
+        before = np.zeros(n, np.int64)
+        before[suffixes > 0] = text[suffixes[suffixes > 0] - 1]
+        start = np.ones(n, bool)
+        start[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)
+        run_start = np.flatnonzero(start)
+        self.heads = before[run_start]
+        self.lengths = np.diff(np.append(run_start, n))
+        self.first = suffixes[run_start]
+        self.last = suffixes[run_start + self.lengths - 1]
+
+    def _sorted(self, text: np.ndarray) -> np.ndarray:
+        """The suffixes in order, by doubling; equal ones by place."""
+        n = self.n
         longest = int(self.left.max()) if n else 0
         # as many symbols as 62 bits hold, renumbered in order; nothing beyond a string's end
         known = np.flatnonzero(np.bincount(text, minlength=257)) if n else np.zeros(1, int)
-        small = np.searchsorted(known, text)
         bits = max(1, int(len(known)).bit_length())
         step = 62 // bits
-        key, width, parts = small, 1, []
+        key, width, parts = np.searchsorted(known, text), 1, []
         for bit in range(step.bit_length()):
             if step >> bit & 1:
                 parts.append((key, width))
@@ -189,31 +258,14 @@ class RunIndex:
         for part, width in reversed(parts):
             key = (key << width * bits) | (self._ahead(part, done) if done else part)
             done += width
-        self.symbols = (key, bits, step)
         rank = self._refine(np.zeros(n, np.int64), key, np.arange(n))
-        self.levels = [(step, rank)]
         while step <= longest:
             tied = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
             if not len(tied):
                 break
             rank = self._refine(rank, self._ahead(rank + 1, step), tied)
             step *= 2
-            self.levels.append((step, rank))
-        if n and (np.bincount(rank, minlength=n) == 1).all():
-            self.suffixes = np.empty(n, np.int64)
-            self.suffixes[rank] = np.arange(n)
-        else:
-            self.suffixes = np.argsort(rank, kind="stable")  # equal suffixes: by place
-        self.text, self.n = text, n
-        before = np.zeros(n, np.int64)
-        before[self.suffixes > 0] = text[self.suffixes[self.suffixes > 0] - 1]
-        start = np.ones(n, bool)
-        start[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)
-        self.run_start = np.flatnonzero(start)
-        self.heads = before[self.run_start]
-        self.lengths = np.diff(np.append(self.run_start, n))
-        self.first = self.suffixes[self.run_start]
-        self.last = self.suffixes[self.run_start + self.lengths - 1]
+        return np.argsort(rank, kind="stable")
 
     def _ahead(self, values: np.ndarray, step: int) -> np.ndarray:
         """The value `step` positions later in the same string, else 0."""
@@ -246,48 +298,37 @@ class RunIndex:
         """Length of the common prefix of suffixes, within their strings."""
         limit = np.minimum(self.left[a], self.left[b])
         length = np.zeros(len(a), np.int64)
-
-        def equal(rank: np.ndarray, step: int, rows: np.ndarray) -> np.ndarray:
-            rows = rows[length[rows] + step <= limit[rows]]
-            return rows[rank[a[rows] + length[rows]] == rank[b[rows] + length[rows]]]
-
-        for k, (step, rank) in enumerate(reversed(self.levels)):
-            rows = np.arange(len(a))
-            while len(rows):  # below the top level one step is all there can be
-                rows = equal(rank, step, rows)
-                length[rows] += step
-                if k:
-                    break
-        rows = np.flatnonzero(length < limit)
-        key, bits, step = self.symbols
-        apart = key[a[rows] + length[rows]] ^ key[b[rows] + length[rows]]
-        high = apart >> 31
-        top = np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 31, np.frexp((apart & (2**31 - 1)).astype(np.float64))[1])
-        length[rows] += np.minimum(step - -(-top // bits), limit[rows] - length[rows])
-        return length
-
-    def matching_statistics(self) -> np.ndarray:
-        """For each text position, the match with the suffix before it in suffix order:
-        measured at the run starts, streamed to the other positions."""
-        value = np.zeros(self.n, np.int64)
-        at = self.run_start[self.run_start > 0]
-        places = self.suffixes[at]
-        measured = np.zeros(self.n, bool)
-        measured[self.first] = True
-        value[places] = self.common_prefix(places, self.suffixes[at - 1])
-        origin = np.maximum.accumulate(np.where(measured, np.arange(self.n), 0))
-        return np.maximum(value[origin] - (np.arange(self.n) - origin), 0)
+        rows = np.flatnonzero(limit)
+        while len(rows):
+            apart = self.word[a[rows] + length[rows]] ^ self.word[b[rows] + length[rows]]
+            length[rows] += sum((apart < np.uint64(1 << 8 * k)).astype(np.int64) for k in range(8))
+            rows = rows[(apart == 0) & (length[rows] < limit[rows])]
+        return np.minimum(length, limit)
+
+    def neighbours(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the suffix before it in suffix order, match with it) of each place:
+        measured at the run starts against the ends of the runs before, and streamed."""
+        places, ends = self.first[1:], self.last[:-1]
+        match = np.zeros(self.n, np.int64)
+        match[places] = self.common_prefix(places, ends)
+        other = np.arange(self.n)
+        other[places] = ends
+        sampled = np.zeros(self.n, bool)
+        sampled[self.first] = True
+        origin = np.maximum.accumulate(np.where(sampled, np.arange(self.n), 0))
+        moved = np.arange(self.n) - origin
+        return other[origin] + moved, np.maximum(match[origin] - moved, 0)
 
     def repeats(self, length: int) -> np.ndarray:
-        """Text positions whose `length` bytes also start at a smaller position."""
-        if not self.n:
-            return np.zeros(0, bool)
-        statistic = self.matching_statistics()[self.suffixes]
-        first = np.flatnonzero(statistic < length)
-        earliest = np.repeat(np.minimum.reduceat(self.suffixes, first), np.diff(np.append(first, self.n)))
-        out = np.zeros(self.n, bool)
-        out[self.suffixes] = self.suffixes != earliest
-        return out & (self.left >= length)
+        """Places whose `length` bytes also start at a smaller place."""
+        other, match = self.neighbours()
+        at = np.arange(self.n)
+        root = np.where(match >= length, other, at)
+        while (root != root[root]).any():  # to the first of the chain in suffix order
+            root = root[root]
+        earliest = at.copy()
+        earliest[root[::-1]] = at[::-1]
+        return earliest[root] != at
 
 
 def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -317,45 +358,57 @@ def _slot(col: str):
 
 def repeat_spans(docs: DataFrame, length: int = 100, gram: int = GRAM) -> DataFrame:
     """id, a, b: byte spans (start, end) to remove; they may overlap."""
-    rows = _segment_rows(docs, length, gram).repartition("m")
+    rows = _segment_rows(docs, length, gram, common_minimizers(docs, length, gram)).repartition("m")
     own = W.partitionBy("copy", "m")
-    rows = rows.withColumn("k", F.row_number().over(W.partitionBy("copy", "m", "g").orderBy("id", "s")))
-    rows = rows.withColumn("mixed", (F.min("g").over(own) != F.max("g").over(own)) | F.col("twice"))
+    rows = rows.withColumn("k", F.rank().over(W.partitionBy("copy", "m", "g", "h").orderBy("id", "s")))  # a repeated row ties with itself
+    rows = rows.withColumn("mixed", (F.min("g").over(own) != F.max("g").over(own)) | (F.min("h").over(own) != F.max("h").over(own)) | F.col("twice"))
     settled = F.col("copy") | (F.col("k") > 1)
     marks = common.materialize(rows.where(settled | F.col("mixed")).select("m", "id", "s", "n", settled.alias("settled")), "suffix-marks")
     whole = marks.where("settled").select("id", F.col("s").cast("long").alias("a"), (F.col("s") + F.col("n") + F.lit(length - 1)).cast("long").alias("b"))
     open_ = marks.where("not settled").select("m", "id", "s", "n")
-    # how many blocks a minimizer needs, and how many buckets all of them
-    bytes_ = F.sum(F.col("n") + F.lit(length - 1))
-    large = open_.groupBy("m").agg(F.expr(f"cast(ceil(sum(n + {length - 1}) / {BUCKET}) as int)").alias("parts")).where("parts > 1")
-    total = open_.agg(bytes_.alias("b")).first()["b"] or 0
+    total = open_.agg(F.sum(F.col("n") + F.lit(length - 1)).alias("b")).first()["b"] or 0
     buckets = max(1, -(-total // BUCKET))
-    by_doc = open_.groupBy("id").agg(F.collect_list(F.struct("m", "s", "n")).alias("segs"))  # bounded by the text
+    large = open_.groupBy("m").agg(F.sum(F.col("n") + F.lit(length - 1)).alias("bytes")).where(F.col("bytes") > BUCKET).select("m", F.lit(True).alias("large"))
+    marked = open_.join(large, "m", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    by_doc = marked.groupBy("id").agg(F.collect_list(F.struct("m", "s", "n", "large")).alias("segs"))  # bounded by the text
     slots = F.broadcast(by_doc.select(_slot("id").alias("slot")).distinct())  # at most SLOTS rows
     texts = docs.select(_id().alias("id"), "text").withColumn("slot", _slot("id")).join(slots, "slot", "left_semi").drop("slot")
 
     def cut(batches):
         for batch in batches:
             for part in common.slices(batch, size=2 << 20):
-                m, ids, s, seg = [], [], [], []
+                m, ids, s, large, seg = [], [], [], [], []
                 for i, text, segs in zip(part.column("id").to_pylist(), common.texts_of(part), part.column("segs").to_pylist()):
                     for x in segs:
                         m.append(x["m"])
                         ids.append(i)
                         s.append(x["s"])
+                        large.append(x["large"])
                         seg.append(text[x["s"] : x["s"] + x["n"] + length - 1])
-                yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(ids, pa.int64()), pa.array(s, pa.int32()), pa.array(seg, pa.binary())], names=["m", "id", "s", "seg"])
+                yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(ids, pa.int64()), pa.array(s, pa.int32()), pa.array(large, pa.bool_()), pa.array(seg, pa.binary())], names=["m", "id", "s", "large", "seg"])
 
-    pieces = texts.join(by_doc, "id").mapInArrow(cut, "m long, id long, s int, seg binary")
-    pieces = pieces.join(large, "m", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("id", "s"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    bucket = F.when(F.col("parts") > 1, F.col("m")).otherwise(F.pmod(F.xxhash64("m"), F.lit(buckets)))
-    keyed = pieces.select((F.col("parts") > 1).alias("own"), bucket.alias("bucket"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "s", "seg")
+    pieces = texts.join(by_doc, "id").mapInArrow(cut, "m long, id long, s int, large boolean, seg binary")
+    pieces = common.materialize(pieces, "suffix-pieces")
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         return index_bucket(pdf, length)
 
-    return whole.unionByName(keyed.groupBy("own", "bucket", "i", "j").applyInPandas(index, "id long, a long, b long"))
+    indexed = pieces.where("not large").select(F.pmod(F.xxhash64("m"), F.lit(buckets)).alias("bucket"), "id", "s", "seg").groupBy("bucket").applyInPandas(index, "id long, a long, b long")
+
+    def windows(batches):
+        """The windows of the segments of large minimizers."""
+        for batch in batches:
+            for part in common.slices(batch, "seg", size=1 << 20):
+                texts, own = common.texts_of(part, "seg"), part.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+                at = part.column("s").to_numpy(zero_copy_only=False).astype(np.int64)
+                of = np.arange(len(texts))
+                which, s = _windows(of, np.zeros(len(texts), np.int64), np.fromiter((max(len(t) - length + 1, 0) for t in texts), np.int64, len(texts)))
+                g = _digests(texts, which, s, np.full(len(s), length))
+                yield _packed(own[which], s + at[which], np.ones(len(s), np.int64), g[:, 0].view(np.uint64), g, np.zeros(len(s), bool))
+
+    single = pieces.where("large").mapInArrow(windows, SEGMENT).repartition("m").withColumn("k", F.rank().over(W.partitionBy("copy", "m", "g", "h").orderBy("id", "s")))
+    single = single.where("copy or k > 1").select("id", F.col("s").cast("long").alias("a"), (F.col("s") + F.lit(length)).cast("long").alias("b"))
+    return whole.unionByName(indexed).unionByName(single)
 
 
 def _merge(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
@@ -377,14 +430,14 @@ def _kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Documents that may have spans, joined with their `spans` (array), and the others.
+    """Documents that may have spans, joined with their `__spans` (array), and the others.
     Only the first part is shuffled; a bounded table of id slots tells them apart."""
-    by_doc = spans.groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # bounded by the text
+    by_doc = spans.groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("__spans"))  # bounded by the text
     by_doc = common.materialize(by_doc, "suffix-spans")
     slots = F.broadcast(by_doc.select(_slot("id").alias("slot")).distinct())  # at most SLOTS rows
     slots = slots.withColumnRenamed("slot", "__slot")
     keyed = docs.select(*columns, _id().alias("__id")).withColumn("__slot", _slot("__id"))
-    touched = keyed.join(slots, "__slot", "left_semi").join(by_doc.withColumnRenamed("id", "__id"), "__id", "left").select(*columns, "spans")
+    touched = keyed.join(slots, "__slot", "left_semi").join(by_doc.withColumnRenamed("id", "__id"), "__id", "left").select(*columns, "__spans")
     return touched, keyed.join(slots, "__slot", "left_anti").select(*columns)
 
 
@@ -395,7 +448,7 @@ def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
         for batch in batches:
             for part in common.slices(batch):
                 out = []
-                spans = part.column("spans").to_pylist() if "spans" in part.schema.names else [None] * part.num_rows
+                spans = part.column("__spans").to_pylist() if "__spans" in part.schema.names else [None] * part.num_rows
                 for text, own in zip(common.texts_of(part), spans):
                     runs = _merge(own, len(text))
                     out.append((len(text), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_kept(text, runs)).hexdigest()))
@@ -414,8 +467,8 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in common.slices(batch):
-                texts = [None if t is None else _kept(b := t.encode(), _merge(own, len(b))).decode("utf-8", "ignore") for t, own in zip(part.column("text").to_pylist(), part.column("spans").to_pylist())]
-                part = part.drop_columns(["spans"])
+                texts = [None if t is None else _kept(b := t.encode(), _merge(own, len(b))).decode("utf-8", "ignore") for t, own in zip(part.column("text").to_pylist(), part.column("__spans").to_pylist())]
+                part = part.drop_columns(["__spans"])
                 yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
     touched, others = with_spans(docs, repeat_spans(docs, length), docs.columns)
