@@ -1,21 +1,18 @@
-"""Training-data operators against brute force, round trips and held-out labels."""
+"""Byte pairs, edge tables of all operators, and SQL oracles."""
 
 import base64
-import collections
 import hashlib
-import math
 import random
-import zlib
 
 import duckdb
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, common, ctw, decontam, jaccard, langid, quality, queries, quotes, rules, suffix, toxicity
+from textloom.llm import bpe, ctw, decontam, jaccard, langid, quality, queries, rules, suffix, toxicity
+
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -101,393 +98,3 @@ def test_oracles(spark, name):
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
     assert sorted(map(tuple, got.select(cols).collect()), key=repr) == sorted(want.select(*[f'"{c}"' for c in cols]).fetchall(), key=repr)
-
-
-# -- suffix ---------------------------------------------------------------------
-
-
-def brute_marks(texts, length):
-    seen, out = set(), []
-    for t in texts:
-        flags = np.zeros(len(t), bool)
-        for i in range(len(t) - length + 1):
-            w = t[i : i + length]
-            if w in seen:
-                flags[i : i + length] = True
-            seen.add(w)
-        out.append(flags)
-    return out
-
-
-def test_run_index():
-    rng = random.Random(2)
-    for _ in range(40):
-        length, letters = rng.choice([6, 10]), rng.choice(["ab", "abc", "abcdefghij"])
-        texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))).encode() for _ in range(rng.randrange(1, 8))]
-        texts += [texts[0], b"a" * 30, texts[-1] + texts[0]]
-        spans = suffix.index_bucket(pd.DataFrame({"id": range(len(texts)), "s": 0, "seg": texts}), length)
-        got = [np.zeros(len(t), bool) for t in texts]
-        for i, a, b in spans.itertuples(index=False):
-            got[i][a:b] = True
-        assert all((x == y).all() for x, y in zip(got, brute_marks(texts, length)))
-        index = suffix.RunIndex(texts)
-        assert index.lengths.sum() == index.n and len(index.heads) == len(index.first) == len(index.last) <= index.n
-        of, first, count, m, twice = suffix.segments(texts, length, 4)
-        windows = sorted((o, k) for o, a, c in zip(of, first, count) for k in range(a, a + c))
-        assert windows == [(d, i) for d, t in enumerate(texts) for i in range(len(t) - length + 1)]
-
-
-def test_samples_of_runs_give_neighbours_and_statistics():
-    """The streamed neighbours and matches against a plainly sorted suffix order."""
-    rng = random.Random(3)
-    for _ in range(60):
-        letters = rng.choice([b"ab", b"abc", bytes(range(256))])
-        texts = [bytes(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(rng.randrange(1, 6))]
-        texts += [texts[0] * 3, b"ab" * 30]
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        suffixes = sorted((t[i:], e - len(t) - 1 + i) for t, e in zip(texts, ends.tolist()) for i in range(len(t) + 1))
-        index = suffix.RunIndex(texts)
-        other, match = index.neighbours()
-        assert not hasattr(index, "suffixes") and not match[suffixes[0][1]]
-        for (a, x), (b, y) in zip(suffixes, suffixes[1:]):
-            common_ = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
-            assert match[y] == common_ and (not common_ or other[y] == x)
-
-
-def test_blocks_in_other_order_are_not_repeats(spark):
-    """Texts of two kinds of blocks in the orders 0110 and 1001, and random periodic texts."""
-    rng = random.Random(11)
-    block = "rwemxxrjhmlmpqjnn dveeastuwqdwyu"
-    tables = [[f"{block}0{block}1{block}1{block}0{block}", f"{block}1{block}0{block}0{block}1{block}"]]
-    for _ in range(12):
-        unit = "".join(rng.choice("abcdef ") for _ in range(rng.randrange(1, 40)))
-        tables.append(["".join(unit + rng.choice("01") for _ in range(rng.randrange(2, 260 // len(unit) + 4))) for _ in range(8)])
-    for texts in tables:
-        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-        got = {r["doc_id"]: r["n_removed"] for r in suffix.dedup(docs).collect()}
-        assert got == {i: int(f.sum()) for i, f in enumerate(brute_marks([t.encode() for t in texts], 100))}
-        assert texts is not tables[0] or got == {0: 0, 1: 0}
-
-
-@pytest.mark.parametrize("route", ["index", "large", "common"])
-def test_routes_of_minimizers_agree(spark, monkeypatch, route):
-    """Periodic and shared texts by the index, by windows of large minimizers, and by
-    windows of common ones."""
-    if route == "large":
-        monkeypatch.setattr(suffix, "BUCKET", 300)
-    if route == "common":
-        monkeypatch.setattr(suffix, "COMMON", 0.0)
-    rng = random.Random(4)
-    core = "".join(rng.choice("abcdefgh ") for _ in range(160))
-    texts = ["".join(rng.choice("xyz") for _ in range(20)) + core[rng.randrange(30) :] + "".join(rng.choice("xyz") for _ in range(20)) for _ in range(40)]
-    texts += ["ab" * 90, "ba" * 130 + "c" * 150, None, "", texts[3]]
-    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3])], "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r["n_removed"] for r in suffix.dedup(docs).collect()}
-    assert got == {i: int(f.sum()) for i, f in enumerate(brute_marks([(t or "").encode() for t in texts], 100))}
-
-
-def test_remove_repeats_keeps_columns_and_characters(spark):
-    shared = "Überall gleich: " + "".join(chr(0x4E00 + i) for i in range(80))
-    docs = spark.createDataFrame([(1, f"eins {shared} ende", "de", 5), (2, f"zwei {shared} schluss", "de", None), (3, None, None, 0)], "doc_id long, text string, lang string, n_chars long")
-    docs = docs.withColumn("spans", F.lit("clash")).withColumn("id", F.lit(7)).withColumn("slot", F.lit(8))
-    assert suffix.remove_repeats(docs).columns == docs.columns
-    got = {r["doc_id"]: r for r in suffix.remove_repeats(docs).collect()}
-    assert got[1]["text"] == f"eins {shared} ende" and got[3]["text"] is None and got[3]["n_chars"] == 0
-    assert len(got[2]["text"]) < 30 and got[2]["text"].startswith("zwei") and got[2]["text"].endswith("schluss") and got[2]["n_chars"] == len(got[2]["text"])
-
-
-# -- Jaccard --------------------------------------------------------------------
-
-
-@pytest.mark.parametrize("num", [85, 80])
-def test_sketch_keys_lose_no_pair(num):
-    rng = np.random.default_rng(1)
-    for k in range(300):
-        n = int(rng.integers(1, [12, 60, 400, 1500][k % 4]))
-        base = rng.integers(0, 2**63, n + 400).astype(np.uint64)
-        cut = int(rng.integers(0, n // 4 + 1))
-        a, b = np.unique(base[:n]), np.unique(np.concatenate([base[cut:n], base[n : n + int(rng.integers(0, max(1, n // 5)))]]))
-        both = len(np.intersect1d(a, b))
-        if len(b) and 100 * both >= num * (len(a) + len(b) - both) and not len(a) == len(b) == both:
-            owner, keys = jaccard.sketch_keys([a, b], num, 100)
-            assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
-
-
-def brute_components(texts, n=4, num=85):
-    sets = []
-    for t in texts:
-        w = (t or "").encode().lower().split()
-        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
-    root = list(range(len(texts)))
-    for i in range(len(sets)):
-        for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
-                a, b = root[i], root[j]
-                root = [min(a, b) if r in (a, b) else r for r in root]
-    return [(i, len(s), r) for i, (s, r) in enumerate(zip(sets, root))]
-
-
-@pytest.mark.parametrize("block", [1 << 18, 300])
-def test_near_copies_of_one_text(spark, monkeypatch, block):
-    """One family with chains of edits; with small blocks it is compared block by block."""
-    monkeypatch.setattr(jaccard, "FAMILY_BLOCK", block)
-    rng = random.Random(6)
-    words = [f"w{rng.randrange(5000)}" for _ in range(90)]
-    texts = []
-    for _ in range(60):
-        copy = list(words)
-        for _ in range(rng.randrange(5)):
-            copy[rng.randrange(len(copy))] = f"e{rng.randrange(30)}"
-        texts.append(" ".join(copy))
-    texts += ["", None, "one two", "One TWO", "one two three four five", texts[0]]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted(tuple(r) for r in jaccard.link(docs).select("doc_id", "n_shingles", "component_id").collect())
-    assert got == brute_components(texts)
-
-
-def test_rows_without_an_id(spark):
-    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
-    rows = [(1, a), (2, a + " end"), (None, a), (None, b), (None, b), (None, b + " end"), (3, c), (None, d), (None, None), (None, ""), (4, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
-    got = jaccard.keep_one(docs, 5, 80, 100)
-    assert got.columns == docs.columns
-    got = [(r["doc_id"], r["text"]) for r in got.collect()]
-    assert sum((t or "").startswith("b0") for _, t in got) == 1
-    assert sorted(map(str, [r for r in got if not (r[1] or "").startswith("b0")])) == sorted(map(str, [(1, a), (3, c), (None, d), (None, None), (None, ""), (4, None)]))
-
-
-# -- language model -------------------------------------------------------------
-
-
-def test_tree_is_context_tree_weighting():
-    """Depth 1 over few texts, every context kept, against the textbook recursion."""
-    texts = [b"abracadabra", b"barbara", b"cab"]
-    code, n = ctw._summed(ctw._codes(texts, 1))
-    g = code.astype(np.int64)
-    contexts, row = np.unique(g >> 8, return_inverse=True)
-    deep = np.zeros((len(contexts), 256), np.int64)
-    deep[row, g & 255] = n
-    tree = ctw.Tree([(np.zeros(1, np.int64), deep.sum(0, keepdims=True)), (contexts, deep)])
-
-    def kt(a, b):
-        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
-
-    for context in contexts.tolist():
-        k = contexts.tolist().index(context)
-        for symbol in (ord("a"), ord("b"), ord("z")):
-            log, low, high = 0.0, 0, 256
-            for _ in range(8):
-                mid = (low + high) // 2
-                ab = [(int(c[low:mid].sum()), int(c[mid:high].sum())) for c in deep]
-                a, b = sum(x for x, _ in ab), sum(y for _, y in ab)
-                own, split = kt(a, b), sum(kt(x, y) for x, y in ab)
-                weight = math.exp(own - np.logaddexp(own, split))
-                x, y = ab[k]
-                if a + b == 0:
-                    one = 0.5
-                elif x + y == 0:
-                    one = (b + 0.5) / (a + b + 1)
-                else:
-                    one = weight * (b + 0.5) / (a + b + 1) + (1 - weight) * (y + 0.5) / (x + y + 1)
-                bit = symbol >= mid
-                log += math.log(one if bit else 1 - one)
-                low, high = (mid, high) if bit else (low, mid)
-            assert abs(tree.table[1 + k, symbol] - log) < 1e-4
-    assert np.allclose(np.exp(tree.table.astype(float)).sum(1), 1, atol=1e-5)
-
-
-def test_ctw_query(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
-    counts, ends = collections.Counter(), 0
-    for i, t in zip(docs.doc_id, docs.text):
-        if zlib.crc32(str(i).encode()) % 10:
-            counts.update(t.encode().lower().split())
-            ends += 1
-    n, v = sum(counts.values()) + ends, len(counts) + 1
-    got = ctw.op7(spark, SF).toPandas().set_index("doc_id")
-    assert (got.train_tokens == n).all()
-    for i, t in zip(docs.doc_id, docs.text):
-        words = t.encode().lower().split()
-        base = sum(math.log10((c + 0.1) / (n + 0.1 * (v + 1))) for c in [*(counts[w] for w in words), ends])
-        row = got.loc[i]
-        assert abs(row.base_score - base) < 1e-6 * max(1, abs(base)) and row.n_tokens == len(words) + 1 and row.n_known == 1 + sum(counts[w] > 0 for w in words)
-        assert row.held_out == (zlib.crc32(str(i).encode()) % 10 == 0) and row.score < 0
-
-
-def test_rare_contexts_are_nodes(spark, monkeypatch):
-    """Every context seen, however rare, against the tree in one place."""
-    monkeypatch.setattr(ctw, "BUCKET", 1 << 16, raising=False)
-    monkeypatch.setattr(ctw, "CHUNK", 1 << 18, raising=False)
-    texts = [("the same few words again " * 400)[:9000] + f" {i % 7}" for i in range(60)] + ["quixotic zephyr", "a quixotic zephyr", None, "", "Ünïcode"] + ["short"] * 1100  # more than one slice
-    unseen = ["quixotic zebra \x00", "\t日本"]
-    code, n = ctw._summed(ctw._codes([(t or "").encode() for t in texts], ctw.DEPTH))
-    levels = []
-    for d in range(ctw.DEPTH + 1):
-        g, m = ctw._summed(code & np.uint64((1 << 8 * (d + 1)) - 1), n)
-        contexts, row = np.unique(g.astype(np.int64) >> 8, return_inverse=True)
-        counts = np.zeros((len(contexts), 256), np.int64)
-        counts[row, g.astype(np.int64) & 255] = m
-        levels.append((contexts, counts))
-    assert n.sum() > 2 << 17
-    want = ctw.Tree(levels).log_probabilities([(t or "").encode() for t in texts + unseen]) / math.log(10)
-    docs = spark.createDataFrame(list(enumerate(texts + unseen)), "doc_id long, text string").coalesce(1)
-    got = ctw.score(docs, docs.where(F.col("doc_id") < len(texts))).toPandas().sort_values("doc_id").score.to_numpy()
-    assert np.allclose(got, want, rtol=1e-4, atol=1e-3)
-
-
-# -- classifiers ----------------------------------------------------------------
-
-
-def test_held_out_quality_and_toxicity(spark):
-    sf = "/root/testdata/sf0.01"
-    labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas()
-    for query, label, least in ((quality.op3, "quality", 0.97), (toxicity.op10, "toxic", 0.85)):
-        rows = query(spark, sf).toPandas().merge(labels, on="doc_id")
-        assert rows.score.between(0, 1).all()
-        held = rows[rows.held_out]
-        rank = held.score.rank()
-        y = held[label] == 1
-        assert (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum()) > least
-
-
-def test_isotonic():
-    x, p = quality.isotonic(np.array([1.0, 2, 3, 4, 4]), np.array([0, 1, 0, 1, 1]))
-    assert (np.diff(p) >= 0).all() and p[0] == 0 and p[-1] == 1 and abs(np.interp(2.5, x, p) - 0.5) < 1e-9
-
-
-def test_grammar():
-    m = toxicity.Matcher(dict.fromkeys(["idiot", "lowei*"], 1.0))
-    name = lambda t: [toxicity.READINGS[r] for r, _ in m.clause(t)]
-    assert name("such an idiot here") == ["plain"] and name("you are an idiot") == ["targeted"] and name("he is not an idiot") == ["negated"]
-    assert name("she said that an idiot came") == ["reported"] and name("i will kill them") == ["threat"] and name("ein loweischaft da") == ["plain"]
-    assert m.readings("Fine text. IDIOT!! idiotic")[0] == 1 and m.readings(None).sum() == 0 and m.readings("kill the process").sum() == 0
-
-
-def test_marginals_equal_plain_forward_backward():
-    rng = np.random.default_rng(0)
-    for lengths in ([1], [5, 1, 70, 33], [32, 64, 2], [200]):
-        emit, trans = rng.normal(size=(sum(lengths), 3)) * 2, rng.normal(size=(3, 3))
-        got, at = langid.marginals(emit, trans, np.array(lengths)), 0
-        for n in lengths:
-            e = emit[at : at + n]
-            a, b = np.zeros((n, 3)), np.zeros((n, 3))
-            a[0] = e[0]
-            for t in range(1, n):
-                a[t] = e[t] + np.logaddexp.reduce(a[t - 1][:, None] + trans, 0)
-            for t in range(n - 2, -1, -1):
-                b[t] = np.logaddexp.reduce(trans + (e[t + 1] + b[t + 1])[None], 1)
-            assert np.allclose(np.exp(a + b - np.logaddexp.reduce(a[-1])), got[at : at + n])
-            at += n
-
-
-def test_language_query(spark):
-    rows = langid.op8(spark, "/root/testdata/sf0.01").toPandas().merge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").toPandas(), on="doc_id")
-    held = rows[rows.held_out]
-    assert (held.lang == held.lang_pred).mean() > 0.97
-
-
-def test_code_switched_words(spark):
-    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog are in the house with that thing " * 5, "en"), ("le chat et le chien sont dans la maison avec une chose " * 5, "fr")] * 20)], "doc_id long, text string, lang string")
-    model = langid.fit(docs, F.lit(True))
-    mixed = spark.createDataFrame([(0, "the dog and the house le chien et la maison"), (1, "12 34")], "doc_id long, text string")
-    tags = {r["doc_id"]: r["langs"] for r in langid.label_words(mixed, model).collect()}
-    assert tags[0] == ["en"] * 5 + ["fr"] * 5 and tags[1] == []
-    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(mixed, model).collect()}[1] == "und"
-
-
-# -- decontamination ------------------------------------------------------------
-
-
-def test_reparameterised_questions(spark):
-    item = "If a shop sells apples for 12 dollars and Tom buys 7 of them, how much money does Tom pay for the apples when Anna gets 3 kg back"
-    docs = [
-        item,
-        "Intro words. " + item.replace("12", "99").replace("7", "41").replace("Tom", "Bob").replace("Anna", "Eve").replace("3 kg", "8 lb") + " and more",
-        item.replace("Tom buys", "Bob buys").replace("12", "5").replace("does Tom", "does Jim").replace("Anna", "Jim").replace("7", "9").replace("3 kg", "9 kg"),
-        "completely different words about the sea and the sky and many other things that nobody asks in any test at all",
-        "short",
-    ]
-    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    bench = spark.createDataFrame([(5, item), (6, "tiny one"), (7, "four words are enough")], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(table, bench).collect()}
-    assert set(got) >= {(0, 5), (1, 5)} and not {k for k in got if k[0] in (3, 4)}
-    assert got[0, 5]["changed_slots"] == 0 and got[1, 5]["changed_slots"] >= 5 and got[1, 5]["first_word"] >= 2
-    kept = {r["doc_id"] for r in decontam.drop_contaminated(table, bench).collect()}
-    assert {3, 4} <= kept and not {0, 1} & kept
-
-
-@pytest.mark.parametrize("case", [str.upper, str.lower, str.title, str])
-def test_copies_in_other_case(spark, case):
-    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").select("item_id", "text").collect()]
-    items = decontam.Items([i for i, _ in bench], [t.encode() for _, t in bench])
-    found = items.match(decontam.Canonical(), [f"some words before {case(t)} and after".encode() for _, t in bench], (decontam.COVERAGE, decontam.RUN, decontam.CONSISTENT))
-    assert {k for k in range(len(bench)) if items.windows[k]} <= {t for t, i, *_ in found if t == i}
-    assert all(f[2] <= items.windows[f[1]] for f in found)
-
-
-def test_planted_passages_by_brute_force(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
-    bench = spark.read.parquet(f"{SF}/benchmark.parquet").toPandas()
-    index = collections.defaultdict(set)
-    for i, t in zip(bench.item_id, bench.text):
-        w = t.lower().split()
-        for k in range(len(w) - 7):
-            index[tuple(w[k : k + 8])].add(i)
-    want = set()
-    for d, t in zip(docs.doc_id, docs.text):
-        w, hits = t.lower().split(), collections.Counter()
-        for k in range(len(w) - 7):
-            hits.update(index.get(tuple(w[k : k + 8]), ()))
-        want |= {(d, i) for i, n in hits.items() if n >= 5}
-    got = {(r["doc_id"], r["item_id"]) for r in decontam.op2(spark, SF).collect()}
-    assert got == want and got
-
-
-# -- quotes, rules, pipeline ----------------------------------------------------
-
-
-def test_quotes(spark):
-    rows = [(1, 0, "user", "Hello there, General.\nHow are you?"), (1, 1, "assistant", "> Hello there, general!\nFine."), (1, 2, "user", "Else"), (1, 3, "assistant", "On Monday Bob wrote:\n> How are you?\n>> hello THERE general\nAs said"), (1, 4, "user", None), (2, 0, "user", "> something\nyes"), (2, 1, "user", "a > b"), (2, 1, "user", "a > b"), (None, 3, "u", "x"), (3, None, "u", "> How are you?")]
-    got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("position", F.lit("clash"))).toPandas()
-    assert len(got) == len(rows)
-    one = got[got.conv_id == 1].sort_values("turn")
-    assert one.reply_to.tolist() == [-1, 0, 1, 0, 3] and one.position.tolist() == [1, 2, 4, 3, 5] and one.n_linked.tolist() == [0, 1, 0, 2, 0]
-    assert one.text.tolist()[1:4] == ["Fine.", "Else", "As said"]
-    assert quotes.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
-
-
-def test_policies_and_ablations(spark):
-    rows = rules.ledger(spark.read.parquet(f"{SF}/documents.parquet"))
-    kept = {v: rules.apply_policy(rows, v).where("kept").count() for v in rules.POLICIES}
-    assert kept[1] >= kept[2] >= kept[3] > 0
-    found = {r["rule"]: r for r in rules.ablations(rows, 3).collect()}
-    for name, r in found.items():
-        bit = 1 << rules.RULES.index(name)
-        assert r["failing"] == rows.where(f"fail_bits & {bit} <> 0").count() and r["failing_alone"] == rows.where(f"fail_bits = {bit}").count()
-
-
-def test_rules_use_no_python(spark):
-    plan = rules.op5(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = common.documents(spark, SF)
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs
-        docs = common.materialize(stage(spark, before, SF), name)
-        assert docs.columns == before.columns and docs.count() <= before.count()
-    final = {r["doc_id"] for r in docs.select("doc_id").collect()}
-    got = corpus_pipeline.run(spark, SF)
-    assert {r["doc_id"] for r in got.select("doc_id").collect()} == final
-    good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 0").collect()}
-    assert not good & final and not {r["doc_id"] for r in decontam.op2(spark, SF).collect()} & final
-
-
-def test_pipeline_takes_empty_tables(spark, edge):
-    import corpus_pipeline
-
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, edge.select("doc_id", "text", "lang", "source", "n_chars").limit(0), SF).count() == 0

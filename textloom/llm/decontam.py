@@ -11,25 +11,30 @@ question does and an accidental template match does not.
 Names depend on letter case, so windows with names are looked up a second time with their
 names as folded words: a copy in capitals, lower or title case meets the item that way.
 
-The benchmark is the stated query set: its window table is looked up in blocks of at
-most BLOCK_WINDOWS windows, one pass over the documents a block, so what is sent to the
-executors is bounded for any benchmark.
-
-Defined cases: null and empty texts match nothing; an item shorter than the window is
-one window of its whole length if it has MIN_WORDS words or more, else it is not
-searched; windows with fewer literal words than placeholders say nothing and are left
-out; repeated rows are reported row by row, repeated items item by item; null item ids
-are ignored; extra columns are ignored; empty tables give an empty result.
+Windows of the benchmark are a table; its hashes set bits of a bitmap of fixed size, the
+only thing sent to all executors. Windows of the documents that hit a bit are joined with
+the table by hash, in one pass over the documents, whatever the benchmark's size. Items
+of one template (equal template tokens, equal slot values in the same places) form a
+class, of which the item with the smallest id is searched: results name that item and the
+size of its class, `item_classes` lists the members.
+
+Defined cases: null and empty texts, and items without a word, match nothing; an item
+shorter than the window is one window of its whole length; windows with fewer literal
+words than placeholders say nothing as templates: an item that has no other windows, or
+fewer than MIN_WORDS words, is searched by exact windows of its folded words instead (one
+of one or two words only where it fills a line); repeated rows are reported row by row;
+rows without an id are reported with a null id; null item ids are ignored; extra columns
+are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +43,10 @@ from . import common
 #: Words of a window and of the shortest item; share of the item's windows, or run of
 #: windows, that contaminates; share of slots that must be consistent.
 WINDOW, MIN_WORDS, COVERAGE, RUN, CONSISTENT = 8, 4, 0.4, 13, 0.75
-#: Windows sent to the executors at once; entries of a worker's word cache.
-BLOCK_WINDOWS, CACHE = 1_000_000, 300_000
+#: Fewest words of an item that is searched inside lines.
+INSIDE = 3
+#: Bits of the bitmap of window hashes; candidate rows of a check; entries of a worker's word cache.
+SLOTS, CHECKED, CACHE = 1 << 22, 50_000, 300_000
 
 # Fixed words of the slot types.
 UNITS = "m cm mm km kg g mg l ml lb lbs oz ft in mi mph s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years mile miles meter meters metre metres litre litres liter liters gram grams kilogram kilograms kilometer kilometers kilometre kilometres inch inches foot feet dollar dollars euro euros cent cents percent degrees".split()
@@ -140,85 +147,172 @@ def plain_hashes(kind: np.ndarray, value: np.ndarray, size: np.ndarray, width: i
     return at, common.mix64(h)
 
 
-class Items:
-    """Window table of a block of benchmark items."""
+def exact_hashes(value: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of all windows inside their texts, by their folded words alone."""
+    n = max(len(value) - width + 1, 0)
+    at = np.flatnonzero(np.arange(n) + width <= np.repeat(np.cumsum(size), size)[:n])
+    h = np.full(n, np.uint64(0xD6E8FEB86659FD93))
+    mixed = common.mix64(value)
+    for j in range(width):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + mixed[j : n + j]
+    return at, common.mix64(h[at])
+
+
+def _line_hash(value: np.ndarray) -> np.ndarray:
+    """Hash of an item that has to fill a line."""
+    return common.mix64(exact_hashes(value, np.array([len(value)]), len(value))[1] + np.uint64(1))
+
+
+def item_windows(canon: Canonical, texts: list[bytes], window: int = WINDOW, min_words: int = MIN_WORDS) -> list[tuple[int, str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]]:
+    """(windows, kind of search, places, hashes, kinds, values, class) of each item."""
+    token, kind, value, size = canon.tokens(texts)
+    out = []
+    for a, n in zip(np.cumsum(size) - size, size.tolist()):
+        t, k, v, one = token[a : a + n], kind[a : a + n], value[a : a + n], np.array([n])
+        width = min(n, window)
+        _, first, pattern = np.unique(np.stack([k[k != LITERAL].astype(np.uint64), v[k != LITERAL]], 1), axis=0, return_index=True, return_inverse=True)
+        group = xxhash.xxh3_128_digest(t.tobytes() + k.tobytes() + first[pattern.ravel()].astype("<i8").tobytes())
+        if not n:
+            out.append((0, "none", np.zeros(0, np.int64), np.zeros(0, np.uint64), k, v, group))
+            continue
+        h, ok = window_hashes(t, k, one, width)
+        places = np.flatnonzero(ok)
+        if n >= min_words and len(places):
+            named, plain = plain_hashes(k, v, one, width)
+            out.append((len(places), "template", np.concatenate([places, named[ok[named]]]), np.concatenate([h[places], plain[ok[named]]]), k, v, group))
+        elif n >= INSIDE:
+            places, h = exact_hashes(v, one, width)
+            out.append((len(places), "exact", places, h, k, v, b"exact" + v.tobytes()))
+        else:
+            out.append((1, "line", np.zeros(1, np.int64), _line_hash(v), k, v, b"line" + v.tobytes()))
+    return out
+
+
+def _cells(values: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary cells."""
+    n, wide = values.shape[0], values.shape[1] * values.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * wide).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _taken(values: np.ndarray, at: np.ndarray, width: int, window: int) -> np.ndarray:
+    """(windows, `window`) values from each start on; zero beyond the width."""
+    out = np.zeros((len(at), window), values.dtype)
+    out[:, :width] = values[at[:, None] + np.arange(width)]
+    return out
+
+
+ITEMS = "item_id long, class binary, windows int, search string, width int, place int, h long, kinds binary, own binary"
+
+
+def _item_rows(benchmark: DataFrame, window: int) -> DataFrame:
+    """A row of each window of each item; one without a hash for items without a word."""
+
+    def run(batches):
+        canon = Canonical()
+        for batch in batches:
+            for part in common.slices(batch, size=1 << 20):
+                for i, (n, search, places, h, kind, value, group) in zip(part.column("item_id").to_pylist(), item_windows(canon, common.texts_of(part), window)):
+                    width, r = min(len(kind), window), max(len(places), 1)
+                    cells = [pa.array(places, pa.int32()), pa.array(h.view(np.int64)), _cells(_taken(kind, places, width, window)), _cells(_taken(value, places, width, window))] if len(places) else [pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())]
+                    head = [pa.array([i] * r, pa.int64()), pa.array([group] * r, pa.binary()), pa.array([n] * r, pa.int32()), pa.array([search] * r, pa.string()), pa.array([width] * r, pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*head, *cells], names=[f.split()[0] for f in ITEMS.split(", ")])
 
-    def __init__(self, ids: list[int], texts: list[bytes], window: int = WINDOW, min_words: int = MIN_WORDS) -> None:
+    known = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    return known.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, ITEMS)
+
+
+def item_classes(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """item_id, class_item_id: the item that stands for it in results (a repeated id may
+    belong to several classes)."""
+    items = _item_rows(benchmark, window).select("item_id", "class").distinct()
+    least = items.groupBy("class").agg(F.min("item_id").alias("class_item_id"))
+    return items.join(least, "class").select("item_id", "class_item_id").distinct()
+
+
+def _lines(canon: Canonical, texts: list[bytes]):
+    """(text, word, hash, values) of the lines that are shorter than INSIDE words."""
+    for k, text in enumerate(texts):
+        at = 0
+        for line in text.split(b"\n"):
+            words = line.split()
+            if 0 < len(words) < INSIDE:
+                value = canon.tokens([line])[2]
+                yield k, at, _line_hash(value), value
+            at += len(words)
+
+
+CANDIDATES = "row long, doc_id long, key long, pos int, h long, there binary"
+
+
+def _candidates(docs: DataFrame, shared, window: int) -> DataFrame:
+    """A row of each window of the documents whose hash is in the bitmap."""
+    names = [f.split()[0] for f in CANDIDATES.split(", ")]
+
+    def run(batches):
+        bits, searches = shared.value
+        seen = np.unpackbits(np.frombuffer(bits, np.uint8)).view(bool)
+        mask = np.uint64(len(seen) - 1)
         canon = Canonical()
-        self.ids = ids
-        token, self.kind, self.value, size = canon.tokens(texts)
-        self.start = np.cumsum(size) - size
-        self.windows = np.zeros(len(ids), np.int64)
-        self.tables = {}
-        widths = {w for w in np.unique(np.minimum(size, window)).tolist() if w >= min_words}
-        for width in widths:
-            h, ok = window_hashes(token, self.kind, size, width)
-            item = np.repeat(np.arange(len(ids)), size)[: len(h)]
-            ok &= np.minimum(size, window)[item] == width
-            place = np.flatnonzero(ok)
-            np.add.at(self.windows, item[place], 1)
-            plain, other = plain_hashes(self.kind, self.value, size, width)
-            known = np.concatenate([h[place], other[ok[plain]]])
-            place = np.concatenate([place, plain[ok[plain]]])
-            order = np.argsort(known, kind="stable")
-            known, place = known[order], place[order]
-            if len(order):
-                seen = np.zeros(1 << 20, bool)
-                seen[(known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-                self.tables[width] = (seen, known, item[place], place - self.start[item[place]])
-
-    def match(self, canon: Canonical, texts: list[bytes], limits: tuple) -> list[tuple]:
-        """(text index, item index, windows, run, slots, changed slots, first word, last word)."""
-        coverage, run, consistent = limits
-        token, kind, value, size = canon.tokens(texts)
-        start = np.cumsum(size) - size
-        of_word = np.repeat(np.arange(len(texts)), size)
-        out = []
-        for width, (seen, known, item, place) in self.tables.items():
-            h, ok = window_hashes(token, kind, size, width)
-            at = np.flatnonzero(ok & seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            plain, other = plain_hashes(kind, value, size, width)
-            likely = seen[(other & np.uint64((1 << 20) - 1)).astype(np.int64)]
-            at, h = np.concatenate([at, plain[likely]]), np.concatenate([h[at], other[likely]])
-            low, high = np.searchsorted(known, h), np.searchsorted(known, h, side="right")
-            at, low, count = at[high > low], low[high > low], (high - low)[high > low]
-            if not len(at):
-                continue
-            entry = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            word = np.repeat(at, count)
-            text, what, where = of_word[word], item[entry], place[entry]
-            diagonal = word - start[text] - where
-            order = np.lexsort((where, diagonal, what, text))
-            text, what, where, diagonal = text[order], what[order], where[order], diagonal[order]
-            once = np.ones(len(text), bool)  # a window may match both ways
-            once[1:] = (text[1:] != text[:-1]) | (what[1:] != what[:-1]) | (diagonal[1:] != diagonal[:-1]) | (where[1:] != where[:-1])
-            text, what, where, diagonal = text[once], what[once], where[once], diagonal[once]
-            new = np.ones(len(text), bool)
-            new[1:] = (text[1:] != text[:-1]) | (what[1:] != what[:-1]) | (diagonal[1:] != diagonal[:-1])
-            first = np.flatnonzero(new)
-            best: dict[tuple[int, int], list] = {}
-            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(text)]):
-                t, i, spots = int(text[a]), int(what[a]), where[a:b]
-                words = np.unique(spots[:, None] + np.arange(width))
-                x, y = self.start[i] + words, start[t] + diagonal[a] + words
-                slot = self.kind[x] != LITERAL
-                pairs = np.stack([self.kind[x][slot].astype(np.uint64), self.value[x][slot], value[y][slot]], 1)
-                good = _consistent(pairs)
-                if len(pairs) and good < consistent * len(pairs):
-                    continue
-                changed = int((pairs[:, 1] != pairs[:, 2]).sum())
-                longest = int(np.diff(np.flatnonzero(np.concatenate([[True], np.diff(spots) != 1, [True]]))).max())
-                found = best.setdefault((t, i), [set(), 0, 0, 0, 1 << 60, 0])
-                found[0].update(spots.tolist())
-                found[1] = max(found[1], longest)
-                found[2] += len(pairs)
-                found[3] += changed
-                found[4] = min(found[4], int(y[0] - start[t]))
-                found[5] = max(found[5], int(y[-1] - start[t]))
-            for (t, i), (spots, longest, slots, changed, lo, hi) in best.items():
-                if len(spots) >= coverage * self.windows[i] or longest >= run:
-                    out.append((t, i, len(spots), longest, slots, changed, lo, hi))
-        return out
+        serial = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for part in common.slices(batch, size=1 << 20):
+                texts = common.texts_of(part)
+                token, kind, value, size = canon.tokens(texts)
+                start, text_of = np.cumsum(size) - size, np.repeat(np.arange(len(texts)), size)
+                found = []
+                for search, width in searches:
+                    if search == "template":
+                        h, ok = window_hashes(token, kind, size, width)
+                        at = np.flatnonzero(ok & seen[(h & mask).astype(np.int64)])
+                        found.append((at, h[at], width))
+                        at, h = plain_hashes(kind, value, size, width)
+                    elif search == "exact":
+                        at, h = exact_hashes(value, size, width)
+                    else:
+                        continue
+                    hit = seen[(h & mask).astype(np.int64)]
+                    found.append((at[hit], h[hit], width))
+                cells = [(text_of[at], at - start[text_of[at]], h, _taken(value, at, width, window)) for at, h, width in found]
+                if any(search == "line" for search, _ in searches):
+                    for k, at, h, own in _lines(canon, texts):
+                        cells.append((np.array([k]), np.array([at]), h, _taken(own, np.zeros(1, np.int64), len(own), window)))
+                if cells:
+                    of, pos, h, there = (np.concatenate(x) for x in zip(*cells))
+                    own = part.take(pa.array(of))
+                    yield pa.RecordBatch.from_arrays([pa.array(serial + of), own.column("doc_id").cast(pa.int64()), own.column("key"), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64)), _cells(there)], names=names)
+                serial += part.num_rows
+
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, CANDIDATES)
+
+
+def chains(row: np.ndarray, item: np.ndarray, place: np.ndarray, pos: np.ndarray, width: np.ndarray, kinds: np.ndarray, own: np.ndarray, there: np.ndarray, consistent: float = CONSISTENT) -> list[tuple]:
+    """(row, item, windows, run, slots, changed slots, first word, last word) of matching
+    windows: those of one item on one diagonal of a document are a chain, which counts if
+    its slots are consistent."""
+    order = np.lexsort((place, pos - place, item, row))
+    row, item, place, pos, width, kinds, own, there = (x[order] for x in (row, item, place, pos, width, kinds, own, there))
+    key = np.stack([row, item, pos - place], 1)
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])) if len(key) else np.zeros(0, int)
+    best: dict[tuple[int, int], list] = {}
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(key)]):
+        w = int(width[a])
+        spots = np.unique(place[a:b])  # a window may match both ways
+        words, at = np.unique(place[a:b, None] + np.arange(w), return_index=True)
+        k, x, y = (z[a:b, :w].ravel()[at] for z in (kinds, own, there))
+        slot = k != LITERAL
+        pairs = np.stack([k[slot].astype(np.uint64), x[slot], y[slot]], 1)
+        if len(pairs) and _consistent(pairs) < consistent * len(pairs):
+            continue
+        longest = int(np.diff(np.flatnonzero(np.concatenate([[True], np.diff(spots) != 1, [True]]))).max())
+        shift = int(pos[a] - place[a])
+        found = best.setdefault((int(row[a]), int(item[a])), [set(), 0, 0, 0, 1 << 60, 0])
+        found[0].update(spots.tolist())
+        found[1] = max(found[1], longest)
+        found[2] += len(pairs)
+        found[3] += int((pairs[:, 1] != pairs[:, 2]).sum())
+        found[4] = min(found[4], shift + int(words[0]))
+        found[5] = max(found[5], shift + int(words[-1]))
+    return [(r, i, len(spots), *rest) for (r, i), (spots, *rest) in best.items()]
 
 
 def _consistent(pairs: np.ndarray) -> int:
@@ -235,49 +329,60 @@ def _consistent(pairs: np.ndarray) -> int:
     return sum(used.values())
 
 
-def _matches(shared, limits, batches):
-    canon = Canonical()
-    items = shared.value
-    kinds = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int64()), ("item_windows", pa.int64()), ("longest_run", pa.int64()), ("n_slots", pa.int64()), ("changed_slots", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())]
-    for batch in batches:
-        for part in common.slices(batch, size=1 << 20):
-            found = sorted(items.match(canon, common.texts_of(part), limits))
-            ids = part.column("doc_id").to_pylist()
-            rows = [(ids[t], items.ids[i], n, int(items.windows[i]), run, slots, changed, lo, hi) for t, i, n, run, slots, changed, lo, hi in found]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(kinds)], names=[k for k, _ in kinds])
+SCHEMA = "doc_id long, item_id long, n_windows long, item_windows long, longest_run long, n_slots long, changed_slots long, first_word long, last_word long"
 
 
-SCHEMA = "doc_id long, item_id long, n_windows long, item_windows long, longest_run long, n_slots long, changed_slots long, first_word long, last_word long"
+def _packed(table: pa.Table, name: str, kind, window: int) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind).reshape(-1, window)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, run: int = RUN, consistent: float = CONSISTENT) -> DataFrame:
-    """A row of each document and benchmark item that it holds."""
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float, run: int, consistent: float) -> DataFrame:
+    """SCHEMA, key (of the text) and class_items: matches by row and class of items."""
     spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    block: list[tuple[int, bytes]] = []
-    words = 0
-
-    def look(block: list[tuple[int, bytes]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Items([i for i, _ in block], [t for _, t in block], window))
-        return docs.select("doc_id", "text").mapInArrow(partial(_matches, shared, (coverage, run, consistent)), SCHEMA)
-
-    parts = []
-    for row in items.orderBy("item_id", "text").toLocalIterator():  # one partition at a time
-        block.append((row["item_id"], row["text"].encode()))
-        words += len(block[-1][1].split())
-        if words >= BLOCK_WINDOWS:
-            parts.append(look(block))
-            block, words = [], 0
-    if block:
-        parts.append(look(block))
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SCHEMA)
+    rows = common.materialize(_item_rows(benchmark, window), "decontam-items")
+    classes = rows.select("class", "item_id").distinct().groupBy("class").agg(F.min("item_id").alias("item_id"), F.count("*").alias("class_items"))
+    items = rows.where("h is not null").join(classes, ["class", "item_id"]).distinct()
+    slots = rows.where("h is not null").select(F.expr(f"cast(h & {SLOTS - 1} as int)").alias("slot")).distinct().toArrow()  # at most SLOTS integers
+    bits = np.zeros(SLOTS, bool)
+    bits[slots.column("slot").to_numpy()] = True
+    searches = [(r["search"], r["width"]) for r in rows.where("h is not null").select("search", "width").distinct().collect()]  # at most 2 * WINDOW rows
+    shared = spark.sparkContext.broadcast((np.packbits(bits).tobytes(), sorted(searches)))
+    met = common.materialize(_candidates(docs, shared, window).join(items, "h"), "decontam-candidates")
+    groups = max(1, met.count() // CHECKED)
+
+    def check(table: pa.Table) -> pa.Table:
+        col = {c: table.column(c).to_numpy() for c in ("row", "item", "place", "pos", "width")}
+        found = chains(*(col[c].astype(np.int64) for c in ("row", "item", "place", "pos", "width")), _packed(table, "kinds", np.uint8, window), _packed(table, "own", np.uint64, window), _packed(table, "there", np.uint64, window), consistent)
+        of = {r: k for k, r in enumerate(table.column("row").to_pylist())}
+        info = {i: k for k, i in enumerate(table.column("item").to_pylist())}
+        kept = []
+        for r, i, n, longest, *rest in sorted(found):
+            whole = table.column("windows")[info[i]].as_py()
+            if n >= coverage * whole or longest >= run:
+                kept.append((table.column("doc_id")[of[r]].as_py(), table.column("item_id")[info[i]].as_py(), n, whole, longest, *rest, table.column("key")[of[r]].as_py(), table.column("class_items")[info[i]].as_py()))
+        names = [f.split()[0] for f in SCHEMA.split(", ")] + ["key", "class_items"]
+        return pa.table([pa.array([x[k] for x in kept], pa.int64()) for k in range(len(names))], names=names)
+
+    met = met.withColumn("item", F.xxhash64("class")).withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
+    return met.groupBy("group").applyInArrow(check, f"{SCHEMA}, key long, class_items long")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, run: int = RUN, consistent: float = CONSISTENT) -> DataFrame:
+    """A row of each document and class of benchmark items that it holds: item_id is the
+    smallest of the class, class_items its size; see `item_classes` for the members."""
+    return _found(docs, benchmark, window, coverage, run, consistent).drop("key")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, all columns kept."""
-    found = common.materialize(contaminated(docs, benchmark).select("doc_id").distinct(), "decontam")
-    return docs.join(found, "doc_id", "left_anti")
+    """The documents that hold no benchmark item, all columns kept. Rows that share an id
+    share its fate; rows without an id are known by their text."""
+    found = common.materialize(_found(docs, benchmark, WINDOW, COVERAGE, RUN, CONSISTENT).select(F.col("doc_id").alias("__id"), F.when(F.col("doc_id").isNull(), F.col("key")).alias("__key")).distinct(), "decontam")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__id").isNotNull() | (F.xxhash64("text") == F.col("__key")))
+    return docs.join(found, same, "left_anti")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in all documents. Null and empty texts hold none; a row without an id
+    is reported with a null id; repeated rows are reported row by row; an empty table gives
+    an empty result; other columns are not read."""
     return contaminated(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
