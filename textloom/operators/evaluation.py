@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +22,25 @@ def byte_table(n_bytes: int = 256, specials: int = 9) -> "callable":
     return build
 
 
+def byte_counts(docs: DataFrame, by: str, text: str = "text") -> DataFrame:
+    """by, target, n: occurrences of each byte value in the texts of each value of `by`,
+    summed in every batch before the shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column(by).dictionary_encode()
+            sums: dict[int, np.ndarray] = {}
+            for k, t in zip(keys.indices.to_pylist(), batch.column(text).to_pylist()):
+                sums[k] = sums.get(k, 0) + np.bincount(np.frombuffer((t or "").encode(), np.uint8), minlength=256)
+            for k, counts in sums.items():
+                at = np.flatnonzero(counts)
+                value = keys.dictionary[k] if k is not None else pa.scalar(None, keys.type.value_type)
+                yield pa.RecordBatch.from_arrays([pa.array([value.as_py()] * len(at), keys.type.value_type), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=[by, "target", "n"])
+
+    kind = docs.schema[by].dataType.simpleString()
+    return docs.select(by, text).mapInArrow(run, f"{by} {kind}, target int, n long").groupBy(by, "target").agg(F.sum("n").alias("n"))
+
+
 def bits_per_byte(losses: DataFrame, token_bytes: DataFrame, *by: str, target: str = "target", loss: str = "loss") -> DataFrame:
     """Sum of losses at targets with bytes over ln 2 times the bytes; infinite without bytes."""
     joined = losses.join(F.broadcast(token_bytes), F.col(target) == F.col("token_id"), "left")  # one row a vocabulary entry

@@ -57,16 +57,35 @@ def power_law(points: DataFrame, x: str, y: str) -> DataFrame:
     return points.agg(F.regr_slope(ly, lx).alias("exponent"), F.regr_intercept(ly, lx).alias("log_factor"), F.regr_r2(ly, lx).alias("r2"))
 
 
-def ema(log: DataFrame, value: str, beta: float, order: str = "step", by: tuple[str, ...] = (), after_increment: bool = False) -> DataFrame:
-    """Debiased exponential moving average of each run: a fold over the last terms, of
-    which older ones weigh below beta^400. With `after_increment` the debias power is
-    one larger."""
-    n = F.row_number().over(W.partitionBy(*by).orderBy(order)) - 1
-    rows = log.withColumn("__n", n)
-    history = F.collect_list(value).over(W.partitionBy(*by).orderBy(order).rowsBetween(-400, 0))
-    folded = F.aggregate(history, F.lit(0.0), lambda acc, x: beta * acc + (1 - beta) * x)
+#: Steps of a block of a moving average.
+EMA_BLOCK = 4096
+
+
+def ema(log: DataFrame, value: str, beta: float, order: str = "step", by: tuple[str, ...] = (), after_increment: bool = False, name: str = "ema") -> DataFrame:
+    """Debiased exponential moving average of each run, exact over all its steps: blocks
+    of EMA_BLOCK steps are folded on their own, what a block hands to the next is folded
+    over the blocks, and both are added. With `after_increment` the debias power is one
+    larger."""
+    keys = list(by)
+    n = F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1
+    rows = log.withColumn("__n", n.cast("long")).withColumn("__b", F.floor(F.col("__n") / EMA_BLOCK))
+    history = F.collect_list(F.col(value).cast("double")).over(W.partitionBy(*keys, "__b").orderBy("__n").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    # a block holds at most EMA_BLOCK values; every prefix of it is folded once
+    blocks = rows.select(*keys, "__b", "__n", history.alias("__h")).where(F.col("__n") % EMA_BLOCK == 0)
+    start = F.struct(F.lit(0.0).alias("last"), F.array().cast("array<double>").alias("all"))
+
+    def step(acc: Column, x: Column) -> Column:
+        now = beta * acc["last"] + (1 - beta) * x
+        return F.struct(now.alias("last"), F.array_append(acc["all"], now).alias("all"))
+
+    folded = blocks.select(*keys, "__b", F.aggregate("__h", start, step).alias("__f"))
+    tails = folded.select(*keys, "__b", F.col("__f.last").alias("__t"), F.size("__f.all").alias("__size"))
+    carried = F.collect_list(F.struct("__t", "__size")).over(W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1))
+    carry = tails.select(*keys, "__b", F.aggregate(carried, F.lit(0.0), lambda acc, x: acc * F.pow(F.lit(beta), x["__size"]) + x["__t"]).alias("__c"))
+    local = folded.select(*keys, "__b", F.posexplode("__f.all").alias("__i", "__l")).join(carry, [*keys, "__b"])
+    local = local.select(*keys, (F.col("__b") * EMA_BLOCK + F.col("__i")).alias("__n"), (F.col("__l") + F.pow(F.lit(beta), F.col("__i") + 1) * F.col("__c")).alias("__e"))
     power = F.col("__n") + (2 if after_increment else 1)
-    return rows.withColumn("ema", folded / (1 - F.pow(F.lit(beta), power))).drop("__n")
+    return rows.join(local, [*keys, "__n"]).withColumn(name, F.col("__e") / (1 - F.pow(F.lit(beta), power))).drop("__n", "__b", "__e")
 
 
 def scrape(lines: DataFrame, patterns: dict[str, str], run: str = "run") -> DataFrame:

@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tok_compression_by_lang(spark, sf_dir, cap: int = 1000, budget: int = 300_000):
+def tok_compression_by_lang(spark, sf_dir, cap: int = 10_000, budget: int = 2_000_000_000):
     docs = select.char_budget(select.crop(_table(spark, sf_dir, "documents"), cap), budget)
     per = docs.select("lang", F.octet_length("text").cast("long").alias("b"), F.length("text").cast("long").alias("c"))
     grouped = per.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("c").alias("chars"), F.sum("b").alias("bytes"), F.sum(F.col("b") + 1).alias("tokens"))
@@ -84,19 +84,19 @@ def special_lookup(spark, sf_dir):
 
 
 def byte_encode(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where("doc_id % 10 = 0")
-    ids = T.byte_ids(F.substring("text", 1, 500), 256)
+    docs = _table(spark, sf_dir, "documents")
+    ids = T.byte_ids(F.col("text"), 256)
     return docs.select("doc_id", F.size(ids).alias("n"), F.md5(F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")).alias("digest"))
 
 
 def conv_violations(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations")
     broken = turns.withColumn("role", F.when((F.col("conv_id") % 7 == 0) & (F.col("turn") == 2), "user").otherwise(F.col("role"))).withColumn("text", F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") == 1), " \n").otherwise(F.col("text")))
-    return tokens.violations(broken.where("not (conv_id % 11 = 0 and turn > 0)"))
+    return tokens.violations(broken)
 
 
 def conv_render(spark, sf_dir):
-    rows = tokens.render(_table(spark, sf_dir, "conversations"), 1024)
+    rows = tokens.render(_table(spark, sf_dir, "conversations"), 2048)
     learned = F.aggregate("mask", F.lit(0), lambda a, x: a + x)
     return rows.select("conv_id", F.size("ids").alias("n"), learned.alias("learned"), F.get("ids", F.lit(0)).alias("head"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")).alias("digest"))
 
@@ -136,17 +136,20 @@ def pack_statistics(spark, sf_dir):
 
 
 def bos_positions(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").where("doc_id < 50").select("doc_id", F.concat(T.byte_ids(F.substring("text", 1, 5), 256), T.byte_ids(F.substring("text", 6, 4), 256)).alias("tokens"))
-    return packing.boundaries(rows, 256).select("doc_id", F.array_join(F.transform("starts", lambda x: x.cast("string")), ",").alias("starts"))
+    """Each document as two sequences, of one half of the text each."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    parts = F.concat(T.byte_ids(F.substr("text", F.lit(1), half), 256), T.byte_ids(F.substr("text", half + 1), 256))
+    rows = packing.boundaries(_table(spark, sf_dir, "documents").select("doc_id", parts.alias("tokens")), 256)
+    return rows.select("doc_id", F.array_join(F.transform("starts", lambda x: x.cast("string")), ",").alias("starts"))
 
 
 def token_lookup(spark, sf_dir):
     """Byte ids looked up in a vocabulary of hexadecimal names, and shown with a mask."""
-    docs = _table(spark, sf_dir, "documents").where("doc_id < 30").select("doc_id", T.byte_ids(F.substring("text", 1, 20)).alias("ids"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", T.byte_ids(F.col("text")).alias("ids"))
     vocab = spark.range(256).select(F.col("id").cast("int").alias("token_id"), F.lower(F.lpad(F.hex("id"), 2, "0")).alias("token"))
     rows = tokens.lookup(docs, vocab)
     mask = F.transform("tokens", lambda t, i: (i % 2).cast("int"))
-    return rows.select("doc_id", F.array_join("tokens", "").alias("hex"), F.length(tokens.visualize(F.col("tokens"), mask)).alias("shown"))
+    return rows.select("doc_id", F.md5(F.array_join("tokens", "")).alias("hex"), F.length(tokens.visualize(F.col("tokens"), mask)).alias("shown"))
 
 
 def environment(spark, sf_dir):
@@ -183,11 +186,11 @@ QUERIES = {
     "tok_compression_by_lang": (
         tok_compression_by_lang,
         """
-WITH c AS (SELECT doc_id, lang, substring(text, 1, 1000) AS text FROM documents),
+WITH c AS (SELECT doc_id, lang, substring(text, 1, 10000) AS text FROM documents),
 b AS (SELECT *, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
 SELECT lang, count(*)::BIGINT AS docs, sum(length(text))::BIGINT AS chars, sum(strlen(text))::BIGINT AS bytes,
        (sum(strlen(text)) + count(*))::BIGINT AS tokens, round(sum(strlen(text)) / (sum(strlen(text)) + count(*)), 6)::DOUBLE AS ratio
-FROM b WHERE before <= 300000 GROUP BY lang""",
+FROM b WHERE before <= 2000000000 GROUP BY lang""",
     ),
     "shard_listing": (shard_listing, "SELECT printf('shard_%05d.parquet', doc_id // 100) AS file, count(*)::BIGINT AS docs, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1"),
     "split_counts": (
@@ -216,11 +219,11 @@ SELECT shard, shard < (SELECT closed FROM c) AS "full", count(*)::BIGINT AS grou
     "limit_per_source": (limit_per_source, "SELECT doc_id, n_chars FROM documents WHERE lang = 'de' ORDER BY doc_id LIMIT 20"),
     "byte_stats": (byte_stats, "SELECT min(n)::INT AS lo, max(n)::INT AS hi, avg(n)::DOUBLE AS mean, round(stddev_samp(n), 9)::DOUBLE AS sd, count(*)::BIGINT AS n FROM (SELECT CASE WHEN i < 128 THEN 1 ELSE 3 END AS n FROM range(256) t(i))"),
     "special_lookup": (special_lookup, "SELECT 9::BIGINT AS specials, 256::BIGINT AS ordinary, 256::INT AS bos"),
-    "byte_encode": (byte_encode, f"SELECT doc_id, (strlen(t) + 1)::INT AS n, md5(array_to_string(list_concat([256], {_BYTES.format('t')}), ',')) AS digest FROM (SELECT doc_id, substring(text, 1, 500) AS t FROM documents WHERE doc_id % 10 = 0)"),
+    "byte_encode": (byte_encode, f"SELECT doc_id, (strlen(t) + 1)::INT AS n, md5(array_to_string(list_concat([256], {_BYTES.format('t')}), ',')) AS digest FROM (SELECT doc_id, text AS t FROM documents)"),
     "conv_violations": (
         conv_violations,
         f"""
-WITH x AS (SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 AND turn = 2 THEN 'user' ELSE role END AS role, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN ' ' || chr(10) ELSE text END AS text FROM conversations WHERE NOT (conv_id % 11 = 0 AND turn > 0)),
+WITH x AS (SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 AND turn = 2 THEN 'user' ELSE role END AS role, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN ' ' || chr(10) ELSE text END AS text FROM conversations),
 {_MERGED.format(src='x')}
 SELECT DISTINCT conv_id, 'role' AS code FROM r WHERE role <> CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END
 UNION ALL SELECT DISTINCT conv_id, 'blank' FROM r WHERE trim(text, ' ' || chr(9) || chr(13) || chr(10)) = ''
@@ -232,7 +235,7 @@ UNION ALL SELECT conv_id, 'system' FROM (SELECT conv_id, role, lead(role) OVER (
         f"""
 WITH {_MERGED.format(src='conversations')}, {_IDS},
 f AS (SELECT conv_id, list_concat([256], flatten(list(ids ORDER BY i))) AS ids, list_concat([0], flatten(list(CASE WHEN u THEN list_transform(ids, lambda x: 0) ELSE list_concat([0], list_transform(ids[2:], lambda x: 1)) END ORDER BY i))) AS mask FROM ids GROUP BY conv_id)
-SELECT conv_id, len(ids[:1024])::INT AS n, list_sum(mask[:1024])::INT AS learned, ids[1]::INT AS head, md5(array_to_string(ids[:1024], ',')) AS digest FROM f""",
+SELECT conv_id, len(ids[:2048])::INT AS n, list_sum(mask[:2048])::INT AS learned, ids[1]::INT AS head, md5(array_to_string(ids[:2048], ',')) AS digest FROM f""",
     ),
     "conv_completion": (
         conv_completion,
@@ -252,8 +255,8 @@ SELECT conv_id, least(least(n, 513), 512)::INT AS n_inputs, (least(n, 513) - 1):
     "pack_bestfit": (pack_bestfit, None),
     "pack_pad": (pack_pad, None),
     "pack_statistics": (pack_statistics, None),
-    "bos_positions": (bos_positions, "SELECT doc_id, '0,' || (1 + strlen(substring(text, 1, 5))) AS starts FROM documents WHERE doc_id < 50"),
-    "token_lookup": (token_lookup, "SELECT doc_id, lower(hex(encode(substring(text, 1, 20)))) AS hex, (12 * strlen(substring(text, 1, 20)) - 1)::INT AS shown FROM documents WHERE doc_id < 30"),
+    "bos_positions": (bos_positions, "SELECT doc_id, '0,' || (1 + strlen(substring(text, 1, (length(text) // 2)::INT))) AS starts FROM documents"),
+    "token_lookup": (token_lookup, "SELECT doc_id, md5(lower(hex(encode(text)))) AS hex, (12 * strlen(text) - 1)::INT AS shown FROM documents WHERE text <> ''"),
     "environment": (environment, None),
     "bpe_vocab": (bpe_vocab, None),
     "bpe_round_trip": (bpe_round_trip, "SELECT doc_id FROM documents WHERE false"),

@@ -37,7 +37,7 @@ class Fixture:
         self.columns = [c.split(" ", 1) for c in schema.split("; ")]
         self.rows = rows
 
-    def df(self, spark: SparkSession) -> DataFrame:
+    def df(self, spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
         return spark.createDataFrame(self.rows, ", ".join(f"{n} {t}" for n, t in self.columns))
 
     def cte(self, name: str) -> str:
@@ -47,78 +47,10 @@ class Fixture:
         return f"{name} AS (SELECT {casts} FROM (VALUES {values}) AS t({', '.join(n for n, _ in self.columns)}))"
 
 
-def _line(i: int, *parts: float) -> float:
-    return round(sum(p * (i + 1) ** k for k, p in enumerate(parts)), 6)
-
-
-mc = Fixture(
-    "idx long; question string; choices array<string>; answer int; subject string",
-    [(0, "What is 2+2?", ["3", "4", "5", "22"], 1, "math"), (1, "Capital of France?", ["Paris", "Rome", "Bern", "Wien"], 0, "geo"), (2, "Größte Zahl?", ["eins", "zwei", "drei", "vier"], 3, "math"), (3, "Pick ü", ["ä", "ö", "ü", "ß"], 2, "lang")],
-)
-arc = Fixture("idx long; question string; texts array<string>; labels array<string>; answer string", [(0, "Which is a gas?", ["iron", "air", "wood", "salt"], ["A", "B", "C", "D"], "B"), (1, "How many legs has an ant?", ["2", "4", "6", "8", "10"], ["1", "2", "3", "4", "5"], "3")])
-gsm = Fixture(
-    "idx long; question string; answer string",
-    [
-        (0, "Tom has 3 apples and buys 4.", "He has <<3+4=7>>7 apples.\n#### 7"),
-        (1, "Tag at start", "<<2*3=6>>6 is the result\n#### 6"),
-        (2, "Adjacent tags", "a<<1+1=2>><<2+2=4>>b\n#### 1,234"),
-        (3, "No equals", "see <<12>> twelve\n#### 12."),
-        (4, "No tag", "plain\n#### -5"),
-        (5, "No marker", "nothing here <<1=1=2>> end"),
-    ],
-)
-completions = Fixture(
-    "task string; idx long; sample_idx int; text string; reference string",
-    [
-        ("GSM8K", 0, 0, "so #### 7", "#### 7"), ("GSM8K", 0, 1, "so #### 8", "#### 7"), ("GSM8K", 1, 0, "#### 1,234", "x #### 1234"), ("GSM8K", 1, 1, "no marker", "also none"),
-        ("GSM8K", 2, 0, "#### 10.", "#### 10"), ("GSM8K", 2, 1, "none", "#### 3"), ("SpellingBee", 0, 0, "#### -2", "#### -2"), ("SpellingBee", 0, 1, "####5", "#### 5"),
-    ],
-)
-icl_mc = Fixture("idx long; query string; choices array<string>; gold int", [(0, "Sky is", ["blue", "bleak"], 0), (1, "Grass is", ["red", "green", "grey"], 1), (2, "Snow is", ["white", "wet"], 0), (3, "Coal is", ["blue", "black"], 1)])
-icl_schema = Fixture("idx long; context_options array<string>; continuation string; gold int", [(0, ["The cat sat because the cat", "The cat sat because the mat"], "was tired", 0), (1, ["Sam ran so Sam", "Sam ran so Kim"], "won the race", 1), (2, ["He said A", "He said B"], "is right", 1)])
-icl_lm = Fixture("idx long; context string; continuation string", [(0, "Once upon a ", "time there was"), (1, "\tTwo plus two\n", "is four"), (2, "End", "of line")])
 eval_meta = Fixture("task string; random_baseline double", [("arc_easy", 25.0), ("copa", 50.0), ("lambada", 0.0), ("unused", 10.0)])
 chat_meta = Fixture("task string; baseline double", [("ARC-Easy", 0.25), ("ARC-Challenge", 0.25), ("MMLU", 0.25), ("GSM8K", 0.0), ("HumanEval", 0.0), ("SpellingBee", 0.0)])
 chat_results = Fixture("task string; accuracy double", [("ARC-Easy", 0.61), ("ARC-Challenge", 0.47), ("MMLU", 0.36), ("GSM8K", 0.08), ("HumanEval", 0.1), ("SpellingBee", 0.98)])
-scores = Fixture(
-    "task string; kind string; idx long; option int; pos int; token int; loss double; pred int; start int; stop int; gold int",
-    [
-        (task, kind, i, o, p, 10 + p, None if p == 5 else _line((i * 7 + o * 5 + p * 3) % 11, 0.3, 0.21), (11 + p if (i + p) % 5 or kind != "language_modeling" else 99), 3, 6, gold)
-        for task, kind, n, options, gold in (("arc_easy", "multiple_choice", 5, 3, 1), ("copa", "schema", 4, 2, 0), ("lambada", "language_modeling", 4, 1, 0))
-        for i in range(n)
-        for o in range(options)
-        for p in range(6)
-    ],
-)
-loss_tokens = Fixture("split string; pos long; target int; loss double", [(s, i, (-1 if i % 7 == 3 else 256 if i % 11 == 5 else (i * 37) % 256), _line(i % 9, 0.5, 0.13)) for s, n in (("train", 40), ("val", 30)) for i in range(n)] + [("empty", 0, -1, 1.5), ("empty", 1, 256, 2.5)])
-letter_logits = Fixture("idx long; letter string; logit double; gold string", [(0, "A", 0.1, "B"), (0, "B", 0.9, "B"), (0, "C", -1.0, "B"), (1, "A", 0.5, "A"), (1, "B", 0.5, "A"), (1, "C", 0.2, "A"), (2, "A", 2.0, "C"), (2, "B", 1.0, "C"), (2, "C", 1.5, "C")])
-logits = Fixture("row long; token int; logit double", [(r, t, _line((r * 5 + t * 3) % 7, 0.0, 0.4)) for r in range(3) for t in range(10)])
-rollouts = Fixture("rank int; idx long; sample_idx int; reward double; length int", [(r, i * 2 + r, s, float((i + s * (r + 1)) % 3 == 0), 10 + 3 * s + i) for r, n in ((0, 4), (1, 2)) for i in range(n) for s in range(4)])
-runs = Fixture(
-    "flops_budget double; depth int; params_lm_head long; params_transformer long; tokens_trained long; val_bpb double; core_score double",
-    [
-        (budget, depth, 16_777_216 + 2_097_152 * depth, 786_432 * depth * depth, int(budget / (6 * 786_432 * depth * depth)), None if (b, depth) == (1, 14) else round(0.9 - 0.03 * b + (0.004 if b < 3 else -0.002) * (depth - 10 - b) ** 2 + 0.001 * depth, 6), round(0.1 + 0.01 * depth, 4))
-        for b, budget in enumerate((1e18, 2.15e18, 4.64e18, 1e19))
-        for depth in (8, 10, 12, 14, 16)
-    ],
-)
-step_log = Fixture("step long; train_loss double; dt double; tokens long", [(i, _line(i % 13, 3.0, -0.05) + 2.0 / (i + 1), 0.5 + 0.01 * (i % 4), 524_288) for i in range(40)])
-val_log = Fixture("step long; val_bpb double", [(0, 1.2), (10, 1.0), (20, 1.05), (30, 0.9), (40, 0.95)])
-log_lines = Fixture(
-    "run string; line_no long; line string",
-    [("d8", i, x) for i, x in enumerate(["wte                     : 25,165,824", "total                   : 73,531,692", "Calculated number of iterations from target FLOPs: 1,250", "Total batch size 524,288 => steps", "step 1", "Validation bpb: 0.9123", "Validation bpb: 0.8456", "CORE metric: 0.1450"])]
-    + [("d10", i, x) for i, x in enumerate(["wte                     : 1", "wte                     : 31,457,280", "Calculated number of iterations from target FLOPs: 900", "Total batch size 262,144 => steps", "Validation bpb: 0.8011"])],
-)
-report_metrics = Fixture("stage string; section string; key string; kind string; text string; number double", [("base", "Base model evaluation", "CORE", "float", None, 0.22195), ("sft", "Chat evaluation sft", "MMLU", "float", None, 0.3512), ("sft", "Chat evaluation sft", "GSM8K", "float", None, 0.0765), ("sft", "Chat evaluation sft", "ChatCORE", "float", None, 0.27), ("rl", "Chat evaluation rl", "GSM8K", "float", None, 0.1523), ("base", "Base model evaluation", "steps", "int", None, 21400.0), ("base", "Base model evaluation", "depth", "int", None, 20.0), ("sft", "Chat evaluation sft", "source", "text", "mid", None)])
 sections = Fixture("file string; body string", [("base-model-evaluation.md", "## Base model evaluation\ntimestamp: 2025-10-13 18:00:00\n\n- CORE metric: 0.2219\n- CORE: 0.2220\n"), ("chat-evaluation-sft.md", "## Chat\ntimestamp: 2025-10-13 20:14:30\n\n- MMLU: 0.3512\n- GSM8K: 0.0765\n- ChatCORE metric: 0.27\n"), ("chat-evaluation-rl.md", "timestamp: 2025-10-13 23:00:00\n- GSM8K: 0.1523\n"), ("header.md", "Run started: 2025-10-13 16:30:15\n")])
-chat_requests = Fixture(
-    "req long; messages array<struct<role:string,content:string>>; temperature double; max_tokens int; top_k int",
-    [
-        (0, [{"role": "user", "content": "hi"}], 0.8, 256, 50), (1, [], None, None, None), (2, [{"role": "user", "content": ""}], None, None, None), (3, [{"role": "user", "content": "x" * 8000}], 2.0, 4096, 200),
-        (4, [{"role": "user", "content": "x" * 8001}], None, None, None), (5, [{"role": "user", "content": "y" * 7000}] * 5, None, None, None), (6, [{"role": "tool", "content": "z"}], None, None, None),
-        (7, [{"role": "user", "content": "q"}], 2.01, None, None), (8, [{"role": "user", "content": "q"}], None, 4097, None), (9, [{"role": "user", "content": "q"}], None, None, -1), (10, [{"role": "user", "content": "q"}] * 501, None, None, None), (11, [{"role": "assistant", "content": "q"}], None, 1, 0),
-    ],
-)
 devices = Fixture("device string; count int", [("NVIDIA H100 80GB HBM3", 8), ("NVIDIA H100 NVL", 2), ("NVIDIA A100-SXM4-40GB", 4), ("AMD MI300X", 8), ("GeForce RTX 4090", 1), ("Tesla V100", 2), ("NVIDIA L40S", 1), ("Mystery", 3)])
 # Fixed table: name patterns (all must occur) and peak FLOP/s, first match wins.
 peak_flops = Fixture(
@@ -136,7 +68,3 @@ peak_flops = Fixture(
 )
 hourly_rates = Fixture("ord int; name string; rate double", [(0, "H100", 3.0), (1, "A100", 1.79), (2, "V100", 0.55)])
 programs = Fixture("idx long; prompt string; completion string; test string; entry_point string", [(0, "import os\n# note\nfrom math import pi\n\ndef f(x):\n", "Sure:\n```python\ndef f(x):\n    return x + 1\n```\ndone", "def check(g):\n    assert g(1) == 2", "f"), (1, "def g():\n  pass\nimport late\n", "  def g():\n    return 3\n", "def check(g):\n    assert g() == 3", "g")])
-expressions = Fixture("idx long; expr string", [(0, "1,000+1"), (1, "2**3"), (2, "'strawberry'.count('r')"), (3, "__import__('os')"), (4, "7/2"), (5, "(1+2)*3 - 4"), (6, "1/0"), (7, "'aab'.upper()"), (8, "\"banana\".count(\"an\")"), (9, "1 +")])
-checkpoints = Fixture("tag string; file string; mtime long", [("d8", "model_000100.pt", 5), ("d8", "model_000900.pt", 6), ("d20", "model_001000.pt", 3), ("d20", "model_000200.pt", 9), ("zeta", "model_000001.pt", 99)])
-core_csv = Fixture("line_no long; line string", list(enumerate(["Task                               , Accuracy  , Centered  ", "hellaswag_zeroshot                 , 0.262100  , 0.016133  ", "jeopardy                           , 0.011800  , 0.011800  ", "empty_acc                          ,           , 0.5       ", "bad                                , abc       , 0.1       ", "short, 1", "CORE                               ,           , 0.221900  "])))
-calibration = Fixture("name string; x1 double; x2 double; x3 double; x4 double; x5 double; x6 double; core double", [("s", 0.1, 0.2, 0.15, 0.3, 0.05, 0.12, 0.114), ("m", 0.2, 0.28, 0.2, 0.38, 0.1, 0.2, 0.185), ("l", 0.25, 0.33, 0.27, 0.42, 0.14, 0.26, 0.215), ("xl", 0.3, 0.36, 0.3, 0.47, 0.18, 0.3, 0.2565)])

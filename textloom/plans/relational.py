@@ -49,7 +49,7 @@ def sales_rollup(spark, sf_dir):
 
 
 def part_cube(spark, sf_dir):
-    rows = _t(spark, sf_dir, "part").where("p_size <= 10").cube("p_brand", "p_size").agg(F.count("*").alias("n"))
+    rows = _t(spark, sf_dir, "part").cube("p_brand", "p_size").agg(F.count("*").alias("n"))
     return rows.select(F.coalesce("p_brand", F.lit("*")).alias("brand"), F.coalesce("p_size", F.lit(-1)).alias("size"), "n")
 
 
@@ -60,13 +60,13 @@ def top_orders(spark, sf_dir):
 
 def order_ranks(spark, sf_dir):
     w = W.partitionBy("o_orderpriority").orderBy("o_orderdate")
-    rows = _t(spark, sf_dir, "orders").where("o_custkey < 100")
+    rows = _t(spark, sf_dir, "orders")
     return rows.select("o_orderkey", F.rank().over(w).alias("rk"), F.dense_rank().over(w).alias("dr"), F.ntile(4).over(W.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey")).alias("q"))
 
 
 def set_operations(spark, sf_dir):
-    a = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).where("k < 15")
-    b = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")).where("k > 5")
+    a = _t(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_nationkey").alias("k"))
+    b = _t(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("k"))
     return a.intersect(b).select(F.lit("both").alias("op"), "k").unionByName(a.subtract(b).select(F.lit("only").alias("op"), "k")).unionByName(a.union(b).distinct().select(F.lit("any").alias("op"), "k"))
 
 
@@ -96,10 +96,10 @@ QUERIES = {
     "customers_with_urgent": (customers_with_urgent, "SELECT c_nationkey, count(*)::BIGINT AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%') GROUP BY 1"),
     "nation_outer": (nation_outer, "SELECT coalesce(s.k, c.k) AS nation, coalesce(s.n, 0)::BIGINT AS suppliers, coalesce(c.n, 0)::BIGINT AS customers FROM (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) s FULL JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1) c ON s.k = c.k"),
     "sales_rollup": (sales_rollup, "SELECT coalesce(l_returnflag, '*') AS flag, coalesce(l_linestatus, '*') AS status, grouping(l_returnflag, l_linestatus)::INT AS gid, count(*)::BIGINT AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)"),
-    "part_cube": (part_cube, "SELECT coalesce(p_brand, '*') AS brand, coalesce(p_size, -1) AS size, count(*)::BIGINT AS n FROM part WHERE p_size <= 10 GROUP BY CUBE (p_brand, p_size)"),
+    "part_cube": (part_cube, "SELECT coalesce(p_brand, '*') AS brand, coalesce(p_size, -1) AS size, count(*)::BIGINT AS n FROM part GROUP BY CUBE (p_brand, p_size)"),
     "top_orders": (top_orders, "SELECT o_custkey, o_orderkey, r::INT AS r FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 2"),
-    "order_ranks": (order_ranks, "SELECT o_orderkey, rank() OVER w::INT AS rk, dense_rank() OVER w::INT AS dr, ntile(4) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey)::INT AS q FROM orders WHERE o_custkey < 100 WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderdate)"),
-    "set_operations": (set_operations, "WITH a AS (SELECT c_nationkey AS k FROM customer WHERE c_nationkey < 15), b AS (SELECT s_nationkey AS k FROM supplier WHERE s_nationkey > 5) SELECT 'both' AS op, k FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'only', k FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'any', k FROM (SELECT * FROM a UNION SELECT * FROM b)"),
+    "order_ranks": (order_ranks, "SELECT o_orderkey, rank() OVER w::INT AS rk, dense_rank() OVER w::INT AS dr, ntile(4) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey)::INT AS q FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderdate)"),
+    "set_operations": (set_operations, "WITH a AS (SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 0), b AS (SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 0) SELECT 'both' AS op, k FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'only', k FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'any', k FROM (SELECT * FROM a UNION SELECT * FROM b)"),
     "distinct_parts": (distinct_parts, "SELECT l_returnflag, count(DISTINCT l_partkey)::BIGINT AS parts, count(DISTINCT (l_suppkey, l_linenumber))::BIGINT AS pairs FROM lineitem GROUP BY 1"),
     "event_windows": (event_windows, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS n, round(sum(value), 4)::DOUBLE AS total FROM events GROUP BY 1, 2"),
     "event_sessions": (event_sessions, "WITH g AS (SELECT user_id, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events) SELECT user_id, sum(new)::BIGINT AS sessions, count(*)::BIGINT AS events FROM g GROUP BY 1"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import schedules as S
 from textloom.functions import text as T
 from textloom.operators import runs as R
+from textloom.plans import derived as D
 from textloom.plans import fixtures as X
 from textloom.sources import sinks
 
@@ -34,110 +35,110 @@ def flops_per_token(spark, sf_dir):
 def throughput(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    rows = X.step_log.df(spark)
+    rows = D.step_log.df(spark, sf_dir)
     timed = F.when(F.col("step") > 10, F.col("dt")).otherwise(0.0)
-    total = F.sum(timed).over(W.orderBy("step").rowsBetween(W.unboundedPreceding, 0))
+    total = F.sum(timed).over(W.partitionBy("run").orderBy("step").rowsBetween(W.unboundedPreceding, 0))
     done = F.col("step") - 10
-    return rows.select("step", F.floor(F.col("tokens") / F.col("dt")).cast("long").alias("tok_per_sec"), F.round(100 * 6.0e9 * F.col("tokens") / F.col("dt") / (989e12 * 8), 6).alias("mfu"), F.round(F.when(done > 0, total / done * (40 - F.col("step"))), 6).alias("eta"))
+    return rows.select("run", "step", F.floor(F.col("tokens") / F.col("dt")).cast("long").alias("tok_per_sec"), F.round(100 * 6.0e9 * F.col("tokens") / F.col("dt") / (989e12 * 8), 6).alias("mfu"), F.round(F.when(done > 0, total / done * (40 - F.col("step"))), 6).alias("eta"))
 
 
 def running_best(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    return X.val_log.df(spark).select("step", F.min("val_bpb").over(W.orderBy("step").rowsBetween(W.unboundedPreceding, 0)).alias("best"))
+    return D.val_log.df(spark, sf_dir).select("run", "step", F.min("val_bpb").over(W.partitionBy("run").orderBy("step").rowsBetween(W.unboundedPreceding, 0)).alias("best"))
 
 
 def ema_debiased(spark, sf_dir):
-    base = R.ema(X.step_log.df(spark), "train_loss", 0.9)
-    late = R.ema(X.step_log.df(spark), "train_loss", 0.9, after_increment=True).select("step", F.col("ema").alias("late"))
-    return base.join(late, "step").select("step", F.round("ema", 8).alias("ema"), F.round("late", 8).alias("late"))
+    rows = R.ema(D.step_log.df(spark, sf_dir), "train_loss", 0.9, by=("run",))
+    rows = R.ema(rows, "train_loss", 0.9, by=("run",), after_increment=True, name="late")
+    return rows.select("run", "step", F.round("ema", 8).alias("ema"), F.round("late", 8).alias("late"))
 
 
 def valid_runs(spark, sf_dir):
-    return R.valid_runs(X.runs.df(spark)).select("flops_budget", "depth", "effective_params", F.round("ratio", 6).alias("ratio"))
+    return R.valid_runs(D.runs.df(spark, sf_dir)).select("flops_budget", "depth", "effective_params", F.round("ratio", 6).alias("ratio"))
 
 
 def first_per_budget(spark, sf_dir):
-    return X.runs.df(spark).groupBy("flops_budget").agg(F.min("depth").alias("depth"), F.min_by("val_bpb", F.when(F.col("val_bpb").isNotNull(), F.col("depth"))).alias("val_bpb"))
+    return D.runs.df(spark, sf_dir).groupBy("flops_budget").agg(F.min("depth").alias("depth"), F.min_by("val_bpb", F.when(F.col("val_bpb").isNotNull(), F.col("depth"))).alias("val_bpb"))
 
 
 def best_per_budget(spark, sf_dir):
-    rows = R.valid_runs(X.runs.df(spark))
+    rows = R.valid_runs(D.runs.df(spark, sf_dir))
     return rows.groupBy("flops_budget").agg(F.min_by("depth", F.struct("val_bpb", "depth")).alias("depth"), F.min("val_bpb").alias("val_bpb"))
 
 
 def isoflop_fit(spark, sf_dir):
-    rows = R.isoflop_optima(X.runs.df(spark))
+    rows = R.isoflop_optima(D.runs.df(spark, sf_dir))
     return rows.select("flops_budget", *[F.format_string("%.5e", c).alias(c) for c in ("params", "tokens", "ratio", "bpb")])
 
 
 def power_law(spark, sf_dir):
-    rows = R.valid_runs(X.runs.df(spark)).withColumn("x", F.col("effective_params").cast("double"))
+    rows = R.valid_runs(D.runs.df(spark, sf_dir)).withColumn("x", F.col("effective_params").cast("double"))
     return R.power_law(rows, "flops_budget", "x").select(*[F.round(c, 7).alias(c) for c in ("exponent", "log_factor", "r2")])
 
 
 def ratio_summary(spark, sf_dir):
-    rows = R.valid_runs(X.runs.df(spark))
+    rows = R.valid_runs(D.runs.df(spark, sf_dir))
     return rows.agg(F.round(F.avg("ratio"), 6).alias("mean"), F.round(F.stddev_samp("ratio"), 6).alias("sd"), F.round(F.log10(F.sqrt(F.min("flops_budget") * F.max("flops_budget"))), 9).alias("log_ref"))
 
 
 def linear_fit(spark, sf_dir):
     mean = sum((F.col(f"x{i}") for i in range(1, 7)), F.lit(0.0)) / 6
-    rows = X.calibration.df(spark).withColumn("m", mean)
+    rows = D.calibration.df(spark, sf_dir).withColumn("m", mean)
     return rows.agg(F.round(F.regr_slope("core", "m"), 8).alias("slope"), F.round(F.regr_intercept("core", "m"), 8).alias("intercept"), F.round(F.regr_r2("core", "m"), 8).alias("r2"))
 
 
 def ridge_fit(spark, sf_dir):
-    w = R.ridge(X.calibration.df(spark), [f"x{i}" for i in range(1, 7)], "core", 0.1)
+    w = R.ridge(D.calibration.df(spark, sf_dir), [f"x{i}" for i in range(1, 7)], "core", 0.1)
     return spark.createDataFrame([(i, round(v, 9)) for i, v in enumerate(w)], "i int, w double")
 
 
 def log_scrape(spark, sf_dir):
-    rows = R.scrape(X.log_lines.df(spark), {"wte": r"^wte .*?([\d,]+)\s*$", "iters": r"Calculated number of iterations.*: ([\d,]+)$", "batch": r"Total batch size ([\d,]+)", "bpb": r"Validation bpb:.*?([\d.]+)$", "core": r"CORE metric: (\S+)$"})
+    rows = R.scrape(D.log_lines.df(spark, sf_dir), {"wte": r"^wte .*?([\d,]+)\s*$", "iters": r"Calculated number of iterations.*: ([\d,]+)$", "batch": r"Total batch size ([\d,]+)", "bpb": r"Validation bpb:.*?([\d.]+)$", "core": r"CORE metric: (\S+)$"})
     return rows.select("run", F.col("wte").cast("long").alias("wte"), (F.col("iters").cast("long") * F.col("batch").cast("long")).alias("tokens_trained"), F.col("bpb").cast("double").alias("val_bpb"), F.coalesce("core", F.lit("0.0")).cast("double").alias("core_score"))
 
 
 def skip_existing_runs(spark, sf_dir):
-    done = X.runs.df(spark).where("depth < 14")
-    return R.missing_runs(X.runs.df(spark).select("flops_budget", "depth"), done, "flops_budget", "depth")
+    done = D.runs.df(spark, sf_dir).where("depth < 14")
+    return R.missing_runs(D.runs.df(spark, sf_dir).select("flops_budget", "depth"), done, "flops_budget", "depth")
 
 
 def side_by_side(spark, sf_dir):
-    a = X.runs.df(spark).where("flops_budget = 1e18").select("depth", F.col("val_bpb").alias("small"))
-    b = X.runs.df(spark).where("flops_budget = 1e19").select("depth", F.col("val_bpb").alias("large"))
+    a = D.runs.df(spark, sf_dir).where("flops_budget = 1e18").select("depth", F.col("val_bpb").alias("small"))
+    b = D.runs.df(spark, sf_dir).where("flops_budget = 1e19").select("depth", F.col("val_bpb").alias("large"))
     return a.join(b, "depth").select("depth", "small", "large")
 
 
 def repeat_spread(spark, sf_dir):
-    return X.runs.df(spark).groupBy("depth").agg(F.round(F.avg("core_score"), 9).alias("mean"), (F.max("val_bpb") - F.min("val_bpb")).alias("spread")).select("depth", "mean", F.round("spread", 9).alias("spread"))
+    return D.runs.df(spark, sf_dir).groupBy("depth").agg(F.round(F.avg("core_score"), 9).alias("mean"), (F.max("val_bpb") - F.min("val_bpb")).alias("spread")).select("depth", "mean", F.round("spread", 9).alias("spread"))
 
 
 def parameter_totals(spark, sf_dir):
-    rows = X.runs.df(spark).select("depth", F.explode(F.create_map(F.lit("lm_head"), "params_lm_head", F.lit("transformer"), "params_transformer")).alias("part", "n")).distinct()
+    rows = D.runs.df(spark, sf_dir).select("depth", F.explode(F.create_map(F.lit("lm_head"), "params_lm_head", F.lit("transformer"), "params_transformer")).alias("part", "n")).distinct()
     return rows.groupBy("depth").agg(F.sum("n").alias("total"), F.count("*").alias("parts"))
 
 
 def peak_flops(spark, sf_dir):
     hit = F.forall("patterns", lambda p: F.contains(F.lower("device"), p))
-    return R.first_match(X.devices.df(spark), X.peak_flops.df(spark), hit, ["device"], "flops", F.lit(float("inf"))).select("device", F.when(F.col("flops") == float("inf"), -1.0).otherwise(F.col("flops")).alias("flops"))
+    return R.first_match(X.devices.df(spark, sf_dir), X.peak_flops.df(spark, sf_dir), hit, ["device"], "flops", F.lit(float("inf"))).select("device", F.when(F.col("flops") == float("inf"), -1.0).otherwise(F.col("flops")).alias("flops"))
 
 
 def hourly_cost(spark, sf_dir):
-    rows = R.first_match(X.devices.df(spark), X.hourly_rates.df(spark), F.contains("device", "name"), ["device", "count"], "rate", F.lit(2.0))
+    rows = R.first_match(X.devices.df(spark, sf_dir), X.hourly_rates.df(spark, sf_dir), F.contains("device", "name"), ["device", "count"], "rate", F.lit(2.0))
     return rows.select("device", (F.col("rate") * F.col("count")).alias("hourly"), F.round(F.col("rate") * F.col("count") * 1.65, 6).alias("total"))
 
 
 def report_lines(spark, sf_dir):
-    return sinks.report_lines(X.report_metrics.df(spark))
+    return sinks.report_lines(D.report_metrics.df(spark, sf_dir))
 
 
 def report_summary(spark, sf_dir):
-    return sinks.summary_table(X.report_metrics.df(spark).where("kind = 'float'"))
+    return sinks.summary_table(D.report_metrics.df(spark, sf_dir).where("kind = 'float'"))
 
 
 def report_extract(spark, sf_dir):
     """Last line of a section that holds a key: the part after the first colon."""
-    lines = X.sections.df(spark).select("file", F.posexplode(F.split("body", "\n")).alias("i", "line"))
+    lines = X.sections.df(spark, sf_dir).select("file", F.posexplode(F.split("body", "\n")).alias("i", "line"))
     keys = spark.createDataFrame([("CORE",), ("GSM8K",), ("MMLU",), ("ChatCORE",)], "key string")
     hits = lines.join(F.broadcast(keys), F.contains("line", "key"))
     return hits.groupBy("file", "key").agg(F.max_by(T.py_strip(F.split_part("line", F.lit(":"), F.lit(2))), "i").alias("value"))
@@ -145,7 +146,7 @@ def report_extract(spark, sf_dir):
 
 def wall_clock(spark, sf_dir):
     """Time from the start in the header to the last stamp of a section without RL."""
-    lines = X.sections.df(spark).select("file", F.explode(F.split("body", "\n")).alias("line"))
+    lines = X.sections.df(spark, sf_dir).select("file", F.explode(F.split("body", "\n")).alias("line"))
     stamp = F.try_to_timestamp(F.btrim(F.regexp_extract("line", "^[^:]*:(.*)$", 1)), F.lit("yyyy-MM-dd HH:mm:ss"))
     start = F.max(F.when(F.col("line").startswith("Run started:"), stamp))
     end = F.max(F.when(F.col("line").startswith("timestamp:") & ~F.contains("file", F.lit("rl")), stamp))
@@ -173,11 +174,11 @@ def chat_request_check(spark, sf_dir):
         .when(~F.coalesce(F.col("max_tokens"), F.lit(1)).between(1, 4096), "max_tokens")
         .otherwise("ok")
     )
-    return X.chat_requests.df(spark).select("req", rule.alias("rule"))
+    return D.chat_requests.df(spark, sf_dir).select("req", rule.alias("rule"))
 
 
 def _parabola() -> str:
-    return f"""WITH {X.runs.cte('s')}, v AS (SELECT *, params_transformer + params_lm_head AS ep, tokens_trained / (params_transformer + params_lm_head) AS ratio FROM s WHERE val_bpb IS NOT NULL AND val_bpb > 0),
+    return f"""WITH {D.runs.cte('s')}, v AS (SELECT *, params_transformer + params_lm_head AS ep, tokens_trained / (params_transformer + params_lm_head) AS ratio FROM s WHERE val_bpb IS NOT NULL AND val_bpb > 0),
 x AS (SELECT *, log10(ep) - avg(log10(ep)) OVER (PARTITION BY flops_budget) AS u, avg(log10(ep)) OVER (PARTITION BY flops_budget) AS mx FROM v),
 p AS (SELECT flops_budget, any_value(mx) AS mx, count(*)::DOUBLE AS n, sum(u) AS s1, sum(u**2) AS s2, sum(u**3) AS s3, sum(u**4) AS s4, sum(val_bpb) AS t0, sum(u*val_bpb) AS t1, sum(u*u*val_bpb) AS t2 FROM x GROUP BY 1),
 d AS (SELECT *, n*(s2*s4-s3*s3) - s1*(s1*s4-s2*s3) + s2*(s1*s3-s2*s2) AS det FROM p),
@@ -190,7 +191,7 @@ f AS (SELECT * FROM i UNION ALL SELECT * FROM b)
 SELECT flops_budget, printf('%.5e', params) AS params, printf('%.5e', tokens) AS tokens, printf('%.5e', ratio) AS ratio, printf('%.5e', bpb) AS bpb FROM f"""
 
 
-_VALID = f"WITH {X.runs.cte('s')}, v AS (SELECT *, params_transformer + params_lm_head AS effective_params, tokens_trained / (params_transformer + params_lm_head) AS ratio FROM s WHERE val_bpb IS NOT NULL AND val_bpb > 0)"
+_VALID = f"WITH {D.runs.cte('s')}, v AS (SELECT *, params_transformer + params_lm_head AS effective_params, tokens_trained / (params_transformer + params_lm_head) AS ratio FROM s WHERE val_bpb IS NOT NULL AND val_bpb > 0)"
 _VAL = "CASE WHEN kind = 'float' THEN printf('%.4f', number) WHEN kind = 'int' AND number >= 10000 THEN format('{:,}', number::BIGINT) WHEN kind = 'int' THEN number::BIGINT::VARCHAR ELSE text END"
 
 QUERIES = {
@@ -209,37 +210,37 @@ b AS (SELECT *, 2.0 ** round_even(log2(524288 * (tt / dr) ** 0.383), 0) AS bs FR
 SELECT depth, tt::BIGINT AS target_tokens, bs::BIGINT AS batch_size, round(sqrt(bs / 524288), 9)::DOUBLE AS lr_scale, round(0.28 * sqrt(bs / 524288) * dr / tt, 9)::DOUBLE AS decay_scaled, floor(tt / bs)::BIGINT AS iterations FROM b""",
     ),
     "flops_per_token": (flops_per_token, "WITH l AS (SELECT d::BIGINT AS depth, i, CASE WHEN i % 4 = 3 OR i = d - 1 THEN 2048 ELSE 512 END AS w FROM (SELECT d, unnest(range(0, d)) AS i FROM (SELECT unnest([4, 12, 20]) AS d))) SELECT depth, sum(12 * depth * 64 * w)::BIGINT AS attention, (depth * depth * 294912 * depth + sum(12 * depth * 64 * w))::BIGINT AS flops FROM l GROUP BY depth"),
-    "throughput": (throughput, f"WITH {X.step_log.cte('s')}, t AS (SELECT *, sum(CASE WHEN step > 10 THEN dt ELSE 0 END) OVER (ORDER BY step) AS total FROM s) SELECT step, floor(tokens / dt)::BIGINT AS tok_per_sec, round(100 * 6.0e9 * tokens / dt / (989e12 * 8), 6)::DOUBLE AS mfu, round(CASE WHEN step > 10 THEN total / (step - 10) * (40 - step) END, 6)::DOUBLE AS eta FROM t"),
-    "running_best": (running_best, f"WITH {X.val_log.cte('s')} SELECT step, min(val_bpb) OVER (ORDER BY step) AS best FROM s"),
+    "throughput": (throughput, f"WITH {D.step_log.cte('s')}, t AS (SELECT *, sum(CASE WHEN step > 10 THEN dt ELSE 0 END) OVER (PARTITION BY run ORDER BY step) AS total FROM s) SELECT run, step, floor(tokens / dt)::BIGINT AS tok_per_sec, round(100 * 6.0e9 * tokens / dt / (989e12 * 8), 6)::DOUBLE AS mfu, round(CASE WHEN step > 10 THEN total / (step - 10) * (40 - step) END, 6)::DOUBLE AS eta FROM t"),
+    "running_best": (running_best, f"WITH {D.val_log.cte('s')} SELECT run, step, min(val_bpb) OVER (PARTITION BY run ORDER BY step) AS best FROM s"),
     "ema_debiased": (
         ema_debiased,
-        f"""WITH RECURSIVE {X.step_log.cte('s')}, e AS (SELECT 0::BIGINT AS step, 0.1 * train_loss AS e FROM s WHERE step = 0 UNION ALL SELECT s.step, 0.9 * e.e + 0.1 * s.train_loss FROM e JOIN s ON s.step = e.step + 1)
-SELECT step, round(e / (1 - 0.9 ** (step + 1)), 8)::DOUBLE AS ema, round(e / (1 - 0.9 ** (step + 2)), 8)::DOUBLE AS late FROM e""",
+        f"""WITH RECURSIVE {D.step_log.cte('s')}, e AS (SELECT run, 0::BIGINT AS step, 0.1 * train_loss AS e FROM s WHERE step = 0 UNION ALL SELECT s.run, s.step, 0.9 * e.e + 0.1 * s.train_loss FROM e JOIN s ON s.run = e.run AND s.step = e.step + 1)
+SELECT run, step, round(e / (1 - 0.9 ** (step + 1)), 8)::DOUBLE AS ema, round(e / (1 - 0.9 ** (step + 2)), 8)::DOUBLE AS late FROM e""",
     ),
     "valid_runs": (valid_runs, f"{_VALID} SELECT flops_budget, depth, effective_params, round(ratio, 6)::DOUBLE AS ratio FROM v"),
-    "first_per_budget": (first_per_budget, f"WITH {X.runs.cte('s')} SELECT flops_budget, min(depth) AS depth, arg_min(val_bpb, depth) FILTER (val_bpb IS NOT NULL) AS val_bpb FROM s GROUP BY flops_budget"),
+    "first_per_budget": (first_per_budget, f"WITH {D.runs.cte('s')} SELECT flops_budget, min(depth) AS depth, arg_min(val_bpb, depth) FILTER (val_bpb IS NOT NULL) AS val_bpb FROM s GROUP BY flops_budget"),
     "best_per_budget": (best_per_budget, f"{_VALID} SELECT flops_budget, arg_min(depth, (val_bpb, depth)) AS depth, min(val_bpb) AS val_bpb FROM v GROUP BY flops_budget"),
     "isoflop_fit": (isoflop_fit, _parabola()),
     "power_law": (power_law, f"{_VALID} SELECT round(regr_slope(log10(effective_params), log10(flops_budget)), 7)::DOUBLE AS exponent, round(regr_intercept(log10(effective_params), log10(flops_budget)), 7)::DOUBLE AS log_factor, round(regr_r2(log10(effective_params), log10(flops_budget)), 7)::DOUBLE AS r2 FROM v"),
     "ratio_summary": (ratio_summary, f"{_VALID} SELECT round(avg(ratio), 6)::DOUBLE AS mean, round(stddev_samp(ratio), 6)::DOUBLE AS sd, round(log10(sqrt(min(flops_budget) * max(flops_budget))), 9)::DOUBLE AS log_ref FROM v"),
-    "linear_fit": (linear_fit, f"WITH {X.calibration.cte('s')}, m AS (SELECT core, (x1 + x2 + x3 + x4 + x5 + x6) / 6 AS m FROM s) SELECT round(regr_slope(core, m), 8)::DOUBLE AS slope, round(regr_intercept(core, m), 8)::DOUBLE AS intercept, round(regr_r2(core, m), 8)::DOUBLE AS r2 FROM m"),
+    "linear_fit": (linear_fit, f"WITH {D.calibration.cte('s')}, m AS (SELECT core, (x1 + x2 + x3 + x4 + x5 + x6) / 6 AS m FROM s) SELECT round(regr_slope(core, m), 8)::DOUBLE AS slope, round(regr_intercept(core, m), 8)::DOUBLE AS intercept, round(regr_r2(core, m), 8)::DOUBLE AS r2 FROM m"),
     "ridge_fit": (ridge_fit, None),
     "log_scrape": (
         log_scrape,
-        f"""WITH {X.log_lines.cte('s')}, m AS (SELECT run, line_no, nullif(regexp_extract(line, '^wte .*?([\\d,]+)\\s*$', 1), '') AS w, nullif(regexp_extract(line, 'Calculated number of iterations.*: ([\\d,]+)$', 1), '') AS i, nullif(regexp_extract(line, 'Total batch size ([\\d,]+)', 1), '') AS b, nullif(regexp_extract(line, 'Validation bpb:.*?([\\d.]+)$', 1), '') AS v, nullif(regexp_extract(line, 'CORE metric: (\\S+)$', 1), '') AS c FROM s),
+        f"""WITH {D.log_lines.cte('s')}, m AS (SELECT run, line_no, nullif(regexp_extract(line, '^wte .*?([\\d,]+)\\s*$', 1), '') AS w, nullif(regexp_extract(line, 'Calculated number of iterations.*: ([\\d,]+)$', 1), '') AS i, nullif(regexp_extract(line, 'Total batch size ([\\d,]+)', 1), '') AS b, nullif(regexp_extract(line, 'Validation bpb:.*?([\\d.]+)$', 1), '') AS v, nullif(regexp_extract(line, 'CORE metric: (\\S+)$', 1), '') AS c FROM s),
 l AS (SELECT run, arg_max(w, line_no) FILTER (w IS NOT NULL) AS w, arg_max(i, line_no) FILTER (i IS NOT NULL) AS i, arg_max(b, line_no) FILTER (b IS NOT NULL) AS b, arg_max(v, line_no) FILTER (v IS NOT NULL) AS v, arg_max(c, line_no) FILTER (c IS NOT NULL) AS c FROM m GROUP BY run)
 SELECT run, replace(w, ',', '')::BIGINT AS wte, replace(i, ',', '')::BIGINT * replace(b, ',', '')::BIGINT AS tokens_trained, v::DOUBLE AS val_bpb, coalesce(c, '0.0')::DOUBLE AS core_score FROM l""",
     ),
-    "skip_existing_runs": (skip_existing_runs, f"WITH {X.runs.cte('s')} SELECT flops_budget, depth FROM s WHERE depth >= 14"),
-    "side_by_side": (side_by_side, f"WITH {X.runs.cte('s')} SELECT a.depth, a.val_bpb AS small, b.val_bpb AS large FROM s a JOIN s b ON a.depth = b.depth WHERE a.flops_budget = 1e18 AND b.flops_budget = 1e19"),
-    "repeat_spread": (repeat_spread, f"WITH {X.runs.cte('s')} SELECT depth, round(avg(core_score), 9)::DOUBLE AS mean, round(max(val_bpb) - min(val_bpb), 9)::DOUBLE AS spread FROM s GROUP BY depth"),
-    "parameter_totals": (parameter_totals, f"WITH {X.runs.cte('s')} SELECT depth, max(params_lm_head + params_transformer)::BIGINT AS total, 2::BIGINT AS parts FROM s GROUP BY depth"),
+    "skip_existing_runs": (skip_existing_runs, f"WITH {D.runs.cte('s')} SELECT flops_budget, depth FROM s WHERE depth >= 14"),
+    "side_by_side": (side_by_side, f"WITH {D.runs.cte('s')} SELECT a.depth, a.val_bpb AS small, b.val_bpb AS large FROM s a JOIN s b ON a.depth = b.depth WHERE a.flops_budget = 1e18 AND b.flops_budget = 1e19"),
+    "repeat_spread": (repeat_spread, f"WITH {D.runs.cte('s')} SELECT depth, round(avg(core_score), 9)::DOUBLE AS mean, round(max(val_bpb) - min(val_bpb), 9)::DOUBLE AS spread FROM s GROUP BY depth"),
+    "parameter_totals": (parameter_totals, f"WITH {D.runs.cte('s')} SELECT depth, max(params_lm_head + params_transformer)::BIGINT AS total, 2::BIGINT AS parts FROM s GROUP BY depth"),
     "peak_flops": (peak_flops, f"WITH {X.devices.cte('s')}, {X.peak_flops.cte('t')}, m AS (SELECT device, flops, ord FROM s LEFT JOIN t ON len(list_filter(patterns, lambda p: NOT contains(lower(device), p))) = 0) SELECT device, coalesce(arg_min(flops, ord), -1.0)::DOUBLE AS flops FROM m GROUP BY device"),
     "hourly_cost": (hourly_cost, f"WITH {X.devices.cte('s')}, {X.hourly_rates.cte('t')}, m AS (SELECT device, count, coalesce(arg_min(rate, ord), 2.0) AS rate FROM s LEFT JOIN t ON contains(device, name) GROUP BY device, count) SELECT device, (rate * count)::DOUBLE AS hourly, round(rate * count * 1.65, 6)::DOUBLE AS total FROM m"),
-    "report_lines": (report_lines, f"WITH {X.report_metrics.cte('s')} SELECT stage, replace(lower(section), ' ', '-') AS slug, '- ' || key || ': ' || {_VAL} AS line FROM s"),
+    "report_lines": (report_lines, f"WITH {D.report_metrics.cte('s')} SELECT stage, replace(lower(section), ' ', '-') AS slug, '- ' || key || ': ' || {_VAL} AS line FROM s"),
     "report_summary": (
         report_summary,
-        f"""WITH {X.report_metrics.cte('s')}, p AS (SELECT key, coalesce(max({_VAL}) FILTER (stage = 'base'), '-') AS b, coalesce(max({_VAL}) FILTER (stage = 'sft'), '-') AS s, coalesce(max({_VAL}) FILTER (stage = 'rl'), '-') AS r FROM s WHERE kind = 'float' GROUP BY key)
+        f"""WITH {D.report_metrics.cte('s')}, p AS (SELECT key, coalesce(max({_VAL}) FILTER (stage = 'base'), '-') AS b, coalesce(max({_VAL}) FILTER (stage = 'sft'), '-') AS s, coalesce(max({_VAL}) FILTER (stage = 'rl'), '-') AS r FROM s WHERE kind = 'float' GROUP BY key)
 SELECT row_number() OVER (ORDER BY key <> 'CORE', key = 'ChatCORE', key)::INT AS ord, '| ' || rpad(key, 15, ' ') || ' | ' || rpad(b, 8, ' ') || ' | ' || rpad(s, 8, ' ') || ' | ' || rpad(r, 8, ' ') || ' |' AS line FROM p""",
     ),
     "report_extract": (
@@ -251,7 +252,7 @@ SELECT file, key, arg_max(trim(split_part(line, ':', 2)), i) AS value FROM l JOI
     "core_table": (core_table, "SELECT k::INT AS k, line FROM (VALUES (0, 'Task                               , Accuracy  , Centered  '), (1, 'arc_easy                           , 0.612000  , 0.482667  '), (1, 'copa                               , 0.700000  , 0.400000  '), (2, 'CORE                               ,           , 0.441333  ')) t(k, line)"),
     "chat_request_check": (
         chat_request_check,
-        f"""WITH {X.chat_requests.cte('s')}, b AS (SELECT *, list_filter(list_transform(messages, lambda x: CASE WHEN x.content = '' THEN 'empty' WHEN length(x.content) > 8000 THEN 'long' END), lambda x: x IS NOT NULL) AS t FROM s)
+        f"""WITH {D.chat_requests.cte('s')}, b AS (SELECT *, list_filter(list_transform(messages, lambda x: CASE WHEN x.content = '' THEN 'empty' WHEN length(x.content) > 8000 THEN 'long' END), lambda x: x IS NOT NULL) AS t FROM s)
 SELECT req, CASE WHEN len(messages) = 0 THEN 'no_messages' WHEN len(messages) > 500 THEN 'too_many' WHEN len(t) > 0 THEN t[1] WHEN list_sum(list_transform(messages, lambda x: length(x.content))) > 32000 THEN 'total'
 WHEN len(list_filter(messages, lambda x: x.role NOT IN ('user', 'assistant'))) > 0 THEN 'role' WHEN coalesce(temperature, 0) NOT BETWEEN 0 AND 2 THEN 'temperature' WHEN coalesce(top_k, 0) NOT BETWEEN 0 AND 200 THEN 'top_k' WHEN coalesce(max_tokens, 1) NOT BETWEEN 1 AND 4096 THEN 'max_tokens' ELSE 'ok' END AS rule FROM b""",
     ),
