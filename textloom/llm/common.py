@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 WS = "\t\n\x0b\x0c\r "
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
-_tables: list[tuple[SparkSession, str]] = []
+#: Materialized tables by path, in the order of their making.
+_tables: dict[str, DataFrame] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,19 @@ def is_remainder(col: str, modulus: int, value: int) -> Column:
     return F.coalesce(remainder(col, modulus) == value, F.lit(False))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, columns: list[str], train: Column | None, rows: int) -> DataFrame:
+    """h (hash of the id), `columns` and y of the labelled documents for which `train` (a
+    column over doc_id) holds: the `rows` with the least hash. Rows with equal id, columns
+    and label count once. The bound is on rows after the join, so an id with many rows or
+    labels cannot pass it; only ids and hashes are sorted for it."""
+    known = labels.select("doc_id", F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull())
+    known = known.where(train) if train is not None else known
+    first = known.distinct().withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "y").limit(rows)
+    joined = docs.select("doc_id", *columns).join(F.broadcast(first), "doc_id").withColumn("t", F.xxhash64(*columns))  # at most `rows` ids
+    keys = joined.select("h", "t", "y").distinct().orderBy("h", "t", "y").limit(rows)
+    return joined.join(F.broadcast(keys), ["h", "t", "y"], "left_semi").select("h", *columns, "y").dropDuplicates(["h", "y", *columns])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -46,28 +60,53 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    own = "file://" + tempfile.mkdtemp(prefix="textloom-")  # unset: a local session
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    own = "file://" + tempfile.mkdtemp(prefix="textloom-")  # one machine
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once into the shared folder and read it back: cuts lineage and
-    survives the loss of an executor. Tables are removed when the driver ends."""
+    survives the loss of an executor. Tables are removed when they are released, or when
+    the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/textloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _tables.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[path] = out
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove materialized tables that no later plan reads."""
+    for path in [p for p, t in _tables.items() if any(t is x for x in tables)]:
+        _remove(path)
+
+
+@contextlib.contextmanager
+def scratch():
+    """Tables that were made inside are removed at the end but for the last one made,
+    which holds the result."""
+    before = set(_tables)
+    yield
+    for path in [p for p in _tables if p not in before][:-1]:
+        _remove(path)
+
+
+def _remove(path: str) -> None:
+    spark = _tables.pop(path).sparkSession
+    with contextlib.suppress(Exception):
+        jvm, sc = spark._jvm, spark.sparkContext
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @atexit.register
 def _remove_tables() -> None:
-    for spark, path in _tables:
-        with contextlib.suppress(Exception):
-            jvm, sc = spark._jvm, spark.sparkContext
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    for path in list(_tables):
+        _remove(path)
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", rows: int = 1024, size: int = 4 << 20):

@@ -6,11 +6,15 @@ partition and only those fixed-size sums meet; their solution is the ridge score
 Isotonic regression (pool adjacent violators) on scores of rows that the scoring
 model did not see turns it into a probability.
 
+The standardised statistics themselves stand beside the Fourier features, so the ridge
+score has a linear part too.
+
 Fit bound: at most FIT_ROWS labelled rows, those with the smallest hash of their id
-(a documented parameter). Scoring covers every row.
+(a documented parameter, counted after labels have met documents). Scoring covers
+every row.
 
 Defined cases: null or empty text: statistics are zero, the score is that of a text
-without words; duplicate labels of a document count as separate rows; labels of
+without words; rows with equal id, statistics and label count once; labels of
 unknown documents and null labels are ignored; without labels of both classes every
 score is the share of label 1 (0.5 without labels); repeated rows get equal scores;
 extra columns are ignored; an empty table gives an empty result.
@@ -145,11 +149,7 @@ class Model:
 
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", train=None, fit_rows: int = FIT_ROWS) -> Model:
     """Fit on the labelled rows for which `train` (a column over doc_id) holds."""
-    rows = labels.select("doc_id", F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull())
-    if train is not None:
-        rows = rows.where(train)
-    chosen = rows.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "y").limit(fit_rows)
-    data = common.materialize(stats.join(chosen, "doc_id").select("stats", "y", F.pmod("h", F.lit(4)).cast("int").alias("fold")), "quality-fit")
+    data = common.materialize(common.labelled(stats, labels, label, ["stats"], train, fit_rows).select("stats", "y", F.pmod("h", F.lit(4)).cast("int").alias("fold")), "quality-fit")
     k = N_STATISTICS
     moments = data.agg(F.count("*").alias("n"), F.sum("y").alias("s"), *[F.avg(F.get("stats", F.lit(i))).alias(f"m{i}") for i in range(k)], *[F.stddev_pop(F.get("stats", F.lit(i))).alias(f"d{i}") for i in range(k)]).first()
     n, positive = moments["n"], moments["s"] or 0.0
@@ -208,4 +208,7 @@ def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document, learning labels of those whose remainder by 5 is not 0. Null
+    and empty texts have zero statistics; rows without an id are scored, not learned from;
+    an empty table gives an empty result; other columns are not read."""
     return classify(common.documents(spark, sf_dir), common.labels(spark, sf_dir))
