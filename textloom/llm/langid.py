@@ -10,12 +10,19 @@ Forward-backward runs on all documents of a slice at once: chains are cut into
 blocks, the transfer matrix of every block is multiplied up in parallel, block
 borders are chained, and the blocks are filled in. That is exact for any length.
 
-Fit bound: at most FIT_DOCS labelled documents (smallest hash of the id), each of them
-cut into whole chains of CHAIN words; a documented parameter.
+The fit reads whole texts and sums the gradient in partitions; only that sum, whose
+size is fixed, meets at the driver in each round. Labelled documents are of one language
+each, so pieces of PIECE words of several documents are strung together, in the order
+of a hash: transitions are learned from chains with switches.
+
+Fit bound: at most FIT_DOCS labelled texts (smallest hash of the id, a documented
+parameter, counted after equal rows are merged); of these, every word counts.
 
 Defined cases: null text or a text without a letter: `und` with score 0; ties go to
-the first language in sorted order; null langs are not learned; without any labelled
-document every text is `und`; extra columns are ignored.
+the first language in sorted order; null langs and null texts are not learned from; a
+null id is a training row; without any labelled document every text is `und`; with one
+language every text with a letter has it; equal rows are learned from once and scored
+row by row; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,8 +37,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bound of the documents and words used for fitting, words of a chain, rounds.
-FIT_DOCS, FIT_WORDS, CHAIN, ROUNDS, RATE, PENALTY = 2_000, 150_000, 32, 40, 0.5, 1e-6
+#: Bound of the texts used for fitting, words of a piece, words of a chain, partitions of the fit, rounds.
+FIT_DOCS, PIECE, CHAIN, PARTS, ROUNDS, RATE, PENALTY = 1_000, 32, 1 << 16, 6, 40, 0.5, 1e-6
 #: Slots of the weight table; feature kinds of a word.
 SLOTS, WIDTH, BLOCK = 1 << 17, 24, 32
 #: Entries of the emission cache of one Python worker.
@@ -90,10 +97,11 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
 
 
-def marginals(emit: np.ndarray, trans: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> np.ndarray:
+def marginals(emit: np.ndarray, trans: np.ndarray, lengths: np.ndarray, block: int = BLOCK, pairs: np.ndarray | None = None) -> np.ndarray:
     """Label probabilities (words, labels) of chains that lie one after another.
 
     emit: (words, labels) scores; trans: (labels, labels); lengths: words of a chain.
+    The expected number of each pair of neighbouring labels is added to `pairs`.
     """
     total, k = emit.shape
     if not total:
@@ -152,6 +160,10 @@ def marginals(emit: np.ndarray, trans: np.ndarray, lengths: np.ndarray, block: i
     for j in range(block - 1, -1, -1):
         live = inside[:, j]
         out[:, j] = alpha[:, j] * current
+        if pairs is not None:
+            at = live if j else live & ~is_first
+            both = (alpha[at, j - 1] if j else before[at])[:, :, None] * step * (weight[at, j] * current[at])[:, None, :]
+            pairs += (both / both.sum((1, 2), keepdims=True)).sum(0)
         current = np.where(live[:, None], scaled((weight[:, j] * current) @ step.T), current)
     flat = out[inside]
     return flat / flat.sum(1, keepdims=True)
@@ -178,70 +190,119 @@ class Model:
         return np.einsum("nfk,nf->nk", self.weights[slots], has.astype(np.float32)) / np.sqrt(has.sum(1, keepdims=True))
 
 
-def fit_model(chains: list[list[str]], tags: list[int], langs: list[str], rounds: int = ROUNDS) -> Model:
-    """AdaGrad on the conditional log-likelihood of chains of words that all carry
-    their document's label; a pseudo-chain of every switch keeps transitions finite."""
-    k = len(langs)
+class Chain:
+    """One chain of labelled words: its vocabulary's features, and words by vocabulary."""
+
+    def __init__(self, words: list[str], tags: np.ndarray) -> None:
+        vocabulary = sorted(set(words))
+        at = dict(zip(vocabulary, range(len(vocabulary))))
+        self.index, self.tags = np.fromiter(map(at.__getitem__, words), np.int32, len(words)), tags.astype(np.int8)
+        slots, has = features(vocabulary)
+        self.counts, self.slots = has.sum(1).astype(np.int32), slots[has]
+
+    def pack(self) -> list[bytes]:
+        return [self.index.tobytes(), self.tags.tobytes(), self.counts.tobytes(), self.slots.tobytes()]
+
+    @classmethod
+    def unpack(cls, cells: list[bytes]) -> Chain:
+        self = cls.__new__(cls)
+        self.index, self.tags, self.counts, self.slots = (np.frombuffer(c, kind) for c, kind in zip(cells, (np.int32, np.int8, np.int32, np.int32)))
+        return self
+
+    def gradient(self, weights: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient of the log-likelihood of the labels by weights and transitions."""
+        k, scale = trans.shape[0], 1 / np.sqrt(self.counts)[:, None]
+        starts = np.cumsum(self.counts) - self.counts
+        emit = (np.add.reduceat(weights[self.slots], starts, axis=0) * scale)[self.index]
+        expected = np.zeros((k, k))
+        p = marginals(emit, trans, np.array([len(self.index)]), pairs=expected)
+        diff = -p
+        diff[np.arange(len(p)), self.tags] += 1
+        by_word = np.stack([np.bincount(self.index, diff[:, j], len(self.counts)) for j in range(k)], 1) * scale
+        row_of = np.repeat(np.arange(len(self.counts)), self.counts)
+        grad = np.stack([np.bincount(self.slots, by_word[row_of, j], SLOTS) for j in range(k)], 1)
+        seen = np.bincount(self.tags[:-1].astype(int) * k + self.tags[1:], minlength=k * k).reshape(k, k)
+        return grad, seen - expected
+
+
+def ascend(gradient, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transitions by AdaGrad; gradient(weights, trans) = (gradient by weights,
+    by transitions, words)."""
     weights, trans = np.zeros((SLOTS, k), np.float32), np.zeros((k, k))
-    if not chains or k < 2:
-        return Model(langs, weights, trans)
-    flat = [w for c in chains for w in c]
-    vocabulary, index = np.unique(np.array(flat, dtype=object).astype(str), return_inverse=True)
-    slots, has = features(vocabulary.tolist())
-    lengths = np.array([len(c) for c in chains])
-    gold = np.zeros((len(flat), k))
-    gold[np.arange(len(flat)), np.repeat(tags, lengths)] = 1
-    ends = np.cumsum(lengths)
-    inner = np.ones(len(flat), bool)
-    inner[ends - 1] = False
-    inner = np.flatnonzero(inner)
-    scale = 1 / np.sqrt(has.sum(1))
     seen_w, seen_t = np.full((SLOTS, k), 1e-3, np.float32), np.full((k, k), 1e-3)
-    flat_slots = slots[has]
-    row_of = np.repeat(np.arange(len(vocabulary)), has.sum(1))
-    switches = 1.0  # prior count of each switch
     for _ in range(rounds):
-        emit = (np.einsum("nfk,nf->nk", weights[slots], has.astype(np.float32)) * scale[:, None])[index]
-        p = marginals(emit, trans, lengths)
-        diff = (gold - p) / len(flat)
-        by_word = np.stack([np.bincount(index, diff[:, j], len(vocabulary)) for j in range(k)], 1) * scale[:, None]
-        grad = np.stack([np.bincount(flat_slots, by_word[row_of, j], SLOTS) for j in range(k)], 1) - PENALTY * weights
-        # pair expectations from neighbouring marginals under the model
-        a, b = p[inner], p[inner + 1]
-        pair = a[:, :, None] * b[:, None, :] * np.exp(trans)[None]
-        pair /= pair.sum((1, 2), keepdims=True)
-        seen = gold[inner].T @ gold[inner + 1] + switches
-        grad_t = (seen / seen.sum() - pair.sum(0) / max(len(inner), 1)) - 1e-3 * trans
-        seen_w += (grad * len(flat) / 1000) ** 2
+        grad, grad_t, words = gradient(weights, trans)
+        grad = (grad / 1000 - PENALTY * words / 1000 * weights).astype(np.float32)
+        grad_t = grad_t / 1000 - PENALTY * words * trans
+        seen_w += grad**2
         seen_t += grad_t**2
-        weights += (RATE * (grad * len(flat) / 1000) / np.sqrt(seen_w)).astype(np.float32)
+        weights += RATE * grad / np.sqrt(seen_w)
         trans += RATE * grad_t / np.sqrt(seen_t)
-    return Model(langs, weights, trans)
+    return weights, trans
 
 
-def fit(docs: DataFrame, train, fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORDS) -> Model:
+def fit(docs: DataFrame, train, fit_docs: int = FIT_DOCS) -> Model:
     """Fit on documents with a lang for which `train` holds."""
+    spark = docs.sparkSession
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & train)
-    keys = rows.select(F.xxhash64("doc_id", "lang").alias("h"), "doc_id").orderBy("h", "doc_id").limit(fit_docs)
-    chosen = rows.withColumn("h", F.xxhash64("doc_id", "lang")).join(F.broadcast(keys.distinct()), ["h", "doc_id"]).select("h", "text", "lang")
+    rows = rows.select("text", "lang", F.xxhash64("doc_id", "lang").alias("h"), F.xxhash64("text").alias("t"))
+    keys = rows.select("h", "t", "lang").distinct().orderBy("h", "t", "lang").limit(fit_docs)
+    chosen = common.materialize(rows.join(F.broadcast(keys), ["h", "t", "lang"], "left_semi").dropDuplicates(["h", "t", "lang"]), "langid-fit")
+    langs = sorted(r["lang"] for r in chosen.select("lang").distinct().collect())  # at most fit_docs
+    k = len(langs)
+    if k < 2:
+        return Model(langs, np.zeros((SLOTS, k), np.float32), np.zeros((k, k)))
+
+    def chains(batches):
+        """Chains of about CHAIN words of the pieces of one partition."""
+        pieces: list[tuple[int, list[str], int]] = []
+        held = 0
+
+        def out():
+            ordered = sorted(pieces)
+            chain = Chain([w for _, words, _ in ordered for w in words], np.repeat([tag for *_, tag in ordered], [len(words) for _, words, _ in ordered]))
+            return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in chain.pack()], names=["words", "tags", "counts", "slots"])
 
-    def chains(batches, share=max(1, fit_words // fit_docs)):
-        """Whole chains spread over each document, `share` words a document."""
         for batch in batches:
-            out = []
             for h, text, lang in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 words = words_of(text)
-                cut = [words[i : i + CHAIN] for i in range(0, len(words), CHAIN)]
-                step = max(1, len(cut) * CHAIN // share)
-                out += [(h, i, lang, c) for i, c in enumerate(cut[::step][: share // CHAIN + 1])]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.string()), pa.array([o[3] for o in out], pa.list_(pa.string()))], names=["h", "i", "lang", "words"])
-
-    data = chosen.mapInArrow(chains, "h long, i int, lang string, words array<string>").toPandas().sort_values(["h", "i", "lang"], kind="stable")
-    langs = sorted(data["lang"].unique().tolist())
-    return fit_model([list(w) for w in data["words"]], [langs.index(x) for x in data["lang"]], langs)
-
-
-_emit: dict[str, tuple[dict[str, int], list[np.ndarray]]] = {}
+                for i in range(0, len(words), PIECE):
+                    pieces.append((int(common.mix64(np.array([h + i * 0x9E3779B9], np.int64).view(np.uint64))[0]), words[i : i + PIECE], langs.index(lang)))
+                    held += len(pieces[-1][1])
+                    if held >= CHAIN:
+                        yield out()
+                        pieces.clear()
+                        held = 0
+        if pieces:
+            yield out()
+
+    spread = chosen.repartition(PARTS, "h", "t").sortWithinPartitions("h", "t", "lang")
+    data = common.materialize(spread.mapInArrow(chains, "words binary, tags binary, counts binary, slots binary"), "langid-chains")
+
+    def gradient(weights: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        shared = spark.sparkContext.broadcast((weights, trans))
+
+        def sums(batches):
+            total = None
+            for batch in batches:
+                for cells in zip(*(batch.column(c).to_pylist() for c in ("words", "tags", "counts", "slots"))):
+                    chain = Chain.unpack(cells)
+                    grad, grad_t = chain.gradient(*shared.value)
+                    total = [grad, grad_t, len(chain.index)] if total is None else [total[0] + grad, total[1] + grad_t, total[2] + len(chain.index)]
+            if total is not None:
+                at = np.flatnonzero(total[0].any(1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (at.tobytes(), total[0][at].astype(np.float32).tobytes(), total[1].tobytes())] + [pa.array([total[2]], pa.int64())], names=["at", "grad", "pairs", "n"])
+
+        whole, pairs, n = np.zeros((SLOTS, k)), np.zeros((k, k)), 0
+        # PARTS rows of at most SLOTS * k numbers
+        for r in data.coalesce(PARTS).mapInArrow(sums, "at binary, grad binary, pairs binary, n long").collect():
+            whole[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["grad"], np.float32).reshape(-1, k)
+            pairs += np.frombuffer(r["pairs"], np.float64).reshape(k, k)
+            n += r["n"]
+        shared.destroy()
+        return whole, pairs, n
+
+    return Model(langs, *ascend(gradient, k))
 
 
 class Tagger:
@@ -312,6 +373,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those whose remainder by 4 is not 2. Null
+    texts and texts without a letter are `und`; null langs are not learned from; repeated
+    rows are scored row by row; an empty table gives an empty result; other columns are not
+    read."""
     docs = common.documents(spark, sf_dir)
     model = fit(docs, ~common.is_remainder("doc_id", 4, 2))
     return identify(docs, model).select("doc_id", common.is_remainder("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
