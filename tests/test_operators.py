@@ -98,6 +98,82 @@ def test_event_windows_stream_equals_batch(spark, tmp_path):
     assert sorted(map(key, spark.table("ev").collect())) == sorted(map(key, streams.event_windows(events, "1 day").collect()))
 
 
+def plain_merges(counts, n):
+    """Pairs counted anew before every merge."""
+    words, merges = [(list(c), m) for c, m in counts], []
+    for new in range(256, 256 + n):
+        pairs = {}
+        for ids, m in words:
+            for p in zip(ids, ids[1:]):
+                pairs[p] = pairs.get(p, 0) + m
+        if not pairs:
+            break
+        best = min(pairs, key=lambda p: (-pairs[p], p))
+        merges.append(best)
+        for k, (ids, m) in enumerate(words):
+            out, i = [], 0
+            while i < len(ids):
+                hit = tuple(ids[i : i + 2]) == best
+                out.append(new if hit else ids[i])
+                i += 2 if hit else 1
+            words[k] = (out, m)
+    return merges
+
+
+def test_merges_on_the_driver_and_apart(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 25")
+    counts = [(r["chunk"].encode(), r["n"]) for r in tokens.chunk_counts(docs).collect()]
+    want = plain_merges(counts, 60)
+    assert tokens.learn_merges(counts, 60) == want and tokens.train(docs, 60, driver_chunks=10) == want
+    few = [(b"aaaa", 3), (b"abab", 2), (b"ba", 2)]
+    table = spark.createDataFrame([(c.decode(), n) for c, n in few], "chunk string, n long")
+    assert tokens.learn_merges(few, 9) == plain_merges(few, 9) == tokens.learn_merges_apart(table, 9) == tokens.learn_merges_apart(table, 9, batch=2)
+
+
+def test_encoding_equals_the_library(spark):
+    """The same merges as ranks of a public library give the same ids."""
+    import tiktoken
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    merges = tokens.train(docs, 300)
+    ranks = {t: i for i, t in enumerate(tokens.vocabulary(merges))}
+    library = tiktoken.Encoding("own", pat_str=T.SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in tokens.encode(docs, merges).collect():
+        assert r["ids"] == library.encode_ordinary(texts[r["doc_id"]])
+    sizes = {r["lang"]: r["tokens"] for r in tokens.side_by_side(docs, "lang", {"own": tokens.piece_counter(merges)}).collect()}
+    assert sum(sizes.values()) == sum(len(library.encode_ordinary(t)) for t in texts.values())
+
+
+def test_first_fit_decreasing():
+    rng = random.Random(9)
+    for _ in range(50):
+        capacity, items = rng.randint(5, 30), [(i, rng.randint(1, 40)) for i in range(rng.randint(0, 60))]
+        room, slots, want = [], [], []
+        for key, n in sorted(items, key=lambda x: (-x[1], x[0])):
+            taken = min(n, capacity)
+            row = next((r for r, free in enumerate(room) if free >= taken), len(room))
+            if row == len(room):
+                room.append(capacity)
+                slots.append(0)
+            want.append((row, slots[row], capacity - room[row], key, taken, n - taken))
+            room[row] -= taken
+            slots[row] += 1
+        assert packing.first_fit_decreasing(items, capacity) == want
+
+
+@pytest.mark.parametrize("beta", [0.5, 0.999])
+def test_moving_average_over_blocks(spark, monkeypatch, beta):
+    monkeypatch.setattr(runs, "EMA_BLOCK", 7)
+    rows = [(r, i, (i * 37 % 11) / 3) for r, n in ((0, 50), (1, 3), (2, 7), (3, 14)) for i in range(n)]
+    got = {(r["run"], r["step"]): r["ema"] for r in runs.ema(spark.createDataFrame(rows, "run int, step int, x double"), "x", beta, by=("run",)).collect()}
+    for run in range(4):
+        acc = 0.0
+        for i, x in ((i, x) for r, i, x in rows if r == run):
+            acc = beta * acc + (1 - beta) * x
+            assert abs(got[run, i] - acc / (1 - beta ** (i + 1))) < 1e-9
+
+
 def test_byte_pairs(spark):
     docs = spark.createDataFrame([(0, "low lower lowest"), (1, "newer wider é🌍 12345"), (2, ""), (3, None)], "doc_id long, text string")
     merges = tokens.train(docs, 40)

@@ -64,17 +64,23 @@ def place(items: list[tuple[int, int]], capacity: int, buffer_size: int, crop: b
 
 
 def first_fit_decreasing(items: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Longest first, each into the first row with room; longer items are cut to a row."""
-    out, room, slots = [], [], []
+    """Longest first, each into the first row with room; longer items are cut to a row.
+    The room of all rows is a tree of maxima, so a row is found in logarithmic time."""
+    size = 1 << max(len(items) - 1, 0).bit_length()
+    room = [capacity] * (2 * size)  # the leaves from `size` on are rows, empty at first
+    slots = [0] * size
+    out = []
     for key, length in sorted(items, key=lambda x: (-x[1], x[0])):
-        taken = min(length, capacity)
-        row = next((r for r, free in enumerate(room) if free >= taken), len(room))
-        if row == len(room):
-            room.append(capacity)
-            slots.append(0)
-        out.append((row, slots[row], capacity - room[row], key, taken, length - taken))
-        room[row] -= taken
+        taken, k = min(length, capacity), 1
+        while k < size:
+            k = 2 * k if room[2 * k] >= taken else 2 * k + 1
+        row = k - size
+        out.append((row, slots[row], capacity - room[k], key, taken, length - taken))
         slots[row] += 1
+        room[k] -= taken
+        while k > 1:
+            k //= 2
+            room[k] = max(room[2 * k], room[2 * k + 1])
     return out
 
 
@@ -101,6 +107,15 @@ STRATEGIES = {
 }
 
 
+#: Items of a stripe.
+STRIPE_ITEMS = 250_000
+
+
+def stripes_for(items: DataFrame, least: int = 1, each: int = STRIPE_ITEMS) -> int:
+    """Stripes so that none has more than about `each` items."""
+    return max(least, -(-items.count() // each))
+
+
 def pack(items: DataFrame, capacity: int, stripes: int, strategy: str = "bestfit_crop", buffer_size: int = 1000, key: str = "id", length: str = "length") -> DataFrame:
     """Placements of items (key, length), packed per stripe of the key in key order. Only
     lengths are shuffled; `assemble` brings the tokens."""

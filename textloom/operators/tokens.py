@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.functions.text import byte_ids, pretokens
+from textloom.functions.text import SPLIT_PATTERN, byte_ids
+from textloom.session import cut
 
 #: Special tokens in id order (fixed values); their ids follow the mergeable ones.
 SPECIALS = ["<|bos|>", "<|user_start|>", "<|user_end|>", "<|assistant_start|>", "<|assistant_end|>", "<|python_start|>", "<|python_end|>", "<|output_start|>", "<|output_end|>"]
 BASE = 256
+#: Distinct chunks that are merged on the driver; distinct chunks a task holds.
+DRIVER_CHUNKS, FLUSH = 500_000, 300_000
+#: Vocabulary entries that may be broadcast.
+BROADCAST = 1_000_000
 
 
 def special_ids(spark: SparkSession, n_mergeable: int = BASE) -> DataFrame:
@@ -124,23 +131,56 @@ def visualize(tokens: Column, mask: Column, with_ids: Column | None = None) -> C
 
 
 def lookup(rows: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, tokens: ids replaced by their vocabulary entries (an equi-join on the id; the
-    vocabulary is one row an id, so it is broadcast)."""
-    flat = rows.select(key, F.posexplode("ids").alias("pos", "token_id")).join(F.broadcast(vocab), "token_id")
+    """key, tokens: ids replaced by their vocabulary entries (an equi-join on the id; a
+    vocabulary of at most BROADCAST entries is sent to all tasks)."""
+    small = vocab.limit(BROADCAST + 1).count() <= BROADCAST
+    flat = rows.select(key, F.posexplode("ids").alias("pos", "token_id")).join(F.broadcast(vocab) if small else vocab, "token_id")
     return flat.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))  # one text
 
 
 # -- byte pairs -----------------------------------------------------------------
 
 
+_pieces = regex.compile(SPLIT_PATTERN).findall
+
+
 def chunk_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """chunk, n: split pieces of all texts with their counts (one shuffle)."""
-    return docs.select(F.explode(pretokens(F.col(text))).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("n"))
+    """chunk, n: split pieces of all texts with their counts; every task sums its own."""
+
+    def run(batches):
+        seen: Counter = Counter()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["chunk", "n"])
+
+        for batch in batches:
+            for t in batch.column(text).to_pylist():
+                seen.update(_pieces(t or ""))
+                if len(seen) > FLUSH:
+                    yield out()
+                    seen.clear()
+        yield out()
+
+    return docs.select(text).mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+
+
+def _merged(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
+    """The ids with every occurrence of a pair, from the left, replaced."""
+    out, i, n = [], 0, len(ids)
+    while i < n:
+        if i + 1 < n and ids[i] == pair[0] and ids[i + 1] == pair[1]:
+            out.append(new)
+            i += 2
+        else:
+            out.append(ids[i])
+            i += 1
+    return out
 
 
 def learn_merges(counts: list[tuple[bytes, int]], n_merges: int) -> list[tuple[int, int]]:
-    """The most frequent pair first, the smallest pair on ties; counts are kept per pair
-    and only chunks that hold a merged pair are touched again."""
+    """The most frequent pair first, the smallest pair on ties: a heap of counts, of which
+    outdated ones are put right when they come up; only chunks that hold a merged pair are
+    touched again."""
     words = [list(c) for c, _ in counts]
     weight = [n for _, n in counts]
     pairs: Counter = Counter()
@@ -149,35 +189,96 @@ def learn_merges(counts: list[tuple[bytes, int]], n_merges: int) -> list[tuple[i
         for p in zip(ids, ids[1:]):
             pairs[p] += weight[k]
             where[p].add(k)
+    heap = [(-n, p) for p, n in pairs.items()]
+    heapify(heap)
     merges: list[tuple[int, int]] = []
-    while len(merges) < n_merges and pairs:
-        best = min(pairs, key=lambda p: (-pairs[p], p))
-        if pairs[best] <= 0:
-            break
+    while len(merges) < n_merges and heap:
+        n, best = heappop(heap)
+        if pairs[best] != -n:
+            if pairs[best] > 0:
+                heappush(heap, (-pairs[best], best))
+            continue
         new = BASE + len(merges)
         merges.append(best)
-        for k in list(where.pop(best)):
-            ids, out, i = words[k], [], 0
+        changed = set()
+        for k in where.pop(best):
+            ids = words[k]
+            out = words[k] = _merged(ids, best, new)
             for p in zip(ids, ids[1:]):
                 pairs[p] -= weight[k]
-            while i < len(ids):
-                hit = i + 1 < len(ids) and (ids[i], ids[i + 1]) == best
-                out.append(new if hit else ids[i])
-                i += 2 if hit else 1
-            words[k] = out
             for p in zip(out, out[1:]):
                 pairs[p] += weight[k]
                 where[p].add(k)
+                if p[0] == new or p[1] == new:
+                    changed.add(p)
         del pairs[best]
+        for p in changed:
+            heappush(heap, (-pairs[p], p))
+    return merges
+
+
+def learn_merges_apart(counts: DataFrame, n_merges: int, batch: int = 256) -> list[tuple[int, int]]:
+    """The same merges where the table of chunks (chunk, n) is too large for the driver:
+    pairs are counted in Spark, and each round takes all merges that are certain. The next
+    pair in order is certain if it shares no id with those taken before it in the round
+    and is more frequent than any pair that a new id could form, which is bounded by the
+    pairs that follow or precede the merged ones."""
+
+    def first(batches):
+        for x in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([list((c or "").encode()) for c in x.column("chunk").to_pylist()], pa.list_(pa.int32())), x.column("n")], names=["ids", "n"])
+
+    def count(batches):
+        for x in batches:
+            seen: Counter = Counter()
+            for ids, n in zip(x.column("ids").to_pylist(), x.column("n").to_pylist()):
+                for p in zip(ids, ids[1:]):
+                    seen[p] += n
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in seen], pa.int32()), pa.array([p[1] for p in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["a", "b", "n"])
+
+    table = cut(counts.select("chunk", "n").mapInArrow(first, "ids array<int>, n long"))
+    merges: list[tuple[int, int]] = []
+    while len(merges) < n_merges:
+        pairs = table.mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        top = [((r["a"], r["b"]), r["n"]) for r in pairs.where("n > 0").orderBy(F.desc("n"), "a", "b").limit(batch).collect()]
+        taken: list[tuple[int, int]] = []
+        used: set[int] = set()
+        bound = -1
+        for p, n in top[: n_merges - len(merges)]:
+            if used & set(p) or n <= bound:
+                break
+            taken.append(p)
+            used |= set(p)
+            near = [m for q, m in top if q[0] == p[1] or q[1] == p[0]]
+            bound = max([bound, *near, *([top[-1][1]] if len(top) == batch else [])])
+        if not taken:
+            break
+        steps = [(p, BASE + len(merges) + i) for i, p in enumerate(taken)]
+        merges += taken
+
+        def apply(batches, steps=steps):
+            known = {p for p, _ in steps}
+            for x in batches:
+                rows = []
+                for ids in x.column("ids").to_pylist():
+                    if not known.isdisjoint(zip(ids, ids[1:])):
+                        for p, new in steps:
+                            ids = _merged(ids, p, new)
+                    rows.append(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), x.column("n")], names=["ids", "n"])
+
+        table = cut(table.mapInArrow(apply, "ids array<int>, n long"))
     return merges
 
 
-def train(docs: DataFrame, n_merges: int, text: str = "text", max_chunks: int = 2_000_000) -> list[tuple[int, int]]:
-    """Merges of a byte-pair tokenizer. The table of distinct chunks is far smaller than
-    the corpus; the `max_chunks` most frequent ones (a documented bound) are merged on
-    the driver."""
-    top = chunk_counts(docs, text).orderBy(F.desc("n"), "chunk").limit(max_chunks).collect()
-    return learn_merges([(r["chunk"].encode(), r["n"]) for r in top], n_merges)
+def train(docs: DataFrame, n_merges: int, text: str = "text", driver_chunks: int = DRIVER_CHUNKS) -> list[tuple[int, int]]:
+    """Merges of a byte-pair tokenizer over all chunks. A table of at most `driver_chunks`
+    distinct chunks is merged on the driver, a larger one in Spark, with the same result."""
+    table = cut(chunk_counts(docs, text))
+    if table.count() > driver_chunks:
+        return learn_merges_apart(table, n_merges)
+    found = table.toArrow()
+    return learn_merges([(c.encode(), n) for c, n in zip(found.column("chunk").to_pylist(), found.column("n").to_pylist())], n_merges)
 
 
 def vocabulary(merges: list[tuple[int, int]]) -> list[bytes]:
@@ -195,34 +296,95 @@ def encode(docs: DataFrame, merges: list[tuple[int, int]], key: str = "doc_id",
     def piece(chunk: bytes) -> list[int]:
         ids = list(chunk)
         while len(ids) > 1:
-            best = min((rank.get(p, 1 << 60), i) for i, p in enumerate(zip(ids, ids[1:])))
-            if best[0] == 1 << 60:
+            new, pair = min((rank.get(p, 1 << 60), p) for p in zip(ids, ids[1:]))
+            if new == 1 << 60:
                 break
-            pair, out, i = (ids[best[1]], ids[best[1] + 1]), [], 0
-            while i < len(ids):
-                hit = i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair
-                out.append(best[0] if hit else ids[i])
-                i += 2 if hit else 1
-            ids = out
+            ids = _merged(ids, pair, new)
         return ids
 
     def run(batches):
         cache: dict[str, list[int]] = {}
         for batch in batches:
-            rows = []
-            for pieces in batch.column("pieces").to_pylist():
-                out = list(head)
-                for p in pieces or ():
-                    if p not in cache:
+            values, ends = [], [0]
+            for t in batch.column(text).to_pylist():
+                values += head
+                for p in _pieces(t or ""):
+                    ids = cache.get(p)
+                    if ids is None:
                         if len(cache) > 200_000:
                             cache.clear()
-                        cache[p] = piece(p.encode())
-                    out += cache[p]
-                rows.append(out)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(rows, pa.list_(pa.int32()))], names=[key, "ids"])
+                        ids = cache[p] = piece(p.encode())
+                    values += ids
+                ends.append(len(values))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(key), lists], names=[key, "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, pretokens(F.col(text)).alias("pieces")).mapInArrow(run, f"{key} {kind}, ids array<int>")
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>")
+
+
+def side_by_side(docs: DataFrame, by: str, encoders: dict, text: str = "text") -> DataFrame:
+    """by, encoder, bytes, tokens, ratio: how well several tokenizers compress the texts of
+    each value of `by`. An encoder is a function without arguments that each worker calls
+    once; it gives a function from a text to its number of tokens."""
+
+    def run(batches):
+        built = {name: make() for name, make in encoders.items()}
+        for batch in batches:
+            sums: dict[tuple, list[int]] = {}
+            for k, t in zip(batch.column(by).to_pylist(), batch.column(text).to_pylist()):
+                for name, size in built.items():
+                    total = sums.setdefault((k, name), [0, 0])
+                    total[0] += len((t or "").encode())
+                    total[1] += size(t or "")
+            kind = batch.schema.field(by).type
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sums], kind), pa.array([n for _, n in sums], pa.string()), pa.array([x for x, _ in sums.values()], pa.int64()), pa.array([x for _, x in sums.values()], pa.int64())], names=[by, "encoder", "bytes", "tokens"])
+
+    kind = docs.schema[by].dataType.simpleString()
+    sums = docs.select(by, text).mapInArrow(run, f"{by} {kind}, encoder string, bytes long, tokens long").groupBy(by, "encoder").agg(F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"))
+    return sums.withColumn("ratio", F.round(F.col("bytes") / F.col("tokens"), 6))
+
+
+def piece_counter(merges: list[tuple[int, int]]):
+    """An encoder for `side_by_side` from merges: pieces are merged and counted."""
+    rank = {p: BASE + i for i, p in enumerate(merges)}
+
+    def make():
+        sizes: dict[str, int] = {}
+
+        def size(text: str) -> int:
+            total = 0
+            for p in _pieces(text):
+                n = sizes.get(p)
+                if n is None:
+                    ids = list(p.encode())
+                    while len(ids) > 1 and (best := min((rank.get(q, 1 << 60), q) for q in zip(ids, ids[1:])))[0] < 1 << 60:
+                        ids = _merged(ids, best[1], best[0])
+                    if len(sizes) > 200_000:
+                        sizes.clear()
+                    n = sizes[p] = len(ids)
+                total += n
+            return total
+
+        return size
+
+    return make
+
+
+def rank_counter(path: str, pattern: str):
+    """An encoder for `side_by_side` from a public file of ranks, by its own library."""
+
+    def make():
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        known = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return lambda text: len(known.encode_ordinary(text))
+
+    return make
 
 
 def decode(rows: DataFrame, merges: list[tuple[int, int]], key: str = "doc_id") -> DataFrame:

@@ -118,19 +118,20 @@ def conv_targets(spark, sf_dir):
 
 def pack_bestfit(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.octet_length("text") + 1).alias("length"))
-    return packing.pack(docs, 2049, 4)
+    return packing.pack(docs, 2049, packing.stripes_for(docs, 4))
 
 
 def pack_pad(spark, sf_dir):
     turns = tokens.render(_table(spark, sf_dir, "conversations"), 4097)
-    return packing.pack(turns.select(F.col("conv_id").alias("id"), F.size("ids").alias("length")), 4097, 2, "bestfit_pad", 100)
+    items = turns.select(F.col("conv_id").alias("id"), F.size("ids").alias("length"))
+    return packing.pack(items, 4097, packing.stripes_for(items, 2), "bestfit_pad", 100)
 
 
 def pack_statistics(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.octet_length("text") + 1).alias("length"))
-    rows = None
+    rows, stripes = None, packing.stripes_for(docs, 4)
     for s in packing.STRATEGIES:
-        one = packing.statistics(packing.pack(docs, 2049, 4, s), 2049).withColumn("strategy", F.lit(s))
+        one = packing.statistics(packing.pack(docs, 2049, stripes, s), 2049).withColumn("strategy", F.lit(s))
         rows = one if rows is None else rows.unionByName(one)
     return rows
 
@@ -170,10 +171,13 @@ def bpe_round_trip(spark, sf_dir):
 
 
 def bpe_compression(spark, sf_dir):
+    """Bytes a token by language: a vocabulary trained here beside public ones."""
+    import public_tokenizers as P
+
     docs = _table(spark, sf_dir, "documents")
-    merges = tokens.train(docs, 200)
-    rows = docs.select("doc_id", "lang", F.octet_length("text").alias("b")).join(tokens.encode(docs, merges), "doc_id")
-    return rows.groupBy("lang").agg(F.sum("b").alias("bytes"), F.sum(F.size("ids")).alias("tokens")).withColumn("ratio", F.round(F.col("bytes") / F.col("tokens"), 6))
+    encoders = {"own": tokens.piece_counter(tokens.train(docs, 200))}
+    encoders |= {name: tokens.rank_counter(P.path(f"{name}.tiktoken"), P.PATTERN) for name in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    return tokens.side_by_side(docs, "lang", encoders)
 
 
 _W = "ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
@@ -182,6 +186,24 @@ r AS (SELECT conv_id, turn, role, CASE WHEN k = 2 AND pr = 'system' THEN pt || c
 _BYTES = "list_transform(range(0, strlen({0})), lambda j: ('0x' || substr(hex(encode({0})), 2 * j + 1, 2))::INT)"
 _IDS = f"""ids AS (SELECT conv_id, i, CASE WHEN role = 'user' THEN list_concat([257], {_BYTES.format('text')}, [258]) ELSE list_concat([259], {_BYTES.format('text')}, [260]) END AS ids, role = 'user' AS u FROM r)"""
 
+
+
+def _best_fit(items: str, capacity: int, buffer: int, least: int, crop: bool) -> str:
+    """Best-fit packing of `items` (id, length), one placement a step of a recursion."""
+    cut = "coalesce(fit, short)" if crop else "fit"
+    return f"""
+WITH RECURSIVE {items},
+s AS (SELECT *, id % (SELECT greatest({least}, ceil(count(*) / {packing.STRIPE_ITEMS}))::BIGINT FROM i) AS stripe FROM i),
+a AS (SELECT stripe, list({{'n': length::BIGINT, 'k': k, 'id': id}} ORDER BY k) AS items FROM (SELECT *, row_number() OVER (PARTITION BY stripe ORDER BY id) AS k FROM s) GROUP BY stripe),
+r AS (SELECT stripe, items[:{buffer}] AS buffer, {buffer + 1}::BIGINT AS nxt, 0::BIGINT AS row, 0::BIGINT AS slot, 0::BIGINT AS pos, -9::BIGINT AS o_row, 0::BIGINT AS o_slot, 0::BIGINT AS o_start, NULL::BIGINT AS id, 0::BIGINT AS taken, 0::BIGINT AS dropped FROM a
+ UNION ALL SELECT stripe, CASE WHEN c IS NULL THEN buffer ELSE list_concat(list_filter(buffer, lambda x: x.k <> c.k), items[nxt:nxt]) END, CASE WHEN c IS NULL THEN nxt ELSE nxt + 1 END,
+  CASE WHEN c IS NULL OR pos + took = {capacity} THEN row + 1 ELSE row END, CASE WHEN c IS NULL OR pos + took = {capacity} THEN 0 ELSE slot + 1 END, CASE WHEN c IS NULL OR pos + took = {capacity} THEN 0 ELSE pos + took END,
+  row, slot, pos, c.id, took, abs(c.n) - took
+ FROM (SELECT *, least(abs(c.n), {capacity} - pos) AS took FROM (SELECT *, {cut} AS c FROM (SELECT r.*, items, list_sort(list_transform(list_filter(buffer, lambda x: x.n <= {capacity} - pos), lambda x: {{'n': -x.n, 'k': x.k, 'id': x.id}}))[1] AS fit, list_sort(buffer)[1] AS short FROM r JOIN a USING (stripe) WHERE len(buffer) > 0))))
+SELECT stripe::BIGINT AS stripe, CASE WHEN o_row = last THEN -2 ELSE o_row END::BIGINT AS row, o_slot::INT AS slot, o_start::INT AS start, id, taken::INT AS taken, dropped::INT AS dropped
+FROM (SELECT *, max(row) OVER (PARTITION BY stripe) AS last FROM r) WHERE id IS NOT NULL"""
+
+
 QUERIES = {
     "tok_compression_by_lang": (
         tok_compression_by_lang,
@@ -252,8 +274,8 @@ WITH {_MERGED.format(src='conversations')}, {_IDS},
 f AS (SELECT conv_id, (1 + sum(len(ids))) AS n, list_concat([0], flatten(list(CASE WHEN u THEN list_transform(ids, lambda x: 0) ELSE list_concat([0], list_transform(ids[2:], lambda x: 1)) END ORDER BY i))) AS mask FROM ids GROUP BY conv_id)
 SELECT conv_id, least(least(n, 513), 512)::INT AS n_inputs, (least(n, 513) - 1)::INT AS n_targets, list_sum(mask[2:513])::INT AS n_learned FROM f""",
     ),
-    "pack_bestfit": (pack_bestfit, None),
-    "pack_pad": (pack_pad, None),
+    "pack_bestfit": (pack_bestfit, _best_fit("i AS (SELECT doc_id AS id, strlen(text) + 1 AS length FROM documents)", 2049, 1000, 4, True)),
+    "pack_pad": (pack_pad, _best_fit(f"{_MERGED.format(src='conversations')}, i AS (SELECT conv_id AS id, least(4097, 1 + sum(strlen(text) + 2)) AS length FROM r0 GROUP BY conv_id)".replace("r AS", "r0 AS", 1), 4097, 100, 2, False)),
     "pack_statistics": (pack_statistics, None),
     "bos_positions": (bos_positions, "SELECT doc_id, '0,' || (1 + strlen(substring(text, 1, (length(text) // 2)::INT))) AS starts FROM documents"),
     "token_lookup": (token_lookup, "SELECT doc_id, md5(lower(hex(encode(text)))) AS hex, (12 * strlen(text) - 1)::INT AS shown FROM documents WHERE text <> ''"),
