@@ -7,12 +7,14 @@ the weights that the training counts give. Every context of the training part is
 node, so the tree grows with the input. It is never in one place: contexts of more than
 UPPER bytes are dealt into buckets by their nearest bytes, each with whole subtrees;
 only the contexts of up to UPPER bytes (at most 65,793 at any size) are on the driver.
-Texts are cut into chunks whose distinct strings go to the buckets and come back with
-their probabilities.
+Texts are cut into chunks; the distinct strings of a chunk go to the buckets, packed, and
+come back with their probabilities. The tree reads texts as they are, in their own letter
+case; only the words below are folded. Besides the log-probability there is the code
+length it stands for, in bits a byte (the end counts as a byte).
 
 The word model that goes with it (a unigram with additive smoothing) needs the exact
-count of every word: words above a fixed share of all tokens (a proven bound) are
-looked up at once, the others are joined by word.
+count of every word: counts lie in buckets by the hash of the word, and the distinct
+words of a chunk are looked up there the same way.
 
 Defined cases: null and empty texts consist of the end symbol only; repeated rows and
 repeated ids are scored row by row; a null id belongs to the training part; without
@@ -27,6 +29,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +39,9 @@ from . import common
 #: Depth of the tree in bytes; depth of the part on the driver.
 DEPTH, UPPER = 5, 2
 #: Bytes of training text a bucket of the tree, and of text a chunk of documents.
-BUCKET, CHUNK = 16 << 20, 16 << 20
-#: A word is looked up without a join if it holds at least one in so many tokens.
-HOT_SHARE = 1_000_000
+BUCKET, CHUNK = 4 << 20, 32 << 20
+#: Bytes of text whose strings are taken together.
+SLICE = 1 << 20
 #: Marks the start and the end of a text; no byte of UTF-8.
 END = b"\xff"
 #: Strings or words a worker counts before it hands them on.
@@ -53,15 +56,39 @@ def _codes(texts: list[bytes], depth: int) -> np.ndarray:
     data = np.frombuffer(b"".join(END * depth + t + END for t in texts), np.uint8)
     size = np.fromiter((len(t) + 1 + depth for t in texts), np.int64, len(texts))
     starts = np.cumsum(size) - size
-    code = np.zeros(len(data) - depth, np.uint64)
-    for j in range(depth + 1):
-        code = (code << np.uint64(8)) | data[j : len(data) - depth + j]
+    n, code, done, word, width = len(data) - depth, None, 0, data.astype(np.uint64), 1
+    for bit in range((depth + 1).bit_length()):  # depth + 1 bytes from each place on, by doubling
+        if depth + 1 >> bit & 1:
+            part = word[: n + depth + 1 - width]
+            code = part if code is None else (code[:n] << np.uint64(8 * width)) | part[done : done + n]
+            done += width
+        if 2 * width <= depth + 1:
+            word = (word[:-width] << np.uint64(8 * width)) | word[width:]
+        width *= 2
+    code = code[:n]
     inside = np.ones(len(data), bool)
     for k in range(depth):  # strings that end inside the padding
         inside[starts + k] = False
     return code[inside[depth:]]
 
 
+def _distinct(code: np.ndarray) -> np.ndarray:
+    code = np.sort(code)
+    return code[np.concatenate([[True], code[1:] != code[:-1]])] if len(code) else code
+
+
+def _strings(texts: list[bytes], depth: int) -> np.ndarray:
+    """The distinct strings of texts, ascending."""
+    found, held, size = [np.zeros(0, np.uint64)], [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= 4 * SLICE:
+            found.append(_distinct(_codes(held, depth)))
+            held, size = [], 0
+    return _distinct(np.concatenate([*found, _codes(held, depth)] if held else found))
+
+
 def _summed(code: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     if n is None:
         code = np.sort(code)
@@ -94,7 +121,7 @@ def count_strings(docs: DataFrame, buckets: int, depth: int = DEPTH) -> DataFram
     def run(batches):
         code, n = np.array([], np.uint64), np.array([], np.int64)
         for batch in batches:
-            for part in common.slices(batch, size=2 << 20):
+            for part in common.slices(batch, size=4 * SLICE):
                 more, m = _summed(_codes(common.texts_of(part), depth))
                 code, n = _summed(np.concatenate([code, more]), np.concatenate([n, m]))
                 if len(code) > FLUSH:
@@ -105,25 +132,45 @@ def count_strings(docs: DataFrame, buckets: int, depth: int = DEPTH) -> DataFram
     return docs.select("text").mapInArrow(run, "bucket int, codes binary, counts binary")
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """w, c: occurrences of every word."""
+def _words_dealt(words: list[bytes], buckets: int):
+    """(bucket, words) of ascending words, by their hash."""
+    held: dict[int, list[bytes]] = {}
+    for w in words:
+        held.setdefault(xxhash.xxh3_64_intdigest(w) % buckets, []).append(w)
+    return sorted(held.items())
+
+
+def count_words(docs: DataFrame, buckets: int) -> DataFrame:
+    """bucket, words, counts, n, v: one row of each bucket's words (between spaces, as no
+    word holds one), ascending, with their occurrences, the sum of these and the words' number."""
 
     def run(batches):
         seen: Counter = Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "c"])
+            for k, words in _words_dealt(list(seen), buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b" ".join(words)], pa.binary()), pa.array([np.fromiter(map(seen.__getitem__, words), np.int64, len(words)).tobytes()], pa.binary())], names=["bucket", "words", "counts"])
 
         for batch in batches:
             for part in common.slices(batch):
                 for text in common.texts_of(part):
                     seen.update(text.lower().split())
                 if len(seen) > FLUSH // 2:
-                    yield out()
+                    yield from out()
                     seen.clear()
-        yield out()
+        yield from out()
 
-    return docs.select("text").mapInArrow(run, "w string, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    def merge(table: pa.Table) -> pa.Table:
+        total: Counter = Counter()
+        for words, counts in zip(table.column("words"), table.column("counts")):
+            for w, c in zip(words.as_py().split(b" "), np.frombuffer(counts.as_py(), np.int64).tolist()):
+                total[w] += c
+        words = sorted(total)
+        counts = np.fromiter(map(total.__getitem__, words), np.int64, len(words))
+        return pa.table([pa.array([table.column("bucket")[0].as_py()], pa.int32()), pa.array([b" ".join(words)], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([int(counts.sum())]), pa.array([len(words)])], names=["bucket", "words", "counts", "n", "v"])
+
+    parts = docs.select("text").mapInArrow(run, "bucket int, words binary, counts binary")
+    return parts.groupBy("bucket").applyInArrow(merge, "bucket int, words binary, counts binary, n long, v long")
 
 
 # -- the tree -----------------------------------------------------------------
@@ -142,121 +189,20 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + inv * (1 / 12 - inv**2 * (1 / 360 - inv**2 / 1260)) - np.log(shift)
 
 
-def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at the 255 binary decisions of each row of 256 counts."""
-    zeros, ones = [], []
-    for level in range(8):
-        x = counts.reshape(len(counts), 1 << level, 2, -1).sum(-1)
-        zeros.append(x[:, :, 0])
-        ones.append(x[:, :, 1])
-    return np.hstack(zeros).astype(np.float64), np.hstack(ones).astype(np.float64)
+def _gamma_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return lgamma(a + 0.5) + lgamma(b + 0.5) - math.log(math.pi) - lgamma(a + b + 1)
 
 
-def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return lgamma(a + 0.5) + lgamma(b + 0.5) - math.log(math.pi) - lgamma(a + b + 1)
+#: The estimate at small counts, as a table.
+SMALL = 128
+_KT = _gamma_kt(*np.divmod(np.arange(SMALL * SMALL, dtype=np.float64), SMALL))
 
 
-#: For each symbol, its decision at each level and the bit taken there.
-_PATH = np.array([[(1 << level) - 1 + (s >> (8 - level)) for level in range(8)] for s in range(256)])
-_BIT = np.array([[s >> (7 - level) & 1 for level in range(8)] for s in range(256)])
-
-
-def _parts(n: int, rows: int = 1024) -> list[slice]:
-    return [slice(a, min(a + rows, n)) for a in range(0, n, rows)]
-
-
-class Tree:
-    """Frozen context tree in one place, for small tables: child table and log-probabilities of symbols by node."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """levels[d]: contexts of depth d (nearest byte lowest), ascending, and their
-        counts (contexts, 256). levels[0] is the root."""
-        offsets = np.concatenate([[0], np.cumsum([len(c) for c, _ in levels])])
-        k = int(offsets[-1])
-        self.depth = len(levels) - 1
-        self.child = np.full((k + 1) * 256, k, np.uint16 if k < 65535 else np.int32)
-        self.table = np.zeros((k, 256), np.float32)
-        parents: list[np.ndarray] = [np.zeros(0, int)]
-        for d in range(1, len(levels)):
-            contexts, above = levels[d][0], levels[d - 1][0]
-            parent = np.searchsorted(above, contexts & ((1 << 8 * (d - 1)) - 1))
-            self.child[(parent + offsets[d - 1]) * 256 + (contexts >> 8 * (d - 1))] = np.arange(len(contexts)) + offsets[d]
-            parents.append(parent)
-        # children of a node lie together in `order`
-        order = [np.argsort(x, kind="stable") for x in parents]
-        sorted_ = [x[o] for x, o in zip(parents, order)]
-
-        def rest(d: int, part: slice, below: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-            """Counts of a part's nodes without their children; sums of `below` over the children."""
-            left = levels[d][1][part].astype(np.int64)
-            lo, hi = np.searchsorted(sorted_[d + 1], [part.start, part.stop])
-            of, rows = sorted_[d + 1][lo:hi] - part.start, order[d + 1][lo:hi]
-            np.subtract.at(left, of, levels[d + 1][1][rows])
-            split = None
-            if below is not None:
-                split = np.zeros((len(left), 255))
-                np.add.at(split, of, below[rows])
-            return left, split
-
-        # bottom-up: weight of each node's own estimate
-        weights, below = [None] * len(levels), None
-        for d in range(self.depth, -1, -1):
-            counts = levels[d][1]
-            log_w, weights[d] = np.empty((len(counts), 255)), np.ones((len(counts), 255), np.float32)
-            for part in _parts(len(counts)):
-                own = _log_kt(*_decisions(counts[part]))
-                if d == self.depth:
-                    log_w[part] = own
-                else:
-                    left, split = rest(d, part, below)
-                    log_w[part] = np.logaddexp(own, split + _log_kt(*_decisions(left))) - math.log(2)
-                    weights[d][part] = np.exp(own - math.log(2) - log_w[part])
-            below = log_w
-        del below, log_w
-        # top-down: mixture along each path; acc, rem: mass settled above and left over,
-        # stop: probability of a one if this node were the last
-        above = [np.zeros((1, 255), np.float32), np.ones((1, 255), np.float32), np.full((1, 255), 0.5, np.float32)]
-        for d in range(self.depth + 1):
-            counts = levels[d][1]
-            here = [np.empty((len(counts), 255), np.float32) for _ in range(3)]
-            parent = parents[d] if d else np.zeros(len(counts), int)
-            for part in _parts(len(counts)):
-                acc, rem, stop = (x[parent[part]].astype(np.float64) for x in above)
-                a, b = _decisions(counts[part])
-                kt, data, w = (b + 0.5) / (a + b + 1), a + b > 0, weights[d][part]
-                ended = np.where(data, acc + rem * kt, stop)
-                acc, rem, stop = np.where(data, acc + rem * w * kt, stop), np.where(data, rem * (1 - w), 0.0), ended
-                for x, y in zip(here, (acc, rem, stop)):
-                    x[part] = y
-                one = stop
-                if d < self.depth:
-                    a, b = _decisions(rest(d, part)[0])
-                    one = np.where(a + b > 0, acc + rem * (b + 0.5) / (a + b + 1), stop)
-                one = np.clip(one, 1e-12, 1 - 1e-12)
-                log_one, log_zero = np.log(one), np.log1p(-one)
-                total = np.zeros((len(one), 256))
-                for level in range(8):
-                    total += np.where(_BIT[:, level][None, :] == 1, log_one[:, _PATH[:, level]], log_zero[:, _PATH[:, level]])
-                self.table[offsets[d] : offsets[d + 1]][part] = total
-            above = here
-        self.size = k
-
-    def log_probabilities(self, texts: list[bytes]) -> np.ndarray:
-        """Natural log-probability of each text with its end."""
-        d = self.depth
-        data = np.frombuffer(b"".join(END * d + t + END for t in texts), np.uint8)
-        size = np.fromiter((len(t) + 1 + d for t in texts), np.int64, len(texts))
-        starts = np.cumsum(size) - size
-        n = len(data) - d
-        current = np.zeros(n, np.int32)
-        last = np.zeros(n, np.int32)
-        for j in range(1, d + 1):
-            current = self.child[(current << 8) | data[d - j : d - j + n]].astype(np.int32)
-            last = np.where(current < self.size, current, last)
-        value = self.table.ravel()[(last << 8) | data[d:]].astype(np.float64)
-        edges = np.concatenate([[0.0], np.cumsum(value)])
-        first = starts  # value[i] belongs to data[i + d], so a text begins at its own offset
-        return edges[first + size - d] - edges[first]
+def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    small = (a < SMALL) & (b < SMALL)
+    out = _KT[np.where(small, a * SMALL + b, 0).astype(np.int64)]
+    out[~small] = _gamma_kt(a[~small], b[~small])
+    return out
 
 
 class Levels:
@@ -332,24 +278,43 @@ class Levels:
                 one[hit] = self.stop[d, bits][at[hit]]
 
 
-def _log_probabilities(code: np.ndarray, upper: Levels, own: Levels) -> np.ndarray:
-    """Natural log-probability of the last symbol of each string (ascending)."""
+def _code_lengths(code: np.ndarray, one_of) -> np.ndarray:
+    """Natural log-probability of the last symbol of strings; `one_of` gives the
+    probability of a one at each of its bits."""
     total = np.zeros(len(code))
-    at = np.minimum(np.searchsorted(own.code, code), max(len(own.code) - 1, 0))
-    seen = own.code[at] == code if len(own.code) else np.zeros(len(code), bool)
-    new = code[~seen]
     for bits in range(8):
-        one = np.full(len(code), 0.5)
-        one[seen] = own.stop[own.depths[-1], bits][own.run[bits][at[seen]]]
-        guess = np.full(len(new), 0.5)
-        upper.look_up(new, bits, guess)
-        own.look_up(new, bits, guess)
-        one[~seen] = guess
-        one = np.clip(one, 1e-12, 1 - 1e-12)
+        one = np.clip(one_of(bits), 1e-12, 1 - 1e-12)
         total += np.where((code >> np.uint64(7 - bits)) & np.uint64(1) == 1, np.log(one), np.log1p(-one))
     return total
 
 
+class Answers:
+    """Log-probabilities by the mixed nodes of a bucket and the upper ones."""
+
+    def __init__(self, upper: Levels, own: Levels) -> None:
+        self.upper, self.own = upper, own
+        self.logs = _code_lengths(own.code, lambda bits: own.stop[own.depths[-1], bits][own.run[bits]])
+
+    def __call__(self, code: np.ndarray) -> np.ndarray:
+        """Of strings (ascending): those of the training part by their own node, new ones
+        by the deepest known node of each decision."""
+        known = self.own.code
+        at = np.minimum(np.searchsorted(known, code), max(len(known) - 1, 0))
+        seen = known[at] == code if len(known) else np.zeros(len(code), bool)
+        out, new = np.zeros(len(code)), code[~seen]
+        out[seen] = self.logs[at[seen]]
+
+        def one_of(bits: int) -> np.ndarray:
+            one = np.full(len(new), 0.5)
+            self.upper.look_up(new, bits, one)
+            self.own.look_up(new, bits, one)
+            return one
+
+        if len(new):
+            out[~seen] = _code_lengths(new, one_of)
+        return out
+
+
 def _packed(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
@@ -395,34 +360,57 @@ def fit_upper(buckets: DataFrame, depth: int = DEPTH) -> Levels:
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """row, chunk, doc_id, text: rows numbered, and dealt into chunks of about CHUNK bytes."""
+    """chunk, doc_id, text: rows dealt into chunks of about CHUNK bytes."""
 
     def run(batches):
-        serial = chunk = TaskContext.get().partitionId() << 33
-        held = 0
+        chunk, held = TaskContext.get().partitionId() << 33, 0
         for batch in batches:
             for part in common.slices(batch):
-                n = part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(range(serial, serial + n), pa.int64()), pa.array([chunk] * n, pa.int64()), part.column("doc_id").cast(pa.int64()), part.column("text")], names=["row", "chunk", "doc_id", "text"])
-                serial += n
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * part.num_rows, pa.int64()), part.column("doc_id").cast(pa.int64()), part.column("text")], names=["chunk", "doc_id", "text"])
                 held += sum(map(len, common.texts_of(part)))
                 if held >= CHUNK:
                     chunk, held = chunk + 1, 0
 
-    return docs.select("doc_id", "text").mapInArrow(run, "row long, chunk long, doc_id long, text string")
+    return docs.select("doc_id", "text").mapInArrow(run, "chunk long, doc_id long, text string")
+
+
+class Contents:
+    """The distinct strings and words of a chunk."""
+
+    def __init__(self) -> None:
+        self.found: list[np.ndarray] = []
+        self.words: set[bytes] = set()
+
+    def add(self, texts: list[bytes], depth: int) -> None:
+        self.found.append(_strings(texts, depth))
+        if sum(map(len, self.found)) > 4 * FLUSH:
+            self.found = [_distinct(np.concatenate(self.found))]
+        for text in texts:
+            self.words.update(text.lower().split())
 
+    def strings(self) -> np.ndarray:
+        return _distinct(np.concatenate(self.found)) if self.found else np.zeros(0, np.uint64)
 
-def look_up(rows: DataFrame, trees: DataFrame, upper: Levels, buckets: int, depth: int = DEPTH) -> DataFrame:
-    """chunk, codes, logs: log-probabilities of all distinct strings of each chunk, packed."""
+
+ASK = "word boolean, bucket int, chunk long, asked binary"
+ANSWER = "chunk long, word boolean, bucket int, found binary"
+
+
+def ask(rows: DataFrame, buckets: int, depth: int = DEPTH) -> DataFrame:
+    """ASK: the distinct strings (word is false) and words of each chunk by bucket, packed
+    and ascending."""
     low = min(UPPER, depth - 1)
-    shared = rows.sparkSession.sparkContext.broadcast(upper)
+    names = [f.split()[0] for f in ASK.split(", ")]
 
-    def ask(batches):
-        now, code = None, np.array([], np.uint64)
+    def run(batches):
+        now, held = None, Contents()
 
         def out():
-            for k, at in _dealt(code, buckets, low):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([now], pa.int64()), pa.array([code[at].tobytes()], pa.binary())], names=["bucket", "chunk", "codes"])
+            code = held.strings()
+            cells = [(False, k, now, code[at].tobytes()) for k, at in _dealt(code, buckets, low)]
+            cells += [(True, k, now, b" ".join(words)) for k, words in _words_dealt(sorted(held.words), buckets)]
+            if cells:
+                yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in cells], kind) for i, kind in enumerate((pa.bool_(), pa.int32(), pa.int64(), pa.binary()))], names=names)
 
         for batch in batches:
             chunk = batch.column("chunk").to_numpy()
@@ -430,122 +418,145 @@ def look_up(rows: DataFrame, trees: DataFrame, upper: Levels, buckets: int, dept
             for a, b in zip(edges, edges[1:]):
                 if a == b:
                     continue
-                if chunk[a] != now or len(code) > FLUSH:
+                if chunk[a] != now:
                     yield from out()
-                    now, code = int(chunk[a]), code[:0]
-                for part in common.slices(batch.slice(a, b - a), size=2 << 20):
-                    code = np.unique(np.concatenate([code, np.unique(_codes(common.texts_of(part), depth))]))
+                    now, held = int(chunk[a]), Contents()
+                for part in common.slices(batch.slice(a, b - a), size=4 * SLICE):
+                    held.add(common.texts_of(part), depth)
         yield from out()
 
-    def answer(asked: pa.Table, tree: pa.Table) -> pa.Table:
-        own = Levels(_packed(tree, "codes", np.uint64), _packed(tree, "counts", np.int64), range(low + 1, depth + 1))
+    return rows.select("chunk", "text").mapInArrow(run, ASK)
+
+
+def look_up(asked: DataFrame, trees: DataFrame, words: DataFrame, upper: Levels, depth: int = DEPTH) -> DataFrame:
+    """ANSWER: of each ASK row, in its order, the log-probabilities of the strings or the
+    counts of the words."""
+    low = min(UPPER, depth - 1)
+    shared = asked.sparkSession.sparkContext.broadcast(upper)
+
+    def told(table: pa.Table, cells: list[bytes]) -> pa.Table:
+        return pa.table([table.column("chunk"), table.column("word"), table.column("bucket"), pa.array(cells, pa.binary())], names=["chunk", "word", "bucket", "found"])
+
+    def probabilities(table: pa.Table, tree: pa.Table) -> pa.Table:
+        own = Levels(_packed(tree, "known", np.uint64), _packed(tree, "counts", np.int64), range(low + 1, depth + 1))
         own.weigh()
         own.mix(shared.value)
-        code, at = np.unique(_packed(asked, "codes", np.uint64), return_inverse=True)
-        logs = _log_probabilities(code, shared.value, own).astype(np.float32)[at]
-        ends = np.cumsum([len(x) // 8 for x in asked.column("codes").to_pylist()])[:-1] if asked.num_rows else []
-        cells = [x.tobytes() for x in np.split(logs, ends)] if asked.num_rows else []
-        return pa.table([asked.column("chunk"), asked.column("codes"), pa.array(cells, pa.binary())], names=["chunk", "codes", "logs"])
-
-    asked = rows.select("chunk", "text").mapInArrow(ask, "bucket int, chunk long, codes binary")
-    return asked.groupBy("bucket").cogroup(trees.select("bucket", "codes", "counts").groupBy("bucket")).applyInArrow(answer, "chunk long, codes binary, logs binary")
+        logs = Answers(shared.value, own)
+        return told(table, [logs(np.frombuffer(x.as_py(), np.uint64)).astype(np.float32).tobytes() for x in table.column("asked")])
+
+    def counts(table: pa.Table, known: pa.Table) -> pa.Table:
+        count: dict[bytes, int] = {}
+        for w, c in zip(known.column("known").to_pylist(), known.column("counts").to_pylist()):
+            count.update(zip(w.split(b" "), np.frombuffer(c, np.int64).tolist()))
+        return told(table, [np.array([count.get(w, 0) for w in x.as_py().split(b" ")], np.int64).tobytes() for x in table.column("asked")])
+
+    def answer(table: pa.Table, known: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return told(table, [])
+        return (counts if table.column("word")[0].as_py() else probabilities)(table, known)
+
+    models = trees.select(F.lit(False).alias("word"), "bucket", F.col("codes").alias("known"), "counts")
+    models = models.unionByName(words.select(F.lit(True).alias("word"), "bucket", F.col("words").alias("known"), "counts"))
+    return asked.groupBy("word", "bucket").cogroup(models.groupBy("word", "bucket")).applyInArrow(answer, ANSWER)
+
+
+class Table:
+    """Values of known strings: two hashed tables of places, then a sorted rest."""
+
+    def __init__(self, code: np.ndarray, value: np.ndarray) -> None:
+        self.code, self.value = code, value
+        self.shift = np.uint64(62 - max(len(code), 1).bit_length())  # four slots a string or more
+        self.places, left = [], np.arange(len(code))
+        for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            place = np.zeros(1 << int(64 - self.shift), np.int32)
+            slot = self._slot(code[left], factor)
+            place[slot] = left
+            left = left[place[slot] != left]
+            self.places.append((factor, place))
+        self.rest = left
+
+    def _slot(self, code: np.ndarray, factor: int) -> np.ndarray:
+        return ((code * np.uint64(factor)) >> self.shift).astype(np.int64)
+
+    def __call__(self, code: np.ndarray) -> np.ndarray:
+        """Values of strings that are all known."""
+        (factor, place), (factor2, place2) = self.places
+        at = place[self._slot(code, factor)]
+        miss = np.flatnonzero(self.code[at] != code)
+        if len(miss):
+            at[miss] = place2[self._slot(code[miss], factor2)]
+            miss = miss[self.code[at[miss]] != code[miss]]
+            at[miss] = self.rest[np.searchsorted(self.code[self.rest], code[miss])]
+        return self.value[at]
 
 
 # -- scoring ------------------------------------------------------------------
 
 
-NAMES = ["row", "w", "m", "doc_id", "n_tokens", "n_known", "base", "score"]
+RESULT = "doc_id long, n_bytes long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score_rows(shared, depth, docs: pa.Table, answers: pa.Table) -> pa.Table:
-    """A row of each text of a chunk with what is known at once, and a row of each rarer word."""
-    hot, unknown_end, end_known = shared.value
-    code, first = np.unique(_packed(answers, "codes", np.uint64), return_index=True)
-    value = _packed(answers, "logs", np.float32)[first]
+def _score_rows(end: int, scale: float, depth: int, buckets: int, docs: pa.Table, answers: pa.Table) -> pa.Table:
+    """RESULT of the texts of a chunk."""
+    held, names = Contents(), [f.split()[0] for f in RESULT.split(", ")]
+    for batch in docs.to_batches():
+        for part in common.slices(batch, size=4 * SLICE):
+            held.add(common.texts_of(part), depth)
+    found = {(w, k): x for w, k, x in zip(answers.column("word").to_pylist(), answers.column("bucket").to_pylist(), answers.column("found"))}
+    code = held.strings()
+    value = np.zeros(len(code), np.float32)
+    for k, at in _dealt(code, buckets, min(UPPER, depth - 1)):
+        value[at] = np.frombuffer(found[False, k].as_py(), np.float32)
+    strings = Table(code, value)
+    ids: dict[bytes, int] = {}
+    counts = []
+    for k, words in _words_dealt(sorted(held.words), buckets):
+        ids.update(zip(words, range(len(ids), len(ids) + len(words))))
+        counts.append(np.frombuffer(found[True, k].as_py(), np.int64))
+    counts = np.concatenate([*counts, [end]])  # the end symbol comes last
+    logs = np.log10((counts + 0.1) / scale)
     out = []
     for batch in docs.to_batches():
-        for part in common.slices(batch, size=1 << 20):
+        for part in common.slices(batch, size=SLICE):
             texts = common.texts_of(part)
-            at = np.searchsorted(code, _codes(texts, depth))
-            edges = np.concatenate([[0.0], np.cumsum(value[at].astype(np.float64))])
-            ends = np.cumsum([len(t) + 1 for t in texts])
-            scores = np.diff(edges[np.concatenate([[0], ends])]) / math.log(10)
-            own = part.column("row").to_pylist()
-            rows, words, times = [], [], []
-            tokens, known, base = [], [], []
-            for k, text in enumerate(texts):
-                counts = Counter(text.lower().split())
-                total, seen, logs = 1, end_known, unknown_end
-                for w, m in counts.items():
-                    total += m
-                    log = hot.get(w)
-                    if log is None:
-                        rows.append(own[k])
-                        words.append(w)
-                        times.append(m)
-                    else:
-                        seen += m
-                        logs += m * log
-                tokens.append(total)
-                known.append(seen)
-                base.append(logs)
-            n, r = len(texts), len(rows)
-            out.append(pa.RecordBatch.from_arrays([
-                pa.array([*own, *rows], pa.int64()),
-                pa.array([*(b" %d" % i for i in own), *words], pa.binary()).cast(pa.string()),  # no word holds a space
-                pa.array([0] * n + times, pa.int64()),
-                pa.concat_arrays([part.column("doc_id").cast(pa.int64()), pa.nulls(r, pa.int64())]),
-                pa.array(tokens + [0] * r, pa.int64()),
-                pa.array(known + [0] * r, pa.int64()),
-                pa.array(base + [0.0] * r, pa.float64()),
-                pa.concat_arrays([pa.array(scores), pa.array(np.zeros(r))]),
-            ], names=NAMES))
-    return pa.Table.from_batches(out)
+            edges = np.concatenate([[0.0], np.cumsum(strings(_codes(texts, depth)).astype(np.float64))])
+            scores = np.diff(edges[np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])]) / math.log(10)
+            split = [t.lower().split() for t in texts]
+            size = np.fromiter((len(w) + 1 for w in split), np.int64, len(split))
+            at = np.full(int(size.sum()), len(counts) - 1)
+            inside = np.ones(len(at), bool)
+            inside[np.cumsum(size) - 1] = False
+            at[inside] = [ids[w] for words in split for w in words]
+            first = np.cumsum(size) - size
+            out.append(pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(size), pa.array(np.add.reduceat((counts[at] > 0).astype(np.int64), first)), pa.array(np.add.reduceat(logs[at], first)), pa.array(scores)], names=names))
+    return pa.Table.from_batches(out) if out else pa.table([pa.nulls(0, pa.int64())] * 4 + [pa.nulls(0, pa.float64())] * 2, names=names)
 
 
 def score(docs: DataFrame, train: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of
-    `docs`, learning from the texts of `train`."""
-    spark = docs.sparkSession
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every
+    row of `docs`, learning from the texts of `train`."""
     held = train.agg(F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("n")).first()
     buckets = max(1, -(-(held["size"] or 0) // BUCKET))
     trees = common.materialize(fit_buckets(count_strings(train, buckets, depth), depth), "ctw-trees")
+    words = common.materialize(count_words(train, buckets), "ctw-words")
     upper = fit_upper(trees, depth)
-    numbered = common.materialize(chunked(docs), "ctw-rows")
-    answers = look_up(numbered, trees, upper, buckets, depth)
-    words = common.materialize(count_words(train), "ctw-words")
-    texts = held["n"]
-    stats = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = (stats["n"] or 0) + texts, stats["v"] + (texts > 0)
+    stats, texts = words.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first(), held["n"]
+    n, v = (stats["n"] or 0) + texts, (stats["v"] or 0) + (texts > 0)
+    rows = common.materialize(chunked(docs), "ctw-rows")
+    answers = look_up(ask(rows, buckets, depth), trees, words, upper, depth)
     scale = n + 0.1 * (v + 1)
 
-    def log(c: float) -> float:
-        return math.log10((c + 0.1) / scale)
-
-    # at most HOT_SHARE words
-    hot = {r["w"].encode(): log(r["c"]) for r in words.where(F.col("c") * HOT_SHARE >= max(n, 1)).collect()}
-    shared = spark.sparkContext.broadcast((hot, log(texts), int(texts > 0)))
-    kind = "row long, w string, m long, doc_id long, n_tokens long, n_known long, base double, score double"
-
     def scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        return _score_rows(shared, depth, docs, answers)
-
-    rows = numbered.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, kind)
-    rare = words.where(F.col("c") * HOT_SHARE < max(n, 1))
-    # a rare word holds less than one in HOT_SHARE tokens: no key of the join is hot
-    joined = rows.join(rare, "w", "left")
-    base = F.col("base") + F.col("m") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(scale))
-    summed = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("n_known"),
-        F.sum(base).alias("base_score"),
-        F.sum("score").alias("score"),
-    )
-    return summed.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+        return _score_rows(texts, scale, depth, buckets, docs, answers)
+
+    found = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, RESULT)
+    return found.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", (-F.col("score") / F.lit(math.log10(2)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document, learning from those whose remainder by 10 is not 0. Null
+    texts score as empty ones; a null id is a training row; repeated rows are scored row
+    by row; an empty table gives an empty result; other columns are not read."""
     docs = common.documents(spark, sf_dir)
     held = common.is_remainder("doc_id", 10, 0)
-    return score(docs, docs.where(~held)).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score(docs, docs.where(~held)).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
