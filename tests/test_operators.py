@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions import tools
-from textloom.operators import packing, runs, select, tokens
+from textloom.operators import evaluation, packing, runs, select, tasks, tokens
 from textloom.sources import readers, sinks
 from textloom.streaming import streams
 
@@ -250,3 +250,38 @@ def test_bits_per_byte_is_infinite_without_bytes(spark):
     losses = spark.createDataFrame([("a", -1, 2.0), ("b", 65, math.log(2))], "s string, target int, loss double")
     got = {r["s"]: r["bpb"] for r in bits_per_byte(losses, byte_table()(spark), "s").collect()}
     assert got["a"] == math.inf and abs(got["b"] - 1) < 1e-12
+
+
+def test_metrics_byte_table_and_inferred_csv(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, "loss", 2.5), ("b", 1, "loss", 2.0)], "run string, step int, key string, value double")
+    sinks.append_metrics(rows, str(tmp_path / "m"))
+    sinks.append_metrics(rows.where("run = 'a'").withColumn("step", F.lit(2)), str(tmp_path / "m"))
+    assert sorted((r["run"], r["step"], r["value"]) for r in spark.read.parquet(str(tmp_path / "m")).collect()) == [("a", 1, 2.5), ("a", 2, 2.5), ("b", 1, 2.0)]
+    sinks.write_byte_table(evaluation.byte_table()(spark), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).where("n_bytes = 0").count() == 9
+    rows.coalesce(1).write.option("header", True).csv(str(tmp_path / "c"))
+    assert dict(readers.header_csv(spark, str(tmp_path / "c")).dtypes) == {"run": "string", "step": "int", "key": "string", "value": "double"}
+
+
+def test_registered_tasks_and_samples(spark):
+    items = spark.createDataFrame([(0, "anna", "n", 2, "count")], "idx long, word string, letter string, n int, user string")
+    got = tasks.build("SpellingBee", items).first()["messages"][1]["parts"]
+    assert got[0]["text"].endswith("1:a\n2:n hit! count=1\n3:n hit! count=2\n4:a\n\nThis gives us 2.") and got[4]["text"].endswith("#### 2")
+    with pytest.raises(ValueError):
+        tasks.build("unknown", items)
+    samples = spark.createDataFrame([(0, [1, 2, 9, 3], 1), (1, [1, 2], 1), (2, [1], 1), (3, [1, 8, 2, 9], 0)], "idx long, ids array<int>, prompt_len int")
+    assert {r["idx"]: r["sampled"] for r in evaluation.sampled_text(samples, [8, 9]).collect()} == {0: [2], 1: [2], 2: [], 3: [1]}
+
+
+def test_few_shot_picks_are_distinct(spark):
+    for n, k in ((1, 3), (2, 3), (7, 3), (50, 5)):
+        found = {}
+        for r in tasks.few_shot_pick(spark.range(n).withColumnRenamed("id", "idx"), k).collect():
+            found.setdefault(r["idx"], []).append(r["other"])
+        assert all(i not in x and len(set(x)) == len(x) == min(k, n - 1) for i, x in found.items()) and len(found) == (n if n > 1 else 0)
+
+
+def test_order_blocks(spark):
+    rows = spark.range(500).select(((F.col("id") * 77) % 500).alias("o"), F.lit(2).alias("v"))
+    for blocks in (1, 2, 5, 64, 300):
+        assert all(r["b"] == 2 * r["o"] for r in select.running_before(rows, F.col("v"), "o", "b", blocks=blocks).collect())

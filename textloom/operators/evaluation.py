@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.operators.select import sent
+
 
 def byte_table(n_bytes: int = 256, specials: int = 9) -> "callable":
     """token_id, n_bytes: bytes that `decode([id])` shows (an invalid byte alone shows
@@ -43,7 +45,7 @@ def byte_counts(docs: DataFrame, by: str, text: str = "text") -> DataFrame:
 
 def bits_per_byte(losses: DataFrame, token_bytes: DataFrame, *by: str, target: str = "target", loss: str = "loss") -> DataFrame:
     """Sum of losses at targets with bytes over ln 2 times the bytes; infinite without bytes."""
-    joined = losses.join(F.broadcast(token_bytes), F.col(target) == F.col("token_id"), "left")  # one row a vocabulary entry
+    joined = losses.join(sent(token_bytes), F.col(target) == F.col("token_id"), "left")  # one row a vocabulary entry
     n = F.coalesce("n_bytes", F.lit(0))
     sums = joined.groupBy(*by).agg(F.sum(F.when(n > 0, F.col(loss)).otherwise(0.0)).alias("nats"), F.sum(n).cast("long").alias("bytes"))
     return sums.withColumn("bpb", F.when(F.col("bytes") > 0, F.col("nats") / (math.log(2) * F.col("bytes"))).otherwise(F.lit(float("inf"))))
@@ -74,10 +76,26 @@ def centered(acc: Column, baseline: Column) -> Column:
 
 def core_metric(tasks: DataFrame, baselines: DataFrame) -> DataFrame:
     """Unweighted mean of centred accuracies; baselines are percentages."""
-    joined = tasks.join(F.broadcast(baselines), "task")  # a row a task
+    joined = tasks.join(sent(baselines), "task")  # a row a task
     return joined.select("task", "accuracy", centered(F.col("accuracy"), 0.01 * F.col("random_baseline")).alias("centered"))
 
 
+def sampled_text(samples: DataFrame, terminal: list[int], ids: str = "ids", prompt: str = "prompt_len") -> DataFrame:
+    """Generated ids of each sample: without the prompt and from the first terminal id on."""
+    after = F.slice(ids, F.col(prompt) + 1, F.greatest(F.size(ids) - F.col(prompt), F.lit(0)))
+    stop = F.array_min(F.array(*[F.nullif(F.array_position("__after", t), F.lit(0)) for t in terminal]))
+    rows = samples.withColumn("__after", after)
+    return rows.withColumn("sampled", F.when(stop.isNull(), F.col("__after")).otherwise(F.slice("__after", F.lit(1), (stop - 1).cast("int")))).drop("__after")
+
+
+def generative_accuracy(items: DataFrame, completions: DataFrame, equal, by: str = "task") -> DataFrame:
+    """by, accuracy, n: share of items (by, idx, reference) of which any completion (by,
+    idx, sample_idx, text) is right; an item without completions counts as failed."""
+    joined = items.join(completions, [by, "idx"], "left")
+    right = F.coalesce(equal(F.col("text"), F.col("reference")) & F.col("sample_idx").isNotNull(), F.lit(False))
+    return accuracy(joined.groupBy(by, "idx").agg(F.bool_or(right).alias("is_correct")), by)
+
+
 def pass_at_k(outcomes: DataFrame, key: str = "idx") -> DataFrame:
     """k, share of problems with a success in the first k samples."""
     frame = W.partitionBy(key).orderBy("sample_idx").rowsBetween(W.unboundedPreceding, 0)

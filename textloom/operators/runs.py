@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.operators.select import sent
+
 
 def valid_runs(runs: DataFrame) -> DataFrame:
     """Runs with a usable loss, effective parameters and their ratio to tokens."""
@@ -14,11 +16,16 @@ def valid_runs(runs: DataFrame) -> DataFrame:
     return rows.withColumn("ratio", F.col("tokens_trained") / F.col("effective_params"))
 
 
+def ranked(runs: DataFrame, *by: Column) -> DataFrame:
+    """Runs (a row each, so few) in the given order, numbered from 1."""
+    return runs.withColumn("place", F.row_number().over(W.orderBy(*by)))
+
+
 def quadratic_fit(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """a, b, c of the least-squares parabola of each group: power sums of x around its
     mean, a 3 x 3 system by Cramer's rule."""
     mean = df.groupBy(group).agg(F.avg(x).alias("mx"))
-    c = df.join(F.broadcast(mean), group).withColumn("u", F.col(x) - F.col("mx")).withColumn("v", F.col(y))
+    c = df.join(sent(mean), group).withColumn("u", F.col(x) - F.col("mx")).withColumn("v", F.col(y))
     s = c.groupBy(group).agg(F.first("mx").alias("mx"), F.count("*").cast("double").alias("n"), *[F.sum(F.pow("u", F.lit(k))).alias(f"s{k}") for k in range(1, 5)], *[F.sum(F.pow("u", F.lit(k)) * F.col("v")).alias(f"t{k}") for k in range(3)])
     det = F.expr("n*(s2*s4-s3*s3) - s1*(s1*s4-s2*s3) + s2*(s1*s3-s2*s2)")
     c0 = F.expr("t0*(s2*s4-s3*s3) - s1*(t1*s4-s3*t2) + s2*(t1*s3-s2*t2)") / det
@@ -97,7 +104,7 @@ def scrape(lines: DataFrame, patterns: dict[str, str], run: str = "run") -> Data
 def first_match(rows: DataFrame, table: DataFrame, matches: Column, key: list[str], value: str, default: Column) -> DataFrame:
     """The value of the first table row (by ord) that matches, else the default. The
     table is a small constant, so it is broadcast."""
-    joined = rows.join(F.broadcast(table), matches, "left")
+    joined = rows.join(sent(table, 10_000), matches, "left")
     return joined.groupBy(*key).agg(F.coalesce(F.min_by(value, "ord"), default).alias(value))
 
 

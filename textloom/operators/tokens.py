@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.text import SPLIT_PATTERN, byte_ids
+from textloom.operators.select import sent
 from textloom.session import cut
 
 #: Special tokens in id order (fixed values); their ids follow the mergeable ones.
@@ -133,8 +134,7 @@ def visualize(tokens: Column, mask: Column, with_ids: Column | None = None) -> C
 def lookup(rows: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, tokens: ids replaced by their vocabulary entries (an equi-join on the id; a
     vocabulary of at most BROADCAST entries is sent to all tasks)."""
-    small = vocab.limit(BROADCAST + 1).count() <= BROADCAST
-    flat = rows.select(key, F.posexplode("ids").alias("pos", "token_id")).join(F.broadcast(vocab) if small else vocab, "token_id")
+    flat = rows.select(key, F.posexplode("ids").alias("pos", "token_id")).join(sent(vocab, BROADCAST), "token_id")
     return flat.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))  # one text
 
 

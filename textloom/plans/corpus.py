@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import packing, select, tokens
 from textloom.operators.evaluation import byte_table
+from textloom.session import shared_folder
 from textloom.sources import readers, sinks
 
 
@@ -50,12 +53,16 @@ def shard_assignment(spark, sf_dir):
     return plan.groupBy("shard", "full").agg(F.count("*").alias("groups"), F.sum("chars").alias("chars"), F.sum("n").alias("docs"))
 
 
-def shuffle_order(spark, sf_dir):
-    from pyspark.sql import Window as W
+def shard_files(spark, sf_dir):
+    """Full shards written as files and scanned again, with the positions the files have."""
+    path = f"{shared_folder(spark)}/textloom-shards-{uuid.uuid4().hex}"
+    sinks.write_shards(_table(spark, sf_dir, "documents"), path, 200_000, 32)
+    rows = readers.shards(spark, path, "shard")
+    return rows.groupBy(F.col("shard").cast("long").alias("shard")).agg(F.countDistinct("file").alias("files"), F.count("*").alias("docs"), F.sum(F.length("text")).cast("long").alias("chars"), F.max("row").alias("last"), F.md5(F.max_by("text", -F.col("row"))).alias("head"))
+
 
-    key = select.shuffle_key(42, "doc_id")
-    rows = _table(spark, sf_dir, "documents").select("doc_id", F.substring(key, 1, 1).alias("bucket"), key.alias("h"))
-    return rows.withColumn("k", F.row_number().over(W.partitionBy("bucket").orderBy("h", "doc_id"))).select("doc_id", "bucket", "k")
+def shuffle_order(spark, sf_dir):
+    return select.shuffled(_table(spark, sf_dir, "documents").select("doc_id"), 42, "doc_id")
 
 
 def task_slice(spark, sf_dir):
@@ -180,6 +187,11 @@ def bpe_compression(spark, sf_dir):
     return tokens.side_by_side(docs, "lang", encoders)
 
 
+_SHARDS = """WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, length(text) AS c FROM documents),
+g AS (SELECT pos // 32 AS g, sum(c)::BIGINT AS chars, count(*)::BIGINT AS n FROM o GROUP BY 1),
+s AS (SELECT g, chars, n, 0::BIGINT AS shard, chars AS acc FROM g WHERE g = 0
+ UNION ALL SELECT g.g, g.chars, g.n, CASE WHEN s.n = 32 AND s.acc >= 200000 THEN s.shard + 1 ELSE s.shard END, CASE WHEN s.n = 32 AND s.acc >= 200000 THEN g.chars ELSE s.acc + g.chars END FROM s JOIN g ON g.g = s.g + 1),
+c AS (SELECT count(*) AS closed FROM s WHERE n = 32 AND acc >= 200000)"""
 _W = "ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 _MERGED = """n AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS pr, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS pt, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM {src}),
 r AS (SELECT conv_id, turn, role, CASE WHEN k = 2 AND pr = 'system' THEN pt || chr(10) || chr(10) || text ELSE text END AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM n WHERE NOT (k = 1 AND role = 'system'))"""
@@ -228,15 +240,15 @@ WHERE "group" % 3 = 1 AND (epoch > 1 OR file > 'shard_00003.parquet' OR file = '
     ),
     "shard_assignment": (
         shard_assignment,
-        """
-WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, length(text) AS c FROM documents),
-g AS (SELECT pos // 32 AS g, sum(c)::BIGINT AS chars, count(*)::BIGINT AS n FROM o GROUP BY 1),
-s AS (SELECT g, chars, n, 0::BIGINT AS shard, chars AS acc FROM g WHERE g = 0
- UNION ALL SELECT g.g, g.chars, g.n, CASE WHEN s.n = 32 AND s.acc >= 200000 THEN s.shard + 1 ELSE s.shard END, CASE WHEN s.n = 32 AND s.acc >= 200000 THEN g.chars ELSE s.acc + g.chars END FROM s JOIN g ON g.g = s.g + 1),
-c AS (SELECT count(*) AS closed FROM s WHERE n = 32 AND acc >= 200000)
+        f"""{_SHARDS}
 SELECT shard, shard < (SELECT closed FROM c) AS "full", count(*)::BIGINT AS groups, sum(chars)::BIGINT AS chars, sum(n)::BIGINT AS docs FROM s GROUP BY 1, 2""",
     ),
-    "shuffle_order": (shuffle_order, "SELECT doc_id, substr(h, 1, 1) AS bucket, row_number() OVER (PARTITION BY substr(h, 1, 1) ORDER BY h, doc_id)::INT AS k FROM (SELECT doc_id, md5('42:' || doc_id) AS h FROM documents)"),
+    "shard_files": (
+        shard_files,
+        f"""{_SHARDS}, d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, text FROM documents)
+SELECT shard, 1::BIGINT AS files, count(*)::BIGINT AS docs, sum(length(text))::BIGINT AS chars, (count(*) - 1)::BIGINT AS last, md5(arg_min(text, pos)) AS head FROM d JOIN s ON s.g = d.pos // 32 WHERE shard < (SELECT closed FROM c) GROUP BY shard""",
+    ),
+    "shuffle_order": (shuffle_order, "SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS k FROM documents"),
     "task_slice": (task_slice, "SELECT ((item_id - 3) // 4)::BIGINT AS i, item_id AS idx, item_id % 3 AS rank, (item_id // 8)::BIGINT AS batch, length(text)::INT AS chars FROM benchmark WHERE item_id >= 3 AND item_id < 35 AND (item_id - 3) % 4 = 0"),
     "limit_per_source": (limit_per_source, "SELECT doc_id, n_chars FROM documents WHERE lang = 'de' ORDER BY doc_id LIMIT 20"),
     "byte_stats": (byte_stats, "SELECT min(n)::INT AS lo, max(n)::INT AS hi, avg(n)::DOUBLE AS mean, round(stddev_samp(n), 9)::DOUBLE AS sd, count(*)::BIGINT AS n FROM (SELECT CASE WHEN i < 128 THEN 1 ELSE 3 END AS n FROM range(256) t(i))"),

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions import tools
 from textloom.operators import evaluation as E
-from textloom.operators import packing, tasks
+from textloom.operators import packing, tasks, tokens
 from textloom.plans import derived as D
 from textloom.plans import fixtures as X
+from textloom.plans.tasks import few_shot_sql
 
 
 def unigram_bpb(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,22 @@ def mean_outcome(spark, sf_dir):
     return E.accuracy(any_, "task")
 
 
+def generative_eval(spark, sf_dir):
+    """Items with a reference joined to their completions: passed if any of them is right."""
+    done = D.completions.df(spark, sf_dir)
+    items = done.groupBy("task", "idx").agg(F.min("reference").alias("reference"))
+    return E.generative_accuracy(items, done.select("task", "idx", "sample_idx", "text"), tasks.answers_equal)
+
+
+def sampled_ids(spark, sf_dir):
+    """Sampled rows of conversations: the first turns are the prompt, the end mark is terminal."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    ids = tokens.render(turns, 1 << 20).select("conv_id", "ids")
+    rows = ids.withColumn("prompt_len", F.array_position("ids", tokens.special("assistant_start")).cast("int"))
+    found = E.sampled_text(rows.where("prompt_len > 0"), [tokens.special("assistant_end"), tokens.special("bos")])
+    return found.select("conv_id", "prompt_len", F.size("sampled").alias("n_sampled"))
+
+
 def gsm_answer_match(spark, sf_dir):
     rows = D.completions.df(spark, sf_dir)
     return rows.select("task", "idx", "sample_idx", T.answer_number(F.col("text")).alias("got"), tasks.answers_equal(F.col("text"), F.col("reference")).alias("is_correct"), F.when(tasks.answers_equal(F.col("text"), F.col("reference")), 1.0).otherwise(0.0).alias("reward"))
@@ -172,7 +189,6 @@ o AS (SELECT task, kind, idx, option, gold, avg(loss) AS mean_loss, bool_and(pre
 x AS (SELECT task, idx, CASE WHEN any_value(kind) = 'language_modeling' THEN bool_and(exact) ELSE arg_min(option, (mean_loss, option)) = any_value(gold) END AS ok FROM o GROUP BY task, idx),
 a AS (SELECT task, avg(ok::DOUBLE) AS accuracy, count(*) AS n FROM x GROUP BY task)"""
 _PY = "||".join(f"chr({ord(c)})" for c in T.PY_SPACE)
-_RING = "ring AS (SELECT idx, row_number() OVER (ORDER BY md5('1234:' || idx), idx) - 1 AS r FROM s)"
 _COMMON = "coalesce(list_min(list_filter(range(0, list_min(list_transform({0}, lambda y: len(y)))), lambda k: len(list_distinct(list_transform({0}, lambda y: y[k + 1]))) > 1)), list_min(list_transform({0}, lambda y: len(y))))"
 
 QUERIES = {
@@ -191,6 +207,14 @@ g AS (SELECT split, sum(n)::BIGINT AS bytes, sum(CASE WHEN n > 0 THEN loss ELSE
 SELECT split, bytes, round(nats, 9)::DOUBLE AS nats, CASE WHEN bytes > 0 THEN round(nats / (ln(2) * bytes), 9) ELSE 'infinity'::DOUBLE END::DOUBLE AS bpb FROM g""",
     ),
     "mean_outcome": (mean_outcome, f"WITH {D.completions.cte('s')}, o AS (SELECT task, idx, bool_or({_NUM.format('text')} IS NOT DISTINCT FROM {_NUM.format('reference')}) AS ok FROM s GROUP BY task, idx) SELECT task, avg(ok::DOUBLE)::DOUBLE AS accuracy, count(*)::BIGINT AS n FROM o GROUP BY task"),
+    "generative_eval": (generative_eval, f"WITH {D.completions.cte('s')}, i AS (SELECT task, idx, min(reference) AS reference FROM s GROUP BY ALL), o AS (SELECT task, idx, bool_or({_NUM.format('s.text')} IS NOT DISTINCT FROM {_NUM.format('i.reference')}) AS ok FROM i JOIN s USING (task, idx) GROUP BY task, idx) SELECT task, avg(ok::DOUBLE)::DOUBLE AS accuracy, count(*)::BIGINT AS n FROM o GROUP BY task"),
+    "sampled_ids": (
+        sampled_ids,
+        """WITH n AS (SELECT *, lag(role) OVER w AS pr, lag(text) OVER w AS pt, row_number() OVER w AS k FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+r AS (SELECT conv_id, turn, role, strlen(CASE WHEN k = 2 AND pr = 'system' THEN pt || chr(10) || chr(10) || text ELSE text END) AS b FROM n WHERE NOT (k = 1 AND role = 'system')),
+f AS (SELECT conv_id, min(turn) FILTER (role <> 'user') AS t FROM r GROUP BY conv_id)
+SELECT conv_id, (2 + coalesce(sum(b + 2) FILTER (turn < t), 0))::INT AS prompt_len, any_value(b) FILTER (turn = t)::INT AS n_sampled FROM r JOIN f USING (conv_id) WHERE t IS NOT NULL GROUP BY conv_id""",
+    ),
     "gsm_answer_match": (gsm_answer_match, f"WITH {D.completions.cte('s')} SELECT task, idx, sample_idx, {_NUM.format('text')} AS got, {_NUM.format('text')} IS NOT DISTINCT FROM {_NUM.format('reference')} AS is_correct, CASE WHEN {_NUM.format('text')} IS NOT DISTINCT FROM {_NUM.format('reference')} THEN 1.0 ELSE 0.0 END::DOUBLE AS reward FROM s"),
     "icl_accuracy": (icl_accuracy, f"{_OPT} SELECT task, accuracy::DOUBLE AS accuracy, n::BIGINT AS n FROM a"),
     "span_losses": (span_losses, f"{_OPT} SELECT task, idx, option, round(mean_loss, 9)::DOUBLE AS mean_loss, exact FROM o"),
@@ -211,8 +235,8 @@ SELECT CASE WHEN count(DISTINCT task) = 6 THEN round(avg(c), 9) END::DOUBLE AS c
     "greedy_token": (greedy_token, f"WITH {D.logits.cte('s')}, k AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY logit DESC, token) AS r FROM s) SELECT row, token FROM k WHERE r = 1"),
     "mc_prompt": (
         mc_prompt,
-        f"""WITH {D.icl_mc.cte('s')}, {_RING}, p AS (SELECT a.idx, k, b.idx AS other FROM ring a, (SELECT unnest([1, 2]) AS k), ring b WHERE b.r = (a.r + k) % (SELECT count(*) FROM s)),
-h AS (SELECT p.idx, string_agg(s.query || ': ' || s.choices[s.gold + 1] || chr(10) || chr(10), '' ORDER BY k) AS shots FROM p JOIN s ON s.idx = p.other GROUP BY p.idx),
+        f"""WITH {D.icl_mc.cte('s')}, {few_shot_sql(2)},
+h AS (SELECT p.idx, string_agg(s.query || ': ' || s.choices[s.gold + 1] || chr(10) || chr(10), '' ORDER BY shot) AS shots FROM p JOIN s ON s.idx = p.other GROUP BY p.idx),
 c AS (SELECT idx, query, unnest(choices) AS choice, unnest(range(0, len(choices))) AS option FROM s)
 SELECT idx, option::INT AS option, md5(shots || query || ': ' || choice) AS digest FROM c JOIN h USING (idx)""",
     ),

@@ -77,6 +77,12 @@ def power_law(spark, sf_dir):
     return R.power_law(rows, "flops_budget", "x").select(*[F.round(c, 7).alias(c) for c in ("exponent", "log_factor", "r2")])
 
 
+def runs_ranked(spark, sf_dir):
+    """Runs by parameters, then by loss, the best last."""
+    rows = R.valid_runs(D.runs.df(spark, sf_dir))
+    return R.ranked(rows, F.desc("effective_params"), F.desc("val_bpb"), F.col("flops_budget")).select("place", "flops_budget", "depth")
+
+
 def ratio_summary(spark, sf_dir):
     rows = R.valid_runs(D.runs.df(spark, sf_dir))
     return rows.agg(F.round(F.avg("ratio"), 6).alias("mean"), F.round(F.stddev_samp("ratio"), 6).alias("sd"), F.round(F.log10(F.sqrt(F.min("flops_budget") * F.max("flops_budget"))), 9).alias("log_ref"))
@@ -222,6 +228,7 @@ SELECT run, step, round(e / (1 - 0.9 ** (step + 1)), 8)::DOUBLE AS ema, round(e
     "best_per_budget": (best_per_budget, f"{_VALID} SELECT flops_budget, arg_min(depth, (val_bpb, depth)) AS depth, min(val_bpb) AS val_bpb FROM v GROUP BY flops_budget"),
     "isoflop_fit": (isoflop_fit, _parabola()),
     "power_law": (power_law, f"{_VALID} SELECT round(regr_slope(log10(effective_params), log10(flops_budget)), 7)::DOUBLE AS exponent, round(regr_intercept(log10(effective_params), log10(flops_budget)), 7)::DOUBLE AS log_factor, round(regr_r2(log10(effective_params), log10(flops_budget)), 7)::DOUBLE AS r2 FROM v"),
+    "runs_ranked": (runs_ranked, f"{_VALID} SELECT row_number() OVER (ORDER BY effective_params DESC, val_bpb DESC, flops_budget)::INT AS place, flops_budget, depth FROM v"),
     "ratio_summary": (ratio_summary, f"{_VALID} SELECT round(avg(ratio), 6)::DOUBLE AS mean, round(stddev_samp(ratio), 6)::DOUBLE AS sd, round(log10(sqrt(min(flops_budget) * max(flops_budget))), 9)::DOUBLE AS log_ref FROM v"),
     "linear_fit": (linear_fit, f"WITH {D.calibration.cte('s')}, m AS (SELECT core, (x1 + x2 + x3 + x4 + x5 + x6) / 6 AS m FROM s) SELECT round(regr_slope(core, m), 8)::DOUBLE AS slope, round(regr_intercept(core, m), 8)::DOUBLE AS intercept, round(regr_r2(core, m), 8)::DOUBLE AS r2 FROM m"),
     "ridge_fit": (ridge_fit, None),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import tasks
+from textloom.operators import select, tasks
 from textloom.plans import derived as D
 from textloom.plans import fixtures as X
 from textloom.sources import readers
@@ -51,13 +53,11 @@ def chat_validation(spark, sf_dir):
 
 
 def mixture_order(spark, sf_dir):
-    """Two conversation sources, one of them twice: rank in the shuffled order."""
-    from pyspark.sql import Window as W
-
+    """Two conversation sources, one of them twice: place in the shuffled order."""
     a = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn = 0").select(F.col("conv_id").alias("idx"))
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("idx"))
-    rows = tasks.mixture([a, b, b])
-    return rows.select("task_idx", "idx", F.row_number().over(W.partitionBy(F.substring("order_key", 1, 1)).orderBy("order_key", "task_idx", "idx")).alias("k"))
+    rows = tasks.sequence(a, b, b)
+    return select.shuffled(rows, 42, "task_idx", "idx").select("task_idx", "idx", "k")
 
 
 def task_sequence(spark, sf_dir):
@@ -132,6 +132,22 @@ _PICK = "(('0x' || substr(md5({seed} || ':{salt}'), 1, 8))::BIGINT % {n})"
 _WORDS = "v AS (SELECT row_number() OVER (ORDER BY word) - 1 AS r, word FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents))"
 
 
+def _filled(template: str, **values: str) -> str:
+    """A template as an SQL expression."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    text = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return " || ".join(values[x] if i % 2 else text(x) for i, x in enumerate(pieces) if i % 2 or x)
+
+
+def few_shot_sql(k: int) -> str:
+    """p (idx, shot, other): few-shot picks of the items of a relation s."""
+    pick = lambda salt, n: _PICK.format(seed="a.idx", salt=salt, n=n)
+    take = f"least({k}, a.n - 1)"
+    return f"""ring AS (SELECT idx, row_number() OVER (ORDER BY md5('1234:' || idx), idx) - 1 AS r, count(*) OVER () AS n FROM s),
+p AS (SELECT a.idx, k::INT AS shot, b.idx AS other FROM ring a, (SELECT unnest(range(1, {k + 1})) AS k), ring b
+ WHERE k <= {take} AND b.r = (a.r + 1 + ({pick("start", "(a.n - 1)")} + (k - 1) * ({pick("stride", f"greatest(1, (a.n - 1) // {take})")} + 1)) % (a.n - 1)) % a.n)"""
+
+
 def _spelling(size: int, offset: int) -> str:
     p = lambda salt, n: _PICK.format(seed="seed", salt=salt, n=n)
     templates = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in tasks.TEMPLATES) + "]"
@@ -165,20 +181,19 @@ UNION ALL SELECT idx, (3 * k - 1)::INT, 'python_output', CASE WHEN contains(tag,
     "mixture_order": (
         mixture_order,
         """WITH m AS (SELECT 0 AS task_idx, conv_id AS idx FROM conversations WHERE turn = 0 UNION ALL SELECT 1, item_id FROM benchmark UNION ALL SELECT 2, item_id FROM benchmark),
-h AS (SELECT *, md5('42:' || task_idx || ':' || idx) AS h FROM m) SELECT task_idx, idx, row_number() OVER (PARTITION BY substr(h, 1, 1) ORDER BY h, task_idx, idx)::INT AS k FROM h""",
+h AS (SELECT *, md5('42:' || task_idx || ':' || idx) AS h FROM m) SELECT task_idx, idx, row_number() OVER (ORDER BY h, task_idx, idx) AS k FROM h""",
     ),
     "task_sequence": (task_sequence, "SELECT 0 AS task_idx, item_id AS idx FROM benchmark UNION ALL SELECT DISTINCT 1, conv_id FROM conversations"),
-    "fewshot_pick": (fewshot_pick, "WITH r AS (SELECT item_id AS idx, row_number() OVER (ORDER BY md5('1234:' || item_id), item_id) - 1 AS r, count(*) OVER () AS n FROM benchmark) SELECT a.idx, k::INT AS shot, b.idx AS other FROM r a, (SELECT unnest([1, 2, 3, 4, 5]) AS k), r b WHERE b.r = (a.r + k) % a.n"),
+    "fewshot_pick": (fewshot_pick, f"WITH s AS (SELECT item_id AS idx FROM benchmark), {few_shot_sql(5)} SELECT idx, shot, other FROM p"),
     "spelling_items": (spelling_items, f"WITH {_spelling(60, 0)} SELECT * FROM s"),
     "spelling_trace": (
         spelling_trace,
         f"""WITH {_spelling(30, tasks.TEST_OFFSET)}, c AS (SELECT idx, word, letter, n, k, substr(word, k::INT, 1) AS ch FROM (SELECT *, unnest(range(1, length(word) + 1)) AS k FROM s)),
 h AS (SELECT *, sum(CASE WHEN ch = letter THEN 1 ELSE 0 END) OVER (PARTITION BY idx ORDER BY k) AS hits FROM c),
 g AS (SELECT idx, word, letter, n, string_agg(ch, ',' ORDER BY k) AS spelled, string_agg(k || ':' || ch || CASE WHEN ch = letter THEN ' hit! count=' || hits ELSE '' END, chr(10) ORDER BY k) AS lines FROM h GROUP BY ALL)
-SELECT idx, md5('We are asked to find the number ''' || letter || ''' in the word ''' || word || '''. Let me try a manual approach first.' || chr(10) || chr(10) || 'First spell the word out:' || chr(10) || word || ':' || spelled || chr(10) || chr(10) || 'Then count the occurrences of ''' || letter || ''':' || chr(10) || lines || chr(10) || chr(10) || 'This gives us ' || n || '.') AS manual,
-chr(10) || chr(10) || 'Python gives us ' || n || '.' || chr(10) || chr(10) || 'My final answer is:' || chr(10) || chr(10) || '#### ' || n AS final FROM g""",
+SELECT idx, md5({_filled(tasks.MANUAL, letter='letter', word='word', spelled='spelled', trace='lines', n='n')}) AS manual, {_filled(tasks.FINAL, n='n')} AS final FROM g""",
     ),
-    "simple_spelling": (simple_spelling, f"WITH {_WORDS} SELECT i AS idx, word, 'Spell the word: ' || word AS \"user\", word || ':' || array_to_string(regexp_extract_all(word, '.'), ',') AS assistant FROM range(40) t(i) JOIN v ON r = {_PICK.format(seed='i', salt='simple', n='(SELECT count(*) FROM v)')}"),
+    "simple_spelling": (simple_spelling, f"WITH {_WORDS} SELECT i AS idx, word, {_filled(tasks.SPELL, word='word')} AS \"user\", word || ':' || array_to_string(regexp_extract_all(word, '.'), ',') AS assistant FROM range(40) t(i) JOIN v ON r = {_PICK.format(seed='i', salt='simple', n='(SELECT count(*) FROM v)')}"),
     "diverse_picks": (diverse_picks, "SELECT i AS idx, " + ", ".join(f"{v}[{_PICK.format(seed='i', salt=k, n=n)} + 1] AS {k}" for k, v, n in (("topic", "['math', 'art', 'code', 'food']", 4), ("tone", "['dry', 'warm', 'curt']", 3), ("length", "['short', 'long']", 2))) + " FROM range(50) t(i)"),
     "custom_json": (custom_json, f"WITH {_CHAT} SELECT idx, len(q)::INT AS n, len(q) >= 2 AND len(list_filter(range(1, len(q) + 1), lambda k: q[k] <> CASE WHEN k % 2 = 1 THEN 'user' ELSE 'assistant' END)) = 0 AS valid FROM x WHERE rule = 'custom' AND idx % 10 <> 3"),
     "padded_results": (

@@ -23,12 +23,23 @@ def session(name: str = "textloom", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of
+    this machine for a local session without that setting."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    current = context._jsc.sc().getCheckpointDir()
+    if not found and current.isDefined():
+        return current.get()
+    if not found and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    found = (found or "file://" + tempfile.mkdtemp(prefix="textloom-")).rstrip("/")
+    if not current.isDefined():
+        context.setCheckpointDir(found)
+    return found
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the shared folder, without its lineage."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="textloom-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -12,10 +12,11 @@ from textloom.operators.select import running_before
 MESSAGES = "array<struct<role:string,content:string>>"
 
 
-def shards(spark: SparkSession, path: str) -> DataFrame:
-    """text of all .parquet files with `file` (name) and `row` (position in the file)."""
+def shards(spark: SparkSession, path: str, *keep: str) -> DataFrame:
+    """text (and columns to `keep`) of all .parquet files with `file` (name) and `row`
+    (position in the file)."""
     df = spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
-    return df.select("text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return df.select("text", *keep, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
 def split_shards(rows: DataFrame, split: str) -> DataFrame:
@@ -55,8 +56,10 @@ def json_items(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def header_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.option("header", True).schema(schema).csv(path)
+def header_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """CSV with a header; without a schema the types are inferred (a pass over the files)."""
+    reader = spark.read.option("header", True)
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
 def padded_csv(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -31,7 +31,8 @@ def shard_plan(docs: DataFrame, shard_chars: int = 250_000_000, group_rows: int
         out["full"] = out["shard"] < shard
         return out
 
-    # one row per group of 1,024 documents: the scan over it is sequential by definition
+    # a shard's start depends on every earlier one, so the scan is sequential; it sees a
+    # row of two numbers a group of `group_rows` documents, not the documents
     return groups.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda pdf: cut(pdf), "group long, shard long, chars long, n long, full boolean")
 
 
@@ -47,6 +48,16 @@ def write_vocabulary(spark, merges: list[tuple[int, int]], path: str) -> None:
     spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, a int, b int").write.mode("overwrite").parquet(path)
 
 
+def write_byte_table(table: DataFrame, path: str) -> None:
+    """Tokenizer artifact: bytes of each token id."""
+    table.select("token_id", "n_bytes").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def append_metrics(rows: DataFrame, path: str) -> None:
+    """Metrics of runs (run, step, key, value) into a table with a folder a run."""
+    rows.select("run", F.col("step").cast("long").alias("step"), "key", F.col("value").cast("double").alias("value")).write.mode("append").partitionBy("run").parquet(path)
+
+
 def core_lines(results: DataFrame) -> DataFrame:
     """line: padded result rows with a last CORE row."""
     body = results.select(F.col("task").alias("o"), F.format_string("%-35s, %-10.6f, %-10.6f", "task", "accuracy", "centered").alias("line"), F.lit(1).alias("k"))
