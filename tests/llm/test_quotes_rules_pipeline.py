@@ -1,5 +1,10 @@
 """Quotation links, rule policies and the pipeline."""
 
+import random
+
+import duckdb
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import common, decontam, quotes, rules
@@ -17,6 +22,57 @@ def test_quotes(spark):
     assert quotes.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def as_sql(table, query):
+    con = duckdb.connect()
+    con.register("conversations", table)
+    return con.sql(query).df()
+
+
+def same(got, want):
+    order = sorted(want.columns)
+    rows = lambda d: sorted(map(repr, d[order].astype(object).where(d[order].notna(), None).values.tolist()))
+    return rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_quotes_of_parts_by_sql(spark, monkeypatch, hot):
+    """Random conversations that quote whole messages, lines, sentences and rewrapped runs."""
+    monkeypatch.setattr(quotes, "HOT", hot)
+    monkeypatch.setattr(quotes, "BLOCK", 3)
+    rng = random.Random(12)
+    rows, said = [], []
+    for conv in range(25):
+        for turn in range(rng.randrange(1, 12)):
+            lines = [" ".join(rng.choice("alpha beta gamma delta eps zeta eta theta".split()) for _ in range(rng.randrange(1, 9))) + rng.choice([".", "", "!"]) for _ in range(rng.randrange(1, 4))]
+            text = "\n".join(lines)
+            if said and rng.random() < 0.7:
+                words = rng.choice(said).split()
+                a = rng.randrange(len(words))
+                part = words[a : a + rng.randrange(1, 15)]
+                cut = rng.randrange(len(part) + 1)
+                text = "\n".join("> " + " ".join(x) for x in (part[:cut], part[cut:]) if x) + "\n" + text
+            said.append("\n".join(lines))
+            rows.append((conv, turn, rng.choice(["user", "assistant"]), text))
+    table = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])
+    got = quotes.link(spark.createDataFrame(table)).toPandas()
+    assert got.n_linked.sum() > 60 and same(got, as_sql(table, quotes.OP9_SQL))
+
+
+def test_one_passage_that_many_quote(spark):
+    """One turn that is quoted and answered by very many, one very long message, rows
+    without ids."""
+    opening = "the opening words that everybody here quotes again and again"
+    n = 100_000
+    many = spark.range(1, n + 1).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit(f"> {opening}\nanswer "), F.col("id")).alias("text"))
+    rest = spark.createDataFrame([(1, 0, "user", f"before {opening} after"), (2, 0, "user", "> " + opening), (2, 1, "user", "word " * 20_000 + opening), (None, None, "u", "x"), (None, None, "u", "y"), (None, 1, "u", f"> {opening}")], "conv_id long, turn long, role string, text string")
+    got = quotes.link(many.unionByName(rest))
+    one = got.where("conv_id = 1").agg(F.count("*"), F.sum("n_linked"), F.max("reply_to"), F.countDistinct("position"), F.max("position")).first()
+    assert tuple(one) == (n + 1, n, 0, n + 1, n + 1)
+    assert got.where("conv_id = 1 and turn > 0 and position <> turn + 1").count() == 0
+    other = {(r["conv_id"], r["turn"]): r for r in got.where("conv_id = 2 or conv_id is null").collect()}
+    assert other[2, 0]["n_linked"] == 1 and other[None, 1]["n_linked"] == 0 and sorted(r["position"] for r in got.where("conv_id is null").collect()) == [1, 2, 3]
+
+
 def test_policies_and_ablations(spark):
     rows = rules.ledger(spark.read.parquet(f"{SF}/documents.parquet"))
     kept = {v: rules.apply_policy(rows, v).where("kept").count() for v in rules.POLICIES}
