@@ -55,6 +55,26 @@ def test_near_copies_of_one_text(spark, monkeypatch, block):
     assert got == brute_components(texts)
 
 
+def test_small_sets_meet_without_empty_blocks():
+    """Sets of a few shingles, which often leave blocks empty, meet by blocks with bits."""
+    rng = np.random.default_rng(5)
+    for n in [7, 8, 9, 12, 13] * 60:
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = a[1:] if rng.integers(2) else np.unique(np.concatenate([a, rng.integers(0, 2**63, 1).astype(np.uint64)]))
+        if 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)):
+            owner, keys = jaccard.sketch_keys([a, b])
+            assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+    other = [np.unique(rng.integers(0, 2**63, 8).astype(np.uint64)) for _ in range(3000)]
+    owner, keys = jaccard.sketch_keys(other)
+    assert len(np.unique(keys)) == len(np.unique(np.stack([keys, owner.astype(np.uint64)], 1), axis=0))  # no chance meetings
+
+
+def test_components_of_hubs_and_paths(spark):
+    edges = [(0, i) for i in range(1, 40)] + [(100 + i, 101 + i) for i in range(25)] + [(7, 300), (300, 301), (5, 5)]
+    got = {r["node"]: r["root"] for r in jaccard.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
+    assert got == {**dict.fromkeys([*range(1, 40), 300, 301], 0), **{101 + i: 100 for i in range(25)}}
+
+
 def test_rows_without_an_id(spark):
     a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
     rows = [(1, a), (2, a + " end"), (None, a), (None, b), (None, b), (None, b + " end"), (3, c), (None, d), (None, None), (None, ""), (4, None)]

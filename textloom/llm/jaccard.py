@@ -5,13 +5,14 @@ class. Per size band every set gets a parity sketch: each shingle flips one bit
 of G blocks. A shingle that only one of two sets holds changes one block at most, so the
 number of unequal blocks, and the Hamming distance, are lower bounds of the symmetric
 difference. A pair at the threshold differs in at most T shingles and G > T, so by the
-pigeonhole it agrees on G - T blocks: sets are joined on block contents. Blocks of one
-bit or none say little. A set with more than T blocks of two bits leaves the others
-out; if not, it also uses blocks of one bit, and if blocks with a bit are still too few,
-the empty ones. A pair meets by the keys of the better off of its two sets, which the
-other has too; so no pair at the threshold is lost.
-
-Sets that share a key form families; inside a family, pairs are compared by sketch
+pigeonhole it agrees on G - T blocks: sets are joined on block contents. The blocks are
+wide and their few bits are kept as a list, so one bit already tells sets apart. Blocks
+without a bit say nothing and are left out: a set with more than T others meets every
+partner by one of those. A set with fewer is sketched again with another hash, until it
+has enough; a pair has both its sets sketched in every round up to the first in which one
+of them is well off, and meets there. So no pair at the threshold is lost.
+
+Sets that share a key form families; inside a family, pairs are compared by folded sketch
 first and verified exactly by set, and only a spanning forest of the verified links
 leaves a task. Large families are cut into blocks and compared block by block. Nothing
 is capped and no pair list of a group is emitted.
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bits of a sketch block (a power of two) and bits of the folded sketch of a check.
-BLOCK_BITS, FOLD = 4096, 1024
+#: Rounds of sketches before blocks without a bit are used, and bits of the folded sketch of a check.
+ROUNDS, FOLD = 12, 1024
 #: Shingles in a block of a family that one task compares with another block.
 FAMILY_BLOCK = 1 << 18
 #: Classes that a task remembers as sent.
@@ -91,17 +92,39 @@ def most(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
 @cache
 def blocks(cell: int, num: int, den: int) -> int:
     """Blocks G of a size cell: the fewest with which nearly every set of the cell keeps
-    more blocks of two bits than a linked set can change; else those that come closest."""
+    more blocks with a bit than a linked set can change; else those that come closest."""
     ends = np.array([EDGES[cell], EDGES[cell + 1] - 1])
     limit = most(ends, ends * den // num, num, den)
-    g = np.unique(np.round(np.geomspace(limit[1] + 2, 4 * limit[1] + 8, 200)).astype(np.int64))
-    load = ends[None, :] / g[:, None]
-    telling = 1 - np.exp(-load) * (1 + load)
-    margin = g[:, None] * telling - 3 * np.sqrt(g[:, None] * telling * (1 - telling)) - limit[None, :] - 1
+    g = np.unique(np.round(np.geomspace(limit[1] + 1, 4 * limit[1] + 8, 400)).astype(np.int64))
+    telling = -np.expm1(-ends[None, :] / g[:, None])
+    margin = g[:, None] * telling - 2 * np.sqrt(g[:, None] * telling * (1 - telling)) - limit[None, :] - 1
     margin = margin.min(1)
     return int(g[np.argmax(margin >= 0)] if (margin >= 0).any() else g[np.argmax(margin)])
 
 
+def _sketch(sets: list[np.ndarray], entry: np.ndarray, cell: np.ndarray, g: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, block, content) of the blocks with a bit, of the sketches of one round."""
+    size = np.array([len(sets[i]) for i in entry], np.int64)
+    flat = np.concatenate([sets[i] for i in entry])
+    of = np.repeat(np.arange(len(entry)), size)
+    h = common.mix64(flat ^ common.mix64(cell[of].astype(np.uint64) + np.uint64(77 + (turn << 20))))
+    block = ((h >> np.uint64(32)) * g[of].astype(np.uint64)) >> np.uint64(32)
+    # entry, block and bit in 64 bits: what entries and blocks leave is the width of a block
+    low = min(32, 64 - int(len(entry)).bit_length() - int(g.max()).bit_length())
+    high = np.uint64(low + int(g.max()).bit_length())
+    code = (of.astype(np.uint64) << high) | (block << np.uint64(low)) | (h & np.uint64((1 << low) - 1))
+    code.sort()
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    odd = np.diff(np.append(first, len(code))) % 2 == 1
+    code = code[first[odd]]  # the bits that are set
+    where = code >> np.uint64(low)
+    first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])[: len(where)])
+    bit = common.mix64((code & np.uint64((1 << low) - 1)) + np.uint64(1))
+    content = np.bitwise_xor.reduceat(bit, first) if len(first) else code
+    where = where[first]
+    return (where >> (high - np.uint64(low))).astype(np.int64), where & ((np.uint64(1) << (high - np.uint64(low))) - np.uint64(1)), content
+
+
 def sketch_keys(sets: list[np.ndarray], num: int = 85, den: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Join keys of each set: (index of the set, key)."""
     size = np.array([len(s) for s in sets], np.int64)
@@ -121,31 +144,22 @@ def sketch_keys(sets: list[np.ndarray], num: int = 85, den: int = 100) -> tuple[
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     known, of_cell = np.unique(cell, return_inverse=True)
     g = np.array([blocks(c, num, den) for c in known.tolist()])[of_cell]
-    flat = np.concatenate([sets[i] for i in entry])
-    of = np.repeat(np.arange(len(entry)), size[entry])
-    h = common.mix64(flat ^ common.mix64(cell[of].astype(np.uint64) + np.uint64(77)))
-    block = ((h >> np.uint64(32)) * g[of].astype(np.uint64)) >> np.uint64(32)
-    code = (of.astype(np.uint64) << np.uint64(40)) | (block << np.uint64(12)) | (h & np.uint64(BLOCK_BITS - 1))
-    code.sort()
-    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-    odd = np.diff(np.append(first, len(code))) % 2 == 1
-    code = code[first[odd]]  # the bits that are set
-    where = code >> np.uint64(12)
-    first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])[: len(where)])
-    bits = np.diff(np.append(first, len(where)))
-    value = np.bitwise_xor.reduceat(common.mix64((code & np.uint64(BLOCK_BITS - 1)) + np.uint64(1)), first) if len(first) else code
-    where = where[first]
-    at, block = (where >> np.uint64(28)).astype(np.int64), where & np.uint64((1 << 28) - 1)
-    place = common.mix64((cell[at].astype(np.uint64) << np.uint64(40)) + block)
-    two = np.bincount(at[bits >= 2], minlength=len(entry)) <= limit  # too few blocks of two bits
-    one = np.bincount(at, minlength=len(entry)) <= limit  # too few blocks with a bit
-    take = (bits >= 2) | two[at]
-    owners, keys = [at[take]], [common.mix64(value[take] ^ place[take])]
-    for e in np.flatnonzero(one).tolist():
-        empty = np.setdiff1d(np.arange(g[e], dtype=np.uint64), block[at == e])
-        owners.append(np.full(len(empty), e))
-        keys.append(common.mix64(common.mix64((np.uint64(cell[e]) << np.uint64(40)) + empty)))
-    return entry[np.concatenate(owners)], np.concatenate(keys)
+    owners, keys, todo = [], [], np.arange(len(entry))
+    for turn in range(ROUNDS):
+        at, block, content = _sketch(sets, entry[todo], cell[todo], g[todo], turn)
+        place = (cell[todo][at].astype(np.uint64) << np.uint64(48)) + (np.uint64(turn) << np.uint64(40)) + block
+        owners.append(entry[todo[at]])
+        keys.append(common.mix64(content ^ common.mix64(place)))
+        poor = np.bincount(at, minlength=len(todo)) <= limit[todo]
+        if turn == ROUNDS - 1:  # poor in every round: the empty blocks of the last one, too
+            for e in np.flatnonzero(poor).tolist():
+                empty = np.setdiff1d(np.arange(g[todo[e]], dtype=np.uint64), block[at == e])
+                owners.append(np.full(len(empty), entry[todo[e]]))
+                keys.append(common.mix64(common.mix64((np.uint64(cell[todo[e]]) << np.uint64(48)) + (np.uint64(ROUNDS) << np.uint64(40)) + empty)))
+        todo = todo[poor]
+        if not len(todo):
+            break
+    return np.concatenate(owners), np.concatenate(keys)
 
 
 def _keys(n, num, den, batches):
@@ -173,23 +187,26 @@ def stars(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """node, root from edges a, b: the smallest node of each connected component, by
-    alternating large-star and small-star steps; lineage is cut after every round."""
+    alternating large-star and small-star steps; lineage is cut after every round. A root
+    with very many nodes makes one large partition of the first join of a round, which
+    adaptive execution splits (the result is shuffled anew anyway)."""
     edges = common.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     mark = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = edges.select(F.col("u").alias("x"), F.col("v").alias("u")).join(least, "u").where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v"))
-        large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        # an edge to a local minimum stays with it: covered by m = u for that node
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small_least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small_least.select("u", F.col("m").alias("v")))
-        edges = common.materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
         seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (seen["n"], seen["h"]) == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = (seen["n"], seen["h"])
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # every larger neighbour of a node goes to the least of that node and its neighbours
+        large = edges.select(F.col("u").alias("x"), F.col("v").alias("u")).join(least, "u").where("x <> m")
+        large = large.select(F.greatest("x", "m").alias("u"), F.least("x", "m").alias("v")).distinct()
+        # every smaller neighbour of a node, and the node, go to the least of them
+        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small_least.select("u", F.col("m").alias("v")))
+        before, edges = edges, common.materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+        common.release(before)
 
 
 def _fold(sets: list[np.ndarray]) -> np.ndarray:
@@ -294,6 +311,10 @@ def keep_one(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> Data
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents. Null texts and texts without a word are linked with
+    nothing; rows without an id are linked, and have the id of their component, null if no
+    member has one; repeated rows share it; an empty table gives an empty result; other
+    columns are not read."""
     return link(common.documents(spark, sf_dir))
 
 

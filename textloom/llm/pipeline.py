@@ -51,8 +51,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents; each result is written and read again."""
+    """All stages over the table of documents; each result is written and read again, and
+    what a stage wrote besides it is removed."""
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with common.scratch():
+            docs = common.materialize(stage(spark, before, sf_dir), f"stage-{name}")
+        common.release(before)
     return docs
