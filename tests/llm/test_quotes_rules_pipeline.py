@@ -1,13 +1,19 @@
 """Quotation links, rule policies and the pipeline."""
 
+import base64
+import collections
+import itertools
 import random
 
 import duckdb
+import numpy as np
 import pandas as pd
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
-from textloom.llm import common, decontam, quotes, rules
+from textloom.llm import common, decontam, quality, quotes, rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -103,6 +109,85 @@ def test_pipeline(spark):
     assert not good & final and not {r["doc_id"] for r in decontam.op2(spark, SF).collect()} & final
 
 
+def brute_pipeline(spark, sf_dir):
+    """doc_id and token ids of what every stage keeps, stage by stage in plain Python;
+    only the verdicts of the fitted classifier are taken as they are."""
+    table = common.documents(spark, sf_dir)
+    bad = {r["doc_id"] for r in quality.classify(table, common.labels(spark, sf_dir)).where("predicted = 0").collect()}
+    docs = {r["doc_id"]: r["text"] for r in table.collect() if r["doc_id"] not in bad}
+    # near duplicates
+    sets = {}
+    for i, t in docs.items():
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in docs}
+    for i, j in itertools.combinations(sorted(docs), 2):
+        if sets[i] and sets[j] and root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            low, high = sorted((root[i], root[j]))
+            root = {k: low if r == high else r for k, r in root.items()}
+    docs = {i: t for i, t in docs.items() if root[i] == i}
+    # repeats of 100 bytes
+    seen = set()
+    for i in sorted(docs):
+        text = docs[i].encode()
+        gone = np.zeros(len(text), bool)
+        for k in range(len(text) - 99):
+            window = text[k : k + 100]
+            if window in seen:
+                gone[k : k + 100] = True
+            seen.add(window)
+        docs[i] = bytes(b for b, x in zip(text, gone) if not x).decode("utf-8", "ignore")
+    # benchmark
+    index = collections.defaultdict(set)
+    for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect():
+        w = r["text"].lower().split()
+        for k in range(len(w) - 7):
+            index[tuple(w[k : k + 8])].add(r["item_id"])
+    for i in list(docs):
+        w, hits = docs[i].lower().split(), collections.Counter()
+        for k in range(len(w) - 7):
+            hits.update(index.get(tuple(w[k : k + 8]), ()))
+        if max(hits.values(), default=0) >= 5:
+            del docs[i]
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, file)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return {i: library.encode_ordinary(t) for i, t in docs.items()}
+
+
+def test_pipeline_by_brute_force(spark):
+    import corpus_pipeline
+
+    got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got == brute_pipeline(spark, SF)
+
+
+def test_stages_take_all_kinds_of_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, rows without an id,
+    and extra columns with names that the operators use."""
+    import corpus_pipeline
+
+    clash = ("id", "slot", "spans", "own", "cls", "key", "h", "t", "y", "stats", "root", "least", "comp", "row", "item_id", "score", "predicted", "ids", "n_tokens")
+    good = "A quiet morning in the harbour began with fishermen who mended their nets, while {} gulls waited on the wall for whatever the tide would bring. Nobody hurried, and the bell of the small church counted hours that did not matter much to anyone there."
+    texts = [good.format("seven"), None, "", " \n\t", " ".join(f"word{i % 9973}" for i in range(200_000)), "Ünïcode 日本語 " * 3, good.format("nine hundred and fifty noisy") + " Later the rain came over the hills and washed the boats."]
+    rows = [(i, t, None if i % 2 else "en", None if i % 3 else "s", None if i % 2 else 5) for i, t in enumerate(texts)]
+    rows += [rows[0], rows[1], (None, "A row without an id tells of a garden behind the old school, where pears ripened late and children learned the names of birds from a patient teacher.", None, None, None), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(clash)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for table in (docs, docs.limit(0)):
+            got = stage(spark, table, SF)
+            assert got.columns == docs.columns, name
+            kept = got.collect()
+            assert len(kept) <= table.count() and {r["doc_id"] for r in kept} <= {*range(len(texts)), None}
+            if name in ("repeats", "benchmark"):
+                assert len(kept) == table.count()
+            if name == "near_duplicates" and kept:
+                assert sorted(map(str, (r["doc_id"] for r in kept))) == sorted(map(str, [*range(len(texts)), 0, 1, None, None]))
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert last.count() == len(rows) and last.where("n_tokens = 0").count() == 4
+
+
 def test_pipeline_takes_empty_tables(spark):
     import corpus_pipeline
 

@@ -316,6 +316,9 @@ def decode_ids(rows: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every document. Null and empty texts have no ids; a null id stays
+    null; repeated rows are encoded row by row; an empty table gives an empty result; other
+    columns are not read."""
     import public_tokenizers
 
     return encode_documents(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)

@@ -125,6 +125,9 @@ def ablations(rows: DataFrame, policy: int = CURRENT) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements and verdicts of every document. Null and empty texts have no words and
+    fail the base rule; a null id stays null; repeated rows are judged row by row; an empty
+    table gives an empty result; other columns are not read."""
     rows = apply_policy(ledger(common.documents(spark, sf_dir)))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
