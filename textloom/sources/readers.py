@@ -43,13 +43,14 @@ def resume(rows: DataFrame, file: str, group: int, epoch: int = 1) -> DataFrame:
 
 
 def json_conversations(spark: SparkSession, path: str) -> DataFrame:
-    """idx, messages of a file with one JSON array a line; blank lines are skipped; a
+    """idx (from 0 without gaps), messages of a file with one JSON array a line; blank lines are skipped; a
     missing file is an empty relation."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         return spark.createDataFrame([], f"idx long, messages {MESSAGES}")
     lines = spark.read.text(path).where(F.btrim("value", F.lit(" \t\r\n")) != "")
-    return lines.select(F.monotonically_increasing_id().alias("idx"), F.from_json("value", MESSAGES).alias("messages"))
+    numbered = running_before(lines.withColumn("__line", F.monotonically_increasing_id()), F.lit(1), "__line", "idx")
+    return numbered.select("idx", F.from_json("value", MESSAGES).alias("messages"))
 
 
 def json_items(spark: SparkSession, path: str, schema: str) -> DataFrame:
