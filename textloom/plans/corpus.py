@@ -200,7 +200,7 @@ _IDS = f"""ids AS (SELECT conv_id, i, CASE WHEN role = 'user' THEN list_concat([
 
 
 
-def _best_fit(items: str, capacity: int, buffer: int, least: int, crop: bool) -> str:
+def best_fit(items: str, capacity: int, buffer: int, least: int, crop: bool) -> str:
     """Best-fit packing of `items` (id, length), one placement a step of a recursion."""
     cut = "coalesce(fit, short)" if crop else "fit"
     return f"""
@@ -286,8 +286,8 @@ WITH {_MERGED.format(src='conversations')}, {_IDS},
 f AS (SELECT conv_id, (1 + sum(len(ids))) AS n, list_concat([0], flatten(list(CASE WHEN u THEN list_transform(ids, lambda x: 0) ELSE list_concat([0], list_transform(ids[2:], lambda x: 1)) END ORDER BY i))) AS mask FROM ids GROUP BY conv_id)
 SELECT conv_id, least(least(n, 513), 512)::INT AS n_inputs, (least(n, 513) - 1)::INT AS n_targets, list_sum(mask[2:513])::INT AS n_learned FROM f""",
     ),
-    "pack_bestfit": (pack_bestfit, _best_fit("i AS (SELECT doc_id AS id, strlen(text) + 1 AS length FROM documents)", 2049, 1000, 4, True)),
-    "pack_pad": (pack_pad, _best_fit(f"{_MERGED.format(src='conversations')}, i AS (SELECT conv_id AS id, least(4097, 1 + sum(strlen(text) + 2)) AS length FROM r0 GROUP BY conv_id)".replace("r AS", "r0 AS", 1), 4097, 100, 2, False)),
+    "pack_bestfit": (pack_bestfit, best_fit("i AS (SELECT doc_id AS id, strlen(text) + 1 AS length FROM documents)", 2049, 1000, 4, True)),
+    "pack_pad": (pack_pad, best_fit(f"{_MERGED.format(src='conversations')}, i AS (SELECT conv_id AS id, least(4097, 1 + sum(strlen(text) + 2)) AS length FROM r0 GROUP BY conv_id)".replace("r AS", "r0 AS", 1), 4097, 100, 2, False)),
     "pack_statistics": (pack_statistics, None),
     "bos_positions": (bos_positions, "SELECT doc_id, '0,' || (1 + strlen(substring(text, 1, (length(text) // 2)::INT))) AS starts FROM documents"),
     "token_lookup": (token_lookup, "SELECT doc_id, md5(lower(hex(encode(text)))) AS hex, (12 * strlen(text) - 1)::INT AS shown FROM documents WHERE text <> ''"),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, evals, relational, runs, tasks
+from . import corpus, evals, relational, runs, streams, tasks
 
-_MODULES = (corpus, evals, tasks, runs, relational)
+_MODULES = (corpus, evals, tasks, runs, relational, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from textloom.session import shared_folder
 
 
 def read_shards(spark: SparkSession, path: str, schema: str | StructType, files_per_trigger: int = 1) -> DataFrame:
@@ -94,4 +96,17 @@ def run_once(df: DataFrame, checkpoint: str, name: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-__all__ = ["Packer", "event_windows", "pack_stream", "read_shards", "run_once", "sessions"]
+def drain(df: DataFrame, complete: bool = False) -> DataFrame:
+    """Run a stream over what is there into files of the shared folder and read them:
+    rows as they come, or the last result of an aggregation with `complete`."""
+    folder = f"{shared_folder(df.sparkSession)}/textloom-stream-{uuid.uuid4().hex}"
+    writer = df.writeStream.option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True)
+    if complete:
+        query = writer.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{folder}/rows")).start()
+    else:
+        query = writer.format("parquet").start(f"{folder}/rows")
+    query.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
+
+
+__all__ = ["Packer", "drain", "event_windows", "pack_stream", "read_shards", "run_once", "sessions"]
