@@ -140,7 +140,7 @@ def pack_statistics(spark, sf_dir):
     for s in packing.STRATEGIES:
         one = packing.statistics(packing.pack(docs, 2049, stripes, s), 2049).withColumn("strategy", F.lit(s))
         rows = one if rows is None else rows.unionByName(one)
-    return rows
+    return rows.select("strategy", "rows", *[F.round(c, 9).alias(c) for c in ("utilisation", "cropped", "padded")])
 
 
 def bos_positions(spark, sf_dir):
@@ -206,7 +206,7 @@ def best_fit(items: str, capacity: int, buffer: int, least: int, crop: bool) ->
     return f"""
 WITH RECURSIVE {items},
 s AS (SELECT *, id % (SELECT greatest({least}, ceil(count(*) / {packing.STRIPE_ITEMS}))::BIGINT FROM i) AS stripe FROM i),
-a AS (SELECT stripe, list({{'n': length::BIGINT, 'k': k, 'id': id}} ORDER BY k) AS items FROM (SELECT *, row_number() OVER (PARTITION BY stripe ORDER BY id) AS k FROM s) GROUP BY stripe),
+a AS (SELECT stripe, list({{'n': length::BIGINT, 'k': k, 'id': id}} ORDER BY k) AS items FROM (SELECT *, row_number() OVER (PARTITION BY stripe ORDER BY id) AS k FROM s{"" if crop else f" WHERE length <= {capacity}"}) GROUP BY stripe),
 r AS (SELECT stripe, items[:{buffer}] AS buffer, {buffer + 1}::BIGINT AS nxt, 0::BIGINT AS row, 0::BIGINT AS slot, 0::BIGINT AS pos, -9::BIGINT AS o_row, 0::BIGINT AS o_slot, 0::BIGINT AS o_start, NULL::BIGINT AS id, 0::BIGINT AS taken, 0::BIGINT AS dropped FROM a
  UNION ALL SELECT stripe, CASE WHEN c IS NULL THEN buffer ELSE list_concat(list_filter(buffer, lambda x: x.k <> c.k), items[nxt:nxt]) END, CASE WHEN c IS NULL THEN nxt ELSE nxt + 1 END,
   CASE WHEN c IS NULL OR pos + took = {capacity} THEN row + 1 ELSE row END, CASE WHEN c IS NULL OR pos + took = {capacity} THEN 0 ELSE slot + 1 END, CASE WHEN c IS NULL OR pos + took = {capacity} THEN 0 ELSE pos + took END,
@@ -216,6 +216,41 @@ SELECT stripe::BIGINT AS stripe, CASE WHEN o_row = last THEN -2 ELSE o_row END::
 FROM (SELECT *, max(row) OVER (PARTITION BY stripe) AS last FROM r) WHERE id IS NOT NULL"""
 
 
+def _in_order(capacity: int, crop: bool) -> str:
+    """Greedy packing of a (stripe, items), one item a step; the placements are g."""
+    at = "pos" if crop else f"CASE WHEN pos > 0 AND pos + items[k].n > {capacity} THEN 0 ELSE pos END"
+    row = "row" if crop else f"CASE WHEN pos > 0 AND pos + items[k].n > {capacity} THEN row + 1 ELSE row END"
+    return f"""g AS (SELECT stripe, 1::BIGINT AS k, 0::BIGINT AS row, 0::BIGINT AS pos, -1::BIGINT AS o_row, 0::BIGINT AS taken, 0::BIGINT AS dropped FROM a
+ UNION ALL SELECT stripe, k + 1, CASE WHEN p + took = {capacity} THEN w + 1 ELSE w END, CASE WHEN p + took = {capacity} THEN 0 ELSE p + took END, w, took, n - took
+ FROM (SELECT *, least(n, {capacity} - p) AS took FROM (SELECT stripe, k, items[k].n AS n, {at} AS p, {row} AS w FROM g JOIN a USING (stripe) WHERE k <= len(items))))"""
+
+
+def _decreasing(capacity: int) -> str:
+    """First-fit-decreasing packing of a (stripe, items), one item a step; the placements are g."""
+    return f"""g AS (SELECT stripe, 1::BIGINT AS k, []::BIGINT[] AS room, -1::BIGINT AS o_row, 0::BIGINT AS taken, 0::BIGINT AS dropped FROM a
+ UNION ALL SELECT stripe, k + 1, CASE WHEN f > 0 THEN list_transform(range(1, len(room) + 1), lambda j: CASE WHEN j = f THEN room[j] - took ELSE room[j] END) ELSE list_append(room, {capacity} - took) END, CASE WHEN f > 0 THEN f - 1 ELSE len(room) END, took, n - took
+ FROM (SELECT *, coalesce(list_position(list_transform(room, lambda x: x >= took), true), 0) AS f FROM (SELECT stripe, k, room, d[k].n AS n, least(d[k].n, {capacity}) AS took FROM g JOIN (SELECT stripe, list_sort(list_transform(items, lambda x: {{'m': -x.n, 'id': x.id, 'n': x.n}})) AS d FROM a) USING (stripe) WHERE k <= len(d))))"""
+
+
+def _statistics(name: str, capacity: int, placed: str) -> str:
+    return f"""SELECT '{name}' AS strategy, r AS rows, round(t / (r * {capacity}), 9)::DOUBLE AS utilisation, round(d / (t + d), 9)::DOUBLE AS cropped, round(1 - t / (r * {capacity}), 9)::DOUBLE AS padded
+FROM (SELECT count(DISTINCT (stripe, row)) AS r, sum(taken) AS t, sum(dropped) AS d FROM ({placed}) WHERE row >= 0)"""
+
+
+_LENGTHS = "i AS (SELECT doc_id AS id, strlen(text) + 1 AS length FROM documents)"
+_STRIPED = f"""{_LENGTHS}, s AS (SELECT *, id % (SELECT greatest(4, ceil(count(*) / {packing.STRIPE_ITEMS}))::BIGINT FROM i) AS stripe FROM i),
+a AS (SELECT stripe, list({{'n': length::BIGINT, 'id': id}} ORDER BY id) AS items FROM s GROUP BY stripe)"""
+_PACKINGS = " UNION ALL ".join(
+    f"({_statistics(name, 2049, placed)})"
+    for name, placed in {
+        "bestfit_crop": best_fit(_LENGTHS, 2049, 1000, 4, True),
+        "bestfit_pad": best_fit(_LENGTHS, 2049, 1000, 4, False),
+        "greedy_crop": f"WITH RECURSIVE {_STRIPED}, {_in_order(2049, True)} SELECT stripe, o_row AS row, taken, dropped FROM g",
+        "greedy_pad": f"WITH RECURSIVE {_STRIPED}, {_in_order(2049, False)} SELECT stripe, o_row AS row, taken, dropped FROM g",
+        "ffd": f"WITH RECURSIVE {_STRIPED}, {_decreasing(2049)} SELECT stripe, o_row AS row, taken, dropped FROM g",
+    }.items()
+)
+
 QUERIES = {
     "tok_compression_by_lang": (
         tok_compression_by_lang,
@@ -288,7 +323,7 @@ SELECT conv_id, least(least(n, 513), 512)::INT AS n_inputs, (least(n, 513) - 1):
     ),
     "pack_bestfit": (pack_bestfit, best_fit("i AS (SELECT doc_id AS id, strlen(text) + 1 AS length FROM documents)", 2049, 1000, 4, True)),
     "pack_pad": (pack_pad, best_fit(f"{_MERGED.format(src='conversations')}, i AS (SELECT conv_id AS id, least(4097, 1 + sum(strlen(text) + 2)) AS length FROM r0 GROUP BY conv_id)".replace("r AS", "r0 AS", 1), 4097, 100, 2, False)),
-    "pack_statistics": (pack_statistics, None),
+    "pack_statistics": (pack_statistics, _PACKINGS),
     "bos_positions": (bos_positions, "SELECT doc_id, '0,' || (1 + strlen(substring(text, 1, (length(text) // 2)::INT))) AS starts FROM documents"),
     "token_lookup": (token_lookup, "SELECT doc_id, md5(lower(hex(encode(text)))) AS hex, (12 * strlen(text) - 1)::INT AS shown FROM documents WHERE text <> ''"),
     "environment": (environment, None),

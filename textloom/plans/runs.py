@@ -200,6 +200,16 @@ SELECT flops_budget, printf('%.5e', params) AS params, printf('%.5e', tokens) AS
 _VALID = f"WITH {D.runs.cte('s')}, v AS (SELECT *, params_transformer + params_lm_head AS effective_params, tokens_trained / (params_transformer + params_lm_head) AS ratio FROM s WHERE val_bpb IS NOT NULL AND val_bpb > 0)"
 _VAL = "CASE WHEN kind = 'float' THEN printf('%.4f', number) WHEN kind = 'int' AND number >= 10000 THEN format('{:,}', number::BIGINT) WHEN kind = 'int' THEN number::BIGINT::VARCHAR ELSE text END"
 
+def _ridge(alpha: float) -> str:
+    """Penalised normal equations solved by elimination, a pivot a step."""
+    x = ["1.0", *[f"x{i}" for i in range(1, 7)]]
+    n = len(x)
+    rows = ", ".join("[" + ", ".join(f"sum({p} * {q}){f' + {alpha}' if i == j > 0 else ''}" for j, q in enumerate([*x, "core"])) + "]" for i, p in enumerate(x))
+    return f"""WITH RECURSIVE {D.calibration.cte('s')}, e AS (SELECT 1 AS p, [{rows}]::DOUBLE[][] AS m FROM s
+ UNION ALL SELECT p + 1, list_transform(range(1, {n + 1}), lambda i: CASE WHEN i = p THEN list_transform(m[p], lambda v: v / m[p][p]) ELSE list_transform(range(1, {n + 2}), lambda j: m[i][j] - m[i][p] * m[p][j] / m[p][p]) END) FROM e WHERE p <= {n})
+SELECT (i - 1)::INT AS i, round(m[i][{n + 1}], 9)::DOUBLE AS w FROM e, (SELECT unnest(range(1, {n + 1})) AS i) WHERE p = {n + 1}"""
+
+
 QUERIES = {
     "lr_schedule": (
         lr_schedule,
@@ -231,7 +241,7 @@ SELECT run, step, round(e / (1 - 0.9 ** (step + 1)), 8)::DOUBLE AS ema, round(e
     "runs_ranked": (runs_ranked, f"{_VALID} SELECT row_number() OVER (ORDER BY effective_params DESC, val_bpb DESC, flops_budget)::INT AS place, flops_budget, depth FROM v"),
     "ratio_summary": (ratio_summary, f"{_VALID} SELECT round(avg(ratio), 6)::DOUBLE AS mean, round(stddev_samp(ratio), 6)::DOUBLE AS sd, round(log10(sqrt(min(flops_budget) * max(flops_budget))), 9)::DOUBLE AS log_ref FROM v"),
     "linear_fit": (linear_fit, f"WITH {D.calibration.cte('s')}, m AS (SELECT core, (x1 + x2 + x3 + x4 + x5 + x6) / 6 AS m FROM s) SELECT round(regr_slope(core, m), 8)::DOUBLE AS slope, round(regr_intercept(core, m), 8)::DOUBLE AS intercept, round(regr_r2(core, m), 8)::DOUBLE AS r2 FROM m"),
-    "ridge_fit": (ridge_fit, None),
+    "ridge_fit": (ridge_fit, _ridge(0.1)),
     "log_scrape": (
         log_scrape,
         f"""WITH {D.log_lines.cte('s')}, m AS (SELECT run, line_no, nullif(regexp_extract(line, '^wte .*?([\\d,]+)\\s*$', 1), '') AS w, nullif(regexp_extract(line, 'Calculated number of iterations.*: ([\\d,]+)$', 1), '') AS i, nullif(regexp_extract(line, 'Total batch size ([\\d,]+)', 1), '') AS b, nullif(regexp_extract(line, 'Validation bpb:.*?([\\d.]+)$', 1), '') AS v, nullif(regexp_extract(line, 'CORE metric: (\\S+)$', 1), '') AS c FROM s),
