@@ -285,3 +285,19 @@ def test_order_blocks(spark):
     rows = spark.range(500).select(((F.col("id") * 77) % 500).alias("o"), F.lit(2).alias("v"))
     for blocks in (1, 2, 5, 64, 300):
         assert all(r["b"] == 2 * r["o"] for r in select.running_before(rows, F.col("v"), "o", "b", blocks=blocks).collect())
+
+
+def test_shard_plan_by_plain_scan(spark):
+    rng = random.Random(13)
+    for n, size, group in ((0, 5, 2), (57, 30, 4), (64, 30, 4), (40, 1, 3), (40, 10_000, 3)):
+        texts = ["x" * rng.choice([0, 0, 3, 9, 40]) for _ in range(n)]
+        shard, held, want = 0, 0, []
+        for g in range(0, n, group):
+            part = texts[g : g + group]
+            want.append((g // group, shard, sum(map(len, part)), len(part)))
+            held += want[-1][2]
+            if len(part) == group and held >= size:
+                shard, held = shard + 1, 0
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+        got = sorted(tuple(r) for r in sinks.shard_plan(docs, size, group).collect())
+        assert got == [(*x, x[1] < shard) for x in want]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions.text import report_value, slugify
 from textloom.operators.runs import missing_runs
 from textloom.operators.select import running_before
+from textloom.session import cut
 
 
 def shard_plan(docs: DataFrame, shard_chars: int = 250_000_000, group_rows: int = 1024, order: str = "doc_id", text: str = "text") -> DataFrame:
@@ -19,21 +21,29 @@ def shard_plan(docs: DataFrame, shard_chars: int = 250_000_000, group_rows: int
     position = running_before(docs, F.lit(1), order, "__pos")
     groups = position.groupBy(F.floor(F.col("__pos") / group_rows).alias("group")).agg(F.sum(F.length(text)).alias("chars"), F.count("*").alias("n"))
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard, chars, out = 0, 0, []
-        rows = pdf.sort_values("group")
-        for g, c, n in zip(rows["group"], rows["chars"], rows["n"]):
-            out.append((g, shard, c, n))
-            chars += int(c or 0)
-            if n == group_rows and chars >= shard_chars:
-                shard, chars = shard + 1, 0
-        out = pd.DataFrame(out, columns=["group", "shard", "chars", "n"])
-        out["full"] = out["shard"] < shard
-        return out
-
-    # a shard's start depends on every earlier one, so the scan is sequential; it sees a
-    # row of two numbers a group of `group_rows` documents, not the documents
-    return groups.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda pdf: cut(pdf), "group long, shard long, chars long, n long, full boolean")
+    def scan(batches):
+        """Shards of the groups in order, a batch at a time; the last row tells how many closed."""
+        shard, held = 0, 0
+        for batch in batches:
+            chars, n = batch.column("chars").to_numpy(zero_copy_only=False), batch.column("n").to_numpy()
+            upto, of, at = np.cumsum(np.nan_to_num(chars).astype(np.int64)), np.empty(len(n), np.int64), 0
+            while at < len(n):
+                before = upto[at - 1] if at else 0
+                end = at + int(np.searchsorted(upto[at:], before + shard_chars - held)) + 1  # past the group that closes
+                of[at:end] = shard
+                if end <= len(n) and n[end - 1] == group_rows:
+                    shard, held = shard + 1, 0
+                else:
+                    held += int(upto[min(end, len(n)) - 1] - before)
+                at = end
+            yield pa.RecordBatch.from_arrays([batch.column("group"), pa.array(of), pa.array(chars, pa.int64(), from_pandas=True), batch.column("n")], names=["group", "shard", "chars", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (-1, shard, 0, 0)], names=["group", "shard", "chars", "n"])
+
+    # a shard's start depends on every earlier one, so one task scans the groups; it streams
+    # over a row of two numbers a group of `group_rows` documents, not the documents
+    rows = cut(groups.repartition(1).sortWithinPartitions("group").mapInArrow(scan, "group long, shard long, chars long, n long"))
+    closed = rows.where("group < 0").select(F.col("shard").alias("closed"))
+    return rows.where("group >= 0").crossJoin(F.broadcast(closed)).select("group", "shard", "chars", "n", (F.col("shard") < F.col("closed")).alias("full"))  # one row
 
 
 def write_shards(docs: DataFrame, path: str, shard_chars: int = 250_000_000, group_rows: int = 1024, order: str = "doc_id", text: str = "text") -> None:
