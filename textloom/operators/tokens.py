@@ -20,8 +20,8 @@ SPECIALS = ["<|bos|>", "<|user_start|>", "<|user_end|>", "<|assistant_start|>",
 BASE = 256
 #: Distinct chunks that are merged on the driver; distinct chunks a task holds.
 DRIVER_CHUNKS, FLUSH = 500_000, 300_000
-#: Vocabulary entries that may be broadcast.
-BROADCAST = 1_000_000
+#: Vocabulary entries that may be broadcast; chunks whose ids a worker remembers.
+BROADCAST, CACHE = 1_000_000, 200_000
 
 
 def special_ids(spark: SparkSession, n_mergeable: int = BASE) -> DataFrame:
@@ -288,20 +288,22 @@ def vocabulary(merges: list[tuple[int, int]]) -> list[bytes]:
     return tokens
 
 
+def _merge_all(chunk: bytes, rank: dict[tuple[int, int], int]) -> list[int]:
+    """The ids of a chunk after all merges, the earliest first."""
+    ids = list(chunk)
+    while len(ids) > 1:
+        new, pair = min((rank.get(p, 1 << 60), p) for p in zip(ids, ids[1:]))
+        if new == 1 << 60:
+            break
+        ids = _merged(ids, pair, new)
+    return ids
+
+
 def encode(docs: DataFrame, merges: list[tuple[int, int]], key: str = "doc_id", text: str = "text", bos: bool = False) -> DataFrame:
     """key, ids: the text's pieces merged in training order; never parses specials."""
     rank = {p: BASE + i for i, p in enumerate(merges)}
     head = [BASE + len(merges)] if bos else []
 
-    def piece(chunk: bytes) -> list[int]:
-        ids = list(chunk)
-        while len(ids) > 1:
-            new, pair = min((rank.get(p, 1 << 60), p) for p in zip(ids, ids[1:]))
-            if new == 1 << 60:
-                break
-            ids = _merged(ids, pair, new)
-        return ids
-
     def run(batches):
         cache: dict[str, list[int]] = {}
         for batch in batches:
@@ -311,9 +313,9 @@ def encode(docs: DataFrame, merges: list[tuple[int, int]], key: str = "doc_id",
                 for p in _pieces(t or ""):
                     ids = cache.get(p)
                     if ids is None:
-                        if len(cache) > 200_000:
+                        if len(cache) > CACHE:
                             cache.clear()
-                        ids = cache[p] = piece(p.encode())
+                        ids = cache[p] = _merge_all(p.encode(), rank)
                     values += ids
                 ends.append(len(values))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
@@ -357,12 +359,9 @@ def piece_counter(merges: list[tuple[int, int]]):
             for p in _pieces(text):
                 n = sizes.get(p)
                 if n is None:
-                    ids = list(p.encode())
-                    while len(ids) > 1 and (best := min((rank.get(q, 1 << 60), q) for q in zip(ids, ids[1:])))[0] < 1 << 60:
-                        ids = _merged(ids, best[1], best[0])
-                    if len(sizes) > 200_000:
+                    if len(sizes) > CACHE:
                         sizes.clear()
-                    n = sizes[p] = len(ids)
+                    n = sizes[p] = len(_merge_all(p.encode(), rank))
                 total += n
             return total
 
