@@ -6,11 +6,13 @@ of G blocks. A shingle that only one of two sets holds changes one block at most
 number of unequal blocks, and the Hamming distance, are lower bounds of the symmetric
 difference. A pair at the threshold differs in at most T shingles and G > T, so by the
 pigeonhole it agrees on G - T blocks: sets are joined on block contents. The blocks are
-wide and their few bits are kept as a list, so one bit already tells sets apart. Blocks
-without a bit say nothing and are left out: a set with more than T others meets every
-partner by one of those. A set with fewer is sketched again with another hash, until it
-has enough; a pair has both its sets sketched in every round up to the first in which one
-of them is well off, and meets there. So no pair at the threshold is lost.
+wide and their few bits are kept as a list. Blocks of one bit meet wherever a common
+shingle is alone, and blocks without a bit say nothing, so only blocks of two bits or more
+are keys: a set with more than T of them meets every partner by one of those. A set with
+fewer is sketched again with another hash, until it has enough (in the later LEVELS blocks
+of one bit count too, at the very end those without); a pair has both its sets sketched in
+every round up to the first in which one of them is well off, and meets there. So no pair
+at the threshold is lost.
 
 Sets that share a key form families; inside a family, pairs are compared by folded sketch
 first and verified exactly by set, and only a spanning forest of the verified links
@@ -38,8 +40,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Rounds of sketches before blocks without a bit are used, and bits of the folded sketch of a check.
-ROUNDS, FOLD = 12, 1024
+#: Least bits of a key block by round of sketches, and bits of the folded sketch of a check.
+LEVELS, FOLD = (2,) * 8 + (1,) * 8, 1024
 #: Shingles in a block of a family that one task compares with another block.
 FAMILY_BLOCK = 1 << 18
 #: Classes that a task remembers as sent.
@@ -92,18 +94,19 @@ def most(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
 @cache
 def blocks(cell: int, num: int, den: int) -> int:
     """Blocks G of a size cell: the fewest with which nearly every set of the cell keeps
-    more blocks with a bit than a linked set can change; else those that come closest."""
+    more blocks of two bits than a linked set can change; else those that come closest."""
     ends = np.array([EDGES[cell], EDGES[cell + 1] - 1])
     limit = most(ends, ends * den // num, num, den)
     g = np.unique(np.round(np.geomspace(limit[1] + 1, 4 * limit[1] + 8, 400)).astype(np.int64))
-    telling = -np.expm1(-ends[None, :] / g[:, None])
+    load = ends[None, :] / g[:, None]
+    telling = 1 - np.exp(-load) * (1 + load)
     margin = g[:, None] * telling - 2 * np.sqrt(g[:, None] * telling * (1 - telling)) - limit[None, :] - 1
     margin = margin.min(1)
     return int(g[np.argmax(margin >= 0)] if (margin >= 0).any() else g[np.argmax(margin)])
 
 
 def _sketch(sets: list[np.ndarray], entry: np.ndarray, cell: np.ndarray, g: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(entry, block, content) of the blocks with a bit, of the sketches of one round."""
+    """(entry, block, content) of the blocks with enough bits, of the sketches of one round."""
     size = np.array([len(sets[i]) for i in entry], np.int64)
     flat = np.concatenate([sets[i] for i in entry])
     of = np.repeat(np.arange(len(entry)), size)
@@ -121,7 +124,8 @@ def _sketch(sets: list[np.ndarray], entry: np.ndarray, cell: np.ndarray, g: np.n
     first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])[: len(where)])
     bit = common.mix64((code & np.uint64((1 << low) - 1)) + np.uint64(1))
     content = np.bitwise_xor.reduceat(bit, first) if len(first) else code
-    where = where[first]
+    enough = np.diff(np.append(first, len(where))) >= LEVELS[turn]
+    where, content = where[first][enough], content[enough]
     return (where >> (high - np.uint64(low))).astype(np.int64), where & ((np.uint64(1) << (high - np.uint64(low))) - np.uint64(1)), content
 
 
@@ -145,17 +149,17 @@ def sketch_keys(sets: list[np.ndarray], num: int = 85, den: int = 100) -> tuple[
     known, of_cell = np.unique(cell, return_inverse=True)
     g = np.array([blocks(c, num, den) for c in known.tolist()])[of_cell]
     owners, keys, todo = [], [], np.arange(len(entry))
-    for turn in range(ROUNDS):
+    for turn in range(len(LEVELS)):
         at, block, content = _sketch(sets, entry[todo], cell[todo], g[todo], turn)
         place = (cell[todo][at].astype(np.uint64) << np.uint64(48)) + (np.uint64(turn) << np.uint64(40)) + block
         owners.append(entry[todo[at]])
         keys.append(common.mix64(content ^ common.mix64(place)))
         poor = np.bincount(at, minlength=len(todo)) <= limit[todo]
-        if turn == ROUNDS - 1:  # poor in every round: the empty blocks of the last one, too
+        if turn == len(LEVELS) - 1:  # poor in every round: the empty blocks of the last one, too
             for e in np.flatnonzero(poor).tolist():
                 empty = np.setdiff1d(np.arange(g[todo[e]], dtype=np.uint64), block[at == e])
                 owners.append(np.full(len(empty), entry[todo[e]]))
-                keys.append(common.mix64(common.mix64((np.uint64(cell[todo[e]]) << np.uint64(48)) + (np.uint64(ROUNDS) << np.uint64(40)) + empty)))
+                keys.append(common.mix64(common.mix64((np.uint64(cell[todo[e]]) << np.uint64(48)) + (np.uint64(len(LEVELS)) << np.uint64(40)) + empty)))
         todo = todo[poor]
         if not len(todo):
             break
@@ -197,11 +201,9 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if (seen["n"], seen["h"]) == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = (seen["n"], seen["h"])
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # every larger neighbour of a node goes to the least of that node and its neighbours
-        large = edges.select(F.col("u").alias("x"), F.col("v").alias("u")).join(least, "u").where("x <> m")
-        large = large.select(F.greatest("x", "m").alias("u"), F.least("x", "m").alias("v")).distinct()
+        down = edges.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+        large = edges.join(down, F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         # every smaller neighbour of a node, and the node, go to the least of them
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small_least.select("u", F.col("m").alias("v")))
