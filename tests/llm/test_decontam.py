@@ -87,3 +87,13 @@ def test_planted_passages_by_brute_force(spark):
     of = {r["item_id"]: r["class_item_id"] for r in decontam.item_classes(spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     got = {(r["doc_id"], r["item_id"]) for r in decontam.op2(spark, SF).collect()}
     assert got == {(d, of[i]) for d, i in want} and got
+
+
+def test_long_text_full_of_items(spark):
+    """A very long document of nothing but items: its text is not copied by window."""
+    item = "the ninth clerk of the tower counted every lantern on the quay before the bells rang twice"
+    docs = spark.createDataFrame([(1, " ".join([item] * 6000)), (2, "other words")], "doc_id long, text string")
+    bench = spark.createDataFrame([(3, item)], "item_id long, text string")
+    got = [(r["doc_id"], r["item_id"], r["n_windows"], r["last_word"]) for r in decontam.contaminated(docs, bench).collect()]
+    n = len(item.split())
+    assert got == [(1, 3, n - 7, 6000 * n - 1)]

@@ -278,7 +278,7 @@ def _candidates(docs: DataFrame, shared, window: int) -> DataFrame:
                         cells.append((np.array([k]), np.array([at]), h, _taken(own, np.zeros(1, np.int64), len(own), window)))
                 if cells:
                     of, pos, h, there = (np.concatenate(x) for x in zip(*cells))
-                    own = part.take(pa.array(of))
+                    own = part.select(["doc_id", "key"]).take(pa.array(of))
                     yield pa.RecordBatch.from_arrays([pa.array(serial + of), own.column("doc_id").cast(pa.int64()), own.column("key"), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64)), _cells(there)], names=names)
                 serial += part.num_rows
 
