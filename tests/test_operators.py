@@ -125,6 +125,7 @@ def test_merges_on_the_driver_and_apart(spark):
     counts = [(r["chunk"].encode(), r["n"]) for r in tokens.chunk_counts(docs).collect()]
     want = plain_merges(counts, 60)
     assert tokens.learn_merges(counts, 60) == want and tokens.train(docs, 60, driver_chunks=10) == want
+    assert tokens.learn_merges([], 5) == [] == tokens.learn_merges([(b"a", 3)], 5)
     few = [(b"aaaa", 3), (b"abab", 2), (b"ba", 2)]
     table = spark.createDataFrame([(c.decode(), n) for c, n in few], "chunk string, n long")
     assert tokens.learn_merges(few, 9) == plain_merges(few, 9) == tokens.learn_merges_apart(table, 9) == tokens.learn_merges_apart(table, 9, batch=2)

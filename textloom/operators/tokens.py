@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -177,18 +178,52 @@ def _merged(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
     return out
 
 
+class _Chunks:
+    """All chunks in one linked list: ids with -1 between chunks and -2 where an id was
+    merged away, the places before and after, and the count of the chunk at each place."""
+
+    def __init__(self, counts: list[tuple[bytes, int]]) -> None:
+        size = np.fromiter((len(c) + 1 for c, _ in counts), np.int64, len(counts))
+        self.ids = np.full(int(size.sum()) + 1, -1, np.int32)
+        inside = np.ones(len(self.ids), bool)
+        inside[np.concatenate([[0], np.cumsum(size)])] = False
+        self.ids[inside] = np.frombuffer(b"".join(c for c, _ in counts), np.uint8)
+        self.weight = np.concatenate([[0], np.repeat(np.fromiter((n for _, n in counts), np.int64, len(counts)), size)])
+        self.after, self.before = np.arange(1, len(self.ids) + 1), np.arange(-1, len(self.ids) - 1)
+        self.after[-1], self.before[0] = len(self.ids) - 1, 0
+
+    def pairs(self, at: np.ndarray) -> dict[tuple[int, int], int]:
+        """Summed counts of the pairs that start at some places."""
+        a, b = self.ids[at], self.ids[self.after[at]]
+        fine = (a >= 0) & (b >= 0)
+        key, of = np.unique((a[fine].astype(np.int64) << 32) | b[fine], return_inverse=True)
+        total = np.zeros(len(key), np.int64)
+        np.add.at(total, of, self.weight[at[fine]])
+        return dict(zip(zip((key >> 32).tolist(), (key & 0xFFFFFFFF).tolist()), total.tolist()))
+
+    def merge(self, pair: tuple[int, int], new: int) -> tuple[dict, dict]:
+        """Replace a pair, from the left; the counts of pairs that go and that come."""
+        at = np.flatnonzero(self.ids == pair[0])
+        at = at[self.ids[self.after[at]] == pair[1]]
+        if pair[0] == pair[1] and len(at):  # of a run of equal ids every second one
+            order = np.arange(len(at))
+            starts = np.concatenate([[True], at[1:] != self.after[at[:-1]]])
+            at = at[(order - np.maximum.accumulate(np.where(starts, order, 0))) % 2 == 0]
+        second = self.after[at]
+        gone = self.pairs(np.unique(np.concatenate([self.before[at], at, second])))
+        follow = self.after[second]
+        self.ids[at], self.ids[second] = new, -2
+        self.after[at] = follow
+        self.before[follow] = at
+        return gone, self.pairs(np.unique(np.concatenate([self.before[at], at])))
+
+
 def learn_merges(counts: list[tuple[bytes, int]], n_merges: int) -> list[tuple[int, int]]:
     """The most frequent pair first, the smallest pair on ties: a heap of counts, of which
-    outdated ones are put right when they come up; only chunks that hold a merged pair are
-    touched again."""
-    words = [list(c) for c, _ in counts]
-    weight = [n for _, n in counts]
-    pairs: Counter = Counter()
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for k, ids in enumerate(words):
-        for p in zip(ids, ids[1:]):
-            pairs[p] += weight[k]
-            where[p].add(k)
+    outdated ones are put right when they come up; a merge changes the counts of the
+    pairs at its own places only."""
+    chunks = _Chunks(counts)
+    pairs: Counter = Counter(chunks.pairs(np.arange(len(chunks.ids))))
     heap = [(-n, p) for p, n in pairs.items()]
     heapify(heap)
     merges: list[tuple[int, int]] = []
@@ -198,22 +233,14 @@ def learn_merges(counts: list[tuple[bytes, int]], n_merges: int) -> list[tuple[i
             if pairs[best] > 0:
                 heappush(heap, (-pairs[best], best))
             continue
-        new = BASE + len(merges)
+        gone, come = chunks.merge(best, BASE + len(merges))
         merges.append(best)
-        changed = set()
-        for k in where.pop(best):
-            ids = words[k]
-            out = words[k] = _merged(ids, best, new)
-            for p in zip(ids, ids[1:]):
-                pairs[p] -= weight[k]
-            for p in zip(out, out[1:]):
-                pairs[p] += weight[k]
-                where[p].add(k)
-                if p[0] == new or p[1] == new:
-                    changed.add(p)
-        del pairs[best]
-        for p in changed:
+        for p, m in gone.items():
+            pairs[p] -= m
+        for p, m in come.items():
+            pairs[p] += m
             heappush(heap, (-pairs[p], p))
+        del pairs[best]
     return merges
 
 
