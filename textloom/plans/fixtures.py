@@ -66,5 +66,6 @@ peak_flops = Fixture(
         )
     ],
 )
+# Fixed table: price of an hour by device name, first match wins.
 hourly_rates = Fixture("ord int; name string; rate double", [(0, "H100", 3.0), (1, "A100", 1.79), (2, "V100", 0.55)])
 programs = Fixture("idx long; prompt string; completion string; test string; entry_point string", [(0, "import os\n# note\nfrom math import pi\n\ndef f(x):\n", "Sure:\n```python\ndef f(x):\n    return x + 1\n```\ndone", "def check(g):\n    assert g(1) == 2", "f"), (1, "def g():\n  pass\nimport late\n", "  def g():\n    return 3\n", "def check(g):\n    assert g() == 3", "g")])
