@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bound of the texts used for fitting, words of a piece, words of a chain, partitions of the fit, rounds.
-FIT_DOCS, PIECE, CHAIN, PARTS, ROUNDS, RATE, PENALTY = 1_000, 32, 1 << 16, 6, 40, 0.5, 1e-6
+FIT_DOCS, PIECE, CHAIN, PARTS, ROUNDS, RATE, PENALTY = 1_000, 32, 1 << 16, 6, 25, 0.5, 1e-6
 #: Slots of the weight table; feature kinds of a word.
 SLOTS, WIDTH, BLOCK = 1 << 17, 24, 32
 #: Entries of the emission cache of one Python worker.
