@@ -1,12 +1,14 @@
 """N-gram Jaccard links against brute force."""
 
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import jaccard
+from textloom.llm import common, jaccard
 
 
 @pytest.mark.parametrize("num", [85, 80])
@@ -84,3 +86,71 @@ def test_rows_without_an_id(spark):
     got = [(r["doc_id"], r["text"]) for r in got.collect()]
     assert sum((t or "").startswith("b0") for _, t in got) == 1
     assert sorted(map(str, [r for r in got if not (r[1] or "").startswith("b0")])) == sorted(map(str, [(1, a), (3, c), (None, d), (None, None), (None, ""), (4, None)]))
+
+
+def test_a_shared_passage_makes_no_family(spark, monkeypatch):
+    """Documents that only share a passage do not chain into a family, at any number; near
+    copies among them still do."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for k in range(300):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(120, 200))]
+        at = rng.randrange(len(own))
+        texts.append(" ".join(own[:at] + passage + own[at:]))
+    texts += [texts[7] + " end", texts[8] + " end"]
+    largest = []
+    plain = jaccard.components
+
+    def seen(edges, name):
+        found = plain(edges, name)
+        if name == "jaccard-families":
+            largest.append(max(r["count"] for r in found.groupBy("root").count().collect()) + 1)
+        return found
+
+    monkeypatch.setattr(jaccard, "components", seen)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard.link(docs, 5, 80, 100).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == brute_components(texts, 5, 80)
+    assert largest == [2]
+
+
+@pytest.mark.parametrize("num", [85, 80])
+def test_sketches_leave_every_linked_pair_possible(num):
+    """Sets of all sizes, also with sketches of unlike widths; groups go over batches."""
+    rng = np.random.default_rng(2)
+    rows, linked = [], set()
+    for group in range(60):
+        n = int(rng.integers(1, [12, 300, 1100, 5000][group % 4]))
+        base = rng.integers(0, 2**63, 2 * n).astype(np.uint64)
+        sets = [np.unique(base[int(rng.integers(0, n // 5 + 1)) : n + int(rng.integers(0, n // 5 + 1))]) for _ in range(6)]
+        sets = [s for s in sets if len(s)]
+        rows += [(group, len(rows) + i, len(s), jaccard.folded(s)) for i, s in enumerate(sets)]
+        first = len(rows) - len(sets)
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                    linked.add((first + j, first + i))
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int64(), pa.int64(), pa.binary()])]
+    batches = pa.Table.from_arrays(columns, ["group", "cls", "n_shingles", "sketch"]).to_batches(max_chunksize=4)
+    root = list(range(len(rows)))
+    for batch in jaccard._possible(num, 100, iter(batches)):
+        for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            assert rows[a][0] == rows[b][0]
+            root = [root[a] if r == root[b] else r for r in root]
+    assert len(linked) > 100 and all(root[a] == root[b] for a, b in linked)
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if f.endswith(".data")}
+    before, set_before = files(), spark.conf.get(common.CLEANUP, None)
+    table = common.materialize(spark.range(100_000).repartition("id").groupBy("id").count(), "test")
+    for _ in range(20):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and table.count() == 100_000
+    assert spark.conf.get(common.CLEANUP, None) == set_before
+    common.release(table)

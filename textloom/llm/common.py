@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 WS = "\t\n\x0b\x0c\r "
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
+#: Spark removes the shuffle files of a write when it ends, if this is set; else when the
+#: driver happens to collect its garbage, which may be after many more shuffles.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Materialized tables by path, in the order of their making.
 _tables: dict[str, DataFrame] = {}
 
@@ -69,11 +73,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once into the shared folder and read it back: cuts lineage and
-    survives the loss of an executor. Tables are removed when they are released, or when
-    the driver ends."""
+    survives the loss of an executor. Its shuffle files go when it is written; tables are
+    removed when they are released, or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/textloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _tables[path] = out
     return out

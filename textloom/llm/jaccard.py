@@ -14,10 +14,14 @@ of one bit count too, at the very end those without); a pair has both its sets s
 every round up to the first in which one of them is well off, and meets there. So no pair
 at the threshold is lost.
 
-Sets that share a key form families; inside a family, pairs are compared by folded sketch
-first and verified exactly by set, and only a spanning forest of the verified links
-leaves a task. Large families are cut into blocks and compared block by block. Nothing
-is capped and no pair list of a group is emitted.
+Two sets that share a passage share a key now and then, and the more documents hold a
+passage, the more of them such keys chain together. So the sets that meet at a key are
+compared there by folded sketches as wide as the sets are large, which tell apart what
+only shares a passage, and only a spanning forest of the pairs that the sketches leave
+possible counts. Families are the components of those; inside a family, pairs are compared
+by folded sketch first and verified exactly by set, and only a spanning forest of the
+verified links leaves a task. Large families are cut into blocks and compared block by
+block. Nothing is capped and no pair list of a group is emitted.
 
 Defined cases: null text, empty text or no words: an empty set of size 0, linked with
 nothing (its own component; with a null id the component is null); fewer words than a
@@ -29,6 +33,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from functools import cache, partial
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,6 +47,8 @@ from . import common
 
 #: Least bits of a key block by round of sketches, and bits of the folded sketch of a check.
 LEVELS, FOLD = (2,) * 8 + (1,) * 8, 1024
+#: Least and most bits of the folded sketch by which sets that meet at a key are compared.
+WIDTHS = 256, 1 << 16
 #: Shingles in a block of a family that one task compares with another block.
 FAMILY_BLOCK = 1 << 18
 #: Classes that a task remembers as sent.
@@ -70,16 +77,29 @@ def set_class(s: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(parts.tobytes()), "big", signed=True)
 
 
+def parity(s: np.ndarray, bits: int) -> np.ndarray:
+    """Parity sketch of a power of two of bits, as 64-bit words; the exclusive or of its
+    halves is the sketch of half the bits."""
+    bit = np.bincount((common.mix64(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(bit.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(s: np.ndarray) -> bytes:
+    """Parity sketch with a bit a shingle or more, within WIDTHS."""
+    return parity(s, min(max(1 << (len(s) - 1).bit_length(), WIDTHS[0]), WIDTHS[1])).tobytes() if len(s) else b""
+
+
 def members(docs: DataFrame, n: int = 4) -> DataFrame:
-    """doc_id, own (for a null id), n_shingles, cls (fingerprint of the set) of every row."""
+    """doc_id, own (for a null id), n_shingles, cls (fingerprint of the set), sketch (folded)
+    of every row."""
 
     def run(batches):
         for batch in batches:
             for part in common.slices(batch):
                 sets = [shingles(t, n) for t in common.texts_of(part)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("own"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) for s in sets], pa.int64())], names=["doc_id", "own", "n_shingles", "cls"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("own"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) for s in sets], pa.int64()), pa.array([folded(s) for s in sets], pa.binary())], names=["doc_id", "own", "n_shingles", "cls", "sketch"])
 
-    return docs.select("doc_id", "text", _own().alias("own")).mapInArrow(run, "doc_id long, own long, n_shingles long, cls long")
+    return docs.select("doc_id", "text", _own().alias("own")).mapInArrow(run, "doc_id long, own long, n_shingles long, cls long, sketch binary")
 
 
 #: Smallest sizes of the size cells: powers of the square root of two.
@@ -181,12 +201,79 @@ def _keys(n, num, den, batches):
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls)], names=["key", "cls"])
 
 
-def stars(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """a, b: classes that share a key, each with the smallest class of that key. The keys
-    are shuffled once; distinct rows and minima follow inside that partitioning."""
+def _alike(sketches: list[bytes]) -> np.ndarray:
+    """Folded sketches as rows of the width of the narrowest."""
+    width = min(map(len, sketches)) // 8
+    out = np.empty((len(sketches), width), np.uint64)
+    for i, x in enumerate(sketches):
+        words = np.frombuffer(x, np.uint64)
+        while len(words) > width:
+            words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+        out[i] = words
+    return out
+
+
+def possible(size: np.ndarray, sketch: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets that may be linked by their sizes and sketches."""
+    root = np.arange(len(size))
+    out = []
+    for i in range(len(size) - 1):
+        later = size[i + 1 :]
+        todo = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (den * later >= num * size[i]) & (num * later <= den * size[i]))
+        if not len(todo):
+            continue
+        apart = np.bitwise_count(sketch[todo] ^ sketch[i]).sum(1)
+        todo = todo[apart * (den + num) <= (den - num) * (size[todo] + size[i])]
+        roots, first = np.unique(root[todo], return_index=True)
+        out += [(i, j) for j in todo[first].tolist()]
+        root[np.isin(root, roots)] = root[i]
+        if (root == root[i]).all():
+            break
+    return out
+
+
+def _possible(num, den, batches):
+    """a, b: possible links inside each group; rows come by group, which may go over batches."""
+    held: list[pa.RecordBatch] = []  # of the group that has not ended
+    for batch in chain(batches, [None]):
+        if batch is None:
+            whole = held
+        elif not batch.num_rows:
+            continue
+        else:
+            group = batch.column(0).to_numpy()
+            begin = int(np.argmax(group == group[-1]))
+            if not begin and held and held[0].column(0)[0].as_py() == group[0]:
+                held.append(batch)
+                continue
+            whole, held = [*held, batch.slice(0, begin)], [batch.slice(begin)]
+        a, b = [], []
+        if whole:
+            table = pa.Table.from_batches(whole)
+            group, cls, size = (table.column(i).to_numpy() for i in range(3))
+            sketches = table.column(3).to_pylist()
+            ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)) if len(group) else []
+            at = 0
+            for to in map(int, ends):
+                found = possible(size[at:to], _alike(sketches[at:to]), num, den)
+                a += [cls[at + i] for i, _ in found]
+                b += [cls[at + j] for _, j in found]
+                at = to
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def meetings(docs: DataFrame, every: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """a, b: a spanning forest, for each key, of the classes that share it and may be linked
+    by their folded sketches in `every` (members). The keys are shuffled once; distinct rows
+    and groups follow inside that partitioning. Keys with the same classes are one group,
+    known by a hash of its classes; if two groups had the same hash, more were compared."""
     rows = docs.select("text").mapInArrow(partial(_keys, n, num, den), "key long, cls long").repartition("key").distinct()
-    least = F.min("cls").over(W.partitionBy("key"))
-    return rows.select("cls", least.alias("a")).where("a < cls").select("a", F.col("cls").alias("b")).distinct()
+    at = W.partitionBy("key")
+    rows = rows.select("cls", F.min("cls").over(at).alias("least"), F.max("cls").over(at).alias("most"), F.bit_xor(F.xxhash64("cls")).over(at).alias("all"))
+    rows = rows.where("least < most").select(F.xxhash64("least", "most", "all").alias("group"), "cls").distinct()
+    sets = every.where("n_shingles > 0").select("cls", "n_shingles", "sketch").dropDuplicates(["cls"])
+    rows = rows.join(sets, "cls").select("group", "cls", "n_shingles", "sketch").repartition("group").sortWithinPartitions("group")
+    return rows.mapInArrow(partial(_possible, num, den), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -215,8 +302,7 @@ def _fold(sets: list[np.ndarray]) -> np.ndarray:
     """Parity sketches of FOLD bits, as rows of 64-bit words."""
     out = np.zeros((len(sets), FOLD // 64), np.uint64)
     for i, s in enumerate(sets):
-        bit = np.bincount((common.mix64(s ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(FOLD)).astype(np.int64), minlength=FOLD) & 1
-        out[i] = np.packbits(bit.astype(np.uint8), bitorder="little").view(np.uint64)
+        out[i] = parity(s, FOLD)
     return out
 
 
@@ -261,8 +347,8 @@ def _own() -> Column:
 def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, own, n_shingles, comp, least (id of the component) of every row."""
     every = common.materialize(members(docs, n), "jaccard-members")
-    star = common.materialize(stars(docs, n, num, den), "jaccard-stars")
-    families = components(star, "jaccard-families")
+    met = common.materialize(meetings(docs, every, n, num, den), "jaccard-met")
+    families = components(met, "jaccard-families")
     families = families.unionByName(families.select(F.col("root").alias("node"), "root")).distinct()
     # one document stands for each class
     picked = every.where(F.col("n_shingles") > 0).groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", "own").alias("id"))).alias("d"), F.max("n_shingles").alias("n"))
