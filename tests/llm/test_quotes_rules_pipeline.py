@@ -193,3 +193,43 @@ def test_pipeline_takes_empty_tables(spark):
 
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, common.documents(spark, SF).limit(0), SF).count() == 0
+
+
+def test_stages_write_no_more_files_than_cores(spark, monkeypatch):
+    """Small tables, also where the session keeps more shuffle partitions than they need."""
+    import corpus_pipeline
+
+    files, plain = {}, common.materialize
+
+    def seen(df, name):
+        table = plain(df, name)
+        files[name] = max(files.get(name, 0), len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(common, "materialize", seen)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 400").coalesce(1)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = seen(stage(spark, docs, SF), name)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for name in ("quality-fit", "decontam-candidates"):  # of op3 and op2, as they were
+        files.pop(name)
+    assert {"jaccard-met", "jaccard-families", "jaccard-links", "suffix-marks", "suffix-pieces", "suffix-spans", "decontam"} < set(files)
+    assert max(files.values()) <= spark.sparkContext.defaultParallelism, files
+
+
+def test_long_texts_keep_their_partitions(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    few = common.merged(docs.repartition(40), docs=docs).rdd.getNumPartitions()
+    assert few == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(common, "BYTES", 1 << 10)
+    assert common.merged(docs.repartition(40), docs=docs).rdd.getNumPartitions() == 40
+    monkeypatch.undo()
+    made = spark.createDataFrame([(1, "a")], "doc_id long, text string")  # its size is not known
+    assert common.merged(made.repartition(9), docs=made.join(made, "doc_id")).rdd.getNumPartitions() == 9

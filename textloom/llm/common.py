@@ -21,6 +21,9 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 #: driver happens to collect its garbage, which may be after many more shuffles.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Documents, their bytes, and rows of a few numbers that make a file of a written table.
+DOCS, BYTES, ROWS = 2_000, 8 << 20, 250_000
+
 #: Materialized tables by path, in the order of their making.
 _tables: dict[str, DataFrame] = {}
 
@@ -71,6 +74,19 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def merged(df: DataFrame, rows: int = 0, docs: DataFrame | None = None) -> DataFrame:
+    """`df` with its last partitions put together where there are more than cores and than
+    one for ROWS of about `rows` rows, or for DOCS or BYTES of `docs`. On a local disk Hadoop
+    starts processes for every file that a task writes, so very small files cost more than
+    their rows. Spark's estimate of bytes is that of the files; where it is too high, as
+    for joins, partitions stay apart."""
+    parts = [df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS)]
+    if docs is not None:
+        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        parts += [-(-docs.count() // DOCS), min(size // BYTES, 1 << 20)]
+    return df.coalesce(max(parts))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once into the shared folder and read it back: cuts lineage and
     survives the loss of an executor. Its shuffle files go when it is written; tables are

@@ -376,7 +376,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, all columns kept. Rows that share an id
     share its fate; rows without an id are known by their text."""
-    found = common.materialize(_found(docs, benchmark, WINDOW, COVERAGE, RUN, CONSISTENT).select(F.col("doc_id").alias("__id"), F.when(F.col("doc_id").isNull(), F.col("key")).alias("__key")).distinct(), "decontam")
+    found = _found(docs, benchmark, WINDOW, COVERAGE, RUN, CONSISTENT).select(F.col("doc_id").alias("__id"), F.when(F.col("doc_id").isNull(), F.col("key")).alias("__key")).distinct()
+    found = common.materialize(common.merged(found, docs.count()), "decontam")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__id").isNotNull() | (F.xxhash64("text") == F.col("__key")))
     return docs.join(found, same, "left_anti")
 

@@ -280,8 +280,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """node, root from edges a, b: the smallest node of each connected component, by
     alternating large-star and small-star steps; lineage is cut after every round. A root
     with very many nodes makes one large partition of the first join of a round, which
-    adaptive execution splits (the result is shuffled anew anyway)."""
-    edges = common.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    adaptive execution splits (the result is shuffled anew anyway). Edges are
+    counted first, so they are best a written table."""
+    rows = edges.count()
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = common.materialize(common.merged(edges, rows), name)
     mark = None
     while True:
         seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -294,7 +297,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         # every smaller neighbour of a node, and the node, go to the least of them
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small_least.select("u", F.col("m").alias("v")))
-        before, edges = edges, common.materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        before, edges = edges, common.materialize(common.merged(small, seen["n"]), name)
         common.release(before)
 
 
@@ -347,7 +351,8 @@ def _own() -> Column:
 def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, own, n_shingles, comp, least (id of the component) of every row."""
     every = common.materialize(members(docs, n), "jaccard-members")
-    met = common.materialize(meetings(docs, every, n, num, den), "jaccard-met")
+    rows = every.count()  # the forests have about as many edges
+    met = common.materialize(common.merged(meetings(docs, every, n, num, den), rows), "jaccard-met")
     families = components(met, "jaccard-families")
     families = families.unionByName(families.select(F.col("root").alias("node"), "root")).distinct()
     # one document stands for each class
@@ -364,15 +369,16 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 kept = part.filter(pa.array(match)).drop_columns(["text"])
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([s.tobytes() for s, ok in zip(own, match) if ok], pa.binary())], names=["cls", "root", "parts", "part", "shingles"])
 
-    rows = docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", _own()).alias("id"), "text").join(picked, ["none", "id"]).select("cls", "root", "parts", "part", "text")
-    rows = rows.mapInArrow(sets, "cls long, root long, parts int, part int, shingles binary")
+    texts = docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", _own()).alias("id"), "text").join(picked, ["none", "id"]).select("cls", "root", "parts", "part", "text")
+    texts = texts.mapInArrow(sets, "cls long, root long, parts int, part int, shingles binary")
     # each block of a family meets itself and every other block once
-    pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cls", "shingles", (F.col("part") > F.col("other")).cast("int").alias("side"))
+    pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cls", "shingles", (F.col("part") > F.col("other")).cast("int").alias("side"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         return _family(pdf, num, den)
 
     edges = pairs.groupBy("root", "i", "j").applyInPandas(compare, "a long, b long")
+    edges = common.materialize(common.merged(edges.distinct(), rows), "jaccard-edges")
     linked = components(edges, "jaccard-links")
     joined = every.join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls"))
     least = joined.where(F.col("n_shingles") > 0).groupBy("comp").agg(F.min("doc_id").alias("least"))

@@ -13,25 +13,30 @@ from pyspark.sql import functions as F
 from . import bpe, common, decontam, jaccard, quality, suffix
 
 
+def _stage(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs`, in no more files than its rows are worth."""
+    return common.merged(out.select(*docs.columns), docs=docs)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     rejected = quality.classify(docs, common.labels(spark, sf_dir)).where("predicted = 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return _stage(docs.join(rejected, "doc_id", "left_anti"), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8)."""
-    return jaccard.keep_one(docs, 5, 80, 100).select(*docs.columns)
+    return _stage(jaccard.keep_one(docs, 5, 80, 100), docs)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that 100-byte strings repeat from earlier places."""
-    return suffix.remove_repeats(docs)
+    return _stage(suffix.remove_repeats(docs), docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+    return _stage(decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

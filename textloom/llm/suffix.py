@@ -363,7 +363,8 @@ def repeat_spans(docs: DataFrame, length: int = 100, gram: int = GRAM) -> DataFr
     rows = rows.withColumn("k", F.rank().over(W.partitionBy("copy", "m", "g", "h").orderBy("id", "s")))  # a repeated row ties with itself
     rows = rows.withColumn("mixed", (F.min("g").over(own) != F.max("g").over(own)) | (F.min("h").over(own) != F.max("h").over(own)) | F.col("twice"))
     settled = F.col("copy") | (F.col("k") > 1)
-    marks = common.materialize(rows.where(settled | F.col("mixed")).select("m", "id", "s", "n", settled.alias("settled")), "suffix-marks")
+    marks = rows.where(settled | F.col("mixed")).select("m", "id", "s", "n", settled.alias("settled"))
+    marks = common.materialize(common.merged(marks, docs=docs), "suffix-marks")
     whole = marks.where("settled").select("id", F.col("s").cast("long").alias("a"), (F.col("s") + F.col("n") + F.lit(length - 1)).cast("long").alias("b"))
     open_ = marks.where("not settled").select("m", "id", "s", "n")
     total = open_.agg(F.sum(F.col("n") + F.lit(length - 1)).alias("b")).first()["b"] or 0
@@ -388,7 +389,7 @@ def repeat_spans(docs: DataFrame, length: int = 100, gram: int = GRAM) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(ids, pa.int64()), pa.array(s, pa.int32()), pa.array(large, pa.bool_()), pa.array(seg, pa.binary())], names=["m", "id", "s", "large", "seg"])
 
     pieces = texts.join(by_doc, "id").mapInArrow(cut, "m long, id long, s int, large boolean, seg binary")
-    pieces = common.materialize(pieces, "suffix-pieces")
+    pieces = common.materialize(common.merged(pieces, docs=docs), "suffix-pieces")
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         return index_bucket(pdf, length)
@@ -433,7 +434,7 @@ def with_spans(docs: DataFrame, spans: DataFrame, columns: list[str]) -> tuple[D
     """Documents that may have spans, joined with their `__spans` (array), and the others.
     Only the first part is shuffled; a bounded table of id slots tells them apart."""
     by_doc = spans.groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("__spans"))  # bounded by the text
-    by_doc = common.materialize(by_doc, "suffix-spans")
+    by_doc = common.materialize(common.merged(by_doc, docs=docs), "suffix-spans")
     slots = F.broadcast(by_doc.select(_slot("id").alias("slot")).distinct())  # at most SLOTS rows
     slots = slots.withColumnRenamed("slot", "__slot")
     keyed = docs.select(*columns, _id().alias("__id")).withColumn("__slot", _slot("__id"))
