@@ -89,9 +89,11 @@ def report_lines(metrics: DataFrame) -> DataFrame:
     return metrics.select("stage", slugify(F.col("section")).alias("slug"), F.concat(F.lit("- "), "key", F.lit(": "), report_value(F.col("kind"), F.col("number"), F.col("text"))).alias("line"))
 
 
-def summary_table(metrics: DataFrame) -> DataFrame:
-    """ord, line: one row a metric with a column a stage; CORE first, ChatCORE last."""
+def summary_table(metrics: DataFrame, fixed: bool = False) -> DataFrame:
+    """ord, line: one row a metric with a column a stage; CORE first, ChatCORE last. Longer
+    names and values widen their cell, or with `fixed` end at its edge."""
     value = report_value(F.col("kind"), F.col("number"), F.col("text"))
     wide = metrics.groupBy("key").pivot("stage", ["base", "sft", "rl"]).agg(F.max(value)).fillna("-")
     order = W.orderBy(F.col("key") != "CORE", F.col("key") == "ChatCORE", "key")  # one row a metric
-    return wide.select(F.row_number().over(order).alias("ord"), F.format_string("| %-15s | %-8s | %-8s | %-8s |", "key", "base", "sft", "rl").alias("line"))
+    cells = [F.rpad(c, n, " ") if fixed else F.format_string(f"%-{n}s", c) for c, n in (("key", 15), ("base", 8), ("sft", 8), ("rl", 8))]
+    return wide.select(F.row_number().over(order).alias("ord"), F.format_string("| %s | %s | %s | %s |", *cells).alias("line"))
