@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from textloom.operators import tokens
 from textloom.plans import registry
 from textloom.sources import sinks
 
@@ -18,3 +19,20 @@ def test_summary_cells_end_where_the_sql_ends_them(spark, tmp_path):
     assert sorted(got) == sorted(con.sql(registry.oracle_sql()["report_summary"]).fetchall())
     metrics = spark.range(1).select(F.lit("base").alias("stage"), F.lit("CORE").alias("key"), F.lit("float").alias("kind"), F.lit(9374.8125).alias("number"), F.lit(None).cast("string").alias("text"))
     assert "9374.8125" in sinks.summary_table(metrics).first()["line"]
+
+
+def test_merges_apart_part_chunks_at_rare_pairs(spark, monkeypatch):
+    """Few rounds in Spark, then the driver; the same merges, also if the bound on counts
+    has to be lowered to find them."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    table = tokens.chunk_counts(docs).cache()
+    counts = [(r["chunk"].encode(), r["n"]) for r in table.collect()]
+    kept = []
+    monkeypatch.setattr(tokens, "cut", lambda df: kept.append(df.localCheckpoint()) or kept[-1])
+    assert tokens.train(docs, 60, driver_chunks=len(counts) // 2) == tokens.learn_merges(counts, 60)
+    assert len(kept) < 16 and kept[-1].count() <= len(counts) // 2
+    rare = spark.createDataFrame([("abababab", 9), ("xy", 5), ("xz", 4), ("aaaaab", 2)], "chunk string, n long")
+    few = [(r["chunk"].encode(), r["n"]) for r in rare.collect()]
+    for n in (1, 2, 5, 9):
+        for held in (0, 1, 9):
+            assert tokens.learn_merges_apart(rare, n, driver_chunks=held) == tokens.learn_merges(few, n)

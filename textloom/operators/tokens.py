@@ -182,12 +182,12 @@ class _Chunks:
     """All chunks in one linked list: ids with -1 between chunks and -2 where an id was
     merged away, the places before and after, and the count of the chunk at each place."""
 
-    def __init__(self, counts: list[tuple[bytes, int]]) -> None:
-        size = np.fromiter((len(c) + 1 for c, _ in counts), np.int64, len(counts))
+    def __init__(self, counts: list[tuple[bytes, int]], kind: type = np.uint8) -> None:
+        size = np.fromiter((len(c) // np.dtype(kind).itemsize + 1 for c, _ in counts), np.int64, len(counts))
         self.ids = np.full(int(size.sum()) + 1, -1, np.int32)
         inside = np.ones(len(self.ids), bool)
         inside[np.concatenate([[0], np.cumsum(size)])] = False
-        self.ids[inside] = np.frombuffer(b"".join(c for c, _ in counts), np.uint8)
+        self.ids[inside] = np.frombuffer(b"".join(c for c, _ in counts), kind)
         self.weight = np.concatenate([[0], np.repeat(np.fromiter((n for _, n in counts), np.int64, len(counts)), size)])
         self.after, self.before = np.arange(1, len(self.ids) + 1), np.arange(-1, len(self.ids) - 1)
         self.after[-1], self.before[0] = len(self.ids) - 1, 0
@@ -218,21 +218,24 @@ class _Chunks:
         return gone, self.pairs(np.unique(np.concatenate([self.before[at], at])))
 
 
-def learn_merges(counts: list[tuple[bytes, int]], n_merges: int) -> list[tuple[int, int]]:
+def learn_merges(counts: list[tuple[bytes, int]], n_merges: int, kind: type = np.uint8, known: list[tuple[int, int]] = [], least: int = 1) -> list[tuple[int, int]]:
     """The most frequent pair first, the smallest pair on ties: a heap of counts, of which
     outdated ones are put right when they come up; a merge changes the counts of the
-    pairs at its own places only."""
-    chunks = _Chunks(counts)
+    pairs at its own places only. Goes on after the `known` merges if the chunks hold ids
+    of `kind` after these, and ends before a pair of fewer than `least`."""
+    chunks = _Chunks(counts, kind)
     pairs: Counter = Counter(chunks.pairs(np.arange(len(chunks.ids))))
     heap = [(-n, p) for p, n in pairs.items()]
     heapify(heap)
-    merges: list[tuple[int, int]] = []
+    merges = list(known)
     while len(merges) < n_merges and heap:
         n, best = heappop(heap)
         if pairs[best] != -n:
             if pairs[best] > 0:
                 heappush(heap, (-pairs[best], best))
             continue
+        if -n < least:
+            break
         gone, come = chunks.merge(best, BASE + len(merges))
         merges.append(best)
         for p, m in gone.items():
@@ -244,30 +247,107 @@ def learn_merges(counts: list[tuple[bytes, int]], n_merges: int) -> list[tuple[i
     return merges
 
 
-def learn_merges_apart(counts: DataFrame, n_merges: int, batch: int = 256) -> list[tuple[int, int]]:
-    """The same merges where the table of chunks (chunk, n) is too large for the driver:
-    pairs are counted in Spark, and each round takes all merges that are certain. The next
+class _Segments:
+    """The segments of an Arrow batch (ids packed in bytes, n) end to end: the id at each
+    place, whether a segment ends there, and the count of its segment."""
+
+    def __init__(self, batch: pa.RecordBatch, kind: type) -> None:
+        packed = batch.column("ids").to_pylist()
+        size = np.fromiter((len(x) for x in packed), np.int64, len(packed)) // np.dtype(kind).itemsize
+        self.kind, self.ids = kind, np.frombuffer(b"".join(packed), kind).astype(np.int64)
+        self.end = np.zeros(len(self.ids), bool)
+        self.end[np.cumsum(size)[size > 0] - 1] = True
+        self.n = np.repeat(batch.column("n").to_numpy(), size)
+
+    def pairs(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys (first id times `width`, plus the second) and counts of the pairs."""
+        inside = ~self.end[:-1]
+        key, of = np.unique((self.ids[:-1] * width + self.ids[1:])[inside], return_inverse=True)
+        total = np.zeros(len(key), np.int64)
+        np.add.at(total, of, self.n[:-1][inside])
+        return key, total
+
+    def keep(self, at: np.ndarray) -> None:
+        self.ids, self.end, self.n = self.ids[at], self.end[at], self.n[at]
+
+    def merge(self, group: list[tuple[tuple[int, int], int]], width: int) -> None:
+        """Replace pairs that share no id, from the left."""
+        partner, code = np.full(width, -1), np.zeros(width, np.int64)
+        for (a, b), new in group:
+            partner[a], code[a] = b, new
+        at = np.flatnonzero((partner[self.ids[:-1]] == self.ids[1:]) & ~self.end[:-1])
+        if len(at):  # neighbours are in a run of equal ids, of which every second one counts
+            order = np.arange(len(at))
+            starts = np.concatenate([[True], at[1:] != at[:-1] + 1])
+            at = at[(order - np.maximum.accumulate(np.where(starts, order, 0))) % 2 == 0]
+        self.ids[at] = code[self.ids[at]]
+        self.end[at] = self.end[at + 1]
+        stay = np.ones(len(self.ids), bool)
+        stay[at + 1] = False
+        self.keep(stay)
+
+    def part(self, alive: np.ndarray, below: int, width: int) -> None:
+        """End segments between ids whose pair is not `alive`, unless an id is new (not
+        `below`); segments of one id go."""
+        a, b = self.ids[:-1], self.ids[1:]
+        self.end[:-1] |= ~((a >= below) | (b >= below) | np.isin(a * width + b, alive))
+        self.keep(~(self.end & np.concatenate([[True], self.end[:-1]])) if len(self.ids) else self.end)
+
+    def batch(self) -> pa.RecordBatch:
+        ends = np.flatnonzero(self.end) + 1
+        offsets = np.concatenate([[0], ends * np.dtype(self.kind).itemsize]).astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(self.ids.astype(self.kind).tobytes())])
+        return pa.RecordBatch.from_arrays([packed, pa.array(self.n[ends - 1], pa.int64())], names=["ids", "n"])
+
+
+def learn_merges_apart(counts: DataFrame, n_merges: int, batch: int = 1 << 16, driver_chunks: int = 0) -> list[tuple[int, int]]:
+    """The same merges where the table of chunks (chunk, n) is too large for the driver.
+
+    Pairs are counted in Spark, and each round takes all merges that are certain. The next
     pair in order is certain if it shares no id with those taken before it in the round
     and is more frequent than any pair that a new id could form, which is bounded by the
-    pairs that follow or precede the merged ones."""
+    pairs that follow or precede the merged ones.
 
-    def first(batches):
+    No pair becomes more frequent, nor do the pairs that its ids form with others later. So
+    chunks are parted at pairs of fewer than `least`, equal segments become one, and
+    what is left soon fits on the driver. `least` is half the count of the pair in place
+    `n_merges`; only if merges of fewer are wanted in the end, it is lowered, and the work
+    goes on from the whole chunks."""
+    width, kind = BASE + n_merges, np.uint16 if BASE + n_merges <= 1 << 16 else np.int32
+
+    def pack(batches):
         for x in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([list((c or "").encode()) for c in x.column("chunk").to_pylist()], pa.list_(pa.int32())), x.column("n")], names=["ids", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer((c or "").encode(), np.uint8).astype(kind).tobytes() for c in x.column("chunk").to_pylist()], pa.binary()), x.column("n")], names=["ids", "n"])
 
     def count(batches):
+        seen: Counter = Counter()
         for x in batches:
-            seen: Counter = Counter()
-            for ids, n in zip(x.column("ids").to_pylist(), x.column("n").to_pylist()):
-                for p in zip(ids, ids[1:]):
-                    seen[p] += n
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in seen], pa.int32()), pa.array([p[1] for p in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["a", "b", "n"])
-
-    table = cut(counts.select("chunk", "n").mapInArrow(first, "ids array<int>, n long"))
-    merges: list[tuple[int, int]] = []
+            key, n = _Segments(x, kind).pairs(width)
+            for k, m in zip(key.tolist(), n.tolist()):
+                seen[k] += m
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["key", "n"])
+
+    def merged(table: DataFrame, groups: list, alive: np.ndarray | None, below: int) -> DataFrame:
+        def run(batches):
+            for x in batches:
+                segments = _Segments(x, kind)
+                for group in groups:
+                    segments.merge(group, width)
+                if alive is not None:
+                    segments.part(alive, below, width)
+                yield segments.batch()
+
+        return cut(table.mapInArrow(run, "ids binary, n long").groupBy("ids").agg(F.sum("n").alias("n")))
+
+    whole = counts.where("chunk <> ''").select("chunk", "n").mapInArrow(pack, "ids binary, n long")
+    table, merges, least = whole, [], 0
     while len(merges) < n_merges:
-        pairs = table.mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-        top = [((r["a"], r["b"]), r["n"]) for r in pairs.where("n > 0").orderBy(F.desc("n"), "a", "b").limit(batch).collect()]
+        pairs = table.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        top = [(divmod(r["key"], width), r["n"]) for r in pairs.where(F.col("n") >= max(least, 1)).orderBy(F.desc("n"), "key").limit(batch).collect()]
+        if not least:
+            least = max(1, top[n_merges - 1][1] // 2) if len(top) >= n_merges else 1
+        full = len(top) < batch or top[-1][1] < least
+        top = [(p, n) for p, n in top if n >= least]
         taken: list[tuple[int, int]] = []
         used: set[int] = set()
         bound = -1
@@ -277,33 +357,31 @@ def learn_merges_apart(counts: DataFrame, n_merges: int, batch: int = 256) -> li
             taken.append(p)
             used |= set(p)
             near = [m for q, m in top if q[0] == p[1] or q[1] == p[0]]
-            bound = max([bound, *near, *([top[-1][1]] if len(top) == batch else [])])
-        if not taken:
-            break
-        steps = [(p, BASE + len(merges) + i) for i, p in enumerate(taken)]
-        merges += taken
-
-        def apply(batches, steps=steps):
-            known = {p for p, _ in steps}
-            for x in batches:
-                rows = []
-                for ids in x.column("ids").to_pylist():
-                    if not known.isdisjoint(zip(ids, ids[1:])):
-                        for p, new in steps:
-                            ids = _merged(ids, p, new)
-                    rows.append(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), x.column("n")], names=["ids", "n"])
-
-        table = cut(table.mapInArrow(apply, "ids array<int>, n long"))
+            bound = max([bound, *near, least - 1 if full else top[-1][1]])
+        if taken:
+            below = BASE + len(merges)
+            merges += taken
+            alive = np.array([a * width + b for (a, b), _ in top]) if full else None
+            table = merged(table, [[(p, below + i) for i, p in enumerate(taken)]], alive, below)
+            if len(merges) < n_merges and table.count() <= driver_chunks:
+                found = table.toArrow()
+                merges = learn_merges(list(zip(found.column("ids").to_pylist(), found.column("n").to_pylist())), n_merges, kind, merges, least)
+                taken = []
+        if not taken and len(merges) < n_merges:
+            if least == 1:
+                break
+            least = max(1, least // 8)
+            table = merged(whole, [[(p, BASE + i)] for i, p in enumerate(merges)], None, 0)
     return merges
 
 
 def train(docs: DataFrame, n_merges: int, text: str = "text", driver_chunks: int = DRIVER_CHUNKS) -> list[tuple[int, int]]:
     """Merges of a byte-pair tokenizer over all chunks. A table of at most `driver_chunks`
-    distinct chunks is merged on the driver, a larger one in Spark, with the same result."""
+    distinct chunks is merged on the driver, a larger one in Spark until what can still be
+    merged is as small, with the same result."""
     table = cut(chunk_counts(docs, text))
     if table.count() > driver_chunks:
-        return learn_merges_apart(table, n_merges)
+        return learn_merges_apart(table, n_merges, driver_chunks=driver_chunks)
     found = table.toArrow()
     return learn_merges([(c.encode(), n) for c, n in zip(found.column("chunk").to_pylist(), found.column("n").to_pylist())], n_merges)
 
