@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from textloom.operators import tokens
+from textloom.functions import text as T
+from textloom.operators import runs, tokens
 from textloom.plans import registry
 from textloom.sources import sinks
 
@@ -36,3 +37,14 @@ def test_merges_apart_part_chunks_at_rare_pairs(spark, monkeypatch):
     for n in (1, 2, 5, 9):
         for held in (0, 1, 9):
             assert tokens.learn_merges_apart(rare, n, driver_chunks=held) == tokens.learn_merges(few, n)
+
+
+def test_lookup_ships_no_ids(spark):
+    rows = spark.createDataFrame([(1, [0, 1, 2, 9]), (2, []), (3, None), (4, [7]), (1, [2])], "doc_id long, ids array<int>")
+    vocab = spark.createDataFrame([(0, "a"), (1, 'b"\n'), (2, "é")], "token_id int, token string")
+    found = tokens.lookup(rows, vocab)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, ["a", 'b"\n', "é"]), (1, ["é"])]
+    for more in ([(0, "z")], [(70_000, "far")], [(-1, "below")], [(None, "none")]):
+        joined = tokens.lookup(rows.limit(4), vocab.unionByName(spark.createDataFrame(more, "token_id int, token string"))).collect()
+        assert [r["doc_id"] for r in joined] == [1] and set(joined[0]["tokens"]) - {"z"} == {"a", 'b"\n', "é"}

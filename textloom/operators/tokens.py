@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from heapq import heapify, heappop, heappush
 
@@ -23,6 +24,8 @@ BASE = 256
 DRIVER_CHUNKS, FLUSH = 500_000, 300_000
 #: Vocabulary entries that may be broadcast; chunks whose ids a worker remembers.
 BROADCAST, CACHE = 1_000_000, 200_000
+#: Ids of a vocabulary that is written into the plan.
+NAMES = 1 << 16
 
 
 def special_ids(spark: SparkSession, n_mergeable: int = BASE) -> DataFrame:
@@ -133,8 +136,19 @@ def visualize(tokens: Column, mask: Column, with_ids: Column | None = None) -> C
 
 
 def lookup(rows: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, tokens: ids replaced by their vocabulary entries (an equi-join on the id; a
-    vocabulary of at most BROADCAST entries is sent to all tasks)."""
+    """key, tokens: ids replaced by their vocabulary entries; ids without one are left
+    out, and rows without any. A vocabulary of ids below NAMES is an array that each row
+    reads in place; a larger one is joined on the id (sent to all tasks up to BROADCAST
+    entries)."""
+    named = vocab.select("token_id", "token").limit(NAMES + 1).collect()  # at most NAMES entries
+    names: list[str | None] = [None] * (1 + max([0, *(r["token_id"] for r in named if r["token_id"] is not None and r["token_id"] < NAMES)]))
+    for r in named:
+        if r["token_id"] is not None and 0 <= r["token_id"] < NAMES and r["token"] is not None and names[r["token_id"]] is None:
+            names[r["token_id"]] = r["token"]
+    if sum(x is not None for x in names) == len(named):  # every entry has its own place
+        table = F.from_json(F.lit(json.dumps(names)), "array<string>")
+        found = F.array_compact(F.transform("ids", lambda i: F.get(table, i)))
+        return rows.select(key, F.explode(F.filter(F.array(found), lambda x: F.size(x) > 0)).alias("tokens"))  # a filter would compute them twice
     flat = rows.select(key, F.posexplode("ids").alias("pos", "token_id")).join(sent(vocab, BROADCAST), "token_id")
     return flat.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))  # one text
 
