@@ -71,16 +71,16 @@ def few_shot(examples: Column, last: Column) -> Column:
 
 
 def common_length(rows: Column, suffix: bool = False) -> Column:
-    """Length of the common prefix (or suffix) of an array of arrays."""
-    turned = F.transform(rows, F.reverse) if suffix else rows
-    shortest = F.array_min(F.transform(turned, F.size))
-    first = F.get(turned, F.lit(0))
+    """Length of the common prefix (or suffix) of an array of arrays: the least that any
+    row shares with the first, each place read once."""
+    first = F.get(rows, F.lit(0))
 
-    def differs(i: Column) -> Column:
-        return F.exists(turned, lambda r: F.get(r, i) != F.get(first, i))
+    def shared(row: Column) -> Column:
+        ends = (F.reverse(first), F.reverse(row)) if suffix else (first, row)
+        stop = F.array_position(F.zip_with(*ends, lambda x, y: x.eqNullSafe(y)), False)  # the shorter ends in nulls
+        return F.when(stop > 0, stop - 1).otherwise(F.size(row)).cast("int")
 
-    stop = F.array_position(F.transform(F.sequence(F.lit(0), F.greatest(shortest, F.lit(1)) - 1), differs), True)
-    return F.when(shortest == 0, 0).when(stop > 0, stop - 1).otherwise(shortest).cast("int")
+    return F.array_min(F.transform(rows, shared))
 
 
 def byte_ids(text: Column, prepend: int | None = None) -> Column:
