@@ -48,3 +48,16 @@ def test_lookup_ships_no_ids(spark):
     for more in ([(0, "z")], [(70_000, "far")], [(-1, "below")], [(None, "none")]):
         joined = tokens.lookup(rows.limit(4), vocab.unionByName(spark.createDataFrame(more, "token_id int, token string"))).collect()
         assert [r["doc_id"] for r in joined] == [1] and set(joined[0]["tokens"]) - {"z"} == {"a", 'b"\n', "é"}
+
+
+def test_byte_ids_and_common_length_read_each_place_once(spark):
+    texts = spark.createDataFrame([("a\x00é🌍\n\x7f\x80",), ("",), (None,)], "t string")
+    ids = T.byte_ids(F.col("t"))
+    assert [r["b"] for r in texts.select(ids.alias("b")).collect()] == [list("a\x00é🌍\n\x7f\x80".encode()), [], None]
+    assert "regexp" not in str(ids._jc) and "conv" not in str(ids._jc)
+    rows = spark.createDataFrame([([[1, 2, 3], [1, 2], [1, 2, 4]],), ([[], [1]],), ([[2, 1], [3, 1], [1]],), ([[1, 2]],), ([[1], [1]],)], "t array<array<int>>")
+    found = rows.select(T.common_length(F.col("t")).alias("p"), T.common_length(F.col("t"), suffix=True).alias("s")).collect()
+    assert [tuple(r) for r in found] == [(2, 0), (0, 0), (0, 1), (2, 2), (1, 1)]
+    long = list(range(3000))
+    rows = spark.createDataFrame([([long, [-1, *long]],)], "t array<array<int>>")
+    assert rows.select(T.common_length(F.col("t"), suffix=True)).first()[0] == 3000

@@ -84,9 +84,9 @@ def common_length(rows: Column, suffix: bool = False) -> Column:
 
 
 def byte_ids(text: Column, prepend: int | None = None) -> Column:
-    """UTF-8 bytes of a text as token ids."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1))
-    ids = F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int"))
+    """UTF-8 bytes of a text as token ids: read as Latin-1, each byte is a character."""
+    chars = F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), "")
+    ids = F.transform(F.when(text == "", F.array().cast("array<string>")).otherwise(chars), lambda c: F.ascii(c))
     return F.concat(F.array(F.lit(prepend)), ids) if prepend is not None else ids
 
 

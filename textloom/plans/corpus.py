@@ -92,8 +92,8 @@ def special_lookup(spark, sf_dir):
 
 def byte_encode(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    ids = T.byte_ids(F.col("text"), 256)
-    return docs.select("doc_id", F.size(ids).alias("n"), F.md5(F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")).alias("digest"))
+    rows = docs.select("doc_id", T.byte_ids(F.col("text"), 256).alias("ids"))
+    return rows.select("doc_id", F.size("ids").alias("n"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")).alias("digest"))
 
 
 def conv_violations(spark, sf_dir):
