@@ -61,3 +61,16 @@ def test_byte_ids_and_common_length_read_each_place_once(spark):
     long = list(range(3000))
     rows = spark.createDataFrame([([long, [-1, *long]],)], "t array<array<int>>")
     assert rows.select(T.common_length(F.col("t"), suffix=True)).first()[0] == 3000
+
+
+def test_moving_average_keeps_no_arrays(spark):
+    """A run of several blocks with wide values, and no array of its steps in the plan."""
+    log = spark.range(9000).selectExpr("id AS step", "id % 2 AS run", "CASE WHEN id < 5000 THEN 1e6 ELSE id % 7 END AS x")
+    for beta in (0.9, 0.3, 0.9999):
+        got = runs.ema(log, "x", beta, by=("run",))
+        acc, want = [0.0, 0.0], {}
+        for i in range(9000):
+            acc[i % 2] = beta * acc[i % 2] + (1 - beta) * (1e6 if i < 5000 else i % 7)
+            want[i] = acc[i % 2] / (1 - beta ** (i // 2 + 1))
+        assert all(abs(r["ema"] - want[r["step"]]) <= 1e-9 * max(1, want[r["step"]]) for r in got.collect())
+    assert "array_append" not in got._jdf.queryExecution().optimizedPlan().toString()

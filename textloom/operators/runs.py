@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,35 +66,41 @@ def power_law(points: DataFrame, x: str, y: str) -> DataFrame:
     return points.agg(F.regr_slope(ly, lx).alias("exponent"), F.regr_intercept(ly, lx).alias("log_factor"), F.regr_r2(ly, lx).alias("r2"))
 
 
-#: Steps of a block of a moving average.
-EMA_BLOCK = 4096
+#: Most steps of a block of a moving average; the weight that its last step may have.
+EMA_BLOCK, EMA_WEIGHT = 4096, 1e100
+#: Blocks whose ends may be broadcast.
+EMA_ENDS = 1_000_000
 
 
-def ema(log: DataFrame, value: str, beta: float, order: str = "step", by: tuple[str, ...] = (), after_increment: bool = False, name: str = "ema") -> DataFrame:
-    """Debiased exponential moving average of each run, exact over all its steps: blocks
-    of EMA_BLOCK steps are folded on their own, what a block hands to the next is folded
-    over the blocks, and both are added. With `after_increment` the debias power is one
-    larger."""
+def averaged(log: DataFrame, value: str, beta: float, order: str = "step", by: tuple[str, ...] = ()) -> DataFrame:
+    """Add `__n`, the place from 0 of a row in its run, and `__e`, its moving average that
+    starts at 0, exact over all steps. Inside a block it is a running sum of values
+    weighted by beta ** -i, divided by the weight of the last; what a block hands to the
+    next is folded over the blocks and added."""
     keys = list(by)
-    n = F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1
-    rows = log.withColumn("__n", n.cast("long")).withColumn("__b", F.floor(F.col("__n") / EMA_BLOCK))
-    history = F.collect_list(F.col(value).cast("double")).over(W.partitionBy(*keys, "__b").orderBy("__n").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    # a block holds at most EMA_BLOCK values; every prefix of it is folded once
-    blocks = rows.select(*keys, "__b", "__n", history.alias("__h")).where(F.col("__n") % EMA_BLOCK == 0)
-    start = F.struct(F.lit(0.0).alias("last"), F.array().cast("array<double>").alias("all"))
-
-    def step(acc: Column, x: Column) -> Column:
-        now = beta * acc["last"] + (1 - beta) * x
-        return F.struct(now.alias("last"), F.array_append(acc["all"], now).alias("all"))
-
-    folded = blocks.select(*keys, "__b", F.aggregate("__h", start, step).alias("__f"))
-    tails = folded.select(*keys, "__b", F.col("__f.last").alias("__t"), F.size("__f.all").alias("__size"))
-    carried = F.collect_list(F.struct("__t", "__size")).over(W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1))
-    carry = tails.select(*keys, "__b", F.aggregate(carried, F.lit(0.0), lambda acc, x: acc * F.pow(F.lit(beta), x["__size"]) + x["__t"]).alias("__c"))
-    local = folded.select(*keys, "__b", F.posexplode("__f.all").alias("__i", "__l")).join(carry, [*keys, "__b"])
-    local = local.select(*keys, (F.col("__b") * EMA_BLOCK + F.col("__i")).alias("__n"), (F.col("__l") + F.pow(F.lit(beta), F.col("__i") + 1) * F.col("__c")).alias("__e"))
-    power = F.col("__n") + (2 if after_increment else 1)
-    return rows.join(local, [*keys, "__n"]).withColumn(name, F.col("__e") / (1 - F.pow(F.lit(beta), power))).drop("__n", "__b", "__e")
+    span = max(1, min(EMA_BLOCK, int(math.log(EMA_WEIGHT) / -math.log(beta)))) if 0 < beta < 1 else 1 if beta == 0 else EMA_BLOCK
+    rows = log.withColumn("__n", (F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1).cast("long"))
+    rows = rows.withColumn("__b", F.floor(F.col("__n") / span)).withColumn("__i", F.col("__n") % span)
+    weight = F.pow(F.lit(float(beta)), F.col("__i"))
+    inside = F.sum((1 - beta) * F.col(value).cast("double") / weight).over(W.partitionBy(*keys, "__b").orderBy("__i").rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("__l", inside * weight)
+    ends = rows.where(F.col("__i") == span - 1).select(*keys, "__b", "__l")
+    before = F.collect_list("__l").over(W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, 0))
+    carry = ends.select(*keys, (F.col("__b") + 1).alias("__b"), F.aggregate(before, F.lit(0.0), lambda acc, x: acc * float(beta) ** span + x).alias("__c"))
+    carry = F.broadcast(carry) if log.count() // span <= EMA_ENDS else carry  # a row a block
+    handed = F.coalesce(F.pow(F.lit(float(beta)), F.col("__i") + 1) * F.col("__c"), F.lit(0.0))
+    return rows.join(carry, [*keys, "__b"], "left").withColumn("__e", F.col("__l") + handed).drop("__b", "__i", "__l", "__c")
+
+
+def debiased(beta: float, after_increment: bool = False) -> Column:
+    """The debiased average of a row of `averaged`; with `after_increment` the power is one
+    larger."""
+    return F.col("__e") / (1 - F.pow(F.lit(beta), F.col("__n") + (2 if after_increment else 1)))
+
+
+def ema(log: DataFrame, value: str, beta: float, order: str = "step", by: tuple[str, ...] = (), after_increment: bool = False, name: str = "ema") -> DataFrame:
+    """Debiased exponential moving average of each run."""
+    return averaged(log, value, beta, order, by).withColumn(name, debiased(beta, after_increment)).drop("__n", "__e")
 
 
 def scrape(lines: DataFrame, patterns: dict[str, str], run: str = "run") -> DataFrame:
